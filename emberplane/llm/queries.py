@@ -16,6 +16,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op2_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import removed_bytes
+
+    return removed_bytes(table(spark, sf_dir, "documents"), length=200, buckets=2)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_items
 
