@@ -99,21 +99,14 @@ def margins(text: pa.Array, weights: np.ndarray) -> np.ndarray:
     return total / np.maximum(n, 1)[:, None]
 
 
-def identify_language(docs: DataFrame, train: Column, weight_rows: int = 4000, sharpness: float = 12.0, margin: float = 0.02) -> DataFrame:
-    """Per row of docs(doc_id, text, lang): doc_id, lang_pred, score (0 to 1), ambiguous.
-
-    train: which rows' lang and text may be learned from (rows without lang never are).
-    sharpness: factor from mean log odds to the margin in the loss. margin: least gap of the two
-    best languages' probabilities for a result that is not ambiguous.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), train.alias("train"))
-    known = docs.filter("train AND lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
+def fit_language(known: DataFrame, weight_rows: int, sharpness: float, margin: float):
+    """From known(doc_id, lang, text): a function of texts and whether each has a letter, giving
+    languages, scores and ambiguities; None without rows."""
     langs, counts = train_counts(known)
     if not langs:
-        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+        return None
     code = codewords(len(langs))
-    model = docs.sparkSession.sparkContext.broadcast((bit_weights(counts, code), code))
+    model = known.sparkSession.sparkContext.broadcast((bit_weights(counts, code), code))
 
     def right(batches):
         place = {x: k for k, x in enumerate(langs)}
@@ -133,21 +126,60 @@ def identify_language(docs: DataFrame, train: Column, weight_rows: int = 4000, s
         trust[r.bit] = max(0.05, 0.5 * np.log((1 - error) / error))
     trust /= max(trust.sum(), 1e-9)
 
-    def predict(batches):
+    def decode(text: pa.Array, letter: np.ndarray):
         weights, code = model.value
+        z = sharpness * margins(text, weights)
+        loss = (np.logaddexp(0, -z[:, None, :] * code[None]) * trust).sum(2)
+        p = np.exp(-code.shape[1] * (loss - loss.min(1, keepdims=True)))
+        p /= p.sum(1, keepdims=True)
+        best, top = p.argmax(1), np.sort(p, 1)[:, ::-1]
+        gap = top[:, 0] - (top[:, 1] if p.shape[1] > 1 else 0)
+        return [langs[k] if ok else "und" for k, ok in zip(best, letter, strict=True)], np.where(letter, top[:, 0], 0.0), (gap < margin) | ~letter
+
+    return decode
+
+
+LETTER = r"\p{L}"
+
+
+def _fitted(docs: DataFrame, train: Column, weight_rows: int, sharpness: float, margin: float):
+    known = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    return fit_language(known, weight_rows, sharpness, margin), F.coalesce(F.col("text").cast("string").rlike(LETTER), F.lit(False))
+
+
+def identify_language(docs: DataFrame, train: Column, weight_rows: int = 4000, sharpness: float = 12.0, margin: float = 0.02) -> DataFrame:
+    """Per row of docs(doc_id, text, lang): doc_id, lang_pred, score (0 to 1), ambiguous.
+
+    train: which rows' lang and text may be learned from (rows without lang never are).
+    sharpness: factor from mean log odds to the margin in the loss. margin: least gap of the two
+    best languages' probabilities for a result that is not ambiguous.
+    """
+    decode, letter = _fitted(docs, train, weight_rows, sharpness, margin)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), letter.alias("letter"))
+    if decode is None:
+        return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("ambiguous"))
+
+    def predict(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                z = sharpness * margins(part.column(1), weights)
-                loss = (np.logaddexp(0, -z[:, None, :] * code[None]) * trust).sum(2)
-                p = np.exp(-code.shape[1] * (loss - loss.min(1, keepdims=True)))
-                p /= p.sum(1, keepdims=True)
-                best = p.argmax(1)
-                top = np.sort(p, 1)[:, ::-1]
-                gap = top[:, 0] - (top[:, 1] if p.shape[1] > 1 else 0)
-                letter = part.column(2).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([langs[k] if ok else "und" for k, ok in zip(best, letter, strict=True)]), pa.array(np.where(letter, top[:, 0], 0.0)), pa.array((gap < margin) | ~letter)],
-                    ["doc_id", "lang_pred", "score", "ambiguous"],
-                )
-
-    return docs.select("doc_id", "text", letter).mapInArrow(predict, "doc_id long, lang_pred string, score double, ambiguous boolean")
+                lang, score, unsure = decode(part.column(1), part.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], ["doc_id", "lang_pred", "score", "ambiguous"])
+
+    return docs.mapInArrow(predict, "doc_id long, lang_pred string, score double, ambiguous boolean")
+
+
+def keep_identified(docs: DataFrame, train: Column, weight_rows: int = 4000, sharpness: float = 12.0, margin: float = 0.02) -> DataFrame:
+    """The rows of docs, with all their columns, whose language is identified and not ambiguous."""
+    decode, letter = _fitted(docs, train, weight_rows, sharpness, margin)
+    if decode is None:
+        return docs.filter(F.lit(False))
+    place = docs.columns.index("text")
+
+    def keep(batches):
+        for batch in batches:
+            for part in slices(batch, place):
+                unsure = decode(part.column(place), part.column(part.num_columns - 1).to_numpy(zero_copy_only=False))[2]
+                yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(pa.array(~unsure))
+
+    return docs.withColumn("letter_", letter).mapInArrow(keep, docs.schema)
