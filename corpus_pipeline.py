@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaced", end_id=0, capacity=1024)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaced", end_id=0, capacity=1024, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 STAGES = [("language_id", identify), ("exact_dedup", dedup), ("ngram_jaccard_join", near_dedup), ("decontamination", clean), ("packing", packed)]

@@ -74,11 +74,11 @@ def pack_block(lengths: np.ndarray, capacity: int) -> tuple[list[tuple[int, int,
     return out, used + len(caps)
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = 1024, ranks: str | None = None) -> DataFrame:
     """One row per piece of docs(doc_id, text): where in its document and in which sequence it lies."""
 
     def run(batches):
-        coder, base = encoder(tokenizer, kind), TaskContext.get().partitionId() << 32
+        coder, base = encoder(tokenizer, kind, ranks), TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()
         ids, held, total, sequence = [], [], 0, 0
 

@@ -47,12 +47,24 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from . import common, token_files
+
+    path = f"{common.shared_dir(spark)}/emberplane-{uuid.uuid4().hex}/ids"
+    token_files.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), "words", end_id=2)
+    return token_files.read_ids(spark.read.parquet(path))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     from .packing import pack
 
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "spaced", end_id=0, capacity=1024)
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "spaced", end_id=0, capacity=1024, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

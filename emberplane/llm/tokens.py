@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
+from pathlib import Path
 
 import numpy as np
 
-CACHE = 400_000
+CACHE = 300_000
 #: A space that neither begins a run of white space nor stands right before a word.
 INNER = re.compile(r"\s (?!\S)")
-_open: dict[tuple[str, str], Encoder] = {}
+_open: dict[tuple, Encoder] = {}
 
 
 class Encoder:
@@ -19,43 +21,53 @@ class Encoder:
     kind "spaced": the tokenizer splits before a single space, so a text may be encoded piece by
     piece, each piece but the first with its space; texts with an inner space of a white run go
     through the library whole. kind "words": white space only separates. kind "whole": no pieces.
+    ranks: a file of the same vocabulary as byte ranks; tiktoken then encodes the pieces, with the
+    same ids in a fifth of the time. The cache keeps the first CACHE different pieces.
     """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, ranks: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kind, self.first, self.rest = kind, {}, {}
+        self.kind, self.first, self.rest, self.fast = kind, {}, {}, None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
+
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
 
     def _ids(self, texts: list[str]) -> list[bytes]:
+        if self.fast:
+            return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, cache: dict, words: set[str], lead: str) -> None:
-        if len(cache) + len(words) > CACHE:
-            cache.clear()
-        new = [w for w in words if w not in cache]
+    def _known(self, cache: dict, words: set[str], lead: str) -> dict:
+        """A table that has all the words: the cache, or while it is full also those it lacks."""
+        new = list(words - cache.keys())
+        made = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            cache.update(zip(part, self._ids([lead + w for w in part]), strict=True))
+            made.update(zip(part, self._ids([lead + w for w in part]), strict=True))
+        if len(cache) + len(made) <= CACHE:
+            cache.update(made)
+            return cache
+        return {w: made[w] if w in made else cache[w] for w in words}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
             return self._ids(texts)
         spaced = self.kind == "spaced"
         pieces = [None if spaced and (t[-1:].isspace() or INNER.search(t)) else t.split(" ") for t in texts]
-        self._learn(self.first, {p[0] for p in pieces if p}, "")
-        words = set().union(*(p[1:] for p in pieces if p))
-        self._learn(self.rest, words - self.rest.keys(), " " if spaced else "")
-        first, rest = self.first, self.rest.__getitem__
-        if not words <= self.rest.keys():  # the cache was emptied: these words did not all fit
-            self._learn(self.rest, words, " " if spaced else "")
+        first = self._known(self.first, {p[0] for p in pieces if p}, "")
+        rest = self._known(self.rest, set().union(*(p[1:] for p in pieces if p)), " " if spaced else "").__getitem__
         return [self._ids([t])[0] if p is None else first[p[0]] + b"".join(map(rest, p[1:])) for t, p in zip(texts, pieces, strict=True)]
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str, kind: str, ranks: str | None = None) -> Encoder:
     """One encoder per Python worker and tokenizer file."""
-    if (path, kind) not in _open:
-        _open[path, kind] = Encoder(path, kind)
-    return _open[path, kind]
+    if (path, kind, ranks) not in _open:
+        _open[path, kind, ranks] = Encoder(path, kind, ranks)
+    return _open[path, kind, ranks]
