@@ -92,7 +92,7 @@ def removed_bytes(docs: DataFrame, length: int = 200, buckets: int = 1) -> DataF
 
     def find(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 found = runs(part.column(1), length)
                 if found is not None:
                     doc, sample, digest, lo, hi, twice = found
