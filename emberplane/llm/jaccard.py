@@ -141,9 +141,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
     posting = known.select("id", F.posexplode("prefix").alias("pos", "tok"))
     shared = posting.groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1")
-    posting = written(posting.join(shared, "tok"), "shared")
+    posting = posting.join(shared, "tok")
     about = known.select("id", "n", *SKETCH)
-    posting = written(posting.join(about, "id").withColumn("pos", F.col("pos").cast("long")), "postings")
+    posting = posting.join(about, "id").withColumn("pos", F.col("pos").cast("long"))
+    # Of these, postings with another one whose set is of a size that the threshold allows.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+    posting = written(posting.withColumn("band", band), "shared")
+    near = posting.groupBy("tok", "band").agg(F.count("*").alias("k"))
+    near = near.select("tok", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "k").groupBy("tok", "band").agg(F.sum("k").alias("near")).filter("near > 1")
+    posting = written(posting.join(near, ["tok", "band"]).drop("near"), "postings")
     texts = written(docs.join(posting.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
 
     fits, cols = may_link(num, den), ["id", "n", "pos", "comp", *SKETCH]
@@ -162,15 +168,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
         found = written(verified(pairs, texts, n, num, den), "links")
         links = found if links is None else links.unionByName(found)
         comp = written(components(links), "components")
-        open_ = _still_open(posting, comp)
+        open_ = _still_open(open_.drop("comp"), comp)
         was, (left, rows) = left, _open_pairs(open_)
         if left <= 4 * rows or was is not None and left > 0.7 * was:
             break
     if left:
-        band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
+        band = F.col("band")
         x = open_.select("tok", *(F.col(c).alias(f"l_{c}") for c in cols), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-        y = open_.withColumn("band", band)
-        rest = x.join(y, ["tok", "band"]).filter((F.col("l_id") < F.col("id")) & (F.col("l_comp") != F.col("comp")) & fits)
+        rest = x.join(open_, ["tok", "band"]).filter((F.col("l_id") < F.col("id")) & (F.col("l_comp") != F.col("comp")) & fits)
         rest = rest.select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         found = written(verified(written(rest, "pairs"), texts, n, num, den), "links")
         comp = written(components(links.unionByName(found)), "components")
@@ -182,7 +187,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
 
 
 def _still_open(posting: DataFrame, comp: DataFrame) -> DataFrame:
-    """Postings of the shingles whose members lie in more than one component, with their component."""
+    """Postings of the shingles whose members lie in more than one component, with their component.
+    (Components only grow: a shingle that is settled stays so.)"""
     now = posting.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     mixed = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("k").alias("m")).filter("lo <> hi AND m > 2").select("tok")
     return written(now.join(mixed, "tok"), "open")
