@@ -25,13 +25,13 @@ def with_lod(points: DataFrame, order: tuple[str, ...], levels: int = LEVELS) ->
 
 
 def read_points(points: DataFrame, box: tuple[float, float, float, float], tile: float, classes=None, max_lod: int | None = None, exact: bool = False, scale: float = SCALE) -> DataFrame:
-    """Points of the tiles that meet the box (with `exact`, of the box), by class and level, as x, y, z."""
+    """Points of the tiles that meet the box (with `exact`, of the box), by class and level, as x_m, y_m, z_m."""
     out = points.filter(F.col("tile_x").between(int(box[0] // tile), int(box[2] // tile)) & F.col("tile_y").between(int(box[1] // tile), int(box[3] // tile)))
     if max_lod is not None:
         out = out.filter(F.col("lod") <= max_lod)
     if classes:
         out = out.filter(F.col("classification").isin(*classes))
-    out = out.withColumns({c.lower(): F.col(c) * F.lit(scale) for c in "XYZ"}) if False else out.select(*[c for c in out.columns if c not in "XYZ"], *((F.col(c) * F.lit(scale)).alias(f"{c.lower()}_m") for c in "XYZ"))
+    out = out.select(*[c for c in out.columns if c not in "XYZ"], *((F.col(c) * F.lit(scale)).alias(f"{c.lower()}_m") for c in "XYZ"))
     return out.filter(F.col("x_m").between(box[0], box[2]) & F.col("y_m").between(box[1], box[3])) if exact else out
 
 

@@ -1,0 +1,3 @@
+"""The registered queries by subject."""
+
+from . import catalogue_plans, grid_plans, spatial_plans, tree_plans  # noqa: F401

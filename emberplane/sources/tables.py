@@ -58,5 +58,5 @@ def resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS id", "o_custkey AS owner", "o_custkey % 200 AS domain",
         "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status",
-        "CAST(o_orderdate AS TIMESTAMP) AS modified_on", "CAST(o_totalprice AS BIGINT) AS size_bytes", "o_orderpriority AS tag",
+        "CAST(o_orderdate AS TIMESTAMP) AS modified_on", "CAST(floor(o_totalprice) AS BIGINT) AS size_bytes", "o_orderpriority AS tag",
     )
