@@ -45,9 +45,9 @@ def _cuts(units: DataFrame, jobs: dict[int, tuple[int, float]]) -> dict[int, int
             digit, below = int(part.digit.iloc[at]), float(reach[at] - part.w.iloc[at])
             # The digit that holds the share; at the last one the nearer side of it.
             short = shift == 0 and aim - below < reach[at] - aim
-            state[node] = (digit - short, below, aim)
+            state[node] = (digit - int(short), below, aim)
         last = shift
-    return {node: prefix for node, (prefix, _, _) in state.items()}
+    return {node: int(prefix) for node, (prefix, _, _) in state.items()}
 
 
 def kd_leaves(units: DataFrame, leaves: int) -> DataFrame:
