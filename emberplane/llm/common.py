@@ -133,7 +133,8 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(text: pa.Array, n: int) -> list[np.ndarray]:
     """Sorted distinct n-word shingle hashes of each text; fewer words make one shingle, none none."""
     words, at = word_hashes(text)
-    weight = [np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) % (1 << 64)) for k in range(n)]
+    # Unrelated odd factors: with related ones (1, 3, 5, 7, 9) repeated words gave equal sums.
+    weight = list(mix(np.arange(101, 101 + n, dtype=np.uint64)) | np.uint64(1))
     whole = np.zeros(max(0, len(words) - n + 1), np.uint64)
     for k in range(n):
         whole += words[k : len(words) - n + 1 + k] * weight[k] if len(whole) else whole

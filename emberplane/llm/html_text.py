@@ -1,15 +1,15 @@
 """Main text of HTML pages by a tree-structured graphical model.
 
 The nodes are a page's block elements; each has a hidden state, content or not. Parent and child
-are tied by a potential, and each node's features (tag, class and id words, length of its own
+are tied by a potential (one for parents that only frame a page, one for others), and each node's features (tag, class and id words, length of its own
 text, share of it in links) give it evidence. Sum-product messages, first from the leaves to the
 root, then back, yield every node's exact marginal; the text blocks of nodes above one half are
 the result.
 
 Potentials and evidence are counted on labelled pages. A page labels itself if it marks its
 article (`article`, `main`, role main): what lies in there is content, apart from elements that
-their tag or class words name as something else (BOILERPLATE, which also enters as prior counts,
-so that such an element weighs the same where no labelled page has it). Pages without a mark are
+their tag or class words name as something else (BOILERPLATE, which also is a fixed prior, so that
+such an element weighs the same where no labelled page has it). Pages without a mark are
 then judged by what was learned. At most `fit_pages` pages (in expectation, by a hash of the id)
 are counted.
 
@@ -47,6 +47,8 @@ BOILERPLATE = frozenset(
     "comments consent cookie cookies disclaimer disqus footer header login masthead menu nav navbar navigation newsletter notice "
     "pagination popup promo related respond search share sharing sidebar signup social sponsor sponsored subscribe widget".split()
 )
+FRAME = frozenset(["#root", "html", "body", "main", "article"])
+PRIOR = 1e6
 CLOSES_P = BLOCKS - {"title"}
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("html body article section div ul ol dl table form main td th".split())
@@ -128,7 +130,7 @@ class Page:
             linked[node] += links
         out = []
         for k, (tag, words) in enumerate(zip(self.tag, self.words, strict=True)):
-            own = [cell("t" + tag), *(cell("w" + w) for w in words)]
+            own = [cell("t" + tag), *(cell("w" + w) for w in words if tag not in FRAME)]
             if size[k]:
                 own += [cell(f"s{min(size[k].bit_length(), 10)}"), cell(f"l{4 * linked[k] // size[k]}")]
             out.append(own)
@@ -155,28 +157,31 @@ class Tree:
     """Learned potentials. counts: per cell and state; tied: per state of parent and child."""
 
     def __init__(self, counts: np.ndarray, tied: np.ndarray):
-        counts = counts + 0.5
-        for word in BOILERPLATE:
-            for kind in "tw":
-                counts[cell(kind + word)] += (50.0, 0.0)
+        unseen = counts.sum(1) == 0
         total = tied.sum(0) + 1.0
-        self.evidence = np.log(counts / total)
+        self.evidence = np.log((counts + 1.0 + 0.002 * total) / total)
         # A cell never seen in either state says nothing, whatever the sizes of the classes.
-        self.evidence[counts.sum(1) <= 1.0] = 0.0
+        self.evidence[unseen] = 0.0
+        for word in BOILERPLATE:
+            for kind in "tw":
+                self.evidence[cell(kind + word)] = (np.log(PRIOR), 0.0)
         tied = tied + 1.0
+        tied[0, 0] += PRIOR  # nothing within an element that isn't content is
         self.tie = np.log(tied / tied.sum(1, keepdims=True))
 
     def marginals(self, page: Page) -> list[float]:
         """Probability of content of each node; nodes come after their parents."""
         n, parent = len(page.tag), page.parent
-        (t00, t01), (t10, t11) = self.tie.tolist()
+        ties = self.tie.tolist()
         own = []
         for cells in page.features():
             e = self.evidence[cells].sum(0)
             own.append((float(e[0]), float(e[1])))
         up0, up1 = [e[0] for e in own], [e[1] for e in own]
         to0, to1 = [0.0] * n, [0.0] * n
+        over = [2 * (page.tag[p] in FRAME) for p in parent]
         for k in range(n - 1, 0, -1):
+            (t00, t01), (t10, t11) = ties[over[k]], ties[over[k] + 1]
             to0[k], to1[k] = add(t00 + up0[k], t01 + up1[k]), add(t10 + up0[k], t11 + up1[k])
             up0[parent[k]] += to0[k]
             up1[parent[k]] += to1[k]
@@ -184,6 +189,7 @@ class Tree:
         out = [0.0] * n
         for k in range(1, n):
             # what the parent believes without this child
+            (t00, t01), (t10, t11) = ties[over[k]], ties[over[k] + 1]
             p0, p1 = up0[parent[k]] - to0[k], up1[parent[k]] - to1[k]
             up0[k], up1[k] = up0[k] + add(p0 + t00, p1 + t10), up1[k] + add(p0 + t01, p1 + t11)
             shift = max(up0[k], up1[k])
@@ -200,7 +206,7 @@ def add(a: float, b: float) -> float:
 
 def fit(pages: DataFrame, fit_pages: int) -> Tree:
     def count(batches):
-        total = np.zeros((CELLS + 2, 2))
+        total = np.zeros((CELLS + 4, 2))
         for batch in batches:
             for source in batch.column(0).to_pylist():
                 page = Page(source or "")
@@ -210,14 +216,15 @@ def fit(pages: DataFrame, fit_pages: int) -> Tree:
                 for k, cells in enumerate(page.features()):
                     total[cells, labels[k]] += 1
                     if k:
-                        total[CELLS + labels[page.parent[k]], labels[k]] += 1
+                        above = page.parent[k]
+                        total[CELLS + 2 * (page.tag[above] in FRAME) + labels[above], labels[k]] += 1
         at = np.flatnonzero(total.sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at, 0]), pa.array(total[at, 1])], ["cell", "n0", "n1"])
 
     rows = max(1, pages.count())
     some = pages.filter(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < min(1_000_000, 1 + 1_000_000 * fit_pages // rows))
     got = some.select("html").mapInArrow(count, "cell int, n0 double, n1 double").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
-    total = np.zeros((CELLS + 2, 2))
+    total = np.zeros((CELLS + 4, 2))
     total[got["cell"].to_numpy(), 0], total[got["cell"].to_numpy(), 1] = got["n0"].to_numpy(), got["n1"].to_numpy()
     return Tree(total[:CELLS], total[CELLS:])
 
