@@ -10,7 +10,7 @@ from ..sources import tables
 from ..streaming import dispatches
 from . import base_sql as B
 
-NOW, NOW_SQL = F.lit("2001-09-01 00:00:00").cast("timestamp"), "TIMESTAMP '2001-09-01 00:00:00'"
+NOW_SQL = "TIMESTAMP '2001-09-01 00:00:00'"
 OWNERS = "owners AS (SELECT c_custkey AS owner, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 2000 END AS ttl, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE 30 END AS failed_ttl FROM customer WHERE c_custkey % 3 = 0)"
 
 
@@ -34,12 +34,12 @@ def _(spark, d):
 
 @query("cat02_expired", f"WITH {B.RESOURCES}, {TTL}, due AS (SELECT *, CASE WHEN status = 'failed' THEN failed_ttl ELSE ttl END AS days FROM aged) SELECT id FROM due WHERE days IS NOT NULL AND modified_on < {NOW_SQL} - to_days(CAST(greatest(days, 7) AS INT))")
 def _(spark, d):
-    return catalogue.expired(catalogue.with_ttl(tables.resources(spark, d), owners(spark, d)), NOW).select("id")
+    return catalogue.expired(catalogue.with_ttl(tables.resources(spark, d), owners(spark, d)), F.expr(NOW_SQL)).select("id")
 
 
 @query("cat03_orphans", B.resources(f"SELECT id FROM resources WHERE domain NOT IN (SELECT c_custkey % 200 FROM customer WHERE c_custkey % 200 < 150) AND modified_on < {NOW_SQL} - INTERVAL 24 HOUR"))
 def _(spark, d):
-    return catalogue.orphans(tables.resources(spark, d), domains(spark, d), NOW).select("id")
+    return catalogue.orphans(tables.resources(spark, d), domains(spark, d), F.expr(NOW_SQL)).select("id")
 
 
 @query("cat04_stale_tests", "SELECT o_orderkey FROM orders WHERE starts_with('test-' || o_orderkey, 'test-1') AND o_orderdate < DATE '1995-01-01'")
