@@ -125,7 +125,7 @@ def _(spark, d):
 
 @query("src06_read_points", f"WITH {B.POINTS}, {TILED} SELECT {PKEY}, round(X * CAST(0.01 AS DOUBLE), 2) AS x_m, round(Y * CAST(0.01 AS DOUBLE), 2) AS y_m FROM lods WHERE tile_x BETWEEN 2 AND 8 AND tile_y BETWEEN 4 AND 10 AND lod <= 4 AND classification IN (1, 2, 5)")
 def _(spark, d):
-    p = pointcloud.read_points(leveled(spark, d), (120.0, 220.0, 440.0, 540.0), 50.0, (1, 2, 5), 7)
+    p = pointcloud.read_points(leveled(spark, d), (120.0, 220.0, 440.0, 540.0), 50.0, (1, 2, 5), 4)
     return rounded(p.select(*PKEY.split(", "), "x_m", "y_m"), "x_m", "y_m", n=2)
 
 
