@@ -1,20 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models of byte sequences, of toxic and of ordinary texts, score every text; the score is a
-logistic function of the difference of the two log-likelihoods over the square root of the
-text's length. Bytes rather than words, so that compounds and inflections of an expression
+Two models of byte sequences, of toxic and of ordinary texts, score every text. The difference of
+the two log-likelihoods is normalised by length twice: over the whole text (by the square root of
+its length) and over each run of `WINDOW` bytes, of which the highest counts, so that one
+expression shows in a long text. The score is a logistic function of both and of the log of the
+length (a longer text has higher runs by chance). Bytes rather than words, so that compounds and inflections of an expression
 share its counts. Each model predicts a byte from the five before it, with absolute discounts;
 it backs off to continuation counts (in how many different longer contexts the byte followed
 the last two), and these to counts that both models share, of all documents. A rare
 expression, whose counts the discounts use up, gets the shared probability from both models.
 
-Bounds of the fit, all parameters: `per_class` training rows of each class at most and as many of
-one as of the other (in expectation; chosen by a hash of the id), `entries` sequences with counts
+Bounds of the fit, all parameters: `per_class` training rows of each class at most
+(in expectation; chosen by a hash of the id), `entries` sequences with counts
 of their own (the most frequent; the whole count of others goes to the shared mass), 2^18 hashed
 cells of shared counts. One fifth of the training rows is kept out of the counts; it chooses the
 discount and fits the logistic function.
 
-Null texts and those under six bytes have a difference of zero. Without rows of both classes
+Null texts and those under six bytes have differences of zero. Without rows of both classes
 every score is 0. Rows that share an id are scored each for itself; a document with several
 labels is trained on each. Extra columns are ignored.
 """
@@ -31,6 +33,7 @@ from .common import LOWER, mix, slices, text_buffer, written
 ORDER = 6
 CELL_BITS = 18
 DISCOUNTS = (0.25, 0.75, 1.5)
+WINDOW = 12
 
 
 def sequences(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,12 +174,21 @@ class Model:
         self.three = Lookup(three["key"], ratio(lows(three["key"])))
 
     def differences(self, text: pa.Array) -> np.ndarray:
+        """Per text: the difference over the root of its length, the highest mean of a run, log length."""
         key, s, e = sequences(text)
         gain, hit = self.six.get(key)
         miss = np.flatnonzero(~hit)
         gain[miss] = self.five.get(key[miss] >> 8)[0] + self.three.get(key[miss] & 0xFFFFFF)[0]
         total = np.concatenate([[0.0], np.cumsum(gain)])
-        return (total[e] - total[s]) / np.sqrt(np.maximum(e - s, 1))
+        n = e - s
+        whole = (total[e] - total[s]) / np.sqrt(np.maximum(n, 1))
+        top = whole / np.sqrt(np.maximum(n, 1))  # of texts shorter than a run
+        long = np.flatnonzero(n > WINDOW)
+        if len(long):
+            run = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
+            edges = np.stack([s[long], e[long] - WINDOW + 1], 1).ravel()
+            top[long] = np.maximum.reduceat(np.append(run, -np.inf), edges)[::2]
+        return np.stack([whole, top, np.log1p(n)], 1)
 
 
 def fit(docs: DataFrame, labelled: DataFrame, entries: int) -> list[Model] | None:
@@ -202,23 +214,36 @@ def fit(docs: DataFrame, labelled: DataFrame, entries: int) -> list[Model] | Non
     return [Model(*tables, shared, d, k) for k, d in enumerate(DISCOUNTS)]
 
 
-def logistic(z: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope and offset by Newton's method, slightly regularised, and the loss."""
-    if not len(z) or y.min() == y.max():
-        return 1.0, 0.0, 0.0
-    scale = z.std() or 1.0
-    x = np.stack([z / scale, np.ones(len(z))], 1)
-    w = np.zeros(2)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (y - p) - 1e-2 * w
-        hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(2)
-        step = np.linalg.solve(hess, grad)
-        w += step
-        if abs(step).max() < 1e-8:
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (the last is the offset) by Newton's method, with a small ridge, and the loss.
+    The two differences never count against toxicity: a weight below zero is dropped."""
+    w = np.zeros(x.shape[1] + 1)
+    if not len(x) or y.min() == y.max():
+        w[1] = 1.0
+        return w, 0.0
+    scale = x.std(0)
+    scale[scale == 0] = 1.0
+    z = np.column_stack([(x - x.mean(0)) / scale, np.ones(len(x))])
+    used = np.ones(z.shape[1], bool)
+    while True:
+        part, v = z[:, used], np.zeros(used.sum())
+        ridge = np.append(np.ones(len(v) - 1), 1e-3)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(part @ v, -30, 30)))
+            step = np.linalg.solve((part * (p * (1 - p))[:, None]).T @ part + np.diag(ridge), part.T @ (y - p) - ridge * v)
+            v += step
+            if abs(step).max() < 1e-8:
+                break
+        full = np.zeros(z.shape[1])
+        full[used] = v
+        wrong = np.flatnonzero(full[:2] < 0)
+        if not len(wrong):
             break
-    margin = np.clip(x @ w, -30, 30)
-    return float(w[0] / scale), float(w[1]), float(np.logaddexp(0, np.where(y > 0, -margin, margin)).mean())
+        used[wrong] = False
+    margin = np.clip(z @ full, -30, 30)
+    w[:-1] = full[:-1] / scale
+    w[-1] = full[-1] - (w[:-1] * x.mean(0)).sum()
+    return w, float(np.logaddexp(0, np.where(y > 0, -margin, margin)).mean())
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 10_000, entries: int = 1 << 18) -> DataFrame:
@@ -228,33 +253,34 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     sizes = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
-    pick, most = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)), min(per_class, *sizes.values())
-    known = known.filter(pick < F.when(F.col("toxic") == 1, 1_000_000 * most // sizes[1]).otherwise(1_000_000 * most // sizes[0]))
+    pick, share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)), {c: min(1.0, per_class / n) for c, n in sizes.items()}
+    known = known.filter(pick < F.when(F.col("toxic") == 1, int(1_000_000 * share[1])).otherwise(int(1_000_000 * share[0])))
     rows = written(docs.join(known, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))), "labelled")
     models = fit(docs, rows.filter("fold > 0"), entries)
     if models is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     spark = docs.sparkSession.sparkContext
     shared = spark.broadcast(models)
-    names = [f"z{k}" for k in range(len(DISCOUNTS))]
+    names = [f"z{k}" for k in range(3 * len(DISCOUNTS))]
 
     def measure(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(m.differences(part.column(1))) for m in shared.value)], ["x", *names])
+                z = np.concatenate([m.differences(part.column(1)) for m in shared.value], 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, z.T)], ["x", *names])
 
     fold = rows.filter("fold = 0").select(F.col("toxic").cast("long").alias("x"), "text").mapInArrow(measure, "x long, " + ", ".join(f"{z} double" for z in names)).toPandas()
-    fits = [logistic(fold[z].to_numpy(), fold.x.to_numpy()) for z in names]
-    which = min(range(len(fits)), key=lambda k: fits[k][2])
-    a, b, _ = fits[which]
-    # The fold has both classes alike; the offset returns to the share of toxic rows among all labels.
-    b += float(np.log(sizes[1] / sizes[0]))
+    fits = [logistic(fold[names[3 * k : 3 * k + 3]].to_numpy(), fold.x.to_numpy()) for k in range(len(DISCOUNTS))]
+    which = min(range(len(fits)), key=lambda k: fits[k][1])
+    weights = fits[which][0]
+    # Back to the share of toxic rows among all labels, where one class was thinned more.
+    weights[-1] += float(np.log(share[0] / share[1]))
     chosen = spark.broadcast(models[which])
 
     def score(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                z = np.clip(a * chosen.value.differences(part.column(1)) + b, -500, 500)
+                z = np.clip(chosen.value.differences(part.column(1)) @ weights[:-1] + weights[-1], -500, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
     return docs.mapInArrow(score, "doc_id long, score double")
