@@ -45,3 +45,18 @@ def factor(source: str, target: str) -> float:
 
 def convert(value: Column, source: str, target: str) -> Column:
     return value if source == target else value * F.lit(factor(source, target))
+
+
+def added(a: tuple[Column, str], b: tuple[Column, str], out: str) -> Column:
+    """A sum in the unit `out`; each operand is converted first."""
+    return convert(*a, out) + convert(*b, out)
+
+
+def product(a: tuple[Column, str], b: tuple[Column, str], out: str, divide: bool = False) -> Column:
+    """A product (or quotient) in the unit `out`: one factor, by the units of both operands."""
+    (d1, f1), (d2, f2), (want, g) = parse(a[1]), parse(b[1]), parse(out)
+    sign = -1 if divide else 1
+    if tuple(x + sign * y for x, y in zip(d1, d2)) != want:
+        raise ValueError(f"{a[1]!r} and {b[1]!r} do not give {out!r}")
+    value = F.try_divide(a[0], b[0]) if divide else a[0] * b[0]
+    return value * F.lit(f1 * f2**sign / g)

@@ -112,3 +112,29 @@ def resample_down(cells: DataFrame, value: str, times: int, method: str) -> Data
 def mosaic(tiles: DataFrame, value: str) -> DataFrame:
     """tiles(seq, row, col, value): per cell the first tile's value that is there."""
     return tiles.filter(F.col(value).isNotNull()).groupBy("row", "col").agg(F.min_by(value, "seq").alias(value))
+
+
+def opened(cells: DataFrame, value: str, reach: int) -> DataFrame:
+    """The cells with `value` opened: the least, then the highest, of a square window.
+    Rows and columns are taken one after the other, so a window of w cells costs 2 w, not w * w."""
+    for agg in (F.min, F.max):
+        for across, along in (("row", "col"), ("col", "row")):
+            cells = cells.withColumn(value, agg(value).over(Window.partitionBy(across).orderBy(along).rangeBetween(-reach, reach)))
+    return cells
+
+
+def bare_ground(cells: DataFrame, value: str, cell: float, windows: tuple[int, ...] = (3, 5, 9, 17, 33), slope: float = 0.3, least: float = 0.15, most: float = 2.5) -> DataFrame:
+    """cells with `ground`: whether a cell stays within the tolerance of the opening by each wider window."""
+    now, before = cells.withColumns({"surface_": F.col(value), "ground": F.lit(True)}), 1
+    for w in windows:
+        limit = least if w <= 3 else min(slope * (w - before) * cell + least, most)
+        now = opened(now.withColumn("was_", F.col("surface_")), "surface_", w // 2)
+        now, before = now.withColumn("ground", F.col("ground") & (F.col("was_") - F.col("surface_") <= limit)).drop("was_"), w
+    return now.drop("surface_")
+
+
+def distance_to_known(cells: DataFrame, known: DataFrame, cap: int) -> DataFrame:
+    """cells(row, col) with the distance in cells to the nearest known one, `cap` where none is nearer."""
+    near = around(known.withColumn("k_", F.lit(1)), "k_", cap, circle=True)
+    least = near.groupBy("row", "col").agg(F.min(F.sqrt(F.col("dr") * F.col("dr") + F.col("dc") * F.col("dc"))).alias("distance"))
+    return cells.select("row", "col").join(least, ["row", "col"], "left").withColumn("distance", F.coalesce("distance", F.lit(float(cap))))

@@ -148,3 +148,25 @@ def checked(value: Column, used: Column) -> Column:
 def descaled(value: Column, nodata: float, scale: float) -> Column:
     """Stored integers to values; the declared nodata and -9999 are missing."""
     return F.when(~value.isin(nodata, -9999), value / F.lit(float(scale)))
+
+
+def value_of(value) -> Column:
+    """What `else` gives: a number or text, {"band": name}, {"label": a fuel label} or {"op": ..., "of": [values]}."""
+    if not isinstance(value, dict):
+        return F.lit(value)
+    if "band" in value:
+        return F.col(value["band"])
+    return F.lit(value["label"]) if "label" in value else compute(value["op"], *map(value_of, value["of"]))
+
+
+def uniform(cells: DataFrame, bands: dict[str, int | float]) -> DataFrame:
+    """Constant bands: whole numbers as int, others as float."""
+    return cells.withColumns({k: F.lit(v).cast("int" if isinstance(v, int) else "float") for k, v in bands.items()})
+
+
+def apply_pending(df: DataFrame, ledger: DataFrame, attribute: str) -> tuple[DataFrame, DataFrame]:
+    """Rules of ledger(seq, status, modifier, value) that are pending, in their order; and the ledger with them
+    applied, to be appended once the edited table is written. A rule is never applied twice."""
+    pending = ledger.filter("status = 'pending'").orderBy("seq").collect()  # a handful of rules, not data
+    out = edit_trees(df, [Rule((Action(attribute, r["modifier"], r["value"]),)) for r in pending])
+    return out, ledger.withColumn("status", F.when(F.col("status") == "pending", "applied").otherwise(F.col("status")))

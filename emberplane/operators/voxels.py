@@ -63,3 +63,9 @@ def collapse(voxels: DataFrame, vr: float) -> DataFrame:
 def densify(voxels: DataFrame, lattice: DataFrame, fills: dict[str, object]) -> DataFrame:
     """All cells of the lattice(k, j, i), absent ones with each band's fill value."""
     return lattice.join(voxels, ["k", "j", "i"], "left").select("k", "j", "i", *(F.coalesce(F.col(b), F.lit(v)).alias(b) for b, v in fills.items()))
+
+
+def partitioned(voxels: DataFrame, live: float, specific_leaf_area: float) -> DataFrame:
+    """Density split into live and dead, and the leaf area density of the live part."""
+    own = F.col("density") * F.lit(live)
+    return voxels.withColumns({"live": own, "dead": F.col("density") * F.lit(round(1 - live, 12)), "leaf_area": own * F.lit(specific_leaf_area)})

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def weekly(events: DataFrame) -> DataFrame:
@@ -33,3 +34,47 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 
     stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(last["path"]) if last else spark.createDataFrame([], stream.schema)
+
+
+def appended(stream: DataFrame) -> DataFrame:
+    """Run a stream over all there is and return every row it gave; a batch that is run again replaces itself."""
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    spark.createDataFrame([], stream.schema).write.parquet(f"{out}/rows/batch=-1")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows/batch={number}")
+
+    stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
+
+
+def uploads(stream: DataFrame, path: str, size: str, largest: int) -> DataFrame:
+    """New objects once each by path, with their verdict: completed, or failed where empty, unknown or too large."""
+    ok = F.col(size).isNotNull() & (F.col(size) > 0) & (F.col(size) <= largest)
+    return stream.dropDuplicates([path]).select(path, F.when(ok, "completed").otherwise("failed").alias("status"))
+
+
+def tile_offsets(stream: DataFrame) -> DataFrame:
+    """stream(tile, id) to (tile, id, place): a running number within the tile across batches. The only
+    state of a tile is how many points it has had; its points come in Arrow batches, never all at once."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def number(key, batches, state):
+        at = state.get[0] if state.exists else 0
+        for b in batches:
+            yield b.assign(tile=key[0], place=range(at, at + len(b)))[["tile", "id", "place"]]
+            at += len(b)
+        state.update((at,))
+
+    return stream.groupBy("tile").applyInPandasWithState(number, "tile long, id long, place long", "n long", "append", GroupStateTimeout.NoTimeout)
+
+
+def complete_up_to(arrived: DataFrame, last: DataFrame) -> DataFrame:
+    """arrived(tile, idx) and last(tile, last_idx): per tile the first index that is still missing and
+    whether all up to its last one are there, in whatever order they came."""
+    order = F.row_number().over(Window.partitionBy("tile").orderBy("idx")) - 1
+    run = arrived.filter("idx >= 0").distinct().withColumn("k_", order).filter("idx = k_").groupBy("tile").agg((F.max("idx") + 1).alias("next"))
+    out = last.join(run, "tile", "left").withColumn("next", F.coalesce("next", F.lit(0).cast("long")))
+    return out.select("tile", "next", (F.col("next") > F.col("last_idx")).alias("final"))
