@@ -255,7 +255,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     pick, share = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)), {c: min(1.0, per_class / n) for c, n in sizes.items()}
     known = known.filter(pick < F.when(F.col("toxic") == 1, int(1_000_000 * share[1])).otherwise(int(1_000_000 * share[0])))
-    rows = written(docs.join(known, "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))), "labelled")
+    # Two times `per_class` ids at most, whatever the size of the tables: the texts stay where they are.
+    rows = written(docs.join(F.broadcast(known), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))), "labelled")
     models = fit(docs, rows.filter("fold > 0"), entries)
     if models is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
