@@ -93,5 +93,11 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k == "pipeline" or k.startswith("op") and k[2].isdigit()}
 
 
+#: SQL of what DuckDB can express over whole tables; the others are tested against brute force.
+EXACT_DEDUP = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS k FROM documents),
+ g AS (SELECT doc_id, k, first_value(doc_id) OVER (PARTITION BY k ORDER BY length(text) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY k) AS group_size FROM t)
+ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_dedup": EXACT_DEDUP}
