@@ -1,14 +1,14 @@
 """Benchmark decontamination: which documents hold a benchmark item, up to a share of edits.
 
 Texts are compared as UTF-8 bytes with A-Z lower-cased and white space runs as one space.
-For each place where a document has 14 bytes of an item, the window of the item's size that this
-lines up is embedded by CGK random walks (the walk reads the byte it stands on and steps on or
-stays by a random bit of step and byte, so that after an edit the walks of two similar strings
-meet again and edit distance becomes Hamming distance). Bit sampling then hashes the walk: window
-and item are a candidate when one of REPEATS * TABLES samples of SAMPLED bytes is equal. With a
-share h of differing places, recall is 1 - (1 - (1 - h)^SAMPLED)^(REPEATS * TABLES): over 0.99 for
-h up to 0.3. A candidate is verified by the exact edit distance of the item to the best part of the
-window with its surroundings.
+An item of m bytes that may have k edits is cut into k + 1 pieces. Of any occurrence within the
+limit some piece is unchanged, and the pieces can be walked in a ring from one of these so that
+the first l hold at most l - 1 edits. So every place where a document has the first bytes of a
+piece (eight at most) is looked at: of the next piece one half must stand unchanged, at most one
+byte aside; then as many of the item's runs of four and of five bytes as k edits must leave
+(m - 3 - 4 k and m - 4 - 5 k) must stand in the surroundings; what is left is verified by the exact
+edit distance of the item to the best part of the surroundings. No step drops an occurrence within
+the limit.
 
 The items travel as a broadcast index, in blocks of at most `block_bytes` of item text each (the
 size is summed first); documents are read once per block and nothing is shuffled.
@@ -23,22 +23,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, powers, prefix_hash, slices
+from .common import LOWER, slices
 
-SEED, REPEATS, TABLES, SAMPLED, SHIFT = 14, 3, 16, 6, 16
-TABLE_BITS = 22
+SEED, SHIFT, LONGEST, GRAMS = 14, 16, 8, (4, 5)
+TABLE_BITS, HITS, ROWS = 22, 1 << 20, 2048
 SCHEMA = "doc_id long, item_id long, edit_distance int, item_bytes int, start int"
 FOLD = bytes(LOWER)
+ODD = np.uint64(0x9E3779B97F4A7C15)
+#: White space is one space in every text, so no text has this byte.
+END = b"\n"
 
 
 def plain(text: str | None) -> bytes:
     return " ".join((text or "").split()).encode("utf-8", "surrogatepass").translate(FOLD)
 
 
-def seed_hashes(raw: np.ndarray) -> np.ndarray:
-    n = max(0, len(raw) - SEED + 1)
-    total = prefix_hash(raw)
-    return mix((total[SEED : SEED + n] - total[:n]) * powers(len(raw) + 1)[1][:n])
+def words(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of raw but the last seven, the first byte lowest."""
+    return np.lib.stride_tricks.as_strided(raw.view(np.uint8)[:8].view("<u8"), (max(0, len(raw) - 7),), (1,))
+
+
+def low(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * n) - 1)
+
+
+def grams(word: np.ndarray, n: int) -> np.ndarray:
+    """32-bit hashes of the n bytes from each place."""
+    return (((word & low(n)) * ODD) >> np.uint64(32)).astype(np.uint32)
 
 
 def distance(masks: dict[int, int], m: int, text: bytes, limit: int) -> int:
@@ -62,50 +73,86 @@ def distance(masks: dict[int, int], m: int, text: bytes, limit: int) -> int:
     return best
 
 
-def walk(rows: np.ndarray, steps: int, bits: np.ndarray) -> np.ndarray:
-    """CGK embedding of zero-padded byte rows: what the walk reads at each step."""
-    at, every, out = np.zeros(len(rows), np.int64), np.arange(len(rows)), np.zeros((len(rows), steps), np.uint8)
-    for t in range(steps):
-        c = rows[every, at]
-        out[:, t] = c
-        at = np.minimum(at + bits[t, c], rows.shape[1] - 1)
-    return out
+class Pieces:
+    """The pieces of the items whose pieces have `size` bytes at least, by a hash of these."""
+
+    def __init__(self, size: int, texts: list[bytes], own: list[int], limits: np.ndarray):
+        self.size, rows = size, []
+        for i in own:
+            m, n = len(texts[i]), int(limits[i]) + 1
+            at = [j * m // n for j in range(n + 1)]
+            for j in range(n):
+                after = texts[i][at[j + 1] : at[j + 1] + size] if j + 1 < n else b""
+                rows.append((int.from_bytes(texts[i][at[j] : at[j] + size], "little"), i, at[j], at[j + 1] - at[j], int.from_bytes(after, "little"), j + 1 == n))
+        word, item, offset, length, after, last = (np.array(c) for c in zip(*rows, strict=True))
+        word, after = word.astype(np.uint64), after.astype(np.uint64)
+        slot = self.slots(word)
+        order = np.argsort(slot, kind="stable")
+        self.word, self.item, self.offset, self.length, self.after, self.last = (c[order] for c in (word, item, offset, length, after, last))
+        self.first = np.searchsorted(slot[order], np.arange((1 << TABLE_BITS) + 1)).astype(np.int32)
+        self.present = self.first[1:] > self.first[:-1]
+
+    def slots(self, word: np.ndarray) -> np.ndarray:
+        return (((word & low(self.size)) * ODD) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+
+    def places(self, word: np.ndarray):
+        """(item, start of the item) of every piece found in place, if the next piece has one edit at most."""
+        slot = self.slots(word)
+        at = np.flatnonzero(self.present[slot])
+        lo = self.first[slot[at]].astype(np.int64)
+        n = self.first[slot[at] + 1] - lo
+        ends = np.cumsum(n)
+        half, q = self.size // 2, self.size
+        a, b = low(half), low(q - half)
+        done = 0
+        while done < len(at):
+            to = max(done + 1, int(np.searchsorted(ends, (ends[done - 1] if done else 0) + HITS, "right")))
+            k = n[done:to]
+            which = np.repeat(lo[done:to] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            place = np.repeat(at[done:to], k)
+            same = (word[place] & low(q)) == self.word[which]
+            which, place = which[same], place[same]
+            follow, want = word[np.minimum(place + self.length[which], len(word) - 1)], self.after[which]
+            rest = want >> np.uint64(8 * half)
+            near = self.last[which] | ((follow & a) == (want & a))
+            for shift in (half - 1, half, half + 1):
+                # Nine bytes would be needed for the last half of eight, one byte on: seven of these are enough.
+                part = min(q - half, 8 - shift) if shift >= 0 else 0
+                near |= ((follow >> np.uint64(8 * max(shift, 0))) & low(part)) == (rest & low(part))
+            yield self.item[which[near]], place[near] - self.offset[which[near]]
+            done = to
 
 
 class Index:
-    """A block of items: their seeds, samples of their embeddings, and verification masks."""
+    """A block of items: their pieces, runs of four bytes, and verification masks."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], max_rate: float):
         self.short = [(i, t) for i, t in items if 0 < len(t) < SEED]
-        items = [(i, t) for i, t in items if len(t) >= SEED]
+        items = sorted(((i, t) for i, t in items if len(t) >= SEED), key=lambda x: (len(x[1]), x[0]))
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
-        self.width = max(map(len, self.texts), default=0) + 1
-        rng = np.random.default_rng(11)
-        self.bits = rng.integers(0, 2, (REPEATS, 2 * self.width, 256), np.int64)
-        self.places = rng.random((TABLES, SAMPLED))
-        seeds = [seed_hashes(np.frombuffer(t, np.uint8)) for t in self.texts]
-        key = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(key, kind="stable")
-        self.key = key[order]
-        self.item = np.repeat(np.arange(len(seeds)), [len(s) for s in seeds])[order]
-        self.offset = (np.concatenate([np.arange(len(s)) for s in seeds]) if seeds else np.zeros(0, np.int64))[order]
-        self.present = np.zeros(1 << TABLE_BITS, bool)
-        self.present[key >> np.uint64(64 - TABLE_BITS)] = True
-        self.samples = self.sampled(self.texts, np.arange(len(self.texts)))
+        self.sizes = np.array([len(t) for t in self.texts], np.int64)
+        # An item that may be edited throughout needs no piece; one byte less keeps a piece of one byte.
+        self.limits = np.minimum((max_rate * self.sizes).astype(np.int64), self.sizes - 1)
+        sizes = np.minimum(LONGEST, self.sizes // (self.limits + 1))
+        self.pieces = [Pieces(int(q), self.texts, np.flatnonzero(sizes == q).tolist(), self.limits) for q in np.unique(sizes)]
+        # Runs of bytes of each item, in one table of hashes per length, with a shift per item.
+        self.shift = np.random.default_rng(11).integers(0, 1 << 32, len(self.texts), np.uint32)
+        bits = min(26, max(16, int(64 * self.sizes.sum()).bit_length()))
+        self.down, self.held = np.uint32(32 - bits), {n: np.zeros(1 << bits, bool) for n in GRAMS}
+        for i, t in enumerate(self.texts):
+            for n, held in self.held.items():
+                held[(grams(words(np.frombuffer(t + END * 7, np.uint8))[: len(t) - n + 1], n) + self.shift[i]) >> self.down] = True
         self.masks: dict[int, dict[int, int]] = {}
 
-    def sampled(self, windows: list[bytes], item: np.ndarray) -> np.ndarray:
-        """(window, repeat, table, sampled byte), at places in proportion to the item's size."""
-        rows = np.zeros((len(windows), self.width), np.uint8)
-        for k, w in enumerate(windows):
-            rows[k, : min(len(w), self.width - 1)] = np.frombuffer(w[: self.width - 1], np.uint8)
-        size = np.array([len(self.texts[i]) for i in item.tolist()], np.int64)
-        place = (self.places[None] * (1.9 * size)[:, None, None]).astype(np.int64)
-        out = np.empty((len(windows), REPEATS, TABLES, SAMPLED), np.uint8)
-        for r in range(REPEATS):
-            seen = walk(rows, int(1.9 * size.max(initial=0)) + 1, self.bits[r])
-            out[:, r] = seen[np.arange(len(windows))[:, None, None], place]
-        return out
+    def alike(self, gram: np.ndarray, n: int, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Whether some part of lo..hi of an item's size and edits has enough of its runs of n bytes."""
+        m, k = self.sizes[item], self.limits[item]
+        at = lo[:, None] + np.arange(int((hi - lo).max(initial=0)))
+        here = self.held[n][(gram[np.minimum(at, len(gram) - 1)] + self.shift[item][:, None]) >> self.down] & (at < hi[:, None])
+        total = np.zeros((len(item), at.shape[1] + 1), np.int32)
+        np.cumsum(here, axis=1, out=total[:, 1:])
+        ends = np.minimum(np.arange(at.shape[1] + 1) + (m + k - n + 1)[:, None], at.shape[1])
+        return (np.take_along_axis(total, ends, 1) - total).max(1) >= m - n + 1 - n * k
 
     def mask(self, i: int) -> dict[int, int]:
         if i not in self.masks:
@@ -115,41 +162,38 @@ class Index:
             self.masks[i] = out
         return self.masks[i]
 
-    def search(self, texts: list[bytes], max_rate: float):
+    def search(self, texts: list[bytes]):
         """(text, item id, distance, item bytes, start) of every item found; the best place of each."""
         for k, text in enumerate(texts):
             for i, t in self.short:
                 at = text.find(t)
                 if at >= 0:
                     yield k, i, 0, len(t), at
-        raw = np.frombuffer(b"".join(texts), np.uint8)
-        ends = np.cumsum([0, *map(len, texts)])
-        hashes = seed_hashes(raw)
-        at = np.flatnonzero(self.present[hashes >> np.uint64(64 - TABLE_BITS)])
-        doc = np.searchsorted(ends, at, "right") - 1
-        at, doc = at[at + SEED <= ends[doc + 1]], doc[at + SEED <= ends[doc + 1]]
-        lo, hi = np.searchsorted(self.key, hashes[at], "left"), np.searchsorted(self.key, hashes[at], "right")
-        n = hi - lo
-        which = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        at, doc = np.repeat(at, n), np.repeat(doc, n)
-        if not len(at):
+        if not self.texts or not texts:
             return
-        item, start = self.item[which], at - ends[doc] - self.offset[which]
-        # One window per document, item and line of SHIFT starts.
-        first = np.unique(np.stack([doc, item, start // SHIFT]), axis=1, return_index=True)[1]
-        item, start, doc = item[first], start[first], doc[first]
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        word = words(np.frombuffer(END.join([*texts, END * 8]), np.uint8))
+        gram = {n: grams(word, n) for n in GRAMS}
+        # One candidate per item and line of SHIFT starts; a start may lie before the text.
+        back = int((self.sizes + self.limits).max()) // SHIFT + 1
+        lines = int(begin[-1]) // SHIFT + 2 * back + 2
+        keys = [np.unique(item * lines + start // SHIFT + back) for p in self.pieces for item, start in p.places(word)]
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
+        item, start = key // lines, (key % lines - back) * SHIFT
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for part in range(0, len(first), 4096):
-            own = slice(part, part + 4096)
-            windows = [texts[d][max(s, 0) : s + len(self.texts[i])] for d, i, s in zip(doc[own].tolist(), item[own].tolist(), start[own].tolist(), strict=True)]
-            near = (self.sampled(windows, item[own]) == self.samples[item[own]]).all(3).any((1, 2))
-            for j in (part + np.flatnonzero(near)).tolist():
-                d, i, s = int(doc[j]), int(item[j]), int(start[j])
-                m = len(self.texts[i])
-                limit = int(max_rate * m)
-                found = distance(self.mask(i), m, texts[d][max(0, s - limit - SHIFT) : s + m + limit + SHIFT], limit)
-                if found <= limit and found < best.get((d, i), (m,))[0]:
-                    best[d, i] = found, max(s, 0)
+        m, k = self.sizes[item], self.limits[item]
+        lo, hi = np.maximum(start - k, 0), np.minimum(start + SHIFT + m + k, begin[-1])
+        for part in range(0, len(key), ROWS):
+            left = np.arange(part, min(part + ROWS, len(key)))
+            for n in GRAMS:
+                left = left[self.alike(gram[n], n, item[left], lo[left], hi[left])]
+            for j in left.tolist():
+                i, limit = int(item[j]), int(k[j])
+                # A line may hold starts in two texts or more.
+                for d in range(int(np.searchsorted(begin, lo[j], "right")) - 1, min(int(np.searchsorted(begin, hi[j], "left")), len(texts))):
+                    found = distance(self.mask(i), int(m[j]), texts[d][max(0, int(lo[j] - begin[d])) : max(0, int(hi[j] - begin[d]))], limit)
+                    if found <= limit and found < best.get((d, i), (int(m[j]),))[0]:
+                        best[d, i] = found, max(0, int(start[j] - begin[d]))
         for (d, i), (found, s) in best.items():
             yield d, self.ids[i], found, len(self.texts[i]), s
 
@@ -165,13 +209,13 @@ def find_items(docs: DataFrame, items: DataFrame, max_rate: float = 0.15, block_
     out = None
     for b in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, plain(r.text)) for r in own if r.item_id is not None)))
+        index = spark.sparkContext.broadcast(Index(sorted((r.item_id, plain(r.text)) for r in own if r.item_id is not None), max_rate))
 
         def search(batches, index=index):
             for batch in batches:
                 for part in slices(batch, 1):
                     ids = part.column(0).to_pylist()
-                    rows = [(ids[k], i, found, m, s) for k, i, found, m, s in index.value.search([plain(t) for t in part.column(1).to_pylist()], max_rate)]
+                    rows = [(ids[k], i, found, m, s) for k, i, found, m, s in index.value.search([plain(t) for t in part.column(1).to_pylist()])]
                     if rows:
                         a, b, c, d, e = zip(*rows, strict=True)
                         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.int32()), pa.array(e, pa.int32())], [x.split()[0] for x in SCHEMA.split(", ")])

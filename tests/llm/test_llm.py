@@ -108,6 +108,32 @@ def test_decontamination(spark):
     assert set(got) == {(2, 1), (3, 1), (4, 2)} and got[2, 1] == 0 and got[3, 1] == 12
 
 
+def test_decontamination_finds_all_within_the_limit():
+    own = random.Random(9)
+    letters = lambda n: bytes(own.choice(b"abcdefghij klmnop") for _ in range(n))
+    items = [(k, letters(own.choice((14, 27, 40, 81, 150, 233)))) for k in range(60)]
+    index, lost = decontaminate.Index(items, 0.15), []
+
+    def edited(t, n, regular):
+        t, step = list(t), len(t) / max(n, 1)
+        for k in [int((j + 0.5) * step) for j in range(n)] if regular else own.sample(range(len(t)), n):
+            t[k : k + 1] = own.choice((b"Q" + bytes(t[k : k + 1]), b"", b"X", b"Y"))
+        return bytes(t)
+
+    for share in (0.05, 0.10, 0.15):
+        for regular in (True, False):
+            texts = [letters(own.randint(0, 90)) + edited(t, int(share * len(t)), regular) + letters(own.randint(0, 90)) for _, t in items]
+            got = {(k, i): found for k, i, found, _, _ in index.search(texts)}
+            for k, text in enumerate(texts):
+                for j, t in enumerate(index.texts):
+                    limit = int(0.15 * len(t))
+                    found = decontaminate.distance(index.mask(j), len(t), text, limit)
+                    if found <= limit or (k, index.ids[j]) in got:
+                        lost += [(share, regular, k, index.ids[j])] * (got.get((k, index.ids[j])) != found)
+            assert len(got) >= len(items)
+    assert not lost
+
+
 def test_sharding(docs, real):
     got = sharding.kd_shards(docs, shards=3).toPandas()
     assert len(got) == len(AWKWARD) and all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
