@@ -10,10 +10,11 @@ it backs off to continuation counts (in how many different longer contexts the b
 the last two), and these to counts that both models share, of all documents. A rare
 expression, whose counts the discounts use up, gets the shared probability from both models.
 
-Bounds of the fit, all parameters: `per_class` training rows of each class at most
-(in expectation; chosen by a hash of the id), `entries` sequences with counts
-of their own (the most frequent; the whole count of others goes to the shared mass), 2^18 hashed
-cells of shared counts. One fifth of the training rows is kept out of the counts; it chooses the
+Bounds of the fit: `per_class` training rows of each class at most (in expectation; chosen by a
+hash of the id) and 2^18 hashed cells of shared counts. Every run of bytes of these rows keeps its
+own counts, single ones too, and the discounts alone decide what backs off; the table that is
+broadcast thus grows with the text of the training rows, by 24 to 48 bytes per distinct run (40 to
+80 while the discount is chosen). One fifth of the training rows is kept out of the counts; it chooses the
 discount and fits the logistic function.
 
 Null texts and those under six bytes have differences of zero. Without rows of both classes
@@ -95,20 +96,13 @@ def sequence_counts(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(count, "key long, n0 long, n1 long").groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
-def least_count(counts: DataFrame, entries: int) -> int:
-    """The least n0 + n1 (2 at least) for which no more than `entries` rows remain."""
-    sizes = counts.groupBy(F.least(F.col("n0") + F.col("n1"), F.lit(100_000)).alias("n")).agg(F.count("*").alias("k")).filter("n > 1").orderBy(F.desc("n")).toPandas()
-    held = sizes[sizes.k.cumsum() <= entries].n
-    return int(held.min()) if len(held) else 1 << 62
+class Places:
+    """Where each of some distinct integer keys has its place in a table."""
 
-
-class Lookup:
-    """Integer keys to one value each; absent keys give 0."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
+    def __init__(self, keys: np.ndarray):
         bits = max(10, int(2 * len(keys)).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+        self.keys, self.at = np.full(1 << bits, -1, np.int64), np.zeros(len(keys), np.int64)
         self.tries, left = 0, np.arange(len(keys))
         while len(left):
             at = self._place(keys[left], self.tries)
@@ -116,24 +110,37 @@ class Lookup:
             free = self.keys[at] == -1
             first = np.unique(at[free], return_index=True)[1]
             done = np.flatnonzero(free)[first]
-            self.keys[at[done]], self.values[at[done]] = keys[left[done]], values[left[done]]
+            self.keys[at[done]], self.at[left[done]] = keys[left[done]], at[done]
             left = np.delete(left, done)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "at"}
+
     def _place(self, keys: np.ndarray, k: int) -> np.ndarray:
         return ((mix(keys.astype(np.uint64)) >> self.shift).astype(np.int64) + k) & self.mask
 
+
+class Lookup:
+    """Integer keys to one value each; absent keys give 0."""
+
+    def __init__(self, places: Places, values: np.ndarray):
+        self.places, self.values = places, np.zeros(len(places.keys), np.float32)
+        self.values[places.at] = values
+
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self._place(keys, 0)
-        hit = self.keys[at] == keys
+        at = self.places._place(keys, 0)
+        seen = self.places.keys[at]
+        hit = seen == keys
         out = np.where(hit, self.values[at], 0.0)
-        left = np.flatnonzero(~hit & (self.keys[at] != -1))
-        for k in range(1, self.tries):
+        left = np.flatnonzero(~hit & (seen != -1))
+        for k in range(1, self.places.tries):
             if not len(left):
                 break
-            at = self._place(keys[left], k)
-            good = self.keys[at] == keys[left]
+            at = self.places._place(keys[left], k)
+            seen = self.places.keys[at]
+            good = seen == keys[left]
             out[left[good]], hit[left[good]] = self.values[at[good]], True
-            left = left[~good & (self.keys[at] != -1)]
+            left = left[~good & (seen != -1)]
         return out, hit
 
 
@@ -141,12 +148,17 @@ class Model:
     """The difference of the two log-probabilities of a byte: of known runs of six bytes as a whole,
     of others as the sum of what their first five and their last three bytes give."""
 
-    def __init__(self, six, five, three, two, shared, d: float, which: int):
+    def __init__(self, six, five, three, two, shared, places: list[Places], d: float, which: int):
+        def found(t, keys, names):  # of a table sorted by its keys
+            if not len(t["key"]):
+                return [np.zeros(len(keys)) for _ in names]
+            at = np.minimum(np.searchsorted(t["key"], keys), len(t["key"]) - 1)
+            ok = t["key"][at] == keys
+            return [np.where(ok, t[n][at], 0.0) for n in names]
+
         def freed(t, keys):  # per class: the context's count, and how much of it is free
-            order = np.argsort(t["key"])
-            at = order[np.minimum(np.searchsorted(t["key"], keys, sorter=order), max(0, len(order) - 1))] if len(order) else np.zeros(len(keys), np.int64)
-            ok = t["key"][at] == keys if len(order) else np.zeros(len(keys), bool)
-            return [(np.where(ok, t[f"n{c}"][at], 0.0), np.where(ok, t[f"f{which}_{c}"][at], 0.0)) if len(order) else (np.zeros(len(keys)),) * 2 for c in (0, 1)]
+            n0, f0, n1, f1 = found(t, keys, ("n0", f"f{which}_0", "n1", f"f{which}_1"))
+            return [(n0, f0), (n1, f1)]
 
         def level(keys, counts, above, low):
             out = []
@@ -161,17 +173,19 @@ class Model:
             return [np.minimum(p, 1.0)] * 2
 
         def lows(keys):  # probability by the last three bytes
-            known = dict(zip(("key", "n0", "n1"), (three["key"], three["n0"], three["n1"]), strict=True))
-            order = np.argsort(known["key"])
-            at = order[np.minimum(np.searchsorted(known["key"], keys, sorter=order), max(0, len(order) - 1))] if len(order) else None
-            n = [np.where(known["key"][at] == keys, known[f"n{c}"][at], 0.0) if at is not None else np.zeros(len(keys)) for c in (0, 1)]
-            return level(keys, n, freed(two, keys >> 8), share(keys))
-
-        ratio = lambda p: np.log(np.maximum(p[1], 1e-12)) - np.log(np.maximum(p[0], 1e-12))
-        full = level(six["key"], (six["n0"], six["n1"]), freed(five, six["key"] >> 8), lows(six["key"] & 0xFFFFFF))
-        self.six = Lookup(six["key"], ratio(full))
-        self.five = Lookup(five["key"], ratio(level(five["key"], None, freed(five, five["key"]), [1.0, 1.0])))
-        self.three = Lookup(three["key"], ratio(lows(three["key"])))
+            return level(keys, found(three, keys, ("n0", "n1")), freed(two, keys >> 8), share(keys))
+
+        def lookup(table, places, p):  # by parts, as a table may be long
+            keys, out = table["key"], np.zeros(len(table["key"]))
+            for k in range(0, len(keys), 1 << 18):
+                own = slice(k, k + (1 << 18))
+                a, b = p(keys[own], (table["n0"][own], table["n1"][own]))
+                out[own] = np.log(np.maximum(b, 1e-12)) - np.log(np.maximum(a, 1e-12))
+            return Lookup(places, out)
+
+        self.six = lookup(six, places[0], lambda keys, n: level(keys, n, freed(five, keys >> 8), lows(keys & 0xFFFFFF)))
+        self.five = lookup(five, places[1], lambda keys, n: level(keys, None, freed(five, keys), [1.0, 1.0]))
+        self.three = lookup(three, places[2], lambda keys, n: lows(keys))
 
     def differences(self, text: pa.Array) -> np.ndarray:
         """Per text: the difference over the root of its length, the highest mean of a run, log length."""
@@ -191,27 +205,24 @@ class Model:
         return np.stack([whole, top, np.log1p(n)], 1)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, entries: int) -> list[Model] | None:
+def fit(docs: DataFrame, labelled: DataFrame) -> list[Model] | None:
     def pulled(df):
-        t = df.toArrow()
+        t = df.toArrow().sort_by("key")
         return {c: t[c].to_numpy() for c in t.column_names}
 
-    def contexts(counts, kept):
-        free = [F.sum(F.when(kept, F.least(F.col(f"n{c}").cast("double"), F.lit(d))).otherwise(F.col(f"n{c}"))).alias(f"f{k}_{c}") for k, d in enumerate(DISCOUNTS) for c in (0, 1)]
-        return counts.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), *free)
+    def contexts(counts):
+        free = [F.sum(F.least(F.col(f"n{c}").cast("double"), F.lit(d))).cast("float").alias(f"f{k}_{c}") for k, d in enumerate(DISCOUNTS) for c in (0, 1)]
+        return counts.groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n0").cast("int").alias("n0"), F.sum("n1").cast("int").alias("n1"), *free)
 
-    both = F.col("n0") + F.col("n1")
-    six = written(sequence_counts(labelled.select("toxic", "text")), "six")
-    kept = both >= least_count(six, entries)
-    five = written(contexts(six, kept), "five")
-    three = written(six.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(*(F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).alias(f"n{c}") for c in (0, 1))), "three")
-    known = both >= least_count(three, entries)
+    six = written(sequence_counts(labelled.select("toxic", "text")).withColumns({c: F.col(c).cast("int") for c in ("n0", "n1")}), "six")
+    three = written(six.groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(*(F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0)).cast("int").alias(f"n{c}") for c in (0, 1))), "three")
     total = six.agg(F.sum("n0"), F.sum("n1")).first()
     if not total[0] or not total[1]:
         return None
-    tables = [pulled(six.filter(kept)), pulled(five.filter(both >= least_count(five, entries))), pulled(three.filter(known)), pulled(contexts(three, known))]
+    tables = [pulled(six), pulled(contexts(six)), pulled(three), pulled(contexts(three))]
+    places = [Places(t["key"]) for t in tables[:3]]
     shared = shared_counts(docs)
-    return [Model(*tables, shared, d, k) for k, d in enumerate(DISCOUNTS)]
+    return [Model(*tables, shared, places, d, k) for k, d in enumerate(DISCOUNTS)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
@@ -246,7 +257,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, float(np.logaddexp(0, np.where(y > 0, -margin, margin)).mean())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 10_000, entries: int = 1 << 18) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 10_000) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, score. labels(doc_id, toxic) of rows where `train` holds are learned from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(train & F.col("toxic").isin(0, 1))
@@ -257,7 +268,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     known = known.filter(pick < F.when(F.col("toxic") == 1, int(1_000_000 * share[1])).otherwise(int(1_000_000 * share[0])))
     # Two times `per_class` ids at most, whatever the size of the tables: the texts stay where they are.
     rows = written(docs.join(F.broadcast(known), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))), "labelled")
-    models = fit(docs, rows.filter("fold > 0"), entries)
+    models = fit(docs, rows.filter("fold > 0"))
     if models is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     spark = docs.sparkSession.sparkContext

@@ -232,6 +232,20 @@ def test_toxicity(spark):
     assert got[1000] == got[1001]
 
 
+def test_toxicity_keeps_rare_runs(spark):
+    """Expressions of one or two training rows each, among more repeated runs than 2^18."""
+    own = random.Random(3)
+    text = lambda n: "".join(own.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    plain, rare = [text(1000) for _ in range(330)], ["".join(own.choice("bcdfgklmprtvxz") for _ in range(14)) for _ in range(100)]
+    rows = [(k, t, 0) for k, t in enumerate(plain * 3)]
+    rows += [(2000 + k, text(150) + " " + rare[k % 100] + " " + text(150), 1) for k in range(200)]
+    rows += [(5000 + k, text(150) + " " + (rare[k] if k < 100 else text(14)) + " " + text(150), int(k < 100)) for k in range(200)]
+    table, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, labels, F.col("doc_id") < 5000).collect()}
+    pairs = [got[5000 + a] > got[5100 + b] for a in range(100) for b in range(100)]
+    assert sum(pairs) / len(pairs) > 0.9
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert jaccard.ngram_jaccard_join(none).count() == repeats.removed_bytes(none).count() == exact_dedup.exact_dedup(none).count() == 0
