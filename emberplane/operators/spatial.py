@@ -138,16 +138,29 @@ def utm(lon: Column, lat: Column, zone: int, terms: int = 4) -> tuple[Column, Co
     return 500000 + 0.9996 * radius * x, 0.9996 * radius * y
 
 
-def greedy_cover(covered: DataFrame, density: DataFrame, rounds: int = 50, enough: float = 1e-4) -> list[str]:
-    """covered(cell, name), density(name, density): names in the order of their gain in cells (ties: denser,
-    then the lesser name) until next to nothing is left. Each round is one aggregation; the driver sees a row."""
+def greedy_choice(covered: DataFrame, density: DataFrame, enough: float = 1e-4) -> DataFrame:
+    """covered(cell, name), density(name, density) to (name, density, n): the names chosen one by one by their
+    gain n in cells (ties: denser, then the lesser name) until less than a share `enough` is left or gained.
+
+    A round takes all names that rank before every name with which they share a cell that is left. Gains
+    only fall, and those of the names taken can't before their turn, so the choice is that of one name at
+    a time; its order is by n, density and name. The driver sees a count a round."""
+    cut = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
     total = covered.select("cell").distinct().count()
-    left, out = covered, []
-    while len(out) < rounds:
-        gain = left.groupBy("name").agg(F.count_distinct("cell").alias("n")).join(density, "name").orderBy(F.desc("n"), F.desc("density"), "name").first()
-        if gain is None or gain.n < max(1, enough * total):
-            break
-        out.append(gain["name"])
-        left = left.join(left.filter(F.col("name") == gain["name"]).select("cell"), "cell", "left_anti")
-        left = left.checkpoint() if left.sparkSession.sparkContext.getCheckpointDir() else left
-    return out
+    left, out = cut(covered.select("cell", "name").distinct().join(density.select("name", "density"), "name")), None
+    rank = F.struct(-F.col("n"), F.col("density").isNull(), -F.col("density"), F.col("name"))
+    while True:
+        gain = left.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, enough * total))
+        ranked = left.join(gain, "name")
+        ahead = ranked.groupBy("cell").agg(F.min(rank).alias("ahead"))
+        beaten = F.col("ahead.name") != F.col("name")
+        won = cut(ranked.join(ahead, "cell").groupBy("name", "density", "n").agg(F.max(beaten).alias("beaten")).filter("NOT beaten").select("name", "density", "n"))
+        out = won if out is None else out.unionByName(won)
+        if won.isEmpty():
+            return out
+        left = cut(left.join(left.join(won.select("name"), "name", "left_semi").select("cell").distinct(), "cell", "left_anti"))
+
+
+def greedy_cover(covered: DataFrame, density: DataFrame, enough: float = 1e-4) -> list[str]:
+    """The names of greedy_choice in their order."""
+    return [r["name"] for r in greedy_choice(covered, density, enough).orderBy(F.desc("n"), F.desc("density"), "name").collect()]

@@ -194,8 +194,9 @@ def _(spark, d):
 def _(spark, d):
     b = boxes(spark, d).withColumn("name", F.concat(F.lit("s"), F.col("id")))
     covered = lattices.boxes_on_cells(b, 20.0).select((F.col("row") * 1000 + F.col("col")).alias("cell"), "name")
-    names = spatial.greedy_cover(covered, b.select("name", "density"), rounds=12)
-    return spark.createDataFrame(list(enumerate(names)), "place int, name string").join(b.select("name", "density"), "name")
+    chosen = spatial.greedy_choice(covered, b.select("name", "density"))
+    placed = chosen.orderBy(F.desc("n"), F.desc("density"), "name").select("name", "density").rdd.zipWithIndex()
+    return spark.createDataFrame(placed.map(lambda r: (r[0][0], r[1], r[0][1])), "name string, place int, density double")
 
 
 def plots(spark, d):

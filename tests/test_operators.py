@@ -1,6 +1,7 @@
 """Small goldens for what SQL twins do not show: missing values, errors, geometry."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -78,6 +79,21 @@ def test_greedy_cover(spark):
     assert spatial.greedy_cover(cells, spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "name string, density double")) == ["b", "a"]
 
 
+def test_greedy_cover_runs_to_the_end(spark):
+    # 100 names of 3 cells and 60 of one cell or two that overlap: more than any fixed number of rounds takes.
+    rng = random.Random(4)
+    own = {f"n{k}": set(range(3 * k, 3 * k + 3)) for k in range(100)} | {f"m{k}": set(rng.sample(range(320), rng.randint(1, 2))) for k in range(60)}
+    density = {n: float(rng.randint(1, 3)) for n in own}
+    left, want = dict(own), []
+    while any(left.values()):
+        best = min(left, key=lambda n: (-len(left[n]), -density[n], n))
+        want.append(best)
+        left = {n: c - own[best] for n, c in left.items()}
+    cells = spark.createDataFrame([(c, n) for n, cs in own.items() for c in cs], "cell int, name string")
+    assert spatial.greedy_cover(cells, spark.createDataFrame(list(density.items()), "name string, density double")) == want
+    assert len(want) > 100
+
+
 def test_levels_and_files(spark, tmp_path):
     p = spark.range(100).selectExpr("id", "CAST(id AS INT) AS X", "CAST(id AS INT) AS Y", "0 AS Z", "1 AS classification")
     p = pointcloud.with_lod(pointcloud.tiled(p, 50.0), ("id",))
