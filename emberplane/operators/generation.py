@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,31 +14,43 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def poisson(mean: Column, u: Column, most: int = 60) -> Column:
-    """Inverse distribution function at u; for means up to about 30."""
+def poisson(mean: Column, u: Callable[[Column], Column], part: float = 30.0, most: int = 150) -> Column:
+    """A Poisson number of any mean: the sum of the draws of equal parts with means up to `part`, the j-th by
+    the inverse distribution function at u(j). A part is above `most` with a chance under 1e-50."""
     def step(acc, k):
         p = F.when(k == 0, F.exp(-acc["m"])).otherwise(acc["p"] * acc["m"] / k)
         total = acc["t"] + p
-        return F.struct(acc["m"].alias("m"), p.alias("p"), total.alias("t"), (acc["n"] + (total <= u).cast("int")).alias("n"))
+        return F.struct(acc["m"].alias("m"), p.alias("p"), total.alias("t"), (acc["n"] + (total <= acc["u"]).cast("int")).alias("n"), acc["u"].alias("u"))
+
+    def draw(j):
+        start = F.struct((mean.cast("double") / parts).alias("m"), F.lit(0.0).alias("p"), F.lit(0.0).alias("t"), F.lit(0).alias("n"), F.least(u(j), F.lit(1 - 1e-13)).alias("u"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, step, lambda a: a["n"])
 
-    start = F.struct(mean.cast("double").alias("m"), F.lit(0.0).alias("p"), F.lit(0.0).alias("t"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, step, lambda a: a["n"])
+    parts = F.greatest(F.lit(1), F.ceil(mean / F.lit(part)).cast("int"))
+    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + draw(j))
 
 
 def expand_plots(cells: DataFrame, plots: DataFrame, cell: float, seed: int) -> DataFrame:
     """cells(row, col, plot) and plots(plot, tree, tpa: stems per hectare) to stems(row, col, stem, plot, tree, x, y).
 
     Stems of a cell are Poisson with the plot's stems per hectare times its area; each draws a tree of the
-    plot in proportion to tpa and a place in the cell. Cells without a plot stay empty.
+    plot in proportion to tpa and a place in the cell. Cells without a plot stay empty. Stem and tree meet
+    on the plot and a band of the summed tpa as wide as the plot's mean: a plot of n trees has 2 n bands at most.
     """
     order = Window.partitionBy("plot").orderBy("tree")
-    drawn = plots.withColumn("hi_", F.sum("tpa").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("lo_", F.col("hi_") - F.col("tpa"))
-    total = plots.groupBy("plot").agg(F.sum("tpa").alias("total_"))
-    stems = cells.join(total, "plot").withColumn("n_", poisson(F.col("total_") * F.lit(cell * cell / 10_000), uniform(seed, F.col("row"), F.col("col"))))
+    total = plots.groupBy("plot").agg(F.sum("tpa").alias("total_"), F.count("*").alias("trees_"))
+    band = lambda c: F.floor(F.col(c) / F.col("total_") * F.col("trees_"))
+    drawn = plots.withColumn("hi_", F.sum("tpa").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    # A tree begins where the one before it ends, to the bit, and the last ends with the plot.
+    drawn = drawn.withColumn("lo_", F.coalesce(F.lag("hi_").over(order), F.lit(0.0))).withColumn("last_", F.lead("tree").over(order).isNull())
+    drawn = drawn.join(total, "plot").withColumn("hi_", F.when(F.col("last_"), F.lit(float("inf"))).otherwise(F.col("hi_")))
+    ends = F.when(F.col("last_"), F.greatest(band("lo_"), F.col("trees_"))).otherwise(band("hi_"))
+    drawn = drawn.withColumn("band_", F.explode(F.sequence(band("lo_"), ends))).select("plot", "band_", "tree", "lo_", "hi_")
+    stems = cells.join(total, "plot").withColumn("n_", poisson(F.col("total_") * F.lit(cell * cell / 10_000), lambda j: uniform(seed, F.col("row"), F.col("col"), j)))
     stems = stems.filter("n_ > 0").withColumn("stem", F.explode(F.sequence(F.lit(1), F.col("n_"))))
     key = [F.col("row"), F.col("col"), F.col("stem")]
-    stems = stems.withColumn("at_", uniform(seed + 1, *key) * F.col("total_"))
-    picked = stems.join(drawn.select("plot", "tree", "lo_", "hi_"), "plot").filter((F.col("at_") >= F.col("lo_")) & (F.col("at_") < F.col("hi_")))
+    stems = stems.withColumn("at_", uniform(seed + 1, *key) * F.col("total_")).withColumn("band_", band("at_"))
+    picked = stems.join(drawn, ["plot", "band_"]).filter((F.col("at_") >= F.col("lo_")) & (F.col("at_") < F.col("hi_")))
     return picked.select("row", "col", "stem", "plot", "tree", ((F.col("col") + uniform(seed + 2, *key)) * cell).alias("x"), ((F.col("row") + uniform(seed + 3, *key)) * cell).alias("y"))
 
 

@@ -201,15 +201,13 @@ def _(spark, d):
 
 def plots(spark, d):
     li = tables.table(spark, d, "lineitem")
-    return li.filter("l_linenumber = 1").groupBy((F.col("l_suppkey") % 50).alias("plot"), F.col("l_partkey").alias("tree")).agg((F.sum("l_quantity") / F.count("*")).alias("tpa"))
+    return li.groupBy((F.col("l_suppkey") % 50).alias("plot"), F.col("l_partkey").alias("tree")).agg((F.sum("l_quantity") / F.count("*")).alias("tpa"))
 
 
 @query("gen01_expand_plots")
 def _(spark, d):
     c = tables.cells(spark, d).select("row", "col", ((F.col("row") * 3 + F.col("col")) % 50).cast("long").alias("plot"))
-    total = plots(spark, d).groupBy("plot").agg(F.sum("tpa").alias("all_"))
-    p = plots(spark, d).join(total, "plot").select("plot", "tree", (F.col("tpa") / F.col("all_") * 400).alias("tpa"))  # 400 stems a hectare
-    return generation.expand_plots(c, p, 10.0, seed=7)
+    return generation.expand_plots(c, plots(spark, d), 10.0, seed=7)
 
 
 @query("join10_nearest_plot", f"{CELLS} SELECT row, col, (row * 3 + col) % 50 AS plot, coalesce(k, 0) AS trees FROM cells LEFT JOIN (SELECT s_suppkey % 50 AS plot, count(*) AS k FROM supplier WHERE s_suppkey % 50 <> 0 GROUP BY 1) p ON (row * 3 + col) % 50 = p.plot")

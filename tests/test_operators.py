@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberplane.functions import codes, units
-from emberplane.operators import catalogue, pointcloud, rules, spatial, stand, voxels
+from emberplane.operators import catalogue, generation, pointcloud, rules, spatial, stand, voxels
 from emberplane.operators.rules import Action, Condition, Rule
 
 TREES = "tree_id int, x double, y double, dbh double, height double, crown_ratio double, fia_species_code int"
@@ -94,6 +94,21 @@ def test_greedy_cover_runs_to_the_end(spark):
     assert len(want) > 100
 
 
+def test_dense_plots_keep_their_stems(spark):
+    for mean in (5.0, 90.0, 500.0):
+        cells = spark.range(400).selectExpr("CAST(id AS INT) AS row", "1 AS col", "id % 2 AS plot")
+        plots = spark.createDataFrame([(p, t, mean * s) for p in (0, 1) for t, s in ((1, 0.1), (2, 0.2), (3, 0.7))], "plot long, tree long, tpa double")
+        stems = generation.expand_plots(cells, plots, 100.0, seed=7)
+        n = [r["count"] for r in stems.groupBy("row").count().collect()]
+        n += [0] * (400 - len(n))
+        average = sum(n) / 400
+        assert abs(average - mean) < 4 * math.sqrt(mean / 400)
+        assert 0.7 < sum((k - average) ** 2 for k in n) / 399 / mean < 1.35
+        share = stems.filter("tree = 3").count() / sum(n)
+        assert abs(share - 0.7) < 4 * math.sqrt(0.21 / sum(n))
+        assert stems.select("row", "col", "stem").distinct().count() == sum(n)
+
+
 def test_levels_and_files(spark, tmp_path):
     p = spark.range(100).selectExpr("id", "CAST(id AS INT) AS X", "CAST(id AS INT) AS Y", "0 AS Z", "1 AS classification")
     p = pointcloud.with_lod(pointcloud.tiled(p, 50.0), ("id",))
