@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+import weakref
 
 import numpy as np
 import pyarrow as pa
@@ -14,9 +17,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only local mode (tests) may leave it unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[[^,]*\]|\[.*,.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -36,7 +41,22 @@ def written(df: DataFrame, tag: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _made[back] = path
+    return back
+
+
+_made: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of tables that `written` made and that nothing reads any more."""
+    for df in tables:
+        path = _made.pop(df, None) if df is not None else None
+        if path:
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
 
 
 def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
@@ -109,11 +129,19 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: Masks of the first 0 to 8 bytes of a little-endian word of eight.
+HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+LONG_WORD = 256
 
 
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words (runs of anything but ASCII white space, A-Z lower-cased) of
-    every text, in order, and the n + 1 offsets of each text's words."""
+    every text, in order, and the n + 1 offsets of each text's words.
+
+    Eight bytes at a time go through `mix`, so no word structure makes hashes meet; the few words
+    over LONG_WORD bytes take the head of their BLAKE2 digest."""
     raw, ends = text_buffer(text)
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.int64)
@@ -125,8 +153,18 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     after = edge[1:].copy()
     after[:-1] |= gap[1:]
     starts, stops = np.flatnonzero(~gap & before), np.flatnonzero(~gap & after) + 1
-    total = prefix_hash(LOWER[raw])
-    hashes = mix((total[stops] - total[starts]) * powers(len(raw) + 1)[1][starts] + (stops - starts).astype(np.uint64))
+    size = stops - starts
+    low = np.concatenate([LOWER[raw], np.zeros(8, np.uint8)])
+    eight = np.lib.stride_tricks.as_strided(low[:8].view("<u8"), (len(raw) + 1,), (1,))
+    hashes = mix(size.astype(np.uint64) * BASE)
+    at, left = np.arange(len(size)), np.minimum(size, LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        hashes[at] = mix(hashes[at] ^ (eight[starts[at] + k] & HEAD[np.minimum(left[at] - k, 8)]))
+        at = at[left[at] > k + 8]
+        if not len(at):
+            break
+    for w in np.flatnonzero(size > LONG_WORD).tolist():
+        hashes[w] = int.from_bytes(hashlib.blake2b(low[starts[w] : stops[w]].tobytes(), digest_size=8).digest(), "little")
     return hashes, np.searchsorted(starts, ends)
 
 
@@ -172,4 +210,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("w"))
         small = large.join(least, "u")
         step = small.select("u", F.col("w").alias("v")).unionByName(small.filter("v <> w").select(F.col("v").alias("u"), F.col("w").alias("v")))
-        now = written(step.distinct(), "edges")
+        was, now = now, written(step.distinct(), "edges")
+        discard(was)

@@ -6,22 +6,29 @@ n - ceil(t n) + 1 of each. Candidates are pairs that share such a prefix shingle
 length and positional filters; each is verified once, first by the suffix filter and then by
 the exact intersection.
 
-* Rarity comes from counts of all shingles of all documents in 2^18 hashed cells, a table of a
-  fixed size. Any order gives exact results, so sharing a cell costs candidates, never links.
-* Documents with equal sets become one class before anything is joined: a group of copies is
-  one member, however large.
-* Where a prefix shingle has k members, not all k^2 pairs are made. Each round, every member is
-  paired with one leader of that shingle and links are joined into components; pairs within one
-  component need no test, as they could not change the result. Once that settles no more, the
-  pairs still open are tested, split by size so that only sizes within the threshold meet.
-* The join itself applies one more bound that loses nothing: the bits in which two 512-bit parity
-  sketches of the sets differ are at most the shingles in which the sets differ.
-* Shingles are 64-bit hashes. Two of the shingles of one pair collide with probability of about
-  n^2 / 2^65.
+* Rarity is counted over all shingles of all documents: each slice of documents sends its distinct
+  shingles (32 bits of each in a bucket, with the count in the slice) to the buckets of hashes, which
+  send back one byte of rarity each. A bucket has about 2^20 of them whatever the input, and a
+  frequent shingle one entry per slice at most. Hashes that meet there cost candidates, never links.
+* A shingle of one document only joins nothing, so it only moves the positions of the others; most
+  documents have a whole prefix of such shingles and leave here.
+* Equal texts travel once; documents with equal sets become one class before anything is joined.
+* Positional filter: the shingle that a pair shares first, at places i and j, leaves
+  min(a - i, b - j) shingles to share at most. A pair within the threshold passes at its first.
+* Where a prefix shingle has k members, not all k^2 pairs are made. Each round takes leaders of each
+  shingle, those whose place of it is first (a document that its copies vary has the fewest shingles
+  of its own): one in the first round, then four times as many. Members are paired with leaders,
+  links are joined into components, and pairs within one component need no test, as they could not
+  change the result. A leader has then met all members and leaves; a shingle whose members are
+  all in one component is settled. Rounds go on until no shingle is left.
+* Pairs are verified by their shingle sets, never by their texts. Shingles are 64-bit hashes; two of
+  the shingles of one pair collide with probability of about n^2 / 2^65.
 
 Nulls, and texts without words, have an empty set and link with nothing (also not with each
 other). Rows that share an id count as one document with the shingles that each row has; every
-row is returned. Extra columns are ignored. An empty table gives an empty result.
+row is returned; a null id takes no part in links but by the class of an equal text. A very long
+text costs memory for its own shingles (24 bytes a word) in one task. Extra columns are ignored. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,73 +37,117 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, shingle_sets, slices, word_hashes, written
+from .common import components, discard, shingle_sets, text_lengths, written
 
-CELL_BITS = 18
-LEADER_ROUNDS = 10
-PARITY = 8
-SKETCH = [f"p{k}" for k in range(PARITY)]
+SLICE_BYTES, BUCKET_SHINGLES, GROWTH = 4 << 20, 1 << 20, 4
+U32 = np.uint64(32)
 
 
-def shingle_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """Counts of all shingles of all texts by hashed cell."""
+def sliced(docs: DataFrame) -> DataFrame:
+    """(slice, ids, shas, texts) of docs(doc_id, sha, text): some SLICE_BYTES of text a row."""
+
+    def run(batches):
+        base, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+
+        def row():
+            own = pa.Table.from_batches(held).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), own.column(k).combine_chunks()) for k in range(3)]
+            return pa.RecordBatch.from_arrays([pa.array([base + n]), *lists], ["slice", "ids", "shas", "texts"])
 
-    def count(batches):
-        total = np.zeros(1 << CELL_BITS, np.int64)
         for batch in batches:
-            for part in slices(batch, 0):
-                found = shingle_sets(part.column(0), n)
-                if found:
-                    total += np.bincount(np.concatenate(found) >> np.uint64(64 - CELL_BITS), minlength=1 << CELL_BITS)
-        cell = np.flatnonzero(total)
-        for at in range(0, len(cell), 1 << 16):
-            part = cell[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], ["cell", "n"])
-
-    cells = docs.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << CELL_BITS, np.int64)
-    out[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    return out
-
-
-def sketched(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (set size), key (digest of the set), prefix (its first shingles, rare first)."""
-    rarity = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, n))
-
-    def build(batches):
+            ends = np.cumsum(text_lengths(batch.column(2)) + 64)
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES - size, "right")))
+                held.append(batch.slice(at, to - at))
+                size += int(ends[to - 1]) - before
+                at = to
+                if size >= SLICE_BYTES or at < batch.num_rows:
+                    yield row()
+                    n, held, size = n + 1, [], 0
+        if held:
+            yield row()
+
+    return docs.select("doc_id", "sha", "text").mapInArrow(run, "slice long, ids array<long>, shas array<string>, texts array<string>")
+
+
+def slice_sets(texts: pa.Array, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Shingle sets of the documents of a slice, and all their shingles in order."""
+    sets = shingle_sets(texts, n)
+    return sets, np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+
+
+def rarity(slices: DataFrame, n: int) -> DataFrame:
+    """(slice, bucket, codes): for the distinct shingles of a slice in one bucket, ascending, the rarity.
+    Code 0: in one document only; else about 8 log2 of the number of documents."""
+    total = slices.select(F.sum(F.aggregate("texts", F.lit(0).cast("long"), lambda s, t: s + F.coalesce(F.octet_length(t), F.lit(0)))).alias("n")).first()[0] or 0
+    bits = max(6, int(total // 6 // BUCKET_SHINGLES).bit_length())  # words of six bytes and a space, or so
+    down, low = np.uint64(64 - bits), np.uint64(0xFFFFFFFF)
+
+    def spread(batches):
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = shingle_sets(part.column(1), n)
-                keys, prefixes = [], []
-                parity = np.zeros((len(sets), PARITY), np.int64)
-                for k, s in enumerate(sets):
-                    if not len(s):
-                        keys.append(None)
-                        prefixes.append(None)
-                        continue
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                    kept = len(s) - (num * len(s) + den - 1) // den + 1
-                    order = np.lexsort((s, rarity.value[s >> np.uint64(64 - CELL_BITS)]))
-                    prefixes.append(s[order[:kept]].view(np.int64))
-                    odd = np.bincount(s & np.uint64(64 * PARITY - 1), minlength=64 * PARITY) & 1
-                    parity[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), *(pa.array(parity[:, k]) for k in range(PARITY))],
-                    ["doc_id", "n", "key", "prefix", *SKETCH],
-                )
-
-    return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n long, key binary, prefix array<long>, " + ", ".join(f"{x} long" for x in SKETCH))
+            for k in range(batch.num_rows):
+                shingle, count = np.unique(slice_sets(batch.column(1)[k].values, n)[1], return_counts=True)
+                edge = np.searchsorted(shingle >> down, np.arange((1 << bits) + 1, dtype=np.uint64))
+                key, count = ((shingle >> (down - U32)) & low).astype("<u4"), np.minimum(count, 65535).astype("<u2")
+                own = np.flatnonzero(np.diff(edge))
+                rows = [(key[edge[b] : edge[b + 1]].tobytes(), count[edge[b] : edge[b + 1]].tobytes()) for b in own.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(own), pa.int64()), pa.array(own, pa.int32()), pa.array([x for x, _ in rows], pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["slice", "bucket", "keys", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        keys, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("keys", "<u4"), ("counts", "<u2")))
+        _, at = np.unique(keys, return_inverse=True)
+        held = np.bincount(at, weights=counts)
+        part, power = np.frexp(held)
+        code = np.minimum(np.floor((part * 2 - 1) * 8) + (power - 1) * 8, 255).astype(np.uint8)[at].tobytes()
+        ends = np.cumsum([len(x) // 4 for x in table.column("keys").to_pylist()]).tolist()
+        return pa.table([table.column("slice"), table.column("bucket"), pa.array([code[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())], ["slice", "bucket", "codes"])
+
+    made = slices.select("slice", "texts").mapInArrow(spread, "slice long, bucket int, keys binary, counts binary")
+    return made.groupBy("bucket").applyInArrow(count, "slice long, bucket int, codes binary")
+
+
+def prefixes(slices: DataFrame, codes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """Per document: sha, id, n (set size); and of those that others may link with k1, k2 (digest of the
+    set), the set, and the shingles of its prefix that others have too (toks), with their places (poss)."""
+    names = ["sha", "id", "n", "k1", "k2", "shingles", "toks", "poss"]
+
+    def build(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        code = np.frombuffer(b"".join(right.sort_by("bucket").column("codes").to_pylist()), np.uint8)
+        for row in range(left.num_rows):
+            own = {c: left.column(c)[row].values for c in ("ids", "shas", "texts")}
+            sets, flat = slice_sets(own["texts"], n)
+            _, at = np.unique(flat, return_inverse=True)
+            common = code[at] if len(flat) else code
+            end = 0
+            for sha, doc, s in zip(own["shas"].to_pylist(), own["ids"].to_pylist(), sets, strict=True):
+                mine, end = common[end : end + len(s)], end + len(s)
+                most, known = len(s) - (num * len(s) + den - 1) // den + 1, np.flatnonzero(mine)
+                alone = len(s) - len(known)
+                if not len(s) or alone >= most or doc is None:
+                    out.append((sha, doc, len(s), None, None, None, None, None))
+                    continue
+                order = known[np.lexsort((s[known], mine[known]))][: most - alone]
+                k1, k2 = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8").tolist()
+                out.append((sha, doc, len(s), k1, k2, s.astype("<u8").tobytes(), s[order].view(np.int64), np.arange(alone, alone + len(order))))
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)] if out else [pa.array([], t) for t in kinds], names)
+
+    both = slices.groupBy("slice").cogroup(codes.groupBy("slice"))
+    return both.applyInArrow(build, "sha string, id long, n long, k1 long, k2 long, shingles binary, toks array<long>, poss array<long>")
 
 
 def may_link(num: int, den: int) -> Column:
-    """Length, positional and parity bounds for a posting and a leader (columns with l_)."""
-    a, b, i, j = F.col("l_n"), F.col("n"), F.col("l_pos"), F.col("pos")
-    overlap = F.least(i, j) + F.least(a - i, b - j)
-    differ = sum((F.bit_count(F.col(f"l_{x}").bitwiseXOR(F.col(x))) for x in SKETCH[1:]), F.bit_count(F.col(f"l_{SKETCH[0]}").bitwiseXOR(F.col(SKETCH[0]))))
-    return (F.least(a, b) * den >= F.greatest(a, b) * num) & (overlap * (num + den) >= (a + b) * num) & (differ * (num + den) <= (a + b) * (den - num))
+    """Length and positional bounds for a posting and a leader (columns with l_)."""
+    a, b = F.col("l_n"), F.col("n")
+    overlap = F.least(a - F.col("l_pos"), b - F.col("pos"))
+    return (F.least(a, b) * den >= F.greatest(a, b) * num) & (overlap * (num + den) >= (a + b) * num)
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
@@ -108,94 +159,82 @@ def suffix_bound(x: np.ndarray, y: np.ndarray, depth: int) -> int:
     return suffix_bound(x[:i], y[:j], depth - 1) + suffix_bound(x[i:], y[j:], depth - 1)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) those whose similarity reaches num / den, by their whole texts."""
-    side = {x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab"}
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    if suffix_bound(x, y, 3) > (len(x) + len(y)) * (den - num) // (den + num):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both > 0 and den * both >= num * (len(x) + len(y) - both)
 
-    def test(batches):
-        for batch in batches:
-            for half in slices(batch, 2, 1 << 20):
-                for part in slices(half, 3, 1 << 20):
-                    xs, ys = shingle_sets(part.column(2), n), shingle_sets(part.column(3), n)
-                    hold = []
-                    for x, y in zip(xs, ys, strict=True):
-                        most = (len(x) + len(y)) * (den - num) // (den + num)
-                        if suffix_bound(x, y, 3) > most:
-                            hold.append(False)
-                            continue
-                        both = len(x) + len(y) - len(np.union1d(x, y))
-                        hold.append(both > 0 and den * both >= num * (len(x) + len(y) - both))
-                    yield pa.RecordBatch.from_arrays(part.columns[:2], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
-
-    return pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b").select("a", "b", "ta", "tb").mapInArrow(test, "a long, b long")
 
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of the pairs (a, b) those whose similarity reaches num / den, by their whole sets."""
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, class_id (least id with an equal set),
-    component_id (least id reachable by links of similarity num / den or more, itself included)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = written(sketched(docs, n, num, den), "sets")
-    first = sets.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    known = sets.filter("n > 0").join(first, "key").filter("doc_id = rep").select(F.col("rep").alias("id"), "n", "prefix", *SKETCH)
-    known = written(known, "classes")
-
-    posting = known.select("id", F.posexplode("prefix").alias("pos", "tok"))
-    shared = posting.groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1")
-    posting = posting.join(shared, "tok")
-    about = known.select("id", "n", *SKETCH)
-    posting = posting.join(about, "id").withColumn("pos", F.col("pos").cast("long"))
-    # Of these, postings with another one whose set is of a size that the threshold allows.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    posting = written(posting.withColumn("band", band), "shared")
-    near = posting.groupBy("tok", "band").agg(F.count("*").alias("k"))
-    near = near.select("tok", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), "k").groupBy("tok", "band").agg(F.sum("k").alias("near")).filter("near > 1")
-    posting = written(posting.join(near, ["tok", "band"]).drop("near"), "postings")
-    texts = written(docs.join(posting.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
-
-    fits, cols = may_link(num, den), ["id", "n", "pos", "comp", *SKETCH]
-    links, tested, left = None, None, None
-    open_ = posting.withColumn("comp", F.col("id"))
-    for turn in range(LEADER_ROUNDS):
-        rank = F.xxhash64("id", F.lit(turn))
-        lead = open_.groupBy("tok").agg(F.min(F.struct(rank.alias("r"), *cols)).alias("l"))
-        lead = lead.select("tok", *(F.col(f"l.{x}").alias(f"l_{x}") for x in cols))
+    def test(batches):
+        for batch in batches:
+            hold = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
+
+    side = {x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"}
+    return pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+
+
+def linked(known: DataFrame, num: int, den: int) -> DataFrame:
+    """Components (node, component) of the classes known(id, n, toks, poss, shingles)."""
+    posting = known.select("id", "n", F.explode(F.arrays_zip("toks", "poss")).alias("p")).select("id", "n", F.col("p.toks").alias("tok"), F.col("p.poss").alias("pos"))
+    shared = posting.groupBy("tok").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("tok")
+    open_ = written(posting.join(shared, "tok").withColumn("comp", F.col("id")), "open")
+    sets = written(known.select("id", "shingles").join(open_.select("id").distinct(), "id", "left_semi"), "sets")
+
+    cols, fits = ["id", "n", "pos", "comp"], may_link(num, den)
+    links = comp = tested = None
+    turn = 0
+    while not open_.isEmpty():
+        seat = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(GROWTH**turn))
+        first = F.col("pos") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+        lead = open_.withColumn("first", first).groupBy("tok", seat.alias("seat")).agg(*(F.min_by(x, "first").alias(f"l_{x}") for x in cols)).drop("seat")
         pairs = open_.join(lead, "tok").filter((F.col("l_comp") != F.col("comp")) & fits)
         pairs = pairs.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(verified(pairs, texts, n, num, den), "links")
+        found = written(verified(pairs, sets, num, den), "links")
         links = found if links is None else links.unionByName(found)
-        comp = written(components(links), "components")
-        open_ = _still_open(open_.drop("comp"), comp)
-        was, (left, rows) = left, _open_pairs(open_)
-        if left <= 4 * rows or was is not None and left > 0.7 * was:
-            break
-    if left:
-        band = F.col("band")
-        x = open_.select("tok", *(F.col(c).alias(f"l_{c}") for c in cols), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-        rest = x.join(open_, ["tok", "band"]).filter((F.col("l_id") < F.col("id")) & (F.col("l_comp") != F.col("comp")) & fits)
-        rest = rest.select(F.col("l_id").alias("a"), F.col("id").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        found = written(verified(written(rest, "pairs"), texts, n, num, den), "links")
-        comp = written(components(links.unionByName(found)), "components")
-
-    # Members of a class may be many: the class's component is looked up once per class id.
-    own = sets.select("doc_id", F.col("n").alias("n_shingles"), "key").join(first, "key", "left")
-    own = own.join(comp.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left")
-    return own.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
-
+        was, comp = comp, components(links)
+        discard(was)
+        # Leaders have met all members; what is left counts while its members lie in several components.
+        now = open_.drop("comp").join(lead.select("tok", F.col("l_id").alias("id")), ["tok", "id"], "left_anti")
+        now = now.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        mixed = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
+        was, open_ = open_, written(now.join(mixed, "tok", "left_semi"), "open")
+        discard(was)
+        turn += 1
+    discard(open_, sets)
+    return comp if comp is not None else known.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
-def _still_open(posting: DataFrame, comp: DataFrame) -> DataFrame:
-    """Postings of the shingles whose members lie in more than one component, with their component.
-    (Components only grow: a shingle that is settled stays so.)"""
-    now = posting.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    mixed = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("k").alias("m")).filter("lo <> hi AND m > 2").select("tok")
-    return written(now.join(mixed, "tok"), "open")
 
-
-def _open_pairs(open_: DataFrame) -> tuple[int, int]:
-    """How many pairs of different components the open shingles still have, and how many postings."""
-    parts = open_.groupBy("tok", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("tok").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    row = parts.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0)), F.coalesce(F.sum("s"), F.lit(0.0))).first()
-    return int(row[0]), int(row[1])
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_shingles, class_id (least id with an equal set),
+    component_id (least id reachable by links of similarity num / den or more, itself included)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    own = written(docs.select("doc_id", "sha"), "own")
+    again = own.groupBy("sha").agg(F.min("doc_id").alias("least"), F.count("*").alias("k")).filter("k > 1")
+    again = own.join(again, "sha").filter("doc_id <> least").select("doc_id", "sha")
+    slices = written(sliced(docs.join(again, ["doc_id", "sha"], "left_anti")), "slices")
+    codes = written(rarity(slices, n), "rarity")
+    made = written(prefixes(slices, codes, n, num, den), "prefixes")
+    discard(slices, codes)
+
+    # Rows that share id and text, or null ids, may still be there twice: a class has one of them.
+    first = made.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
+    known = made.filter("k1 IS NOT NULL").join(first, ["k1", "k2"]).filter("id = rep").dropDuplicates(["id", "k1", "k2"])
+    known = written(known.select("id", "n", "toks", "poss", "shingles"), "classes")
+    comp = linked(known, num, den)
+
+    about = made.groupBy("sha").agg(F.max("n").alias("n_shingles"), F.min("id").alias("id"), F.max("k1").alias("k1"), F.max("k2").alias("k2"))
+    about = about.join(first, ["k1", "k2"], "left").withColumn("rep", F.coalesce("rep", "id"))
+    about = about.join(comp.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left")
+    # An empty set links with nothing: each such row is its own class.
+    own = own.join(about.select("sha", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "comp"), "sha")
+    return own.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))

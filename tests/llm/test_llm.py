@@ -269,3 +269,29 @@ def test_pipeline(spark, real):
     items = [decontaminate.plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     want = {i for i, t in left if near[i][1] == i and not any(x in decontaminate.plain(t) for x in items)}
     assert set(got.doc_id) == want
+
+
+def test_jaccard_word_structure(spark):
+    """Texts of Thue-Morse words, which polynomial hashes confuse, share no shingle and must not link."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, "x " + a), (4, a[:300] + " " + a[300:] + " y")]
+    got = {r.doc_id: r.component_id for r in jaccard.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_jaccard_large_group(spark):
+    """Variants of one document in two families that do not link, chains, and copies in upper case."""
+    own = random.Random(2)
+    base = words(120).split()
+    rows = []
+    for k in range(150):
+        t = list(base)
+        for j in own.sample(range(120), own.choice((0, 1, 1, 2, 3, 6))):
+            t[j] = "".join(own.choice("stuvwxyz") for _ in range(9))
+        rows.append((1000 - k, " ".join(t)))
+    rows += [(2000 + k, t.upper() if k % 2 else t + "  ") for k, (_, t) in enumerate(rows[:30])] + [(5, None), (6, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(table, 3, 90, 100).collect()}
+    assert got == brute_components(rows, 3, 90, 100)
