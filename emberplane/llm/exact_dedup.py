@@ -8,7 +8,8 @@ equal; of each text only its identifiers and its SHA-256 (the exact check that f
 
 Nulls count as empty texts; all empty texts are equal to each other. Rows that share an id are
 one document: they stay or go together, and each is returned. Among equally long texts the
-smallest id stays. Extra columns are ignored.
+smallest id stays; a row without id stays only if no row of its group has one. A very long text
+takes memory in proportion in one task. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,7 +91,9 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
         again = F.zip_with("ids", "digests", lambda i, d: F.xxhash64(i, d))
         made = made.join(hit, "doc_id", "left").withColumn("ids", F.when(F.col("hit"), again).otherwise(F.col("ids")))
 
-    best = made.groupBy("ids", "text_sha256").agg(F.max(F.struct("n_chars", (-F.col("doc_id")).alias("m"))).alias("best"), F.count("*").alias("group_size"))
-    best = best.select("ids", "text_sha256", (-F.col("best.m")).alias("keep_id"), "group_size")
-    out = made.select("doc_id", "ids", "text_sha256").join(best, ["ids", "text_sha256"])
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(True)).alias("kept"), "text_sha256")
+    # Two steps of sums and minima, which combine before the shuffle; written, so that copies met by the join can be split.
+    best = made.groupBy("ids", "text_sha256", "n_chars").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    best = best.groupBy("ids", "text_sha256").agg(F.max_by("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("n_chars"))).alias("keep_id"), F.sum("n").alias("group_size"))
+    out = made.select("doc_id", "ids", "text_sha256").join(written(best, "best"), ["ids", "text_sha256"])
+    kept = F.when(F.col("keep_id").isNull(), True).otherwise(F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
