@@ -15,13 +15,15 @@ A suffix sort of depth `length`, made block by block over a cover sample:
   sample and by the key of their `length` bytes, one bucket of samples at a time, which bounds the
   disk that a bucket takes. Suffixes with equal keys are repeated.
 
-Keys are 64-bit hashes of bytes, always compared together with the 64-bit sample; two different
-strings of one corpus with n windows meet with a probability of about n^2 / 2^129.
+Samples (of 64 bytes) and keys (of `length` bytes) are 64-bit polynomial hashes, digests of runs (of
+any length, where a polynomial has strings that meet by construction) are XXH3 of the run's bytes.
+Keys and digests are always compared together with the sample; two different strings of one corpus
+with n windows meet with a probability of about n^2 / 2^129.
 
 Strings start and end within one text. A null text has no bytes. Rows that share an id are one
-document only if also their texts are equal; `doc_id` is returned for each row, and rows are told
-apart by a hash of id and text (fully repeated rows count as repeats of each other). Extra
-columns are ignored.
+document only if also their texts are equal; `doc_id` is returned for each row (fully repeated
+rows count as repeats of each other). A very long text takes some 60 bytes of memory per byte in one
+task, and two GB at most. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,10 +32,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, powers, prefix_hash, slices, text_buffer, written
+from .common import discard, mix, powers, prefix_hash, slices, text_buffer, written
 
 GRAM = 64
 RUNS = "sample long, digest long, doc long, lo int, hi int, twice boolean"
@@ -79,7 +82,9 @@ def runs(text: pa.Array, length: int):
     keep = good[first]
     first, last = first[keep], last[keep]
     sample, doc = least[first], own[first]
-    return doc, sample, keys_of(total, down, first, last + length), first - ends[doc], last - ends[doc], np.isin(sample, double)
+    view, name = memoryview(raw), xxhash.xxh3_64_intdigest
+    digest = np.array([name(view[s:e]) for s, e in zip(first.tolist(), (last + length).tolist(), strict=True)], np.uint64)
+    return doc, sample, digest, first - ends[doc], last - ends[doc], np.isin(sample, double)
 
 
 def removed_bytes(docs: DataFrame, length: int = 200, buckets: int = 1) -> DataFrame:
@@ -88,7 +93,9 @@ def removed_bytes(docs: DataFrame, length: int = 200, buckets: int = 1) -> DataF
     buckets: in how many parts the opened suffixes are sorted, one after the other.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.withColumn("doc", F.xxhash64("doc_id", "text"))
+    # Rows are known by their id, or where some share one or have none, all by a hash of id and text.
+    own = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty()
+    docs = docs.withColumn("doc", F.col("doc_id") if own else F.xxhash64("doc_id", "text"))
 
     def find(batches):
         for batch in batches:
@@ -106,6 +113,7 @@ def removed_bytes(docs: DataFrame, length: int = 200, buckets: int = 1) -> DataF
     about = about.filter("n > 1 OR again").select("sample", (F.col("again") | (F.col("d0") != F.col("d1"))).alias("mixed"))
     shared = written(made.join(about, "sample"), "shared")
 
+    discard(made)
     # Runs of a sample and digest that occur again: every suffix in them is repeated.
     named = shared.filter("mixed").groupBy("sample", "digest").agg(F.count("*").alias("n"), F.min("doc").alias("doc"), F.max("twice").alias("twice"))
     named = written(named, "named")
