@@ -236,5 +236,6 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     about = about.join(first, ["k1", "k2"], "left").withColumn("rep", F.coalesce("rep", "id"))
     about = about.join(comp.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left")
     # An empty set links with nothing: each such row is its own class.
-    own = own.join(about.select("sha", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "comp"), "sha")
+    about = written(about.select("sha", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "comp"), "about")
+    own = own.join(about, "sha")  # both sides dealt anew, so that the copies of one text can be split
     return own.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))

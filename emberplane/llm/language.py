@@ -182,4 +182,5 @@ def keep_identified(docs: DataFrame, train: Column, weight_rows: int = 4000, sha
                 unsure = decode(part.column(place), part.column(part.num_columns - 1).to_numpy(zero_copy_only=False))[2]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(pa.array(~unsure))
 
-    return docs.withColumn("letter_", letter).mapInArrow(keep, docs.schema)
+    spare = "letter" + "_" * (1 + max(map(len, docs.columns)))
+    return docs.select("*", letter.alias(spare)).mapInArrow(keep, docs.schema)

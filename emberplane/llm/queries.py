@@ -72,7 +72,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
     found = score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ~held)
-    return found.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     found = identify_language(table(spark, sf_dir, "documents"), ~held)
-    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

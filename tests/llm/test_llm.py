@@ -87,14 +87,14 @@ def brute_removed(texts, length):
                 cover[k] += 1
                 cover[k + length] -= 1
         gone = np.cumsum(cover)[: len(t)] > 0
-        out.append((len(t), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
+        out.append((len(t), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
     return sorted(out)
 
 
 @pytest.mark.parametrize("length", [100, 200])
 def test_removed_bytes(docs, real, length):
     for table in (docs, real):
-        got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in repeats.removed_bytes(table, length, 2).collect())
+        got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.removed_bytes(table, length, 2).collect())
         assert got == brute_removed([(r.text or "").encode() for r in table.collect()], length)
 
 
@@ -160,6 +160,34 @@ def test_main_text(spark):
         assert got[r.page_id] == "\n".join(b for b in blocks if b)
 
 
+def test_main_text_decides_by_the_page(spark):
+    """Names that only look like those of the list, text in odd elements, pages without a mark, real boilerplate."""
+    say = lambda k: " ".join(f"{w}{k}" for w in ("one", "long", "sentence", "that", "is", "about", "something")) + "."
+    body = lambda inner: f"<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{inner}<footer>the end</footer></body></html>"
+    cases = [
+        (f"<article><div class='book'><p>{say(1)}</p></div><guide>{say(2)}</guide></article>", [say(1), say(2)]),
+        (f"<article><p>{say(1)}</p><div class='related-work'><p>{say(2)}</p><p>{say(3)}</p></div><div class='market-share'><p>{say(4)}</p></div></article>", [say(1), say(2), say(3), say(4)]),
+        ("<article><p>x <math><mi>E</mi>=mc2</math> y</p><p><noscript>shown</noscript> <object>fallback</object></p></article>", ["x E=mc2 y", "shown fallback"]),
+        (f"<div class='story'><h1>Title</h1><p>{say(1)}</p><p>{say(2)}</p></div>", ["Title", say(1), say(2)]),
+        (f"<article><p>{say(1)}</p><div class='comments'>{''.join(f'<p>{say(k)}</p>' for k in range(30))}</div><div class='share'><p>{say(2)}</p></div></article>", [say(1)]),
+        (f"<article><p>{say(1)}</p><form><p>{say(2)}</p><button>Go</button></form><aside><p>{say(3)}</p></aside></article>", [say(1)]),
+    ]
+    pages = spark.read.parquet(f"{SF}/pages.parquet").withColumn("text", F.lit("clash")).withColumn("n_chars", F.lit(1))
+    odd = spark.createDataFrame([(-k, "u", body(inner), "clash", 1) for k, (inner, _) in enumerate(cases, 1)], pages.schema)
+    got = {r.page_id: r.text for r in html_text.main_text(pages.unionByName(odd)).collect()}
+    assert [got[-k] for k in range(1, len(cases) + 1)] == ["\n".join(want) for _, want in cases]
+
+
+def test_exact_dedup_ids(spark):
+    rows = [(None, "a b  c"), (1, "a b c"), (2, "abc"), (-(1 << 63), "zz"), (5, "z z "), (6, " z z"), (None, "only"), (None, None), (9, "")]
+    got = {(r.doc_id, r.text_sha256[:6]): (r.keep_id, r.kept, r.group_size) for r in exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()[:6]
+    assert got == {
+        (None, sha("abc")): (1, False, 3), (1, sha("abc")): (1, True, 3), (2, sha("abc")): (1, False, 3), (-(1 << 63), sha("zz")): (5, False, 3), (5, sha("zz")): (5, True, 3),
+        (6, sha("zz")): (5, False, 3), (None, sha("only")): (None, True, 1), (None, sha("")): (9, False, 2), (9, sha("")): (9, True, 2),
+    }
+
+
 def test_exact_dedup(docs, real):
     for table in (docs, real):
         plain = [(r.doc_id, r.text or "") for r in table.collect()]
@@ -185,10 +213,9 @@ def test_coder_round_trip(size):
 
 
 def test_pieces_give_the_library_ids(real):
-    texts = [t or "" for _, t in AWKWARD] + [r.text for r in real.collect()] + ["a  b", "a   b ", " \n x", "\n ", "don't  'll", "x 　 y"]
+    texts = [t or "" for _, t in AWKWARD] + [r.text for r in real.collect()] + ["a  b", "a   b ", " \n x", "\n ", "don't  'll", "x 　 y", "see <|endoftext|> here", "<|startoftext|>x <|ENDOFTEXT|>"]
     for path, kind, ranks in ((BYTE, "spaced", RANKS), (BYTE, "spaced", None), (WORD, "words", None)):
         plain = Tokenizer.from_file(path)
-        plain.encode_special_tokens = True
         want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
         assert tokens.encoder(path, kind, ranks).encode(texts) == want
 
@@ -198,20 +225,61 @@ def test_token_files(spark, docs, tmp_path):
     token_files.write_ids(docs, path, WORD, "words", 2)
     got = sorted((r.start, r.n_tokens, r.ids_crc32) for r in token_files.read_ids(spark.read.parquet(path)).collect())
     at, plain = 0, Tokenizer.from_file(WORD)
-    plain.encode_special_tokens = True
     for (i, t), (start, n, crc) in zip(sorted(AWKWARD, key=lambda x: (x[0] is not None, x[0] or 0)), got, strict=True):
         ids = [*plain.encode(t or "", add_special_tokens=False).ids, 2]
         assert (start, n, crc) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), i
         at += len(ids)
 
 
-def test_packing(docs):
-    got = packing.pack(docs.filter("doc_id <> 6"), BYTE, "spaced", 0, 64).toPandas()
-    for _, g in got.groupby("doc_id"):
-        g = g.sort_values("start")
-        assert (g.start + g.length).tolist()[-1] == g.doc_tokens.iloc[0] and (g.start.tolist()[1:] == (g.start + g.length).tolist()[:-1])
-    size = got.groupby("sequence_id").length.sum()
-    assert all(n == 64 or n & (n - 1) == 0 for n in size)
+def test_packing(docs, real):
+    """Every id of every document in exactly one piece, pieces side by side in their sequences, CRCs of the library's ids."""
+    plain = Tokenizer.from_file(BYTE)
+    for table in (docs.filter("doc_id <> 6"), real):
+        got = packing.pack(table, BYTE, "spaced", 0, 64, RANKS).toPandas()
+        ids = {r.doc_id: np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in table.collect()}
+        assert set(got.doc_id) == set(ids)
+        for doc, g in got.groupby("doc_id"):
+            g = g.sort_values("start")
+            assert g.start.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() == len(ids[doc]) == g.doc_tokens.iloc[0]
+            assert g.ids_crc32.tolist() == [zlib.crc32(ids[doc][a : a + n].tobytes()) for a, n in zip(g.start, g.length, strict=True)]
+        for _, g in got.groupby("sequence_id"):
+            g = g.sort_values("offset")
+            assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 64
+        size = got.groupby("sequence_id").length.sum()
+        assert all(n == 64 or n & (n - 1) == 0 for n in size)
+
+
+def test_sharding_cuts(spark, real):
+    """Sizes, CRCs and slots of every row; equal texts together; shards near equal."""
+    rows = [(r.doc_id, r.text, r.lang, r.source) for r in real.collect()] + [(10_000, None, None, None), (10_001, "", "en", "s"), (None, "lost", None, "s")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("shard", F.lit("clash")).withColumn("size", F.lit(-1)).withColumn("part", F.lit(1))
+    got = sharding.kd_shards(table, shards=8).toPandas()
+    text = {i: (t or "").encode() for i, t, _, _ in rows}
+    seen = {}
+    assert len(got) == len(rows)
+    for r in got.itertuples():
+        t = text[None if r.doc_id != r.doc_id else int(r.doc_id)]
+        assert r.size == len(t) + 1 and r.text_crc32 == zlib.crc32(t)
+        if len(t) < got["size"].sum() / 8 / 32 / 4:
+            assert seen.setdefault(t, r.shard) == r.shard
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard")) and set(got.shard) == set(range(8))
+    for _, g in got.groupby("shard"):
+        assert g.sort_values("slot").doc_id.dropna().is_monotonic_increasing
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() - size.min() < 2 * got["size"].max()
+
+
+def test_clashing_columns_and_nulls(spark):
+    """keep_identified keeps clashing columns as they are; held_out is never null."""
+    rows = [(k, words(30), ("en", "de")[k % 2], "x") for k in range(40)] + [(None, words(30), None, "y")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, letter_ string")
+    kept = language.keep_identified(table, F.lit(True))
+    assert kept.columns == table.columns and {r.letter_ for r in kept.collect()} <= {"x", "y"}
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    clash = table.select("doc_id", "text", F.lit(1).alias("toxic"), F.lit(0.5).alias("score"), F.lit(2).alias("fold"))
+    assert toxicity.score_toxicity(clash, labels.withColumn("text", F.lit("clash")), F.col("doc_id") < 30).count() == len(rows)
+    items = spark.createDataFrame([(1, PASSAGE, "clash")], "item_id long, text string, doc_id string")
+    assert decontaminate.find_items(table.withColumn("item_id", F.lit(0)), items).count() == 0
 
 
 def test_language(docs, real, spark):
@@ -255,6 +323,8 @@ def test_empty_tables(spark, docs):
     assert decontaminate.find_items(docs, items).count() == decontaminate.find_items(none, items).count() == 0
     assert toxicity.score_toxicity(none, spark.createDataFrame([], "doc_id long, toxic int"), F.lit(True)).count() == 0
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    made = token_files.encoded(none, WORD, "words", 2)
+    assert token_files.read_ids(made).count() == 0
 
 
 def test_pipeline(spark, real):
