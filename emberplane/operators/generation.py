@@ -61,6 +61,21 @@ def impute(trees: DataFrame, predictions: DataFrame, keys: list[str], columns: d
     return trees.join(p, keys, "left").withColumns(filled).drop(*(f"p_{c}" for c in columns))
 
 
+def prediction_faults(sent: DataFrame, made: DataFrame, keys: list[str], needed: str) -> DataFrame:
+    """One row: sent, predicted, lost (sent without a prediction), without_height (predictions that lack the needed value)."""
+    lost = sent.join(made.select(*keys), keys, "left_anti").agg(F.count("*").alias("lost"))
+    return sent.agg(F.count("*").alias("sent")).join(made.agg(F.count("*").alias("predicted"), F.count_if(F.col(needed).isNull()).alias("without_height"))).join(lost).select("sent", "predicted", "lost", "without_height")  # one row each
+
+
+def checked_predictions(sent: DataFrame, made: DataFrame, keys: list[str], needed: str) -> DataFrame:
+    """prediction_faults, or an error unless as many were predicted as were sent, none is lost and all have the needed value."""
+    out = prediction_faults(sent, made, keys, needed)
+    r = out.first()
+    if r.sent != r.predicted or r.lost or r.without_height:
+        raise ValueError(f"{r.sent} sent, {r.predicted} predicted, {r.lost} lost, {r.without_height} without {needed}")
+    return out
+
+
 def representatives(codes: DataFrame, usable: DataFrame) -> DataFrame:
     """codes(code, genus, class) to (code, stands_for): itself where usable, else the least usable code of
     its genus, else of its class, else null."""

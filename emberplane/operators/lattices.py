@@ -73,3 +73,79 @@ def layers_on_cells(boxes: DataFrame, cell: float, how: str = "mean") -> DataFra
     share of the loading, boxes of one type over a cell combined by mean, max or min."""
     agg = {"mean": F.avg, "max": F.max, "min": F.min}[how]
     return boxes_on_cells(boxes, cell).groupBy("row", "col", "fuel_type").agg(agg(F.col("fuel_loading") * F.col("percent_cover") / 100).alias("fuel_loading"))
+
+
+def chunk_of(row: Column, col: Column, chunk: int, cols: int) -> Column:
+    """Number of the chunk that a cell lies in, along rows."""
+    across = -(-cols // chunk)
+    return (F.floor(row / chunk) * across + F.floor(col / chunk)).cast("int")
+
+
+def chunk_metadata(rows: DataFrame, number: str, chunk: int, lattice, layers: tuple[int, int] | None = None) -> DataFrame:
+    """rows with the offset, the shape cut at the lattice's edge and the upper left corner of the chunk of a
+    number; with layers (how many, how many a chunk) also k0 and depth."""
+    across, down = -(-lattice.cols // chunk), -(-lattice.rows // chunk)
+    n = F.col(number) % (across * down)
+    row0, col0 = F.floor(n / across).cast("int") * chunk, (n % across).cast("int") * chunk
+    out = {"row0": row0, "col0": col0, "height": F.least(F.lit(chunk), lattice.rows - row0), "width": F.least(F.lit(chunk), lattice.cols - col0), "x0": lattice.x0 + col0 * F.lit(lattice.cell), "y1": lattice.y1 - row0 * F.lit(lattice.cell)}
+    if layers:
+        k0 = F.floor(F.col(number) / (across * down)).cast("int") * layers[1]
+        out |= {"k0": k0, "depth": F.least(F.lit(layers[1]), layers[0] - k0)}
+    return rows.withColumns(out)
+
+
+def chunk_sparse(cells: DataFrame, value: str, chunk: int, rows: int, cols: int, fill: float, order: str = "C") -> DataFrame:
+    """(chunk_row, chunk_col, flat, value) of the cells that differ from the fill; flat counts along rows (C) or columns (F) of the chunk."""
+    r, c = F.col("row") % chunk, F.col("col") % chunk
+    wide, high = F.least(F.lit(chunk), cols - F.floor(F.col("col") / chunk) * chunk), F.least(F.lit(chunk), rows - F.floor(F.col("row") / chunk) * chunk)
+    flat = r * wide + c if order == "C" else c * high + r
+    return cells.filter(F.col(value) != fill).select(F.floor(F.col("row") / chunk).cast("int").alias("chunk_row"), F.floor(F.col("col") / chunk).cast("int").alias("chunk_col"), flat.alias("flat"), value)
+
+
+def chunk_dense(cells: DataFrame, value: str, chunk: int, rows: int, cols: int, fill: float, order: str = "C") -> DataFrame:
+    """(chunk_row, chunk_col, data): all values of each chunk of the lattice in C or F order, missing ones as the fill."""
+    known = cells.filter(F.col(value).isNotNull()).select(F.floor(F.col("row") / chunk).cast("int").alias("chunk_row"), F.floor(F.col("col") / chunk).cast("int").alias("chunk_col"), (F.col("row") % chunk).alias("r_"), (F.col("col") % chunk).alias("c_"), F.col(value).alias("v_"))
+    across, down = -(-cols // chunk), -(-rows // chunk)
+    every = cells.sparkSession.range(across * down).select(F.expr(f"CAST(id DIV {across} AS INT)").alias("chunk_row"), F.expr(f"CAST(id % {across} AS INT)").alias("chunk_col"))
+    high, wide = F.least(F.lit(chunk), rows - F.col("chunk_row") * chunk), F.least(F.lit(chunk), cols - F.col("chunk_col") * chunk)
+    flat = F.col("r_") * F.least(F.lit(chunk), cols - F.col("chunk_col") * chunk) + F.col("c_") if order == "C" else F.col("c_") * F.least(F.lit(chunk), rows - F.col("chunk_row") * chunk) + F.col("r_")
+    held = known.groupBy("chunk_row", "chunk_col").agg(F.map_from_entries(F.collect_list(F.struct(flat.cast("int").alias("k"), F.col("v_").alias("v")))).alias("held_"))  # a chunk's cells at most
+    got = lambda k: F.coalesce(F.element_at("held_", k), F.lit(fill))
+    return every.join(held, ["chunk_row", "chunk_col"], "left").select("chunk_row", "chunk_col", F.transform(F.sequence(F.lit(0), (high * wide - 1).cast("int")), got).alias("data"))
+
+
+def stacked(bands: DataFrame, roles: dict[str, float], offset: tuple[int, int], rows: int, cols: int) -> DataFrame:
+    """bands(row, col, a column per role) cropped to a lattice that starts `offset` cells in, as int16: the value
+    times the role's factor, rounded half to even and clipped; missing ones -9999. A role that is not there is an error."""
+    missing = [r for r in roles if r not in bands.columns]
+    if missing:
+        raise ValueError(f"no bands for {missing}")
+    stored = lambda r, k: F.coalesce(F.greatest(F.lit(-32768.0), F.least(F.lit(32767.0), F.rint(F.col(r) * k))), F.lit(-9999.0)).cast("smallint").alias(r)
+    moved = bands.withColumns({"row": (F.col("row") - offset[0]).cast("int"), "col": (F.col("col") - offset[1]).cast("int")})
+    return moved.filter(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)).select("row", "col", *(stored(r, k) for r, k in roles.items()))
+
+
+def padded(boxes: DataFrame, resolution: float) -> DataFrame:
+    """boxes with their bounds moved outward to multiples of the resolution."""
+    k = F.lit(float(resolution))
+    return boxes.withColumns({**{c: (F.floor(F.col(c) / k) * k) for c in ("minx", "miny")}, **{c: (F.ceil(F.col(c) / k) * k) for c in ("maxx", "maxy")}})
+
+
+def cells_of(boxes: DataFrame, resolution: float) -> DataFrame:
+    """boxes with a row (row, col, centre x, y) for each cell of a lattice anchored at the lower left corner; a cell at least."""
+    k = F.lit(float(resolution))
+    n = lambda a, b: F.greatest(F.lit(1), F.ceil((F.col(b) - F.col(a)) / k).cast("int"))
+    out = boxes.withColumns({"rows_": n("miny", "maxy"), "cols_": n("minx", "maxx")})
+    out = out.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows_") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols_") - 1)))
+    return out.withColumns({"x": F.col("minx") + (F.col("col") + 0.5) * k, "y": F.col("miny") + (F.col("rows_") - F.col("row") - 0.5) * k}).drop("rows_", "cols_")
+
+
+def coverage_status(regions: DataFrame, parts: DataFrame, cell: float) -> DataFrame:
+    """regions(id, product, box) and parts(product, box) to (id, status): full, partial or none by the cells whose
+    centres lie in a region and in some part of its product; no_such_product where it has no part."""
+    want = boxes_on_cells(regions, cell).select("id", "product", "row", "col")
+    have = boxes_on_cells(parts, cell).select("product", "row", "col").distinct().withColumn("had_", F.lit(1))
+    seen = want.join(have, ["product", "row", "col"], "left").groupBy("id", "product").agg(F.count("*").alias("all_"), F.count("had_").alias("had_"))
+    known = parts.select("product").distinct().withColumn("known_", F.lit(True))
+    out = regions.select("id", "product").join(seen, ["id", "product"], "left").join(known, "product", "left")
+    return out.select("id", F.when(F.col("known_").isNull(), "no_such_product").when(F.coalesce("had_", F.lit(0)) == 0, "none").when(F.col("had_") == F.col("all_"), "full").otherwise("partial").alias("status"))

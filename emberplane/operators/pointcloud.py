@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SCALE, LEVELS = 0.01, 6
+from ..sources import files
+
+# Fixed values of the format: metres per integer step, levels of detail (each keeps one point in four of the next), bits of a cell of the order in a file.
+SCALE, LEVELS, ORDER_BITS = 0.01, 6, 8
 
 
 def tiled(points: DataFrame, tile: float, scale: float = SCALE) -> DataFrame:
@@ -15,9 +18,9 @@ def tiled(points: DataFrame, tile: float, scale: float = SCALE) -> DataFrame:
 
 
 def with_lod(points: DataFrame, order: tuple[str, ...], levels: int = LEVELS) -> DataFrame:
-    """Level of a point from its place in its tile: place i has the least k with i divisible by 4^(levels-1-k)."""
-    w = Window.partitionBy("tile_x", "tile_y").orderBy(*order)
-    p = points.withColumn("i_", F.row_number().over(w) - 1)
+    """Level of a point from its place in its tile: place i has the least k with i divisible by 4^(levels-1-k).
+    A tile is numbered over as many partitions as it lies in."""
+    p = files.numbered(points, ["tile_x", "tile_y"], list(order), "i_")
     lod = F.lit(levels - 1)
     for k in range(levels - 2, -1, -1):
         lod = F.when(F.col("i_") % (4 ** (levels - 1 - k)) == 0, F.lit(k)).otherwise(lod)
@@ -36,9 +39,13 @@ def read_points(points: DataFrame, box: tuple[float, float, float, float], tile:
 
 
 def write_points(points: DataFrame, path: str) -> None:
-    """One folder per tile and level; a tile's rows meet in few files and lie in grid order."""
-    near = F.shiftright(F.col("X"), 8), F.shiftright(F.col("Y"), 8)
-    points.repartition("tile_x", "tile_y").sortWithinPartitions("tile_x", "tile_y", "lod", *near).write.partitionBy("tile_x", "tile_y", "lod").parquet(path)
+    """One folder per tile and level, whose rows lie in grid order. Rows are dealt by ranges of tile, level and
+    place, so that a large tile is written by several tasks. A read by read_points opens the folders of its
+    tiles and levels only."""
+    near = F.shiftright(F.col("X"), ORDER_BITS), F.shiftright(F.col("Y"), ORDER_BITS)
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["tile_x", "tile_y", "lod", *near]
+    points.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.partitionBy("tile_x", "tile_y", "lod").parquet(path)
 
 
 def tile_catalogue(points: DataFrame) -> DataFrame:
@@ -50,3 +57,21 @@ def tile_catalogue(points: DataFrame) -> DataFrame:
 def height_above(points: DataFrame, z: Column, ground: Column, low: float = -0.5, high: float = 100.0) -> DataFrame:
     h = z - ground
     return points.withColumn("h", h).filter((F.col("h") >= low) & (F.col("h") < high)).withColumn("h", F.greatest(F.col("h"), F.lit(0.0)))
+
+
+def summary(points: DataFrame, scale: float = SCALE) -> DataFrame:
+    """One row: n, classes, bounds in integer steps, and density (points per square metre of the bounding box, 0 if that is degenerate)."""
+    out = points.agg(F.count("*").alias("n"), F.count_distinct("classification").alias("classes"), *(f(c).alias(f"{n}{c.lower()}") for c in "XYZ" for n, f in (("min", F.min), ("max", F.max))))
+    area = (F.col("maxx") - F.col("minx")) * F.lit(scale) * (F.col("maxy") - F.col("miny")) * F.lit(scale)
+    return out.withColumn("density", F.when(area > 0, F.col("n") / area).otherwise(0.0))
+
+
+def rasterized(points: DataFrame, cell: float, how: str = "max", classes=None, percentile: float = 50.0, value: str = "h", x: str = "x_m", y: str = "y_m", y1: float = 0.0) -> DataFrame:
+    """(row, col, v) of the cells that have points (of the classes): max, mean, min, median or a percentile
+    in (0, 100] by linear rank. Rows run south from y1."""
+    if how == "percentile" and not 0 < percentile <= 100:
+        raise ValueError("a percentile lies in (0, 100]")
+    v = F.col(value)
+    agg = {"max": F.max(v), "mean": F.avg(v), "min": F.min(v), "median": F.percentile(v, F.lit(0.5)), "percentile": F.percentile(v, F.lit(percentile / 100))}[how]
+    some = points.filter(F.col("classification").isin(*classes)) if classes else points
+    return some.groupBy(F.floor((F.lit(y1) - F.col(y)) / cell).cast("int").alias("row"), F.floor(F.col(x) / cell).cast("int").alias("col")).agg(agg.alias("v"))

@@ -145,6 +145,18 @@ def checked(value: Column, used: Column) -> Column:
     return F.when(bad, F.raise_error(F.lit("a computed cell is not finite"))).otherwise(value)
 
 
+def guarded(op: str, *bands: Column, used: Column | None = None, otherwise: Column | None = None) -> Column:
+    """Band algebra where `used` holds (all cells without it), `otherwise` elsewhere. A used cell whose operands
+    are there must come out finite: a zero denominator, an infinity or NaN raises; one that the conditions
+    exclude never does."""
+    used = F.lit(True) if used is None else F.coalesce(used, F.lit(False))
+    present = reduce(lambda a, b: a & b, (b.isNotNull() for b in bands))
+    value = compute(op, *bands).cast("double")
+    lost = used & present & value.isNull()  # a division by zero
+    value = F.when(lost, F.raise_error(F.lit("a computed cell is not finite"))).otherwise(checked(value, used))
+    return F.when(used, value).otherwise(F.lit(None).cast("double") if otherwise is None else otherwise)
+
+
 def descaled(value: Column, nodata: float, scale: float) -> Column:
     """Stored integers to values; the declared nodata and -9999 are missing."""
     return F.when(~value.isin(nodata, -9999), value / F.lit(float(scale)))

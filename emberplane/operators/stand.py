@@ -54,30 +54,46 @@ def thin_diameter(df: DataFrame, limit: float, below: bool) -> DataFrame:
     return df.filter(F.col("dbh") >= limit if below else F.col("dbh") < limit)
 
 
-def thin_basal_area(df: DataFrame, target_m2: float, order: Column, ids: tuple[str, ...], bins: int = 1024) -> DataFrame:
+def shuffled(keys: list[str], seed: int) -> Column:
+    """A number by the hash of a stem's keys: the same order however the table is partitioned."""
+    return F.conv(F.substring(F.md5(F.concat_ws("/", *keys, F.lit(str(seed))).cast("binary")), 1, 13), 16, 10).cast("double")
+
+
+def thin_basal_area(df: DataFrame, target_m2: float, order: Column, ids: tuple[str, ...], bins: int = 1024, small: int = 200_000) -> DataFrame:
     """Keep stems in ascending `order` while their summed basal area stays within the target: a strict prefix.
 
-    No global window: order values are binned between their bounds, the bins' sums (`bins` rows at
-    most) say which bins are within the target, and only the bin that the target cuts is sorted.
+    No global window: order values are binned between their bounds, the bins' sums (`bins` rows at most) say
+    which bins are within the target, and the bin that the target cuts is binned again. Where one order value
+    is left with many stems, these are binned by their first id, then by the next. Only a bin of `small` stems or fewer is sorted.
     """
-    df = df.filter(F.col("dbh").isNotNull()).withColumns({"key_": order, "ba_": basal_area(F.col("dbh"))})
-    low, high = df.agg(F.min("key_"), F.max("key_")).first()
-    if low is None:
-        return df.drop("key_", "ba_")
-    width = (high - low) / bins or 1.0
-    df = df.withColumn("bin_", F.least(F.floor((F.col("key_") - F.lit(low)) / F.lit(width)), F.lit(bins - 1)))
-    sums = df.groupBy("bin_").agg(F.sum("ba_").alias("s")).orderBy("bin_").collect()
-    done, cut = 0.0, None
-    for r in sums:
-        if done + r.s > target_m2:
-            cut = r.bin_
+    df = df.filter(F.col("dbh").isNotNull()).withColumns({"key_": order.cast("double"), "ba_": basal_area(F.col("dbh"))})
+    done, kept, keys = 0.0, F.lit(False), ["key_", *ids]
+    open_, at = F.lit(True), 0
+    while True:
+        cut = df.filter(open_)
+        key = F.col(keys[at]).cast("double")
+        low, high, n = cut.agg(F.min(key), F.max(key), F.count("*")).first()
+        if not n:
+            break
+        if n <= small or (low == high and at + 1 == len(keys)):
+            inside = cut.withColumn("run_", F.sum("ba_").over(Window.partitionBy(F.lit(0)).orderBy("key_", *ids).rowsBetween(Window.unboundedPreceding, 0)))
+            return df.filter(kept).unionByName(inside.filter(F.col("run_") <= F.lit(target_m2 - done)).drop("run_")).drop("key_", "ba_")
+        if low == high:
+            at += 1
+            continue
+        width = (high - low) / bins
+        bin_ = F.least(F.floor((key - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+        over, held = None, done
+        for r in cut.groupBy(bin_.alias("bin_")).agg(F.sum("ba_").alias("s")).orderBy("bin_").collect():
+            if held + r.s > target_m2:
+                over = r.bin_
+                break
+            held += r.s
+        if over is None:
+            kept = kept | open_
             break
-        done += r.s
-    if cut is None:
-        return df.drop("key_", "ba_", "bin_")
-    inside = df.filter(F.col("bin_") == cut).withColumn("run_", F.sum("ba_").over(Window.partitionBy("bin_").orderBy("key_", *ids).rowsBetween(Window.unboundedPreceding, 0)))
-    inside = inside.filter(F.col("run_") <= F.lit(target_m2 - done)).drop("run_")
-    return df.filter(F.col("bin_") < cut).unionByName(inside).drop("key_", "ba_", "bin_")
+        kept, done, open_ = kept | (open_ & (bin_ < over)), held, open_ & (bin_ == over)
+    return df.filter(kept).drop("key_", "ba_")
 
 
 def thin_within(df: DataFrame, region: Column, thin) -> DataFrame:

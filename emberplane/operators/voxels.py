@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 DBH_BIN, HEIGHT_BIN, RATIO_BIN = 2.75, 1.0, 0.1
 
 
@@ -22,7 +24,7 @@ def realizations(layers: Column, members: Column, most: int = 100) -> Column:
 
 def realization_of(seed: int, key: Column, n: Column) -> Column:
     """Which realization a tree takes; by its id only, so alike however the table is partitioned."""
-    return F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), n).cast("int")
+    return F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 13), 16, 10).cast("long"), n).cast("int")
 
 
 def crown_templates(classes: DataFrame, hr: float, vr: float) -> DataFrame:
@@ -41,7 +43,7 @@ def crown_templates(classes: DataFrame, hr: float, vr: float) -> DataFrame:
 def stamp(trees: DataFrame, templates: DataFrame, hr: float, vr: float, x0: float, y1: float, rows: int, cols: int, load: Column) -> DataFrame:
     """(k, j, i, tree_id, height, density) of all crowns, cut at the grid's edge; a tree's load is spread evenly."""
     keys = ["species", "dbh_bin", "height_bin", "ratio_bin"]
-    sizes = templates.groupBy(*keys).agg(F.count("*").alias("voxels_"))
+    sizes = templates.groupBy(*keys).agg(F.count("*").alias("voxels_"))  # templates are read twice: pass a written table
     t = trees.select("tree_id", "height", "x", "y", load.alias("load_"), F.floor(F.col("height") * (1 - F.col("crown_ratio")) / vr).cast("int").alias("k0_"), *class_keys())
     t = t.withColumns({"i0_": F.floor((F.col("x") - x0) / hr).cast("int"), "j0_": F.floor((y1 - F.col("y")) / hr).cast("int")})
     out = t.join(sizes, keys).join(templates, keys)
@@ -51,8 +53,9 @@ def stamp(trees: DataFrame, templates: DataFrame, hr: float, vr: float, x0: floa
 
 def merged(stamps: DataFrame) -> DataFrame:
     """Overlapping crowns: densities add; the tallest tree (ties: the later id) names the voxel."""
-    top = F.max(F.struct("height", "tree_id"))
-    return stamps.groupBy("k", "j", "i").agg(F.sum("density").alias("density"), top.alias("t")).select("k", "j", "i", "density", F.col("t.tree_id").alias("tree_id"))
+    # Two steps of sums and maxima, which combine before the shuffle; a maximum of pairs would sort all stamps.
+    by = stamps.groupBy("k", "j", "i", "height").agg(F.sum("density").alias("density"), F.max("tree_id").alias("tree_id"))
+    return by.groupBy("k", "j", "i").agg(F.sum("density").alias("density"), F.max_by("tree_id", "height").alias("tree_id"))
 
 
 def collapse(voxels: DataFrame, vr: float) -> DataFrame:
@@ -69,3 +72,17 @@ def partitioned(voxels: DataFrame, live: float, specific_leaf_area: float) -> Da
     """Density split into live and dead, and the leaf area density of the live part."""
     own = F.col("density") * F.lit(live)
     return voxels.withColumns({"live": own, "dead": F.col("density") * F.lit(round(1 - live, 12)), "leaf_area": own * F.lit(specific_leaf_area)})
+
+
+def equivalence_classes(trees: DataFrame) -> DataFrame:
+    """(species, dbh_bin, height_bin, ratio_bin, members, class): classes numbered from 1 in the order of their keys."""
+    keys = ["species", "dbh_bin", "height_bin", "ratio_bin"]
+    classes = trees.groupBy(*class_keys()).agg(F.count("*").alias("members"))
+    return files.numbered(classes, [], keys, "class").withColumn("class", F.col("class") + 1)
+
+
+def dimensions(trees: DataFrame, hr: float, vr: float) -> DataFrame:
+    """One row: upper left corner snapped outward to whole cells, and nx, ny, nz of the voxel grid that holds all stems."""
+    out = trees.agg(*(f(c).alias(f"{n}{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))), F.max("height").alias("top"))
+    low, high = lambda c: F.floor(F.col(f"min{c}") / hr), lambda c: F.ceil(F.col(f"max{c}") / hr)
+    return out.select((low("x") * F.lit(hr)).cast("double").alias("x0"), (high("y") * F.lit(hr)).cast("double").alias("y1"), (high("x") - low("x")).cast("int").alias("nx"), (high("y") - low("y")).cast("int").alias("ny"), F.ceil(F.ceil("top") / vr).cast("int").alias("nz"))

@@ -10,6 +10,8 @@ TREES = """trees AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
  CAST(0.2 AS DOUBLE) + l_discount*CAST(5 AS DOUBLE) AS crown_ratio FROM lineitem)"""
 LOCATED = "located AS (SELECT *, CAST(floor((5201000 - y)/10) AS INT) AS row, CAST(floor((x - 500000)/10) AS INT) AS col FROM trees)"
 CELLS = "cells AS (SELECT row, col, count(*) AS n, avg(height) AS mean_height, max(height) AS max_height FROM located GROUP BY row, col)"
+SURFACE = "surface AS (SELECT CAST(floor((5201000 - y)/5) AS INT) AS row, CAST(floor((x - 500000)/5) AS INT) AS col, count(*) AS n, max(height) AS z, min(height) AS low FROM trees GROUP BY 1, 2)"
+CODES = "codes AS (SELECT *, CASE WHEN n % 7 = 3 THEN 32767 ELSE CAST(91 + (row // 8 * 7 + col // 8 * 13 + n % 3) % 45 AS INT) END AS code FROM surface)"
 POINTS = """points AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
  CAST((l_orderkey*7919 + l_partkey*31 + l_linenumber*104729) % 100000 AS INT) AS X, CAST((l_partkey*6151 + l_suppkey*17 + l_orderkey*13) % 100000 AS INT) AS Y,
  CAST((l_orderkey*3 + l_partkey*7) % 4000 + 100000 AS INT) AS Z, CASE l_linenumber % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 5 ELSE 7 END AS classification FROM lineitem)"""
@@ -37,3 +39,16 @@ def resources(sql: str) -> str:
 
 def lattice(sql: str) -> str:
     return f"WITH {LATTICE} {sql}"
+
+
+def surface(sql: str) -> str:
+    return f"WITH {TREES}, {SURFACE} {sql}"
+
+
+def codes(sql: str) -> str:
+    return f"WITH {TREES}, {SURFACE}, {CODES} {sql}"
+
+
+def window(reach: int) -> str:
+    """off(dr, dc): the offsets of a square window."""
+    return f"off AS (SELECT CAST(a.range - {reach} AS INT) AS dr, CAST(b.range - {reach} AS INT) AS dc FROM range({2 * reach + 1}) a, range({2 * reach + 1}) b)"

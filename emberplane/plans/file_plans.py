@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import catalogue, generation, rules
+from ..operators import catalogue, generation, ingest, pointcloud, rules, spatial
 from ..operators.rules import Action, Condition, Rule
 from ..registry import query
 from ..sources import files, tables
@@ -55,10 +55,26 @@ def _(spark, d):
     return generation.ingest_cells(c, {"band_1": "stems"}, (200.0, 100.0, 600.0, 500.0), 10.0, 2)
 
 
-@query("src16_ingest_points", B.trees(f"SELECT {PKEY}, CAST(floor((x - 500000) * CAST(0.3048 AS DOUBLE) * 100 + 0.5) AS INT) AS X, CAST(floor(height * CAST(0.3048 AS DOUBLE) * 100 + 0.5) AS INT) AS Z FROM trees"))
+FEET = "floor({} * CAST(" + repr(units.factor("ft", "m") / 0.01) + " AS DOUBLE) + 0.5)"
+
+
+@query("src16_ingest_points", B.trees(f"SELECT {PKEY}, CAST({FEET.format('(x - 500000)')} AS INT) AS X, CAST({FEET.format('(y - 5200000)')} AS INT) AS Y, CAST({FEET.format('height')} AS INT) AS Z, CAST(floor({FEET.format('(x - 500000)')} * CAST(0.01 AS DOUBLE) / 50) AS INT) AS tile_x, CAST(floor({FEET.format('(y - 5200000)')} * CAST(0.01 AS DOUBLE) / 50) AS INT) AS tile_y FROM trees"))
+def _(spark, d):
+    """Points in feet scaled to integer centimetres, tiled, levelled, written and read back."""
+    t = tables.trees(spark, d).select(*K, "x", "y", F.col("height").alias("z"))
+    p = pointcloud.tiled(ingest.scaled_points(t, 0.01, "ft", (500000.0, 5200000.0)), 50.0)
+    path = files.shared_path(spark, "points")
+    pointcloud.write_points(pointcloud.with_lod(p, tuple(K)), path)
+    return spark.read.parquet(path).select(*K, "X", "Y", "Z", "tile_x", "tile_y")
+
+
+@query("src16_reprojected_points", f"WITH {BOXES} SELECT id, CAST(500000 + minx * 60 AS BIGINT) AS x, CAST(4900000 + miny * 60 AS BIGINT) AS y FROM boxes")
 def _(spark, d):
-    scaled = lambda c: F.floor(units.convert(c, "ft", "m") * 100 + 0.5).cast("int")
-    return tables.trees(spark, d).select(*K, scaled(F.col("x") - 500000).alias("X"), scaled(F.col("height")).alias("Z"))
+    """UTM points by way of longitude and latitude and back, in whole metres."""
+    b = boxes(spark, d).select("id", (500000 + F.col("minx") * 60).alias("e"), (4900000 + F.col("miny") * 60).alias("n"))
+    lon, lat = spatial.lonlat(F.col("e"), F.col("n"), 11)
+    x, y = spatial.utm(F.col("lon"), F.col("lat"), 11)
+    return b.select("id", lon.alias("lon"), lat.alias("lat")).select("id", F.round(x).cast("long").alias("x"), F.round(y).cast("long").alias("y"))
 
 
 @query("src17_write_with_summary", B.trees("SELECT count(*) AS n, count(dbh) AS dbh_n, round(sum(dbh), 3) AS dbh_sum, min(height) AS low, max(height) AS high FROM trees"))
@@ -132,6 +148,14 @@ def _(spark, d):
     return rules.uniform(tables.cells(spark, d).select("row", "col"), {"fbfm": 102, "load": 0.25})
 
 
+@query("prj14_non_finite_guard", f"{CELLS} SELECT row, col, round(CASE WHEN n % 4 <> 0 THEN max_height / (n % 4) ELSE -1 END, 6) AS v FROM cells")
+def _(spark, d):
+    """Cells whose denominator is 0 are excluded by the condition and take the fallback; in a used cell they would raise."""
+    c = tables.cells(spark, d).withColumn("m", F.col("n") % 4)
+    used = rules.predicate(Condition("m", "ne", 0), True)
+    return c.select("row", "col", F.round(rules.guarded("divide", F.col("max_height"), F.col("m"), used=used, otherwise=F.lit(-1.0)), 6).alias("v"))
+
+
 @query("prj15_else_values", f"{CELLS} SELECT row, col, round(CASE WHEN n > 8 THEN mean_height ELSE max_height END, 6) AS band, round(CASE WHEN n > 8 THEN mean_height ELSE -1 END, 6) AS number, round(CASE WHEN n > 8 THEN mean_height ELSE max_height - mean_height END, 6) AS computed, CASE WHEN n > 8 THEN 'dense' ELSE 'GR1' END AS label FROM cells")
 def _(spark, d):
     hit = rules.predicate(Condition("n", "gt", 8), True)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import units
 from ..operators import generation, grids, lattices, pointcloud, spatial, voxels
 from ..registry import query
-from ..sources import tables
+from ..sources import files, tables
 from . import base_sql as B
 from .spatial_plans import BOXES, boxes
 
@@ -57,26 +57,21 @@ def _(spark, d):
     return lattices.ring_trimmed(tables.cells(spark, d), 100, 100, 3).select("row", "col", "n")
 
 
-def opening_sql(source: str, value: str, reach: int) -> str:
-    frame = f"RANGE BETWEEN {reach} PRECEDING AND {reach} FOLLOWING"
-    for agg in ("min", "max"):
-        for across, along in (("row", "col"), ("col", "row")):
-            source = f"(SELECT * EXCLUDE ({value}), {agg}({value}) OVER (PARTITION BY {across} ORDER BY {along} {frame}) AS {value} FROM {source})"
-    return source
+def ground_sql(windows: tuple[int, ...], cell: float) -> str:
+    """Openings by joins on every offset of the window."""
+    parts, before = ["o0 AS (SELECT row, col, z FROM surface)"], 1
+    for k, w in enumerate(windows, 1):
+        limit, steps = 0.15 if w <= 3 else min((w - before) * cell + 0.15, 2.5), f"(SELECT a.range - {w // 2} AS dr, b.range - {w // 2} AS dc FROM range({w}) a, range({w}) b)"
+        for name, source, v, agg in ((f"lo{k}", f"o{k - 1}", "z", "min"), (f"hi{k}", f"lo{k}", "v", "max")):
+            parts.append(f"{name} AS MATERIALIZED (SELECT s.row, s.col, {agg}(n.{v}) AS v FROM (SELECT row, col, row + dr AS nr, col + dc AS nc FROM {source}, {steps}) s JOIN {source} n ON n.row = s.nr AND n.col = s.nc GROUP BY s.row, s.col)")
+        parts.append(f"o{k} AS MATERIALIZED (SELECT row, col, CASE WHEN z - v > CAST({limit!r} AS DOUBLE) THEN v ELSE z END AS z FROM o{k - 1} JOIN hi{k} USING (row, col))")
+        before = w
+    return f"WITH {B.TREES}, {B.SURFACE}, {', '.join(parts)} SELECT row, col, z AS ground FROM o{len(windows)}"
 
 
-def ground_sql() -> str:
-    now, before = "(SELECT row, col, max_height AS z, true AS ground FROM cells)", 1
-    for w in (3, 5, 9):
-        limit = 0.15 if w <= 3 else min(0.3 * (w - before) * 10 + 0.15, 2.5)
-        inner = opening_sql(f"(SELECT *, z AS was FROM {now})", "z", w // 2)
-        now, before = f"(SELECT row, col, z, ground AND was - z <= CAST({limit!r} AS DOUBLE) AS ground FROM {inner})", w
-    return f"{CELLS} SELECT row, col, ground FROM {now}"
-
-
-@query("foc05_bare_ground", ground_sql())
+@query("foc05_bare_ground", ground_sql((3, 5, 9), 5.0))
 def _(spark, d):
-    return grids.bare_ground(tables.cells(spark, d), "max_height", 10, windows=(3, 5, 9)).select("row", "col", "ground")
+    return grids.bare_ground(tables.surface(spark, d), "z", 5.0, windows=(3, 5, 9))
 
 
 KNOWN = "known AS (SELECT row, col FROM cells WHERE (row * 7 + col * 13) % 29 = 0)"
@@ -103,11 +98,17 @@ def _(spark, d):
     return grids.variable_maxima(tables.cells(spark, d), "max_height", 3, 1.0, 3.0, 10.0, 5.0).select("row", "col")
 
 
-@query("foc11_height_above_ground", f"WITH {B.POINTS}, h AS (SELECT {PKEY}, Z * CAST(0.01 AS DOUBLE) - (990 + X % 30) AS h FROM points) SELECT {PKEY}, round(greatest(h, 0), 4) AS h FROM h WHERE h >= -0.5 AND h < 30")
+GROUND = "ground AS (SELECT CAST(floor((1000 - Y * CAST(0.01 AS DOUBLE)) / 10) AS INT) AS row, CAST(floor(X * CAST(0.01 AS DOUBLE) / 10) AS INT) AS col, avg(Z * CAST(0.01 AS DOUBLE)) AS g FROM points WHERE classification = 2 GROUP BY 1, 2)"
+FOOT = f"p AS (SELECT *, greatest(0, least(99, X * CAST(0.01 AS DOUBLE) / 10 - 0.5)) AS fx, greatest(0, least(99, (1000 - Y * CAST(0.01 AS DOUBLE)) / 10 - 0.5)) AS fy FROM points), q AS (SELECT *, CAST(least(floor(fx), 98) AS INT) AS c, CAST(least(floor(fy), 98) AS INT) AS r FROM p), h AS (SELECT {PKEY}, Z * CAST(0.01 AS DOUBLE) - ((a.g*(1-(fx-c)) + b.g*(fx-c))*(1-(fy-r)) + (d.g*(1-(fx-c)) + e.g*(fx-c))*(fy-r)) AS h FROM q JOIN ground a ON a.row = r AND a.col = c JOIN ground b ON b.row = r AND b.col = c + 1 JOIN ground d ON d.row = r + 1 AND d.col = c JOIN ground e ON e.row = r + 1 AND e.col = c + 1)"
+
+
+@query("foc11_height_above_ground", f"WITH {B.POINTS}, {GROUND}, {FOOT} SELECT {PKEY}, round(greatest(h, 0), 4) AS h FROM h WHERE h >= -0.5 AND h < 30")
 def _(spark, d):
-    p = tables.points(spark, d).withColumn("ground", F.lit(990) + F.col("X") % 30)
-    out = pointcloud.height_above(p, F.col("Z") * 0.01, F.col("ground"), high=30.0)
-    return out.select(*K, F.round(out.columns[-1], 4).alias("h"))
+    """Above the ground between the four cells around, of the mean of ground points; nothing where one of these is missing."""
+    p = tables.points(spark, d).select(*K, "classification", (F.col("X") * 0.01).alias("x"), (F.col("Y") * 0.01).alias("y"), (F.col("Z") * 0.01).alias("z"))
+    ground = pointcloud.rasterized(p.filter("classification = 2"), 10.0, "mean", value="z", x="x", y="y", y1=1000.0).withColumnRenamed("v", "g")
+    p = grids.bilinear(p, ground, "g", 10.0, 0.0, 1000.0, 100, 100)
+    return pointcloud.height_above(p, F.col("z"), F.col("g"), high=30.0).select(*K, F.round("h", 4).alias("h"))
 
 
 LAYERS = f"{BOXES}, layers AS (SELECT id, minx, miny, maxx, maxy, CASE id % 3 WHEN 0 THEN 'shrub' WHEN 1 THEN 'herb' ELSE 'litter' END AS fuel_type, CAST(id % 17 AS DOUBLE) AS fuel_loading, CAST(id % 101 AS DOUBLE) AS percent_cover FROM boxes)"
@@ -172,11 +173,43 @@ def _(spark, d):
     return tables.trees(spark, d).filter(spatial.buffered(F.col("x") - 500000, F.col("y") - 5200000, [ring], 25.0)).select(*K)
 
 
-@query("geo06_water", f"WITH {BOXES} SELECT id, CASE WHEN id % 3 = 0 THEN minx - w ELSE minx END AS minx, CASE WHEN id % 3 = 0 THEN maxx + w ELSE maxx END AS maxx FROM (SELECT *, CASE id % 6 WHEN 0 THEN 10 ELSE 3 END AS w FROM boxes)")
+def lines_sql(classes: dict[str, float], names: str) -> str:
+    return f"ways AS (SELECT id, minx AS x1, miny AS y1, maxx AS x2, maxy AS y2, {names} AS class FROM boxes), wide AS (SELECT *, CASE class " + " ".join(f"WHEN '{c}' THEN {w}" for c, w in classes.items()) + " END AS half FROM ways)"
+
+
+def ways(spark, d, names: str):
+    return boxes(spark, d).selectExpr("id", "minx AS x1", "miny AS y1", "maxx AS x2", "maxy AS y2", f"{names} AS class")
+
+
+def name_sql(names: list[str]) -> str:
+    return "CASE id % " + f"{len(names)} " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(names)) + " END"
+
+
+TREE_ON = "SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM trees t JOIN wide w ON x - 500000 BETWEEN least(x1, x2) - half AND greatest(x1, x2) + half AND y - 5200000 BETWEEN least(y1, y2) - half AND greatest(y1, y2) + half, LATERAL (SELECT greatest(0, least(1, ((x - 500000 - x1) * (x2 - x1) + (y - 5200000 - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS s) WHERE pow(x - 500000 - x1 - s * (x2 - x1), 2) + pow(y - 5200000 - y1 - s * (y2 - y1), 2) <= half * half"
+
+ROAD_NAMES = name_sql([*spatial.ROAD_WIDTHS, "footway", "proposed"])
+WATER_NAMES = name_sql([*spatial.WATER_WIDTHS, "lake"])
+
+
+def stems_on(spark, d, names: str, widths: dict[str, float]):
+    t = tables.trees(spark, d).select(*K, (F.col("x") - 500000).alias("x"), (F.col("y") - 5200000).alias("y"))
+    return spatial.within_capsules(t, spatial.capsules(ways(spark, d, names), widths), 50.0, K).select(*K)
+
+
+@query("geo05_stems_on_roads", f"WITH {B.TREES}, {BOXES}, {lines_sql({k: v / 2 for k, v in spatial.ROAD_WIDTHS.items()}, ROAD_NAMES)} {TREE_ON}")
 def _(spark, d):
-    width = F.when(F.col("id") % 3 == 0, F.when(F.col("id") % 6 == 0, 10).otherwise(3))  # lines have a class width, polygons none
-    pad = F.coalesce(width, F.lit(0))
-    return boxes(spark, d).select("id", (F.col("minx") - pad).alias("minx"), (F.col("maxx") + pad).alias("maxx"))
+    return stems_on(spark, d, ROAD_NAMES, spatial.ROAD_WIDTHS)
+
+
+@query("geo06_stems_on_water", f"WITH {B.TREES}, {BOXES}, {lines_sql({k: v / 2 for k, v in spatial.WATER_WIDTHS.items()}, WATER_NAMES)} {TREE_ON}")
+def _(spark, d):
+    return stems_on(spark, d, WATER_NAMES, spatial.WATER_WIDTHS)
+
+
+@query("geo06_water", f"WITH {BOXES}, {lines_sql({k: v / 2 for k, v in spatial.WATER_WIDTHS.items()}, WATER_NAMES)} SELECT id, class, CAST(half AS DOUBLE) AS half, half IS NULL AS is_polygon FROM wide")
+def _(spark, d):
+    """Waterway lines get the half width of their class, polygons (no class) stay as they are."""
+    return spatial.buffered_features(ways(spark, d, WATER_NAMES), spatial.WATER_WIDTHS).select("id", "class", "half", "is_polygon")
 
 
 @query("geo08_union_of_parts", B.trees(f"SELECT DISTINCT {PKEY}, id % 20 AS feature FROM trees t JOIN (WITH {BOXES} SELECT * FROM boxes) b ON t.x - 500000 > minx AND t.x - 500000 < maxx AND t.y - 5200000 > miny AND t.y - 5200000 < maxy"))
@@ -210,11 +243,26 @@ def _(spark, d):
     return generation.expand_plots(c, plots(spark, d), 10.0, seed=7)
 
 
-@query("join10_nearest_plot", f"{CELLS} SELECT row, col, (row * 3 + col) % 50 AS plot, coalesce(k, 0) AS trees FROM cells LEFT JOIN (SELECT s_suppkey % 50 AS plot, count(*) AS k FROM supplier WHERE s_suppkey % 50 <> 0 GROUP BY 1) p ON (row * 3 + col) % 50 = p.plot")
+PLOTS = "surfaced AS (SELECT l.row, l.col, CAST(500000 + (l.col + 0.5) * 10 AS DOUBLE) AS x, CAST(5201000 - (l.row + 0.5) * 10 AS DOUBLE) AS y, CAST(CASE WHEN c.n IS NULL OR c.n % 5 = 0 THEN 0 ELSE (c.row * 3 + c.col) % 50 END AS INT) AS plot_id FROM lattice l LEFT JOIN cells c USING (row, col))"
+SQUARE_KM = grids.Lattice(500000.0, 5201000.0, 10.0, 100, 100)
+
+
+def plot_surface(spark, d):
+    """Plots of the cells, unknown (-9) where the number of stems is a multiple of five."""
+    c = tables.cells(spark, d).select("row", "col", F.when(F.col("n") % 5 == 0, -9).otherwise((F.col("row") * 3 + F.col("col")) % 50).alias("plot"))
+    return grids.plot_surface(c, "plot", SQUARE_KM, nodata=-9)
+
+
+@query("join10_plot_surface", f"{CELLS}, {B.LATTICE}, {PLOTS} SELECT * FROM surfaced")
 def _(spark, d):
-    sizes = tables.table(spark, d, "supplier").filter("s_suppkey % 50 <> 0").groupBy((F.col("s_suppkey") % 50).alias("plot")).agg(F.count("*").alias("k"))
-    c = tables.cells(spark, d).select("row", "col", ((F.col("row") * 3 + F.col("col")) % 50).alias("plot"))  # plot 0 is an anchor without stems
-    return c.join(sizes, "plot", "left").select("row", "col", "plot", F.coalesce("k", F.lit(0)).alias("trees"))
+    return plot_surface(spark, d)
+
+
+@query("join10_nearest_plot", f"{CELLS}, {B.LATTICE}, {PLOTS} SELECT {PKEY}, p.plot_id, round(sqrt(p.far), 4) AS distance FROM (SELECT {PKEY}, arg_min(s.plot_id, (pow(s.x - t.x, 2) + pow(s.y - t.y, 2), -s.row, -s.col)) AS plot_id, min(pow(s.x - t.x, 2) + pow(s.y - t.y, 2)) AS far FROM (SELECT *, row_number() OVER () AS rn FROM located) t, (SELECT a.range - 1 AS dr, b.range - 1 AS dc FROM range(3) a, range(3) b) JOIN surfaced s ON s.row = t.row + dr AND s.col = t.col + dc GROUP BY rn, l_orderkey, l_linenumber, l_partkey, l_suppkey) p")
+def _(spark, d):
+    """The SQL looks for the nearest of all plots around, not for that of the stem's own cell."""
+    out = grids.nearest_plot(tables.trees(spark, d), plot_surface(spark, d), SQUARE_KM)
+    return out.select(*K, "plot_id", F.round("distance", 4).alias("distance"))
 
 
 @query("join11_points_to_blocks", f"WITH {B.POINTS} SELECT CAST(floor(CAST(floor(X * CAST(0.01 AS DOUBLE) / 64) AS INT) / 4) AS INT) AS block_x, CAST(floor(CAST(floor(Y * CAST(0.01 AS DOUBLE) / 64) AS INT) / 4) AS INT) AS block_y, count(*) AS n FROM points GROUP BY 1, 2")
@@ -246,7 +294,11 @@ def _(spark, d):
     return v.select("k", "j", "i", *(F.round(c, 6).alias(c) for c in ("live", "dead", "leaf_area")))
 
 
-@query("vox05_realization_choice")
+def choice_sql(seed: int, n: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5('{seed}:' || {PKEY.replace(', ', " || '/' || ")}), 1, 13) AS BIGINT) % ({n}) AS INT)"
+
+
+@query("vox05_realization_choice", B.trees(f"SELECT {PKEY}, {choice_sql(11, '20')} AS realization FROM trees"))
 def _(spark, d):
     t = tables.trees(spark, d)
     return t.select(*K, voxels.realization_of(11, F.concat_ws("/", *K), F.lit(20)).alias("realization"))
@@ -258,19 +310,23 @@ def _(spark, d):
     return voxels.densify(coarse(spark, d), whole, {"density": 0.0}).select("k", "j", "i", F.round("density", 6).alias("density"))
 
 
-@query("join12_crown_templates")
+from .grid_plans import CROWNS  # noqa: E402
+
+
+@query("join12_crown_templates", f"WITH {B.TREES}, {CROWNS}, classed AS (SELECT *, CAST(floor(dbh / CAST(2.75 AS DOUBLE)) AS INT) AS db FROM kept), members AS (SELECT fia_species_code, db, hb, rb, count(*) AS members FROM classed GROUP BY ALL) SELECT {PKEY}, voxels, {choice_sql(3, 'greatest(1, least(CAST(floor(pow(CAST(voxels AS DOUBLE), 0.8)) AS INT), greatest(1, members), 100))')} AS realization FROM classed JOIN members USING (fia_species_code, db, hb, rb) JOIN counts USING (hb, rb)")
 def _(spark, d):
+    """Each stem with the template of its class (a row per realization and class) that it takes, and its voxels."""
     t = tables.trees(spark, d).filter("dbh IS NOT NULL AND fia_species_code IS NOT NULL").select(*K, *voxels.class_keys())
-    templates = voxels.crown_templates(t.select("species", "dbh_bin", "height_bin", "ratio_bin").distinct(), 2.0, 1.0)
-    sizes = templates.groupBy("species", "dbh_bin", "height_bin", "ratio_bin").agg(F.count("*").alias("layers"))
-    members = t.groupBy("species", "dbh_bin", "height_bin", "ratio_bin").agg(F.count("*").alias("members"))
-    out = t.join(members.join(sizes, ["species", "dbh_bin", "height_bin", "ratio_bin"]), ["species", "dbh_bin", "height_bin", "ratio_bin"])
-    return out.select(*K, "layers", voxels.realization_of(3, F.concat_ws("/", *K), voxels.realizations(F.col("layers"), F.col("members"))).alias("realization"))
+    keys = ["species", "dbh_bin", "height_bin", "ratio_bin"]
+    members = t.groupBy(*keys).agg(F.count("*").alias("members"))
+    sizes = voxels.crown_templates(t.select(*keys).distinct(), 2.0, 1.0).groupBy(*keys).agg(F.count("*").alias("voxels"))
+    classes = members.join(sizes, keys).withColumn("realizations", voxels.realizations(F.col("voxels").cast("double"), F.col("members")))
+    templates = classes.withColumn("realization", F.explode(F.sequence(F.lit(0), F.col("realizations") - 1)))
+    chosen = t.join(classes.select(*keys, "realizations"), keys).withColumn("realization", voxels.realization_of(3, F.concat_ws("/", *K), F.col("realizations")))
+    return chosen.join(templates.select(*keys, "realization", "voxels"), [*keys, "realization"]).select(*K, "voxels", "realization")
 
 
 @query("set06_trees_by_chunk", B.trees(f"SELECT {PKEY}, cy * 8 + cx AS chunk, row_number() OVER (PARTITION BY cy, cx ORDER BY height, {PKEY}) AS place FROM (SELECT *, CAST(floor((5201000 - y) / 128) AS INT) AS cy, CAST(floor((x - 500000) / 128) AS INT) AS cx FROM trees)"))
 def _(spark, d):
-    from pyspark.sql.window import Window
-
     t = tables.trees(spark, d).withColumn("chunk", F.floor((F.lit(5201000.0) - F.col("y")) / 128).cast("int") * 8 + F.floor((F.col("x") - 500000) / 128).cast("int"))
-    return t.select(*K, "chunk", F.row_number().over(Window.partitionBy("chunk").orderBy("height", *K)).alias("place"))
+    return files.numbered(t.select(*K, "chunk", "height"), ["chunk"], ["height", *K], "place").select(*K, "chunk", (F.col("place") + 1).alias("place"))

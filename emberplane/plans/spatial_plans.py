@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import spatial
+from ..operators import lattices, spatial
 from ..registry import query
 from ..sources import tables
 from . import base_sql as B
@@ -34,17 +34,33 @@ def _(spark, d):
     return tables.cells(spark, d).select("row", "col").filter(spatial.inside(F.col("col").cast("double") * 10 + 5, F.col("row").cast("double") * 10 + 5, SQUARE))
 
 
-@query("geo02_cells_touched")
+def touched_sql() -> str:
+    """A cell is touched where its centre is inside or an edge enters its square: the shares of the edge within the square's x and y overlap."""
+    hits = [inside_sql(centre("col"), centre("row"))]
+    for x1, y1, x2, y2 in spatial.edges_of(SQUARE[0]):
+        low, high = ["0"], ["1"]
+        for a, d, c in ((x1, x2 - x1, "col"), (y1, y2 - y1, "row")):
+            ends = [f"({c} * 10 + {k} - {a}) / CAST({d} AS DOUBLE)" for k in (0, 10)]
+            low.append(f"least({', '.join(ends)})")
+            high.append(f"greatest({', '.join(ends)})")
+        hits.append(f"greatest({', '.join(low)}) <= least({', '.join(high)})")
+    return " OR ".join(hits)
+
+
+@query("geo02_cells_touched", B.cells(f"SELECT row, col FROM cells WHERE {touched_sql()}"))
 def _(spark, d):
     cells = tables.cells(spark, d)
     return cells.filter(spatial.box_touched(F.col("col").cast("double") * 10 + 5, F.col("row").cast("double") * 10 + 5, 5.0, SQUARE)).select("row", "col")
 
 
-@query("geo03_cells_strictly_within")
+def corners_sql() -> str:
+    """The polygon is convex: a square is within it where its four corners are on the inner side of every edge."""
+    return " AND ".join(f"({x2 - x1}) * (row * 10 + {dy} - {y1}) - ({y2 - y1}) * (col * 10 + {dx} - {x1}) > 0" for x1, y1, x2, y2 in spatial.edges_of(SQUARE[0]) for dx in (0, 10) for dy in (0, 10))
+
+
+@query("geo03_cells_strictly_within", B.cells(f"SELECT row, col FROM cells WHERE {corners_sql()}"))
 def _(spark, d):
-    x, y = F.col("col").cast("double") * 10 + 5, F.col("row").cast("double") * 10 + 5
-    edge = spatial.box_touched(x, y, 5.0, SQUARE) & (spatial.distance2(x, y, SQUARE[0] + SQUARE[0][:1]) <= 50.0)
-    return tables.cells(spark, d).filter(spatial.inside(x, y, SQUARE) & ~edge).select("row", "col")
+    return tables.cells(spark, d).filter(spatial.box_within(F.col("col").cast("double") * 10 + 5, F.col("row").cast("double") * 10 + 5, 5.0, SQUARE)).select("row", "col")
 
 
 ROAD = [(500000.0, 5200100.0), (500500.0, 5200400.0), (501000.0, 5200350.0)]
@@ -70,11 +86,43 @@ def _(spark, d):
     return spatial.clip_segments(lines, (200.0, 100.0, 600.0, 700.0)).select("id", F.round("x2", 4).alias("x2"), F.round("x1", 4).alias("x1"), "y1")
 
 
-@query("geo10_utm")
+LONLAT = f"{BOXES}, ll AS (SELECT id, -117 + minx / 300 AS lon, 44 + miny / 300 AS lat FROM boxes)"
+
+
+def utm_sql() -> str:
+    """Meridian arc and the classic series in powers of the distance from the central meridian (another one than the library's)."""
+    e2, k0, a = spatial.WGS84_F * (2 - spatial.WGS84_F), 0.9996, 6378137.0
+    ep2 = e2 / (1 - e2)
+    arc = [1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, 3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024, 15 * e2**2 / 256 + 45 * e2**3 / 1024, 35 * e2**3 / 3072]
+    return f"""WITH {LONLAT}, p AS (SELECT id, radians(lat) AS f, cos(radians(lat)) * radians(lon + 117) AS A FROM ll),
+ q AS (SELECT id, A, f, tan(f) AS tn, pow(tan(f), 2) AS T, {ep2!r} * pow(cos(f), 2) AS C, {a} / sqrt(1 - {e2!r} * pow(sin(f), 2)) AS N, {a} * ({arc[0]!r} * f - {arc[1]!r} * sin(2*f) + {arc[2]!r} * sin(4*f) - {arc[3]!r} * sin(6*f)) AS M FROM p)
+ SELECT id, round(500000 + {k0} * N * (A + (1 - T + C) * pow(A, 3) / 6 + (5 - 18*T + T*T + 72*C - 58 * {ep2!r}) * pow(A, 5) / 120), 0) AS easting,
+ round({k0} * (M + N * tn * (A*A / 2 + (5 - T + 9*C + 4*C*C) * pow(A, 4) / 24 + (61 - 58*T + T*T + 600*C - 330 * {ep2!r}) * pow(A, 6) / 720)), 0) AS northing FROM q"""
+
+
+def placed(spark, d):
+    return boxes(spark, d).select("id", (F.lit(-117.0) + F.col("minx") / 300).alias("lon"), (F.lit(44.0) + F.col("miny") / 300).alias("lat"))
+
+
+@query("geo10_utm", utm_sql())
+def _(spark, d):
+    e, n = spatial.utm(F.col("lon"), F.col("lat"), 11)
+    return placed(spark, d).select("id", F.round(e, 0).alias("easting"), F.round(n, 0).alias("northing"))
+
+
+@query("geo10_utm_and_back", f"WITH {LONLAT} SELECT id, round(lon, 8) AS lon, round(lat, 8) AS lat FROM ll")
 def _(spark, d):
-    b = boxes(spark, d).withColumns({"lon": F.lit(-117.0) + F.col("minx") / 300, "lat": F.lit(44.0) + F.col("miny") / 300})
     e, n = spatial.utm(F.col("lon"), F.col("lat"), 11)
-    return b.select("id", F.round(e, 3).alias("easting"), F.round(n, 3).alias("northing"))
+    p = placed(spark, d).select("id", e.alias("e"), n.alias("n"))
+    lon, lat = spatial.lonlat(F.col("e"), F.col("n"), 11)
+    return p.select("id", F.round(lon, 8).alias("lon"), F.round(lat, 8).alias("lat"))
+
+
+@query("geo10_mercator", f"WITH {LONLAT} SELECT id, round(6378137 * radians(lon), 4) AS x, round(6378137 * asinh(tan(radians(lat))), 4) AS y FROM ll")
+def _(spark, d):
+    x, y = spatial.mercator(F.col("lon"), F.col("lat"))
+    back = spatial.from_mercator(x, y)
+    return placed(spark, d).filter((F.abs(back[0] - F.col("lon")) < 1e-9) & (F.abs(back[1] - F.col("lat")) < 1e-9)).select("id", F.round(x, 4).alias("x"), F.round(y, 4).alias("y"))
 
 
 @query("geo11_domain_checks", f"WITH {BOXES} SELECT id, (maxx - minx) * (maxy - miny) AS area, (maxx - minx) * (maxy - miny) <= 2500 AS small, CAST(floor((minx / 10 - 120 + 180) / 6) + 1 AS INT) AS zone FROM boxes")
@@ -94,11 +142,15 @@ def _(spark, d):
     return hit.groupBy(*k).agg(F.min("id").alias("first_id"))
 
 
-@query("geo14_coverage_status", f"WITH {BOXES} SELECT id, CASE WHEN minx >= 100 AND maxx <= 700 AND miny >= 100 AND maxy <= 700 THEN 'full' WHEN maxx < 100 OR minx > 700 OR maxy < 100 OR miny > 700 THEN 'none' ELSE 'partial' END AS status FROM boxes")
+PRODUCTS = "products AS (SELECT s_nationkey AS product, s_suppkey AS part, CAST((s_suppkey * 53) % 800 AS DOUBLE) AS px0, CAST((s_suppkey * 53) % 800 + 120 AS DOUBLE) AS px1, CAST((s_suppkey * 29) % 800 AS DOUBLE) AS py0, CAST((s_suppkey * 29) % 800 + 120 AS DOUBLE) AS py1 FROM supplier)"
+CELL_SPAN = "JOIN range(200) a ON a.range * 10 + 5 BETWEEN {y0} AND {y1} JOIN range(200) b ON b.range * 10 + 5 BETWEEN {x0} AND {x1}"
+
+
+@query("geo14_coverage_status", f"WITH {BOXES}, {PRODUCTS}, want AS (SELECT id, id % 30 AS product, a.range AS r, b.range AS c FROM boxes {CELL_SPAN.format(y0='miny', y1='maxy', x0='minx', x1='maxx')}), have AS (SELECT DISTINCT product, a.range AS r, b.range AS c FROM products {CELL_SPAN.format(y0='py0', y1='py1', x0='px0', x1='px1')}) SELECT id, CASE WHEN min(want.product) NOT IN (SELECT product FROM products) THEN 'no_such_product' WHEN count(h.r) = count(*) THEN 'full' WHEN count(h.r) = 0 THEN 'none' ELSE 'partial' END AS status FROM want LEFT JOIN have h USING (product, r, c) GROUP BY id")
 def _(spark, d):
-    full = (F.col("minx") >= 100) & (F.col("maxx") <= 700) & (F.col("miny") >= 100) & (F.col("maxy") <= 700)
-    none = (F.col("maxx") < 100) | (F.col("minx") > 700) | (F.col("maxy") < 100) | (F.col("miny") > 700)
-    return boxes(spark, d).select("id", F.when(full, "full").when(none, "none").otherwise("partial").alias("status"))
+    """How much of each region the parts of its product cover, by the centres of 10 m cells."""
+    parts = tables.table(spark, d, "supplier").selectExpr("s_nationkey AS product", "CAST((s_suppkey * 53) % 800 AS DOUBLE) AS minx", "CAST((s_suppkey * 53) % 800 + 120 AS DOUBLE) AS maxx", "CAST((s_suppkey * 29) % 800 AS DOUBLE) AS miny", "CAST((s_suppkey * 29) % 800 + 120 AS DOUBLE) AS maxy")
+    return lattices.coverage_status(boxes(spark, d).withColumn("product", F.col("id") % 30), parts, 10.0)
 
 
 @query("geo15_expected_points", f"WITH {BOXES} SELECT id, CAST(0 AS DOUBLE) + round(density * greatest(0, least(maxx, 500) - greatest(minx, 0)) / (maxx - minx), 4) AS expected FROM boxes")
@@ -107,9 +159,17 @@ def _(spark, d):
     return boxes(spark, d).select("id", (F.lit(0.0) + F.round(F.col("density") * share, 4)).alias("expected"))
 
 
-@query("geo16_tile_names", f"WITH {BOXES} SELECT id, 'n' || CAST(ceil(maxy / 10) AS BIGINT) || 'e' || CAST(floor(minx / 10) AS BIGINT) AS tile FROM boxes")
+@query("geo16_tile_names", f"WITH {BOXES} SELECT id, 'n' || CAST(n.range + 1 AS BIGINT) || 'e' || CAST(e.range AS BIGINT) AS tile FROM boxes JOIN range(100) n ON n.range BETWEEN floor(miny / 10) AND ceil(maxy / 10) - 1 JOIN range(100) e ON e.range BETWEEN floor(minx / 10) AND ceil(maxx / 10) - 1")
+def _(spark, d):
+    """All tiles of each region: named by the upper edge and the left edge in steps of the tile."""
+    return spatial.tile_names(boxes(spark, d), 10.0).select("id", "tile")
+
+
+@query("geo16_degree_tile_names", f"WITH {BOXES}, ll AS (SELECT id, -120 + minx / 100 AS w, -120 + maxx / 100 AS e, 40 + miny / 100 AS s, 40 + maxy / 100 AS n FROM boxes) SELECT id, 'n' || CAST(a.range + 1 AS BIGINT) || 'w' || lpad(CAST(-b.range AS VARCHAR), 3, '0') AS tile FROM ll JOIN range(0, 90) a ON a.range BETWEEN floor(s) AND ceil(n) - 1 JOIN range(-180, 0) b ON b.range BETWEEN floor(w) AND ceil(e) - 1")
 def _(spark, d):
-    return boxes(spark, d).select("id", F.format_string("n%de%d", F.ceil(F.col("maxy") / 10), F.floor(F.col("minx") / 10)).alias("tile"))
+    """One-degree tiles by their north-west corner."""
+    ll = boxes(spark, d).select("id", (F.lit(-120.0) + F.col("minx") / 100).alias("minx"), (F.lit(-120.0) + F.col("maxx") / 100).alias("maxx"), (F.lit(40.0) + F.col("miny") / 100).alias("miny"), (F.lit(40.0) + F.col("maxy") / 100).alias("maxy"))
+    return spatial.degree_tile_names(ll).select("id", "tile")
 
 
 @query("join13_footprint_overlap", f"WITH {BOXES} SELECT a.id AS a_id, b.id AS b_id, (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) AS area FROM boxes a JOIN boxes b ON a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy")
@@ -129,13 +189,12 @@ def _(spark, d):
     return b.filter("id % 2 = 0").unionByName(b.filter("id % 2 <> 0")).groupBy("feature").agg(F.min("id").alias("id"))
 
 
-@query("lat03_padded_domains", f"WITH {BOXES} SELECT id, floor(minx / 30) * 30 AS minx, ceil(maxx / 30) * 30 AS maxx FROM boxes")
+@query("lat03_padded_domains", f"WITH {BOXES} SELECT id, floor(minx / 30) * 30 AS minx, floor(miny / 30) * 30 AS miny, ceil(maxx / 30) * 30 AS maxx, ceil(maxy / 30) * 30 AS maxy FROM boxes")
 def _(spark, d):
-    return boxes(spark, d).select("id", (F.floor(F.col("minx") / 30) * 30).cast("double").alias("minx"), (F.ceil(F.col("maxx") / 30) * 30).cast("double").alias("maxx"))
+    return lattices.padded(boxes(spark, d), 30.0).select("id", "minx", "miny", "maxx", "maxy")
 
 
-@query("lat01_lattice_of_boxes", f"WITH {BOXES} SELECT id, greatest(1, CAST(ceil((maxx - minx) / 30) AS BIGINT)) * greatest(1, CAST(ceil((maxy - miny) / 30) AS BIGINT)) AS cells FROM boxes")
+@query("lat01_lattice_of_boxes", f"WITH {BOXES}, sized AS (SELECT id, minx, miny, greatest(1, CAST(ceil((maxx - minx) / 30) AS BIGINT)) AS cols, greatest(1, CAST(ceil((maxy - miny) / 30) AS BIGINT)) AS rows FROM boxes) SELECT id, CAST(a.range AS INT) AS row, CAST(b.range AS INT) AS col, minx + (b.range + 0.5) * 30 AS x, miny + (rows - a.range - 0.5) * 30 AS y FROM sized JOIN range(100) a ON a.range < rows JOIN range(100) b ON b.range < cols")
 def _(spark, d):
-    n = lambda a, b: F.greatest(F.lit(1), F.ceil((F.col(b) - F.col(a)) / 30))
-    b = boxes(spark, d).withColumn("i", F.explode(F.sequence(F.lit(1), n("minx", "maxx")))).withColumn("j", F.explode(F.sequence(F.lit(1), n("miny", "maxy"))))
-    return b.groupBy("id").agg(F.count("*").alias("cells"))
+    """All cells of each region's lattice, anchored at its lower left corner."""
+    return lattices.cells_of(boxes(spark, d), 30.0).select("id", "row", "col", "x", "y")

@@ -7,10 +7,10 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import codes, units
-from ..operators import rules, spatial, stand
+from ..operators import generation, ingest, rules, spatial, stand
 from ..operators.rules import Action, Condition, Rule
 from ..registry import query
-from ..sources import tables
+from ..sources import files, tables
 from . import base_sql as B
 
 KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -30,23 +30,53 @@ def _(spark, d):
     return tables.trees(spark, d).dropna(subset=["dbh", "fia_species_code"]).select(*KEY, "dbh", "fia_species_code")
 
 
-@query("src03_assign_tree_ids", B.trees("SELECT l_orderkey, l_linenumber, count(*) AS copies, CAST(sum(1) OVER () AS BIGINT) IS NOT NULL AS ok FROM trees GROUP BY l_orderkey, l_linenumber"))
+@query("src03_assign_tree_ids", B.trees(f"SELECT {K}, height, CAST(row_number() OVER (ORDER BY {K}, height) - 1 AS INT) AS tree_id FROM trees"))
 def _(spark, d):
-    return tables.trees(spark, d).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("copies")).withColumn("ok", F.lit(True))
+    return files.assign_ids(tables.trees(spark, d).select(*KEY, "height"), [*KEY, "height"])
 
 
-@query("src14_validate_trees", B.trees(f"SELECT {K}, CASE WHEN height > 40 THEN 'height' ELSE '' END || CASE WHEN dbh IS NULL THEN ',dbh' ELSE '' END || CASE WHEN crown_ratio > 0.6 THEN ',crown_ratio' ELSE '' END AS failures FROM trees WHERE height > 40 OR dbh IS NULL OR crown_ratio > 0.6"))
+#: Rules of a stem, each a condition that a good one meets.
+STEM_RULES = {"height": "height IS NOT NULL AND height <= 40", "dbh": "dbh IS NOT NULL", "crown_ratio": "crown_ratio BETWEEN 0 AND 0.6"}
+FAULTS = "CASE WHEN NOT coalesce(height <= 40, false) THEN ['height'] ELSE [] END || CASE WHEN dbh IS NULL THEN ['dbh'] ELSE [] END || CASE WHEN NOT coalesce(crown_ratio BETWEEN 0 AND 0.6, false) THEN ['crown_ratio'] ELSE [] END"
+
+
+@query("src14_validate_trees", B.trees(f"SELECT {K}, array_to_string(faults, ',') AS faults FROM (SELECT *, {FAULTS} AS faults FROM trees) WHERE len(faults) > 0"))
 def _(spark, d):
-    t = tables.trees(spark, d)
-    fails = F.concat(F.when(F.col("height") > 40, "height").otherwise(""), F.when(F.col("dbh").isNull(), ",dbh").otherwise(""), F.when(F.col("crown_ratio") > 0.6, ",crown_ratio").otherwise(""))
-    return t.select(*KEY, fails.alias("failures")).filter("failures <> ''")
+    """All faulty rows with all the rules that they break."""
+    return ingest.faulty(tables.trees(spark, d), STEM_RULES).select(*KEY, F.array_join("faults", ",").alias("faults"))
+
+
+@query("src14_validation_report", B.trees(f"SELECT rule, count(*) AS n FROM (SELECT unnest({FAULTS}) AS rule FROM trees) GROUP BY rule"))
+def _(spark, d):
+    """How many rows break each rule."""
+    return ingest.fault_counts(tables.trees(spark, d), STEM_RULES)
 
 
-@query("src13_ingest_points_geojson", B.trees(f"SELECT {K}, round(x, 2) AS x, round(y, 2) AS y FROM trees"))
+@query("src14_first_faults", B.trees(f"SELECT {K}, array_to_string(faults, ',') AS faults, count(*) OVER () AS total FROM (SELECT *, {FAULTS} AS faults FROM trees) WHERE len(faults) > 0 ORDER BY {K}, faults LIMIT 100"))
 def _(spark, d):
-    feature = F.to_json(F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")))
-    back = F.from_json("geometry", "type string, coordinates array<double>")
-    return tables.trees(spark, d).select(*KEY, feature.alias("geometry")).select(*KEY, back.alias("g")).select(*KEY, F.round(F.col("g.coordinates")[0], 2).alias("x"), F.round(F.col("g.coordinates")[1], 2).alias("y"))
+    """The report of a failed upload: the first 100 faulty rows and how many there are."""
+    return ingest.first_faults(tables.trees(spark, d), STEM_RULES, [*KEY], 100).select(*KEY, F.array_join("faults", ",").alias("faults"), "total")
+
+
+@query("src13_ingest_csv", B.trees(f"SELECT {K}, dbh, height, CAST(NULL AS DOUBLE) AS crown_ratio FROM trees"))
+def _(spark, d):
+    """A CSV with names of its own and a column nobody knows; the optional crown_ratio isn't there."""
+    path = files.shared_path(spark, "upload")
+    t = tables.trees(spark, d).select(*KEY, F.col("dbh").alias("DIA_CM"), F.col("height").alias("HT_M"), F.lit("x").alias("remark"))
+    t.write.option("header", True).csv(path)
+    raw = spark.read.option("header", True).csv(path)
+    kinds = {**{k: "long" for k in KEY}, "l_linenumber": "int", "dbh": "double", "height": "double", "crown_ratio": "double"}
+    return ingest.mapped(raw, {"dbh": "DIA_CM", "height": "HT_M"}, kinds, optional=("crown_ratio",))
+
+
+@query("src13_ingest_points_geojson", B.trees(f"SELECT {K}, round(x + (CASE WHEN l_linenumber % 2 = 0 THEN p ELSE 0 END), 2) AS x, round(y, 2) AS y FROM trees, (SELECT unnest([0, 1]) AS p) WHERE p = 0 OR l_linenumber % 2 = 0"))
+def _(spark, d):
+    """Point features, and for even lines MultiPoints of two places, which become a row each."""
+    place = lambda dx: F.array(F.round(F.col("x") + dx, 2), F.round("y", 2))
+    point, multi = F.to_json(F.struct(F.lit("Point").alias("type"), place(0).alias("coordinates"))), F.to_json(F.struct(F.lit("MultiPoint").alias("type"), F.array(place(0), place(1)).alias("coordinates")))
+    text = F.concat(F.lit('{"type":"Feature","geometry":'), F.when(F.col("l_linenumber") % 2 == 0, multi).otherwise(point), F.lit(',"properties":'), F.to_json(F.struct(*KEY)), F.lit("}"))
+    out = ingest.points_of(tables.trees(spark, d).select(text.alias("feature")), "feature", "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long")
+    return out.select(*KEY, F.round("x", 2).alias("x"), F.round("y", 2).alias("y"))
 
 
 @query("src19_count_rows", "SELECT count(*) AS n FROM lineitem")
@@ -54,9 +84,11 @@ def _(spark, d):
     return tables.table(spark, d, "lineitem").agg(F.count("*").alias("n"))
 
 
-@query("src21_export_geojson", B.trees(f"SELECT {K}, '{{\"type\":\"Point\",\"status\":' || fia_status_code || '}}' AS feature FROM trees"))
+@query("src21_export_geojson", B.trees(f"SELECT {K}, '{{\"type\":\"Feature\",\"geometry\":{{\"type\":\"Point\",\"coordinates\":[' || CAST(CAST(x AS DECIMAL(12, 2)) AS VARCHAR) || ',' || CAST(CAST(y AS DECIMAL(12, 2)) AS VARCHAR) || ']}},\"properties\":{{\"l_orderkey\":' || l_orderkey || ',\"status\":' || fia_status_code || '}}}}' AS feature FROM trees"))
 def _(spark, d):
-    return tables.trees(spark, d).select(*KEY, F.to_json(F.struct(F.lit("Point").alias("type"), F.col("fia_status_code").alias("status"))).alias("feature"))
+    place = lambda c: F.col(c).cast("decimal(12,2)")
+    t = tables.trees(spark, d).select(*KEY, place("x").alias("x"), place("y").alias("y"), F.col("fia_status_code").alias("status"))
+    return t.select(*KEY, ingest.feature(t, ["l_orderkey", "status"]).alias("feature"))
 
 
 for name, op, value, sql in (
@@ -105,10 +137,11 @@ def _(spark, d):
     return rounded(rules.edit_trees(tables.trees(spark, d), seq).select(*KEY, "height"), "height")
 
 
-@query("prj18_schema_mapping", B.trees(f"SELECT {K}, round(dbh * 2.54, 4) AS dbh_cm, round(height * 0.3048, 4) AS height_m, round(coalesce(crown_ratio, 0) / 100, 6) AS cr FROM trees"))
-def _(spark, d):
-    t = tables.trees(spark, d)
-    return t.select(*KEY, F.round(units.convert(F.col("dbh"), "in", "cm"), 4).alias("dbh_cm"), F.round(units.convert(F.col("height"), "ft", "m"), 4).alias("height_m"), F.round(F.coalesce("crown_ratio", F.lit(0.0)) / 100, 6).alias("cr"))
+for version, sql in {"2016": "l_partkey", "2022": "l_suppkey"}.items():
+    @query(f"prj18_schema_mapping_{version}", B.trees(f"SELECT {sql} AS plot_id, l_orderkey AS tree, round(dbh * CAST(2.54 AS DOUBLE), 4) AS dbh, round(height * CAST(0.3048 AS DOUBLE), 4) AS height, round(coalesce(crown_ratio, 0) / 100, 6) AS crown_ratio, round(l_linenumber / CAST(4046.8564224 AS DOUBLE), 9) AS tpa FROM trees"))
+    def _(spark, d, version=version):
+        raw = tables.trees(spark, d).select(F.col("l_partkey").alias("TM_CN"), F.col("l_suppkey").alias("PLT_CN"), F.col("l_orderkey").alias("TREE"), F.col("dbh").alias("DIA"), F.col("height").alias("HT"), F.col("crown_ratio").alias("CR"), F.col("l_linenumber").alias("TPA"))
+        return rounded(rounded(rounded(ingest.plot_trees(raw, version), "dbh", "height"), "crown_ratio", n=6), "tpa", n=9)
 
 
 @query("join03_dedup_lookup", "WITH p AS (SELECT p_partkey % 50 AS plot, min(p_partkey) AS cn FROM part GROUP BY 1) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cn FROM lineitem LEFT JOIN p ON l_suppkey % 60 = plot")
@@ -130,10 +163,18 @@ def _(spark, d):
     return t.join(made, KEY, "left").select(*KEY, F.round(F.coalesce("dbh", "predicted"), 4).alias("dbh"))
 
 
-@query("join06_missing_predictions", B.trees("SELECT count(*) AS n FROM trees WHERE dbh IS NULL AND height > 30"))
+@query("join06_complete_predictions", B.trees("SELECT count(*) AS sent, count(*) AS predicted, 0 AS lost, 0 AS without_height FROM trees WHERE dbh IS NULL"))
 def _(spark, d):
-    t = tables.trees(spark, d).filter("dbh IS NULL")
-    return t.join(t.filter("height <= 30").select(*KEY), KEY, "left_anti").agg(F.count("*").alias("n"))
+    """Every stem that was sent has its prediction, and each has a height; anything else is an error."""
+    sent = files.assign_ids(tables.trees(spark, d).filter("dbh IS NULL").select(*KEY, "height"), [*KEY, "height"])
+    return generation.checked_predictions(sent, sent.select("tree_id", "height"), ["tree_id"], "height")
+
+
+@query("join06_missing_predictions", B.trees("SELECT count(*) AS sent, count(*) FILTER (WHERE height <= 30) AS predicted, count(*) FILTER (WHERE height > 30) AS lost, count(*) FILTER (WHERE height < 5) AS without_height FROM trees WHERE dbh IS NULL"))
+def _(spark, d):
+    sent = files.assign_ids(tables.trees(spark, d).filter("dbh IS NULL").select(*KEY, "height"), [*KEY, "height"])
+    made = sent.filter("height <= 30").select("tree_id", F.when(F.col("height") >= 5, F.col("height")).alias("height"))
+    return generation.prediction_faults(sent, made, ["tree_id"], "height")
 
 
 LAKE = [[(500200.0, 5200200.0), (500800.0, 5200250.0), (500700.0, 5200800.0), (500250.0, 5200700.0)], [(500400.0, 5200400.0), (500500.0, 5200400.0), (500500.0, 5200500.0), (500400.0, 5200500.0)]]
@@ -211,9 +252,13 @@ def _(spark, d):
     return stand.thin_basal_area(tables.trees(spark, d), 100.0, F.col("dbh"), tuple(KEY)).select(*KEY, "dbh")
 
 
-@query("win03_thin_proportional")
+HASH = "CAST(CAST('0x' || substr(md5(" + " || '/' || ".join(KEY) + " || '/7'), 1, 13) AS BIGINT) AS DOUBLE)"
+
+
+@query("win03_thin_proportional", B.trees(f"SELECT {K}, dbh FROM {THIN.format(pi=PI, key=HASH, k=K)} WHERE run <= 100"))
 def _(spark, d):
-    return stand.thin_basal_area(tables.trees(spark, d), 100.0, F.xxhash64(*KEY, F.lit(7)).cast("double"), tuple(KEY)).select(*KEY, "dbh")
+    """In the order of a hash of the stem, so a like share of every size goes."""
+    return stand.thin_basal_area(tables.trees(spark, d), 100.0, stand.shuffled(KEY, 7), tuple(KEY)).select(*KEY, "dbh")
 
 
 @query("win04_thin_scoped", B.trees(f"SELECT {K} FROM trees WHERE NOT (x < 500500) OR dbh >= 30"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,21 +12,55 @@ from pyspark.sql.window import Window
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder that all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    """A new path in the folder that all executors share. Only local mode (tests) may leave spark.checkpoint.dir unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{base.rstrip('/')}/emberplane-{uuid.uuid4().hex}/{tag}"
 
 
-def write_parts(df: DataFrame, part: Column, path: str) -> None:
-    """One file for each value of `part`."""
-    df.withColumn("part", part).repartition("part").write.partitionBy("part").parquet(path)
+def written(df: DataFrame, tag: str = "table") -> DataFrame:
+    """A written copy in the shared folder: it cuts the lineage and outlives any executor."""
+    path = shared_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """df with `name`: 0, 1, ... in each group (without groups: in all), in the given order.
+
+    One range shuffle; a row's number is its place in its sorted partition plus the rows that its group
+    has in earlier partitions. No task holds a whole group. The order must be total."""
+    keys = [*groups, *order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("at_", F.monotonically_increasing_id()), "numbered")
+    laid = laid.withColumn("part_", F.shiftright("at_", 33).cast("int"))
+    counts = laid.groupBy(*groups, "part_").agg(F.count("*").alias("n_"), F.min("at_").alias("first_"))
+    before = (Window.partitionBy(*groups) if groups else Window.partitionBy()).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row per group and partition
+    counts = counts.withColumn("before_", F.coalesce(F.sum("n_").over(before), F.lit(0))).drop("n_")
+    counts = counts.withColumnsRenamed({c: f"{c}_of_" for c in (*groups, "part_")})
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of_")) for c in (*groups, "part_")]
+    return laid.join(counts, same).select(*df.columns, (F.col("at_") - F.col("first_") + F.col("before_")).alias(name))
+
+
+def assign_ids(df: DataFrame, order: list[str], name: str = "tree_id") -> DataFrame:
+    """df with unique int32 ids 0 to n - 1 in a total order."""
+    return numbered(df, [], order, name).withColumn(name, F.col(name).cast("int"))
+
+
+def write_parts(df: DataFrame, part: Column, path: str, key: list[str] | None = None) -> None:
+    """A folder for each value of `part`; its rows lie in several files (by `key`), so that no task writes a whole part."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df.withColumn("part", part).repartition(n, "part", *(key or [c for c in df.columns[:4]])).write.partitionBy("part").parquet(path)
 
 
 def part_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """Per file: part, n (rows), columns. The name comes from the scan's metadata, so no column is read."""
+    """Per part: part, n (rows), columns. The part comes from the folder's name, so no column is read."""
     df = spark.read.parquet(path)
     names = F.array(*(F.lit(c) for c in df.columns if c != "part"))
-    return df.groupBy("part", F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).select("part", "n", names.alias("columns"))
+    return df.groupBy("part").agg(F.count("*").alias("n")).select("part", "n", names.alias("columns"))
 
 
 def read_part(spark: SparkSession, path: str, index: int, columns: list[str]) -> DataFrame:
@@ -38,11 +73,8 @@ def read_part(spark: SparkSession, path: str, index: int, columns: list[str]) ->
 
 
 def running_ids(df: DataFrame, part: str, order: list[str]) -> DataFrame:
-    """Ids that run on from part to part: the sizes of the parts before it plus the place in its own."""
-    before = df.groupBy(part).agg(F.count("*").alias("n_"))
-    before = before.select(part, (F.sum("n_").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))).alias("before_"))
-    place = F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1
-    return df.join(before, part).withColumn("row_id", F.coalesce("before_", F.lit(0)) + place).drop("before_")
+    """Ids that run on from part to part, in order within each."""
+    return numbered(df, [], [part, *order], "row_id")
 
 
 def write_with_summary(df: DataFrame, path: str, **metrics: Column) -> dict:

@@ -41,6 +41,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return located(trees(spark, sf_dir)).groupBy("row", "col").agg(F.count("*").alias("n"), F.avg("height").alias("mean_height"), F.max("height").alias("max_height"))
 
 
+def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occupied 5 m cells (200 x 200) with stem count n, highest z and lowest low."""
+    return located(trees(spark, sf_dir), 5).groupBy("row", "col").agg(F.count("*").alias("n"), F.max("height").alias("z"), F.min("height").alias("low"))
+
+
+def fuel_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fuel codes 91 to 135 of the occupied 5 m cells, in patches, 32767 where missing."""
+    code = "CASE WHEN n % 7 = 3 THEN 32767 ELSE CAST(91 + (row DIV 8 * 7 + col DIV 8 * 13 + n % 3) % 45 AS INT) END"
+    return surface(spark, sf_dir).withColumn("code", F.expr(code))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled integer points of the stems: X, Y, Z at 0.01 m, classification 1 to 7."""
     t = trees(spark, sf_dir)

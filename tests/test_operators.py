@@ -3,25 +3,27 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from emberplane.functions import codes, units
-from emberplane.operators import catalogue, generation, pointcloud, rules, spatial, stand, voxels
+from emberplane.operators import catalogue, generation, grids, ingest, lattices, pointcloud, rules, spatial, stand, voxels
 from emberplane.operators.rules import Action, Condition, Rule
+from emberplane.sources import files
 
 TREES = "tree_id int, x double, y double, dbh double, height double, crown_ratio double, fia_species_code int"
 
 
 @pytest.fixture(scope="module")
 def five(spark):
-    data = [(k, float(k), float(k), d, 10.0 + k, 0.5, 122) for k, d in enumerate((2.0, 10.0, 5.0, 1.0, 30.0))]
+    data = [(k, float(k), float(k), d, 10.0 + k, 0.5, 122) for k, d in enumerate((4.0, 12.0, 7.0, 3.0, 26.0))]
     return spark.createDataFrame([*data, (5, None, None, None, float("nan"), None, None)], TREES)
 
 
 def test_missing_values_in_predicates(five):
     def n(op, nodata=False):
-        return five.filter(rules.predicate(Condition("dbh", op, 10.0), nodata)).count()
+        return five.filter(rules.predicate(Condition("dbh", op, 12.0), nodata)).count()
 
     assert (n("ne"), n("ne", True), n("gt"), n("le")) == (5, 4, 1, 4)
     with pytest.raises(ValueError):
@@ -39,14 +41,14 @@ def test_remove_keeps_rows_without_a_value(five):
 
 
 def test_basal_area_thinning_is_a_strict_prefix(five):
-    kept = stand.thin_basal_area(five, 0.075, -F.col("dbh"), ("tree_id",))
-    assert [r.dbh for r in kept.collect()] == [30.0]
+    kept = stand.thin_basal_area(five, 0.06, -F.col("dbh"), ("tree_id",))
+    assert [r.dbh for r in kept.collect()] == [26.0]
     assert stand.thin_basal_area(five, 99.0, -F.col("dbh"), ("tree_id",)).count() == 5
 
 
 def test_stand_metrics_and_summary(five, spark):
     m = stand.stand_metrics(five, 100.0).first()
-    assert m.n == 5 and m.qmd == pytest.approx(math.sqrt(1030 / 5) / 2.54)
+    assert m.n == 5 and m.qmd == pytest.approx(math.sqrt(894 / 5) / 2.54)
     assert stand.stand_metrics(five.limit(0), 100.0).first().basal_area is None
     s = stand.column_summary(five, ["height"]).first()
     assert (s.n, s.null_count) == (5, 1)
@@ -127,3 +129,148 @@ def test_an_owner_without_limit_never_expires(spark):
     rows = spark.createDataFrame([(1, 1, "completed", "1999-01-01"), (2, 2, "completed", "1999-01-01"), (3, 2, "failed", None)], "id int, owner int, status string, t string").withColumn("modified_on", F.col("t").cast("timestamp"))
     owners = spark.createDataFrame([(1, None, None)], "owner int, ttl int, failed_ttl int")
     assert [r.id for r in catalogue.expired(catalogue.with_ttl(rows, owners), F.lit("2001-09-01").cast("timestamp")).collect()] == [2]
+
+
+def test_thinning_narrows_the_bin_that_is_cut(spark):
+    own = random.Random(1)
+    rows = [(k, own.choice((10.0, 20.0, 20.0, 20.0, 30.0)), k % 7) for k in range(500)]
+    table = spark.createDataFrame(rows, "tree_id int, dbh double, line int")
+    left, want = 4.0, []
+    for k, d, _ in sorted(rows, key=lambda r: (-r[1], r[2], r[0])):
+        left -= math.pi * (d / 200) ** 2
+        if left < 0:
+            break
+        want.append(k)
+    got = stand.thin_basal_area(table, 4.0, -F.col("dbh"), ("line", "tree_id"), bins=4, small=20)
+    assert sorted(r.tree_id for r in got.collect()) == sorted(want)
+
+
+def lattice_of(a):
+    return [(r, c, None if math.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(a)]
+
+
+def as_array(df, value, shape):
+    out = np.full(shape, np.nan)
+    for r in df.collect():
+        out[r["row"], r["col"]] = np.nan if r[value] is None else r[value]
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 256])
+def test_focal_operators_do_not_depend_on_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(grids, "BLOCK", block)
+    own = np.random.default_rng(3)
+    a = own.integers(0, 40, (23, 31)).astype(float)
+    a[own.random(a.shape) < 0.3] = np.nan
+    cells = spark.createDataFrame(lattice_of(a), "row int, col int, z double")
+    pad = lambda x, k, fill: np.pad(x, k, constant_values=fill)
+    near = lambda x, k, fill: np.stack([pad(x, k, fill)[k + r : k + r + x.shape[0], k + c : k + c + x.shape[1]] for r in range(-k, k + 1) for c in range(-k, k + 1)])
+
+    filled = a.copy()
+    for _ in range(2):
+        seen = np.pad(filled, 1, mode="edge")
+        seen = np.stack([seen[r : r + a.shape[0], c : c + a.shape[1]] for r in range(3) for c in range(3)])
+        known = (~np.isnan(seen)).sum(0)
+        filled = np.where(np.isnan(filled) & (known > 0), np.nansum(seen, 0) / np.maximum(known, 1), filled)
+    np.testing.assert_allclose(as_array(grids.fill_gaps(cells, "z", 2), "z", a.shape), filled)
+
+    ground, before = a.copy(), 1
+    for w in (3, 5):
+        low = np.where(np.isnan(ground), np.nan, near(np.where(np.isnan(ground), np.inf, ground), w // 2, np.inf).min(0))
+        opened = near(np.where(np.isnan(low), -np.inf, low), w // 2, -np.inf).max(0)
+        limit = 0.15 if w <= 3 else min((w - before) * 1.0 + 0.15, 2.5)
+        ground, before = np.where(ground - opened > limit, opened, ground), w
+    np.testing.assert_allclose(as_array(grids.bare_ground(cells, "z", 1.0, (3, 5)), "ground", a.shape), ground)
+
+    whole = spark.createDataFrame(lattice_of(np.nan_to_num(a)), "row int, col int, z double")
+    dy, dx = np.gradient(np.nan_to_num(a), 2.0)
+    np.testing.assert_allclose(as_array(grids.slope_aspect(whole, "z", 2.0), "slope", a.shape), np.degrees(np.arctan(np.hypot(dx, dy))))
+
+    known = spark.createDataFrame([(2, 3), (20, 30)], "row int, col int")
+    r, c = np.mgrid[: a.shape[0], : a.shape[1]]
+    far = np.minimum(np.minimum(np.hypot(r - 2, c - 3), np.hypot(r - 20, c - 30)), 9)
+    np.testing.assert_allclose(as_array(grids.distance_to_known(whole, known, 9), "distance", a.shape), far)
+
+
+def test_a_gap_is_no_edge_for_slopes(spark):
+    plane = spark.createDataFrame([(r, c, float(c)) for r in range(5) for c in range(7) if c != 3], "row int, col int, z double")
+    got = {(r.row, r.col): r.slope for r in grids.slope_aspect(plane, "z", 1.0).collect()}
+    assert {c: got[2, c] for c in (0, 1, 2, 4, 5, 6)} == {0: 45.0, 1: 45.0, 2: None, 4: None, 5: 45.0, 6: 45.0}
+
+
+def test_majority_prefers_the_centre_then_the_most_frequent(spark):
+    a = np.full((9, 9), 7.0)
+    a[2:7, 2:7] = 0.0
+    a[0, 0], a[8, 8] = 3.0, 0.0
+    cells = spark.createDataFrame([(r, c, int(v)) for r, c, v in lattice_of(a)], "row int, col int, code int")
+    got = as_array(grids.refill_majority(cells, "code", [0], lambda df: files.written(df)), "code", a.shape)
+    assert (got == np.where(a == 0.0, 7.0, a)).all()
+    alone = spark.createDataFrame([(0, 0, 0), (0, 9, 5)], "row int, col int, code int")
+    assert {r.col: r.code for r in grids.refill_majority(alone, "code", [0], lambda df: files.written(df)).collect()} == {0: 0, 9: 5}
+
+
+def test_lookups_fail_on_unknown_codes(spark):
+    dim = spark.createDataFrame([(910001, 1.0), (920000, 2.0)], "code int, load double")
+    cells = lambda *codes: spark.createDataFrame([(0, k, c) for k, c in enumerate(codes)], "row int, col int, code int")
+    assert [r.load for r in grids.lookup(cells(910001, 910002, -1), "code", dim, -1, strict=True, base=10000).orderBy("col").collect()] == [1.0, None, None]
+    with pytest.raises(ValueError, match="910002"):
+        grids.lookup(cells(910001, 910002), "code", dim, strict=True)
+    with pytest.raises(ValueError, match="930000"):
+        grids.lookup(cells(910002, 930000), "code", dim, strict=True, base=10000)
+
+
+def test_only_used_cells_must_be_finite(spark):
+    c = spark.createDataFrame([(4.0, 2.0), (1.0, 0.0), (None, 0.0), (float("inf"), 1.0)], "a double, b double")
+    value = lambda used: rules.guarded("divide", F.col("a"), F.col("b"), used=used, otherwise=F.lit(-1.0))
+    assert [r[0] for r in c.select(value((F.col("b") > 0) & (F.col("a") < 9))).collect()] == [2.0, -1.0, -1.0, -1.0]
+    for used in (F.col("b") == 0, F.col("b") == 1, None):
+        with pytest.raises(Exception, match="not finite"):
+            c.select(value(used)).collect()
+
+
+def test_predictions_must_be_complete(spark):
+    sent = spark.range(5).withColumnRenamed("id", "tree_id")
+    made = sent.withColumn("height", F.lit(3.0))
+    assert tuple(generation.checked_predictions(sent, made, ["tree_id"], "height").first()) == (5, 5, 0, 0)
+    for bad in (made.filter("tree_id > 0"), made.unionByName(made.limit(1)), made.withColumn("height", F.when(F.col("tree_id") > 1, 1.0))):
+        with pytest.raises(ValueError):
+            generation.checked_predictions(sent, bad, ["tree_id"], "height")
+
+
+def test_numbering_over_partitions(spark):
+    own = random.Random(6)
+    rows = [(own.choice(["a", "a", "a", "b", None]), own.random()) for _ in range(300)]
+    got = files.numbered(spark.createDataFrame(rows, "g string, v double"), ["g"], ["v"], "i").collect()
+    for g in ("a", "b", None):
+        mine = sorted((r.v, r.i) for r in got if r.g == g)
+        assert [i for _, i in mine] == list(range(len(mine)))
+    ids = files.assign_ids(spark.createDataFrame(rows, "g string, v double"), ["v"])
+    assert ids.schema["tree_id"].dataType.simpleString() == "int" and [r.tree_id for r in ids.orderBy("v").collect()] == list(range(300))
+
+
+def test_polygon_join_meets_only_near_edges(spark):
+    own = random.Random(8)
+    rings = {k: [(100 + 90 * math.cos(t + k) * own.uniform(0.3, 1), 100 + 90 * math.sin(t + k) * own.uniform(0.3, 1)) for t in (0, 0.7, 1.4, 2.6, 3.3, 4.5, 5.4)] for k in range(4)}
+    edges = spark.createDataFrame([(k, *e) for k, ring in rings.items() for e in spatial.edges_of(ring)], "feature_id int, x1 double, y1 double, x2 double, y2 double")
+    points = [(k, own.uniform(0, 200), own.uniform(0, 200)) for k in range(600)]
+    got = {(r.id, r.feature_id) for r in spatial.polygon_join(spark.createDataFrame(points, "id int, x double, y double"), edges, 13.0).collect()}
+
+    def inside(x, y, ring):
+        return sum(min(b, d) <= y < max(b, d) and x < a + (y - b) * (c - a) / (d - b) for a, b, c, d in spatial.edges_of(ring)) % 2 == 1
+
+    assert got == {(k, f) for k, x, y in points for f, ring in rings.items() if inside(x, y, ring)}
+
+
+def test_ingest_reports_and_errors(spark):
+    raw = spark.createDataFrame([("1", "2.5", "x")], "ID string, DIA string, remark string")
+    assert ingest.mapped(raw, {"tree_id": "ID", "dbh": "DIA"}, {"tree_id": "int", "dbh": "double", "height": "double"}, ("height",)).first().asDict() == {"tree_id": 1, "dbh": 2.5, "height": None}
+    with pytest.raises(ValueError, match="height"):
+        ingest.mapped(raw, {"tree_id": "ID"}, {"tree_id": "int", "height": "double"})
+    line = spark.createDataFrame([('{"geometry":{"type":"LineString","coordinates":[[0,0],[1,1]]},"properties":{}}',)], "feature string")
+    with pytest.raises(Exception, match="no points"):
+        ingest.points_of(line, "feature", "a int").collect()
+    with pytest.raises(ValueError):
+        ingest.feature(raw, ["ID"])
+    with pytest.raises(ValueError):
+        lattices.stacked(spark.createDataFrame([(0, 0, 1.0)], "row int, col int, slope double"), {"slope": 1, "aspect": 1}, (0, 0), 1, 1)
+    assert grids.method_of("a", "categorical") == "nearest" and grids.method_of("a", "continuous", {"a": "mode"}, "cubic") == "mode" and grids.method_of("b", "categorical", {"a": "mode"}, "cubic") == "cubic"
