@@ -203,7 +203,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         ends = now.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
         loose = ends.groupBy("x").agg(F.sum("out").alias("o"), F.max("into").alias("i")).filter("o > 1 OR (o = 1 AND i = 1)")
         if loose.isEmpty():
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            _made[out] = _made[now]
+            return out
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("w")).select("u", F.least("u", "w").alias("w"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("w").alias("v")).distinct()

@@ -17,7 +17,7 @@ the exact intersection.
   min(a - i, b - j) shingles to share at most. A pair within the threshold passes at its first.
 * Where a prefix shingle has k members, not all k^2 pairs are made. Each round takes leaders of each
   shingle, those whose place of it is first (a document that its copies vary has the fewest shingles
-  of its own): one in the first round, then four times as many. Members are paired with leaders,
+  of its own): one in the first round, then 32 times as many in each. Members are paired with leaders,
   links are joined into components, and pairs within one component need no test, as they could not
   change the result. A leader has then met all members and leaves; a shingle whose members are
   all in one component is settled. Rounds go on until no shingle is left.
@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import components, discard, shingle_sets, text_lengths, written
 
-SLICE_BYTES, BUCKET_SHINGLES, GROWTH = 4 << 20, 1 << 20, 4
+SLICE_BYTES, BUCKET_SHINGLES, GROWTH = 4 << 20, 1 << 20, 32
 U32 = np.uint64(32)
 
 
@@ -167,50 +167,51 @@ def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of the pairs (a, b) those whose similarity reaches num / den, by their whole sets."""
+    """Of the pairs (a, b) of components (u, v) those whose similarity reaches num / den, by their whole sets."""
 
     def test(batches):
         for batch in batches:
             hold = [similar(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), num, den) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(hold, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(hold, pa.bool_()))
 
     side = {x: sets.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"}
-    return pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    return pairs.join(side["a"], "a").join(side["b"], "b").select("u", "v", "sa", "sb").mapInArrow(test, "u long, v long")
 
 
-def linked(known: DataFrame, num: int, den: int) -> DataFrame:
-    """Components (node, component) of the classes known(id, n, toks, poss, shingles)."""
+def linked(known: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Components of the classes known(id, n, toks, poss, shingles), round by round: (node, component) tables, each
+    of which sends components of the rounds before it (at first: ids) to what they have grown to."""
     posting = known.select("id", "n", F.explode(F.arrays_zip("toks", "poss")).alias("p")).select("id", "n", F.col("p.toks").alias("tok"), F.col("p.poss").alias("pos"))
     shared = posting.groupBy("tok").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("tok")
     open_ = written(posting.join(shared, "tok").withColumn("comp", F.col("id")), "open")
     sets = written(known.select("id", "shingles").join(open_.select("id").distinct(), "id", "left_semi"), "sets")
 
-    cols, fits = ["id", "n", "pos", "comp"], may_link(num, den)
-    links = comp = tested = None
-    turn = 0
+    cols, fits, grown = ["id", "n", "pos", "comp"], may_link(num, den), []
+    tested, done = None, []
     while not open_.isEmpty():
+        turn = len(grown)
         seat = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(GROWTH**turn))
         first = F.col("pos") * (1 << 20) + F.pmod(F.xxhash64("id"), F.lit(1 << 20))
         lead = open_.withColumn("first", first).groupBy("tok", seat.alias("seat")).agg(*(F.min_by(x, "first").alias(f"l_{x}") for x in cols)).drop("seat")
         pairs = open_.join(lead, "tok").filter((F.col("l_comp") != F.col("comp")) & fits)
-        pairs = pairs.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
+        ids, comps = ("l_id", "id"), ("l_comp", "comp")
+        pairs = pairs.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b"), F.least(*comps).alias("u"), F.greatest(*comps).alias("v")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
+        done.append(pairs)
         tested = pairs if tested is None else tested.unionByName(pairs)
-        found = written(verified(pairs, sets, num, den), "links")
-        links = found if links is None else links.unionByName(found)
-        was, comp = comp, components(links)
-        discard(was)
+        found = written(verified(pairs, sets, num, den).distinct(), "links")
+        grown.append(components(found, "u", "v"))
+        discard(found)
         # Leaders have met all members; what is left counts while its members lie in several components.
-        now = open_.drop("comp").join(lead.select("tok", F.col("l_id").alias("id")), ["tok", "id"], "left_anti")
-        now = now.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        now = open_.join(lead.select("tok", F.col("l_id").alias("id")), ["tok", "id"], "left_anti")
+        now = now.join(grown[-1].withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
         mixed = now.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("tok")
         was, open_ = open_, written(now.join(mixed, "tok", "left_semi"), "open")
         discard(was)
-        turn += 1
-    discard(open_, sets)
-    return comp if comp is not None else known.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    discard(open_, sets, *done)
+    return grown
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -230,12 +231,16 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     first = made.filter("k1 IS NOT NULL").groupBy("k1", "k2").agg(F.min("id").alias("rep"))
     known = made.filter("k1 IS NOT NULL").join(first, ["k1", "k2"]).filter("id = rep").dropDuplicates(["id", "k1", "k2"])
     known = written(known.select("id", "n", "toks", "poss", "shingles"), "classes")
-    comp = linked(known, num, den)
+    grown = linked(known, num, den)
+    discard(known)
 
     about = made.groupBy("sha").agg(F.max("n").alias("n_shingles"), F.min("id").alias("id"), F.max("k1").alias("k1"), F.max("k2").alias("k2"))
     about = about.join(first, ["k1", "k2"], "left").withColumn("rep", F.coalesce("rep", "id"))
-    about = about.join(comp.withColumnsRenamed({"node": "rep", "component": "comp"}), "rep", "left")
+    about = about.withColumn("comp", F.col("rep"))
+    for step in grown:
+        about = about.join(step.withColumnRenamed("node", "comp"), "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
     # An empty set links with nothing: each such row is its own class.
-    about = written(about.select("sha", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), "comp"), "about")
+    about = written(about.select("sha", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("rep")).alias("rep"), F.when(F.col("n_shingles") > 0, F.col("comp")).alias("comp")), "about")
+    discard(made, *grown)
     own = own.join(about, "sha")  # both sides dealt anew, so that the copies of one text can be split
     return own.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
