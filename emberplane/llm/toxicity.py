@@ -2,7 +2,7 @@
 
 Two models of byte sequences, of toxic and of ordinary texts, score every text. The difference of
 the two log-likelihoods is normalised by length twice: over the whole text (by the square root of
-its length) and over each run of `WINDOW` bytes, of which the highest counts, so that one
+its length) and over each run of one of `WINDOWS` bytes, of which the highest counts, so that one
 expression shows in a long text. The score is a logistic function of both and of the log of the
 length (a longer text has higher runs by chance). Bytes rather than words, so that compounds and inflections of an expression
 share its counts. Each model predicts a byte from the five before it, with absolute discounts;
@@ -15,7 +15,7 @@ hash of the id) and 2^18 hashed cells of shared counts. Every run of bytes of th
 own counts, single ones too, and the discounts alone decide what backs off; the table that is
 broadcast thus grows with the text of the training rows, by 24 to 48 bytes per distinct run (40 to
 80 while the discount is chosen). One fifth of the training rows is kept out of the counts; it chooses the
-discount and fits the logistic function.
+discount and the length of the runs, by the least loss, and fits the logistic function.
 
 Null texts and those under six bytes have differences of zero. Without rows of both classes
 every score is 0. Rows that share an id are scored each for itself; a document with several
@@ -34,7 +34,7 @@ from .common import LOWER, mix, slices, text_buffer, written
 ORDER = 6
 CELL_BITS = 18
 DISCOUNTS = (0.25, 0.75, 1.5)
-WINDOW = 12
+WINDOWS = (8, 12, 20, 32)
 
 
 def sequences(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,8 +187,8 @@ class Model:
         self.five = lookup(five, places[1], lambda keys, n: level(keys, None, freed(five, keys), [1.0, 1.0]))
         self.three = lookup(three, places[2], lambda keys, n: lows(keys))
 
-    def differences(self, text: pa.Array) -> np.ndarray:
-        """Per text: the difference over the root of its length, the highest mean of a run, log length."""
+    def differences(self, text: pa.Array, windows: tuple[int, ...] = WINDOWS) -> np.ndarray:
+        """Per text: the difference over the root of its length, log length, the highest mean of a run of each length."""
         key, s, e = sequences(text)
         gain, hit = self.six.get(key)
         miss = np.flatnonzero(~hit)
@@ -196,13 +196,16 @@ class Model:
         total = np.concatenate([[0.0], np.cumsum(gain)])
         n = e - s
         whole = (total[e] - total[s]) / np.sqrt(np.maximum(n, 1))
-        top = whole / np.sqrt(np.maximum(n, 1))  # of texts shorter than a run
-        long = np.flatnonzero(n > WINDOW)
-        if len(long):
-            run = (total[WINDOW:] - total[:-WINDOW]) / WINDOW
-            edges = np.stack([s[long], e[long] - WINDOW + 1], 1).ravel()
-            top[long] = np.maximum.reduceat(np.append(run, -np.inf), edges)[::2]
-        return np.stack([whole, top, np.log1p(n)], 1)
+        tops = []
+        for window in windows:
+            top = whole / np.sqrt(np.maximum(n, 1))  # of texts shorter than a run
+            long = np.flatnonzero(n > window)
+            if len(long):
+                run = (total[window:] - total[:-window]) / window
+                edges = np.stack([s[long], e[long] - window + 1], 1).ravel()
+                top[long] = np.maximum.reduceat(np.append(run, -np.inf), edges)[::2]
+            tops.append(top)
+        return np.stack([whole, np.log1p(n), *tops], 1)
 
 
 def fit(docs: DataFrame, labelled: DataFrame) -> list[Model] | None:
@@ -273,7 +276,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
     spark = docs.sparkSession.sparkContext
     shared = spark.broadcast(models)
-    names = [f"z{k}" for k in range(3 * len(DISCOUNTS))]
+    width = 2 + len(WINDOWS)
+    names = [f"z{k}" for k in range(width * len(DISCOUNTS))]
 
     def measure(batches):
         for batch in batches:
@@ -282,9 +286,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
                 yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, z.T)], ["x", *names])
 
     fold = rows.filter("fold = 0").select(F.col("toxic").cast("long").alias("x"), "text").mapInArrow(measure, "x long, " + ", ".join(f"{z} double" for z in names)).toPandas()
-    fits = [logistic(fold[names[3 * k : 3 * k + 3]].to_numpy(), fold.x.to_numpy()) for k in range(len(DISCOUNTS))]
-    which = min(range(len(fits)), key=lambda k: fits[k][1])
-    weights = fits[which][0]
+    fits = {}
+    for k in range(len(DISCOUNTS)):
+        for j, window in enumerate(WINDOWS):
+            own = [names[width * k + c] for c in (0, 2 + j, 1)]
+            fits[k, window] = logistic(fold[own].to_numpy(), fold.x.to_numpy())
+    which, window = min(fits, key=lambda x: fits[x][1])
+    weights = fits[which, window][0]
     # Back to the share of toxic rows among all labels, where one class was thinned more.
     weights[-1] += float(np.log(share[0] / share[1]))
     chosen = spark.broadcast(models[which])
@@ -292,7 +300,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     def score(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                z = np.clip(chosen.value.differences(part.column(1)) @ weights[:-1] + weights[-1], -500, 500)
+                z = chosen.value.differences(part.column(1), (window,))[:, [0, 2, 1]]
+                z = np.clip(z @ weights[:-1] + weights[-1], -500, 500)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-z)))], ["doc_id", "score"])
 
     return docs.mapInArrow(score, "doc_id long, score double")
