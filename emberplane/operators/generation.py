@@ -14,6 +14,12 @@ def uniform(seed: int, *keys: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def digest_uniform(seed: int, *keys: Column) -> Column:
+    """As uniform, from the first 52 bits of the MD5 digest of "seed:key:...", which other engines have too; slower."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
 def poisson(mean: Column, u: Callable[[Column], Column], part: float = 30.0, most: int = 150) -> Column:
     """A Poisson number of any mean: the sum of the draws of equal parts with means up to `part`, the j-th by
     the inverse distribution function at u(j). A part is above `most` with a chance under 1e-50."""
@@ -30,12 +36,13 @@ def poisson(mean: Column, u: Callable[[Column], Column], part: float = 30.0, mos
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + draw(j))
 
 
-def expand_plots(cells: DataFrame, plots: DataFrame, cell: float, seed: int) -> DataFrame:
+def expand_plots(cells: DataFrame, plots: DataFrame, cell: float, seed: int, draw: Callable[..., Column] = uniform) -> DataFrame:
     """cells(row, col, plot) and plots(plot, tree, tpa: stems per hectare) to stems(row, col, stem, plot, tree, x, y).
 
     Stems of a cell are Poisson with the plot's stems per hectare times its area; each draws a tree of the
     plot in proportion to tpa and a place in the cell. Cells without a plot stay empty. Stem and tree meet
     on the plot and a band of the summed tpa as wide as the plot's mean: a plot of n trees has 2 n bands at most.
+    draw(seed, *keys) gives the uniform numbers.
     """
     order = Window.partitionBy("plot").orderBy("tree")
     total = plots.groupBy("plot").agg(F.sum("tpa").alias("total_"), F.count("*").alias("trees_"))
@@ -46,12 +53,12 @@ def expand_plots(cells: DataFrame, plots: DataFrame, cell: float, seed: int) ->
     drawn = drawn.join(total, "plot").withColumn("hi_", F.when(F.col("last_"), F.lit(float("inf"))).otherwise(F.col("hi_")))
     ends = F.when(F.col("last_"), F.greatest(band("lo_"), F.col("trees_"))).otherwise(band("hi_"))
     drawn = drawn.withColumn("band_", F.explode(F.sequence(band("lo_"), ends))).select("plot", "band_", "tree", "lo_", "hi_")
-    stems = cells.join(total, "plot").withColumn("n_", poisson(F.col("total_") * F.lit(cell * cell / 10_000), lambda j: uniform(seed, F.col("row"), F.col("col"), j)))
+    stems = cells.join(total, "plot").withColumn("n_", poisson(F.col("total_") * F.lit(cell * cell / 10_000), lambda j: draw(seed, F.col("row"), F.col("col"), j)))
     stems = stems.filter("n_ > 0").withColumn("stem", F.explode(F.sequence(F.lit(1), F.col("n_"))))
     key = [F.col("row"), F.col("col"), F.col("stem")]
-    stems = stems.withColumn("at_", uniform(seed + 1, *key) * F.col("total_")).withColumn("band_", band("at_"))
+    stems = stems.withColumn("at_", draw(seed + 1, *key) * F.col("total_")).withColumn("band_", band("at_"))
     picked = stems.join(drawn, ["plot", "band_"]).filter((F.col("at_") >= F.col("lo_")) & (F.col("at_") < F.col("hi_")))
-    return picked.select("row", "col", "stem", "plot", "tree", ((F.col("col") + uniform(seed + 2, *key)) * cell).alias("x"), ((F.col("row") + uniform(seed + 3, *key)) * cell).alias("y"))
+    return picked.select("row", "col", "stem", "plot", "tree", ((F.col("col") + draw(seed + 2, *key)) * cell).alias("x"), ((F.col("row") + draw(seed + 3, *key)) * cell).alias("y"))
 
 
 def impute(trees: DataFrame, predictions: DataFrame, keys: list[str], columns: dict[str, tuple[str, float]]) -> DataFrame:

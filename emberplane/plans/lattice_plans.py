@@ -223,13 +223,22 @@ def _(spark, d):
     return hit.groupBy(*K, (F.col("feature_id") % 20).alias("feature")).agg(F.bool_or(F.lit(True)).alias("in")).drop("in")
 
 
-@query("geo12_greedy_cover")
+COVER = f"""WITH RECURSIVE {BOXES}, named AS (SELECT 's' || id AS name, CAST(density AS DOUBLE) AS density, minx, miny, maxx, maxy FROM boxes),
+ held AS (SELECT name, density, r.range * 1000 + c.range AS cell FROM named, range(60) r, range(60) c WHERE r.range * 20 + 10 BETWEEN miny AND maxy AND c.range * 20 + 10 BETWEEN minx AND maxx),
+ least_gain AS (SELECT greatest(1, 0.0001 * count(DISTINCT cell)) AS least FROM held),
+ turn AS (SELECT -1 AS place, CAST([] AS BIGINT[]) AS taken, '' AS name, CAST(0 AS DOUBLE) AS density
+  UNION ALL SELECT place + 1, list_concat(taken, gained), name, density FROM (SELECT t.place, t.taken, h.name, h.density, list(h.cell) AS gained FROM turn t, held h, least_gain
+   WHERE NOT list_contains(t.taken, h.cell) GROUP BY t.place, t.taken, h.name, h.density, least HAVING count(*) >= least) QUALIFY row_number() OVER (ORDER BY len(gained) DESC, density DESC, name) = 1)
+ SELECT name, CAST(place AS BIGINT) AS place, density FROM turn WHERE place >= 0"""
+
+
+@query("geo12_greedy_cover", COVER)
 def _(spark, d):
     b = boxes(spark, d).withColumn("name", F.concat(F.lit("s"), F.col("id")))
     covered = lattices.boxes_on_cells(b, 20.0).select((F.col("row") * 1000 + F.col("col")).alias("cell"), "name")
     chosen = spatial.greedy_choice(covered, b.select("name", "density"))
-    placed = chosen.orderBy(F.desc("n"), F.desc("density"), "name").select("name", "density").rdd.zipWithIndex()
-    return spark.createDataFrame(placed.map(lambda r: (r[0][0], r[1], r[0][1])), "name string, place int, density double")
+    ranked = chosen.select("name", "density", (-F.col("n")).alias("less"), (-F.col("density")).alias("thin"))
+    return files.numbered(ranked, [], ["less", "thin", "name"], "place").select("name", "place", "density")
 
 
 def plots(spark, d):
@@ -237,10 +246,29 @@ def plots(spark, d):
     return li.groupBy((F.col("l_suppkey") % 50).alias("plot"), F.col("l_partkey").alias("tree")).agg((F.sum("l_quantity") / F.count("*")).alias("tpa"))
 
 
-@query("gen01_expand_plots")
+def digest_sql(seed: int, *keys: str) -> str:
+    return f"CAST('0x' || substr(md5('{seed}' || " + " || ".join(f"':' || {k}" for k in keys) + "), 1, 13) AS BIGINT) / CAST(4503599627370496 AS DOUBLE)"
+
+
+EXPANDED = f"""{CELLS}, planted AS (SELECT row, col, CAST((row * 3 + col) % 50 AS BIGINT) AS plot FROM cells),
+ tpas AS (SELECT l_suppkey % 50 AS plot, l_partkey AS tree, CAST(sum(l_quantity) AS DOUBLE) / count(*) AS tpa FROM lineitem GROUP BY 1, 2),
+ totals AS (SELECT plot, sum(tpa) AS total, CAST(ceil(sum(tpa) / 100 / 30) AS INT) AS parts FROM tpas GROUP BY 1),
+ steps AS (SELECT plot, k.range AS k, sum(exp(k.range * ln(total / 100 / parts) - total / 100 / parts - lgamma(k.range + 1))) OVER (PARTITION BY plot ORDER BY k.range) AS below FROM totals, range(151) k),
+ parted AS (SELECT row, col, plot, {digest_sql(7, "row", "col", "j.range")} AS u FROM planted JOIN totals USING (plot), range(1, 400) j WHERE j.range <= parts),
+ sizes AS (SELECT row, col, p.plot, count(*) AS n FROM parted p JOIN steps s ON s.plot = p.plot AND s.below <= p.u GROUP BY ALL),
+ stems AS (SELECT row, col, plot, k.range AS stem, {digest_sql(8, "row", "col", "k.range")} * total AS at FROM sizes JOIN totals USING (plot), LATERAL (SELECT unnest(range(1, n + 1)) AS range) k),
+ ladder AS (SELECT plot, tree, sum(tpa) OVER (PARTITION BY plot ORDER BY tree) - tpa AS lo FROM tpas),
+ grown AS (SELECT row, col, stem, s.plot, tree, (col + {digest_sql(9, "row", "col", "stem")}) * 10 AS x, (row + {digest_sql(10, "row", "col", "stem")}) * 10 AS y FROM stems s ASOF JOIN ladder l ON s.plot = l.plot AND s.at >= l.lo)
+ SELECT row, col, plot, count(*) AS stems, CAST(sum(tree * stem) AS BIGINT) AS trees, round(min(x), 6) AS min_x, round(max(x), 6) AS max_x, round(min(y), 6) AS min_y, round(max(y), 6) AS max_y FROM grown GROUP BY ALL"""
+
+
+@query("gen01_expand_plots", EXPANDED)
 def _(spark, d):
+    """Per cell a digest of its stems, all of which are drawn: how many, which trees, and between which places."""
     c = tables.cells(spark, d).select("row", "col", ((F.col("row") * 3 + F.col("col")) % 50).cast("long").alias("plot"))
-    return generation.expand_plots(c, plots(spark, d), 10.0, seed=7)
+    stems = generation.expand_plots(c, plots(spark, d), 10.0, seed=7, draw=generation.digest_uniform)
+    ends = [F.round(f(c), 6).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("min", F.min), ("max", F.max))]
+    return stems.groupBy("row", "col", "plot").agg(F.count("*").alias("stems"), F.sum(F.col("tree") * F.col("stem")).alias("trees"), *ends)
 
 
 PLOTS = "surfaced AS (SELECT l.row, l.col, CAST(500000 + (l.col + 0.5) * 10 AS DOUBLE) AS x, CAST(5201000 - (l.row + 0.5) * 10 AS DOUBLE) AS y, CAST(CASE WHEN c.n IS NULL OR c.n % 5 = 0 THEN 0 ELSE (c.row * 3 + c.col) % 50 END AS INT) AS plot_id FROM lattice l LEFT JOIN cells c USING (row, col))"

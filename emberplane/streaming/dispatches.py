@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.files import shared_path
+
 
 def weekly(events: DataFrame) -> DataFrame:
     """Events per user and ISO week; windows of seven days start on Mondays (the epoch is a Thursday)."""
@@ -24,8 +23,7 @@ def current(events: DataFrame) -> DataFrame:
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all there is and return the last state of its result, written by foreachBatch."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     last = {}
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -39,8 +37,7 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 def appended(stream: DataFrame) -> DataFrame:
     """Run a stream over all there is and return every row it gave; a batch that is run again replaces itself."""
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = shared_path(spark, "stream")
     spark.createDataFrame([], stream.schema).write.parquet(f"{out}/rows/batch=-1")
 
     def keep(batch: DataFrame, number: int) -> None:
@@ -50,10 +47,15 @@ def appended(stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{out}/rows").select(*stream.columns)
 
 
-def uploads(stream: DataFrame, path: str, size: str, largest: int) -> DataFrame:
-    """New objects once each by path, with their verdict: completed, or failed where empty, unknown or too large."""
+def uploads(stream: DataFrame, path: str, size: str, largest: int, time: str | None = None, again: str | None = None) -> DataFrame:
+    """New objects once each by path, with their verdict: completed, or failed where empty, unknown or too large.
+
+    With a `time` column and the longest delay `again` of a second delivery ("7 days"), a path is forgotten when
+    the watermark has passed it by that delay, so the state is bounded by the traffic of that time; without, no
+    path is ever forgotten, and the state grows with the number of paths."""
     ok = F.col(size).isNotNull() & (F.col(size) > 0) & (F.col(size) <= largest)
-    return stream.dropDuplicates([path]).select(path, F.when(ok, "completed").otherwise("failed").alias("status"))
+    once = stream.withWatermark(time, again).dropDuplicatesWithinWatermark([path]) if time and again else stream.dropDuplicates([path])
+    return once.select(path, F.when(ok, "completed").otherwise("failed").alias("status"))
 
 
 def tile_offsets(stream: DataFrame) -> DataFrame:
