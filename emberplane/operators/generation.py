@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources import files
+
 
 def uniform(seed: int, *keys: Column) -> Column:
     """A number in [0, 1) that depends on the keys only, so alike however the table is partitioned."""
@@ -20,44 +22,58 @@ def digest_uniform(seed: int, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
-def poisson(mean: Column, u: Callable[[Column], Column], part: float = 30.0, most: int = 150) -> Column:
-    """A Poisson number of any mean: the sum of the draws of equal parts with means up to `part`, the j-th by
-    the inverse distribution function at u(j). A part is above `most` with a chance under 1e-50."""
+def poisson_steps(mean: Column, most: int = 150) -> Column:
+    """P(N <= k) for k = 0 to `most` as an array, of a Poisson number N with a mean up to 30, which is above 150
+    with a chance under 1e-50."""
     def step(acc, k):
-        p = F.when(k == 0, F.exp(-acc["m"])).otherwise(acc["p"] * acc["m"] / k)
-        total = acc["t"] + p
-        return F.struct(acc["m"].alias("m"), p.alias("p"), total.alias("t"), (acc["n"] + (total <= acc["u"]).cast("int")).alias("n"), acc["u"].alias("u"))
+        p = F.when(k == 0, F.exp(-mean)).otherwise(acc["p"] * mean / k)
+        return F.struct(p.alias("p"), (acc["t"] + p).alias("t"), F.array_append(acc["out"], acc["t"] + p).alias("out"))
+
+    start = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("t"), F.array().cast("array<double>").alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, step, lambda a: a["out"])
+
+
+def poisson(steps: Column, parts: Column, u: Callable[[Column], Column]) -> Column:
+    """The sum of `parts` Poisson numbers, the j-th by the inverse distribution function (poisson_steps) at u(j)."""
+    drawn = F.transform(F.sequence(F.lit(1), parts), lambda j: F.least(u(j), F.lit(1 - 1e-13)))
+    return F.aggregate(F.transform(drawn, lambda v: F.size(F.filter(steps, lambda c: c <= v))), F.lit(0), lambda n, k: n + k)
 
-    def draw(j):
-        start = F.struct((mean.cast("double") / parts).alias("m"), F.lit(0.0).alias("p"), F.lit(0.0).alias("t"), F.lit(0).alias("n"), F.least(u(j), F.lit(1 - 1e-13)).alias("u"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, step, lambda a: a["n"])
 
-    parts = F.greatest(F.lit(1), F.ceil(mean / F.lit(part)).cast("int"))
-    return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, j: n + draw(j))
+def _beside(table: DataFrame, most: int) -> DataFrame:
+    """A written table to join a longer one with: broadcast if it has `most` rows or fewer, else hashed in shuffled
+    parts. Left to itself, Spark sizes rows that an explode makes by the rows before it, and may broadcast those."""
+    return F.broadcast(table) if table.count() <= most else table.hint("shuffle_hash")
 
 
 def expand_plots(cells: DataFrame, plots: DataFrame, cell: float, seed: int, draw: Callable[..., Column] = uniform) -> DataFrame:
     """cells(row, col, plot) and plots(plot, tree, tpa: stems per hectare) to stems(row, col, stem, plot, tree, x, y).
 
-    Stems of a cell are Poisson with the plot's stems per hectare times its area; each draws a tree of the
-    plot in proportion to tpa and a place in the cell. Cells without a plot stay empty. Stem and tree meet
+    Stems of a cell are Poisson with the plot's stems per hectare times its area (a mean above 30 is drawn in
+    equal parts, whose distribution is made once a plot); each draws a tree of the plot in proportion to tpa and
+    a place in the cell. Cells without a plot stay empty. Small cells grow to many stems, so they are dealt to
+    all tasks first, in a number that the adaptive plan leaves as it is. Stem and tree meet
     on the plot and a band of the summed tpa as wide as the plot's mean: a plot of n trees has 2 n bands at most.
     draw(seed, *keys) gives the uniform numbers.
     """
     order = Window.partitionBy("plot").orderBy("tree")
     total = plots.groupBy("plot").agg(F.sum("tpa").alias("total_"), F.count("*").alias("trees_"))
+    mean = F.col("total_") * F.lit(cell * cell / 10_000)
+    sized = total.withColumn("parts_", F.greatest(F.lit(1), F.ceil(mean / F.lit(30.0)).cast("int"))).withColumn("steps_", poisson_steps(mean / F.col("parts_")))
     band = lambda c: F.floor(F.col(c) / F.col("total_") * F.col("trees_"))
     drawn = plots.withColumn("hi_", F.sum("tpa").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # A tree begins where the one before it ends, to the bit, and the last ends with the plot.
     drawn = drawn.withColumn("lo_", F.coalesce(F.lag("hi_").over(order), F.lit(0.0))).withColumn("last_", F.lead("tree").over(order).isNull())
-    drawn = drawn.join(total, "plot").withColumn("hi_", F.when(F.col("last_"), F.lit(float("inf"))).otherwise(F.col("hi_")))
+    sized = files.written(sized, "plots")
+    drawn = drawn.join(sized.select(*total.columns), "plot").withColumn("hi_", F.when(F.col("last_"), F.lit(float("inf"))).otherwise(F.col("hi_")))
     ends = F.when(F.col("last_"), F.greatest(band("lo_"), F.col("trees_"))).otherwise(band("hi_"))
     drawn = drawn.withColumn("band_", F.explode(F.sequence(band("lo_"), ends))).select("plot", "band_", "tree", "lo_", "hi_")
-    stems = cells.join(total, "plot").withColumn("n_", poisson(F.col("total_") * F.lit(cell * cell / 10_000), lambda j: draw(seed, F.col("row"), F.col("col"), j)))
-    stems = stems.filter("n_ > 0").withColumn("stem", F.explode(F.sequence(F.lit(1), F.col("n_"))))
+    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row", "col"))  # unlike any shuffle before it
+    stems = dealt.join(_beside(sized, 10_000), "plot").withColumn("n_", poisson(F.col("steps_"), F.col("parts_"), lambda j: draw(seed, F.col("row"), F.col("col"), j)))
+    # 0 to n less the 0: the number is named once, so that it is also drawn once.
+    stems = stems.select(*cells.columns, "total_", "trees_", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("n_")), 0)).alias("stem"))
     key = [F.col("row"), F.col("col"), F.col("stem")]
     stems = stems.withColumn("at_", draw(seed + 1, *key) * F.col("total_")).withColumn("band_", band("at_"))
-    picked = stems.join(drawn, ["plot", "band_"]).filter((F.col("at_") >= F.col("lo_")) & (F.col("at_") < F.col("hi_")))
+    picked = stems.join(_beside(files.written(drawn, "bands"), 500_000), ["plot", "band_"]).filter((F.col("at_") >= F.col("lo_")) & (F.col("at_") < F.col("hi_")))
     return picked.select("row", "col", "stem", "plot", "tree", ((F.col("col") + draw(seed + 2, *key)) * cell).alias("x"), ((F.col("row") + draw(seed + 3, *key)) * cell).alias("y"))
 
 

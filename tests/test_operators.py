@@ -1,5 +1,6 @@
 """Small goldens for what SQL twins do not show: missing values, errors, geometry."""
 
+import datetime
 import math
 import random
 
@@ -11,6 +12,7 @@ from emberplane.functions import codes, units
 from emberplane.operators import catalogue, generation, grids, ingest, lattices, pointcloud, rules, spatial, stand, voxels
 from emberplane.operators.rules import Action, Condition, Rule
 from emberplane.sources import files
+from emberplane.streaming import dispatches
 
 TREES = "tree_id int, x double, y double, dbh double, height double, crown_ratio double, fia_species_code int"
 
@@ -274,3 +276,21 @@ def test_ingest_reports_and_errors(spark):
     with pytest.raises(ValueError):
         lattices.stacked(spark.createDataFrame([(0, 0, 1.0)], "row int, col int, slope double"), {"slope": 1, "aspect": 1}, (0, 0), 1, 1)
     assert grids.method_of("a", "categorical") == "nearest" and grids.method_of("a", "continuous", {"a": "mode"}, "cubic") == "mode" and grids.method_of("b", "categorical", {"a": "mode"}, "cubic") == "cubic"
+
+
+def test_second_deliveries_within_their_delay(spark, tmp_path):
+    for k, part in enumerate(([("a", 1, 0), ("b", 0, 0)], [("a", 1, 3), ("c", 9, 30)], [("c", 9, 31), ("d", 2, 32)])):
+        rows = [(p, n, datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)) for p, n, d in part]
+        spark.createDataFrame(rows, "path string, size long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in" / f"n={k}"))
+    source = spark.readStream.schema("path string, size long, ts timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen = dispatches.appended(dispatches.uploads(source, "path", "size", 5, "ts", "7 days")).collect()
+    assert sorted(map(tuple, seen)) == [("a", "completed"), ("b", "failed"), ("c", "failed"), ("d", "completed")]
+
+
+def test_stems_drawn_by_either_uniform(spark):
+    cells = spark.range(300).selectExpr("CAST(id AS INT) AS row", "1 AS col", "0L AS plot")
+    plots = spark.createDataFrame([(0, 1, 40.0)], "plot long, tree long, tpa double")
+    for draw in (generation.uniform, generation.digest_uniform):
+        stems = generation.expand_plots(cells, plots, 100.0, seed=3, draw=draw)
+        assert abs(stems.count() / 300 - 40) < 4 * math.sqrt(40 / 300)
+        assert stems.filter("x < 100 OR x >= 200 OR y < row * 100 OR y >= row * 100 + 100").isEmpty()
