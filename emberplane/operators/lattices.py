@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import spatial
+
 MAX_CELLS = 50_000_000
 
 
@@ -34,6 +36,22 @@ def fault(tol: float = 1e-6, most: int = MAX_CELLS) -> Column:
     )
 
 
+def contract_fault(contract: dict[str, tuple[str | None, int]], tol: float = 1e-6) -> Column:
+    """Why the band of a grid (role, band, bands: unit by key, dims, z_cell, nz, z0) can't fill its role of an export,
+    or null: role, band, unit, dimensions, vertical (t_z_cell, t_nz, t_z0); the first that fails.
+
+    contract: by role the unit that its band needs (None: any) and the number of dimensions. Heights are
+    never resampled, so a grid of three dimensions must have the layers of the target."""
+    of = lambda k: F.create_map(*(F.lit(v) for role, needed in contract.items() for v in (role, needed[k])))[F.col("role")]
+    missing = lambda c: ~F.coalesce(c, F.lit(False))
+    near = lambda c: F.abs(F.col(c) - F.col(f"t_{c}")) <= tol
+    return (
+        F.when(missing(F.col("role").isin(*contract)), "role").when(missing(F.map_contains_key("bands", F.col("band"))), "band")
+        .when(of(0).isNotNull() & missing(F.col("bands")[F.col("band")] == of(0)), "unit").when(missing(F.col("dims") == of(1)), "dimensions")
+        .when((F.col("dims") == 3) & missing(near("z_cell") & near("z0") & (F.col("nz") == F.col("t_nz"))), "vertical")
+    )
+
+
 def tile_span(low: Column, high: Column, origin: float, tile: float) -> tuple[Column, Column]:
     """First and last tile of an interval."""
     return F.floor((low - origin) / F.lit(float(tile))), F.floor((high - origin) / F.lit(float(tile)))
@@ -61,6 +79,24 @@ def region_area_ha(cells: DataFrame, region: Column, cell: float) -> DataFrame:
     return cells.filter(region).agg((F.count("*") * F.lit(cell * cell / 10_000)).alias("area_ha"))
 
 
+def region_areas(domains: DataFrame, conditions: list[tuple[str, list]], cell: float, most_ha: float | None = None) -> DataFrame:
+    """domains(id, minx, miny, maxx, maxy) with area_ha, the hectares of the domain that meet all conditions
+    (within, intersects or outside, with a polygon's rings), and with a limit whether it is too_large.
+
+    Cells count by their centres, so the area is right to the cells on the boundary; each domain makes its own
+    cells only and they are counted before the shuffle. A domain without such a cell has an area of 0."""
+    x, y = ((F.col(c) + 0.5) * cell for c in ("col", "row"))
+    kept = boxes_on_cells(domains.select("id", "minx", "miny", "maxx", "maxy"), cell)
+    for how, rings in conditions:
+        if how not in ("within", "intersects", "outside"):
+            raise ValueError(f"no spatial condition {how!r}")
+        hit = spatial.inside(x, y, rings)
+        kept = kept.filter(~hit if how == "outside" else hit)
+    area = kept.groupBy("id").agg((F.count("*") * F.lit(cell * cell / 10_000)).alias("area_ha"))
+    out = domains.join(area, "id", "left").withColumn("area_ha", F.coalesce("area_ha", F.lit(0.0)))
+    return out if most_ha is None else out.withColumn("too_large", F.col("area_ha") > most_ha)
+
+
 def boxes_on_cells(boxes: DataFrame, cell: float) -> DataFrame:
     """(row, col, ...) of the cells (rows north from 0) whose centres a box covers; each box makes its own cells only."""
     span = lambda a, b: F.sequence(F.ceil(F.col(a) / cell - 0.5), F.floor(F.col(b) / cell - 0.5))

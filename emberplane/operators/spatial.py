@@ -96,6 +96,45 @@ def box_within(x: Column, y: Column, half: float, rings) -> Column:
     return inside(x, y, rings) & ~met
 
 
+def segments_meet(a: Column, b: Column, edge: tuple[float, float, float, float]) -> Column:
+    """Whether the segment from point a to point b (structs x, y) has a point in common with a fixed edge."""
+    x1, y1, x2, y2 = map(float, edge)
+    turn = lambda px, py, qx, qy, rx, ry: F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
+    sides = turn(F.lit(x1), F.lit(y1), F.lit(x2), F.lit(y2), a.x, a.y) * turn(F.lit(x1), F.lit(y1), F.lit(x2), F.lit(y2), b.x, b.y)
+    other = turn(a.x, a.y, b.x, b.y, F.lit(x1), F.lit(y1)) * turn(a.x, a.y, b.x, b.y, F.lit(x2), F.lit(y2))
+    near = (F.greatest(a.x, b.x) >= min(x1, x2)) & (F.least(a.x, b.x) <= max(x1, x2)) & (F.greatest(a.y, b.y) >= min(y1, y2)) & (F.least(a.y, b.y) <= max(y1, y2))
+    return near & (sides <= 0) & (other <= 0)
+
+
+def ring_area(ring: Column) -> Column:
+    """Area of a ring, an array of points (x, y) that need not be closed."""
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1))
+    return F.abs(F.aggregate(F.zip_with(ring, after, lambda a, b: a.x * b.y - b.x * a.y), F.lit(0.0), lambda s, t: s + t)) / 2
+
+
+def domain_fault(boundary: list[list[tuple[float, float]]], most: float = 16e6) -> Column:
+    """Why a domain (crs, ring: array of points x, y) is refused, or null: crs (no authority and code), area (none),
+    boundary (not wholly within it: each point inside, no edge meeting one of its edges), too_large (the bounds
+    cover more than `most` square metres); the first that fails."""
+    ring = F.col("ring")
+    after = F.concat(F.slice(ring, 2, F.greatest(F.size(ring), F.lit(1))), F.slice(ring, 1, 1))
+    sides = F.zip_with(ring, after, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+    def meets(side):
+        met = F.lit(False)
+        for part in boundary:
+            for edge in edges_of(part):
+                met = met | segments_meet(side.a, side.b, edge)
+        return met
+
+    held = F.forall(ring, lambda p: inside(p.x, p.y, boundary)) & ~F.exists(sides, meets)
+    span = lambda k: F.array_max(F.transform(ring, lambda p: p[k])) - F.array_min(F.transform(ring, lambda p: p[k]))
+    return (
+        F.when(~F.coalesce(F.col("crs").rlike(r"^[A-Z]+:\d+$"), F.lit(False)), "crs").when(~F.coalesce(ring_area(ring) > 0, F.lit(False)), "area")
+        .when(~F.coalesce(held, F.lit(False)), "boundary").when(span("x") * span("y") > most, "too_large")
+    )
+
+
 def polygon_join(points: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
     """points(id, x, y) within edges(feature_id, x1, y1, x2, y2): (id, feature_id).
 

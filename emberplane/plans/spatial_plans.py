@@ -20,8 +20,8 @@ def boxes(spark, d):
     )
 
 
-def inside_sql(x: str, y: str) -> str:
-    hits = [f"CASE WHEN {y} >= {min(y1, y2)} AND {y} < {max(y1, y2)} AND {x} < CAST({x1} AS DOUBLE) + ({y} - {y1}) * CAST({(x2 - x1) / (y2 - y1)!r} AS DOUBLE) THEN 1 ELSE 0 END" for x1, y1, x2, y2 in spatial.edges_of(SQUARE[0]) if y1 != y2]
+def inside_sql(x: str, y: str, ring=SQUARE[0]) -> str:
+    hits = [f"CASE WHEN {y} >= {min(y1, y2)} AND {y} < {max(y1, y2)} AND {x} < CAST({x1} AS DOUBLE) + ({y} - {y1}) * CAST({(x2 - x1) / (y2 - y1)!r} AS DOUBLE) THEN 1 ELSE 0 END" for x1, y1, x2, y2 in spatial.edges_of(ring) if y1 != y2]
     return f"(({' + '.join(hits)}) % 2 = 1)"
 
 
@@ -131,6 +131,58 @@ def _(spark, d):
     return boxes(spark, d).select("id", area.alias("area"), (area <= 2500).alias("small"), (F.floor((F.col("minx") / 10 - 120 + 180) / 6) + 1).cast("int").alias("zone"))
 
 
+BOUNDARY = [(40.5, 33.5), (901.5, 92.5), (863.5, 938.5), (421.5, 640.5), (97.5, 881.5)]
+
+
+def meets_sql(ring) -> str:
+    """An edge meets a box where its shares within the x and the y of the box overlap."""
+    hits = []
+    for x1, y1, x2, y2 in spatial.edges_of(ring):
+        ends = {c: [f"(CAST({b}{c} AS DOUBLE) - {a}) / CAST({v} AS DOUBLE)" for b in ("min", "max")] for c, a, v in (("x", x1, x2 - x1), ("y", y1, y2 - y1))}
+        hits.append(f"greatest(0, {', '.join(f'least({a}, {b})' for a, b in ends.values())}) <= least(1, {', '.join(f'greatest({a}, {b})' for a, b in ends.values())})")
+    return " OR ".join(hits)
+
+
+@query("geo11_domain_faults", f"WITH {BOXES} SELECT id, CASE WHEN id % 7 = 0 THEN 'crs' WHEN id % 11 = 0 THEN 'area' WHEN NOT {inside_sql('minx', 'miny', BOUNDARY)} OR {meets_sql(BOUNDARY)} THEN 'boundary' WHEN (maxx - minx) * (maxy - miny) > 2500 THEN 'too_large' END AS fault, CASE WHEN id % 11 = 0 THEN 0 ELSE (maxx - minx) * (maxy - miny) END AS area FROM boxes")
+def _(spark, d):
+    """Domains are the boxes as rings; some have no code of a reference system, some lie on a line."""
+    top = F.when(F.col("id") % 11 == 0, F.col("miny")).otherwise(F.col("maxy"))
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), y.alias("y"))
+    ring = F.array(corner("minx", F.col("miny")), corner("maxx", F.col("miny")), corner("maxx", top), corner("minx", top))
+    rings = boxes(spark, d).select("id", F.when(F.col("id") % 7 == 0, "zone 11").otherwise("EPSG:32611").alias("crs"), ring.alias("ring"))
+    return rings.select("id", spatial.domain_fault([BOUNDARY], 2500.0).alias("fault"), spatial.ring_area(F.col("ring")).alias("area"))
+
+
+HOLE = [(401.0, 402.0), (503.0, 409.0), (489.0, 511.0)]
+
+
+@query("win05_domain_areas", f"WITH {BOXES}, held AS (SELECT id, count(*) AS n FROM boxes, range(250) r, range(250) c WHERE r.range * 4 + 2 BETWEEN miny AND maxy AND c.range * 4 + 2 BETWEEN minx AND maxx AND {inside_sql('(CAST(c.range AS DOUBLE) * 4 + 2)', '(CAST(r.range AS DOUBLE) * 4 + 2)')} AND NOT {inside_sql('(CAST(c.range AS DOUBLE) * 4 + 2)', '(CAST(r.range AS DOUBLE) * 4 + 2)', HOLE)} GROUP BY id) SELECT id, round(coalesce(n, 0) * CAST(0.0016 AS DOUBLE), 6) AS area_ha, coalesce(n, 0) > 62 AS too_large FROM boxes LEFT JOIN held USING (id)")
+def _(spark, d):
+    """Hectares of each domain within one polygon and outside of another, over a limit of 0.1."""
+    out = lattices.region_areas(boxes(spark, d), [("within", SQUARE), ("outside", [HOLE])], 4.0, 0.1)
+    return out.select("id", F.round("area_ha", 6).alias("area_ha"), "too_large")
+
+
+# The unit and the dimensions that each role of a landscape needs.
+LANDSCAPE = {
+    "elevation": ("m", 2), "slope": ("deg", 2), "aspect": ("deg", 2), "fuel_model": (None, 2), "canopy_cover": ("%", 2), "canopy_height": ("m", 2),
+    "canopy_base_height": ("m", 2), "canopy_bulk_density": ("kg/m**3", 2),
+}
+ROLES = [*LANDSCAPE, "tree_density", "humidity"]
+
+
+@query("lat05_role_contract", f"WITH {BOXES}, g AS (SELECT id, ['{"', '".join(ROLES)}'][id % 10 + 1] AS role, id % 3 AS k, id % 7 AS l FROM boxes) SELECT id, role, CASE WHEN role = 'humidity' THEN 'role' WHEN k = 2 THEN 'band' WHEN role IN ('slope', 'aspect', 'canopy_cover', 'canopy_bulk_density') OR role = 'tree_density' AND k = 1 THEN 'unit' WHEN (l < 5) = (role = 'tree_density') THEN 'dimensions' WHEN role = 'tree_density' AND l = 6 THEN 'vertical' END AS fault FROM g")
+def _(spark, d):
+    """Grids with bands in metres and without a unit, of two dimensions or three, against the roles of exports."""
+    k, l = F.col("id") % 3, F.col("id") % 7  # noqa: E741
+    role = F.element_at(F.array(*map(F.lit, ROLES)), (F.col("id") % 10 + 1).cast("int"))
+    band = F.when(k == 0, "b0").when(k == 1, "b1").otherwise("b2")
+    bands = F.create_map(F.lit("b0"), F.lit("m"), F.lit("b1"), F.when(role == "tree_density", "deg").otherwise("m"))
+    g = boxes(spark, d).select("id", role.alias("role"), band.alias("band"), bands.alias("bands"), F.when(l < 5, 2).otherwise(3).alias("dims"), F.lit(1.0).alias("z_cell"), F.when(l == 6, 9).otherwise(8).alias("nz"), F.lit(0.0).alias("z0"))
+    g = g.withColumns({"t_z_cell": F.lit(1.0), "t_nz": F.lit(8), "t_z0": F.lit(0.0)})
+    return g.select("id", "role", lattices.contract_fault(LANDSCAPE | {"tree_density": ("m", 3)}).alias("fault"))
+
+
 @query("geo13_contribution", B.trees(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(id) AS first_id FROM trees t JOIN (WITH {BOXES} SELECT * FROM boxes) b ON t.x - 500000 BETWEEN minx AND maxx AND t.y - 5200000 BETWEEN miny AND maxy GROUP BY ALL"))
 def _(spark, d):
     k = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]

@@ -294,3 +294,35 @@ def test_stems_drawn_by_either_uniform(spark):
         stems = generation.expand_plots(cells, plots, 100.0, seed=3, draw=draw)
         assert abs(stems.count() / 300 - 40) < 4 * math.sqrt(40 / 300)
         assert stems.filter("x < 100 OR x >= 200 OR y < row * 100 OR y >= row * 100 + 100").isEmpty()
+
+
+def test_domains_within_a_notched_boundary(spark):
+    notch = [[(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (50.0, 20.0), (0.0, 100.0)]]
+    rings = {
+        "inside": [(10, 5), (20, 5), (20, 15)], "over the notch": [(5, 60), (95, 60), (95, 62), (5, 62)], "out": [(90, 5), (120, 5), (120, 15)], "on the edge": [(0, 0), (9, 0), (9, 9)],
+        "line": [(10, 5), (20, 5)], "point": [(10, 5)], "none": [], "large": [(2, 1), (98, 1), (98, 15), (2, 15)],
+    }
+    rows = [(n, "EPSG:32611", [(float(x), float(y)) for x, y in r]) for n, r in rings.items()] + [("null", "EPSG:32611", None), ("code", "utm", [(10.0, 5.0), (20.0, 5.0), (20.0, 15.0)]), ("no code", None, None)]
+    d = spark.createDataFrame(rows, "id string, crs string, ring array<struct<x:double,y:double>>")
+    got = {r.id: r.fault for r in d.select("id", spatial.domain_fault(notch, 1000.0).alias("fault")).collect()}
+    assert got == {"inside": None, "over the notch": "boundary", "out": "boundary", "on the edge": "boundary", "line": "area", "point": "area", "none": "area", "large": "too_large", "null": "area", "code": "crs", "no code": "crs"}
+
+
+def test_role_contract_takes_nulls_for_faults(spark):
+    contract = {"a": ("m", 2), "b": (None, 3)}
+    rows = [("a", "x", {"x": "m"}, 2, None), ("a", "x", {"x": None}, 2, None), ("a", "y", {"x": "m"}, 2, None), ("a", None, {"x": "m"}, 2, None), ("a", "x", None, 2, None), (None, "x", {"x": "m"}, 2, None), ("b", "x", {"x": None}, 3, 8), ("b", "x", {"x": None}, 3, None), ("b", "x", {"x": None}, None, 8)]
+    g = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "id int, role string, band string, bands map<string,string>, dims int, nz int").withColumns({c: F.lit(1.0) for c in ("z_cell", "z0", "t_z_cell", "t_z0")} | {"t_nz": F.lit(8)})
+    got = [r.fault for r in g.select("id", lattices.contract_fault(contract).alias("fault")).orderBy("id").collect()]
+    assert got == [None, "unit", "band", "band", "band", "role", None, "vertical", "dimensions"]
+
+
+def test_region_areas(spark):
+    b = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0), (2, 300.0, 0.0, 301.0, 1.0), (3, 50.0, 0.0, 150.0, 100.0)], "id int, minx double, miny double, maxx double, maxy double")
+    square = lambda a, c: [[(a, a), (c, a), (c, c), (a, c)]]
+    got = {r.id: (round(r.area_ha, 6), r.too_large) for r in lattices.region_areas(b, [("within", square(-1.0, 101.0)), ("outside", square(20.0, 60.0))], 1.0, 0.5).collect()}
+    assert got == {1: (1 - 0.16, True), 2: (0.0, False), 3: (0.5 - 0.04, False)}
+    # Centres on a polygon's edge are not within it: 39 x 39 of them are within this one.
+    edge = lattices.region_areas(b.filter("id = 1"), [("outside", square(20.5, 60.5))], 1.0).first()
+    assert round(edge.area_ha, 6) == 1 - 0.1521
+    with pytest.raises(ValueError):
+        lattices.region_areas(b, [("near", [])], 1.0)
