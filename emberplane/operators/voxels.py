@@ -46,6 +46,8 @@ def stamp(trees: DataFrame, templates: DataFrame, hr: float, vr: float, x0: floa
     sizes = templates.groupBy(*keys).agg(F.count("*").alias("voxels_"))  # templates are read twice: pass a written table
     t = trees.select("tree_id", "height", "x", "y", load.alias("load_"), F.floor(F.col("height") * (1 - F.col("crown_ratio")) / vr).cast("int").alias("k0_"), *class_keys())
     t = t.withColumns({"i0_": F.floor((F.col("x") - x0) / hr).cast("int"), "j0_": F.floor((y1 - F.col("y")) / hr).cast("int")})
+    # A tree grows to all voxels of its crown: few files of trees are dealt to all tasks first.
+    t = t.repartition(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree_id")
     out = t.join(sizes, keys).join(templates, keys)
     out = out.select((F.col("k0_") + F.col("dk")).alias("k"), (F.col("j0_") + F.col("dj")).alias("j"), (F.col("i0_") + F.col("di")).alias("i"), "tree_id", "height", (F.col("load_") / F.col("voxels_") / F.lit(hr * hr * vr)).alias("density"))
     return out.filter((F.col("j") >= 0) & (F.col("j") < rows) & (F.col("i") >= 0) & (F.col("i") < cols))
@@ -63,6 +65,11 @@ def collapse(voxels: DataFrame, vr: float) -> DataFrame:
     return voxels.groupBy("j", "i").agg((F.sum("density") * vr).alias("load"), F.count("*").alias("layers"), ((F.max("k") + 1) * vr).alias("canopy_height"))
 
 
+def collapse_stamps(stamps: DataFrame, vr: float) -> DataFrame:
+    """collapse of merged stamps, without asking which tree names a voxel: heights and ids are never grouped."""
+    return collapse(stamps.groupBy("k", "j", "i").agg(F.sum("density").alias("density")), vr)
+
+
 def densify(voxels: DataFrame, lattice: DataFrame, fills: dict[str, object]) -> DataFrame:
     """All cells of the lattice(k, j, i), absent ones with each band's fill value."""
     return lattice.join(voxels, ["k", "j", "i"], "left").select("k", "j", "i", *(F.coalesce(F.col(b), F.lit(v)).alias(b) for b, v in fills.items()))

@@ -385,7 +385,7 @@ def _(spark, d):
 
 @query("vox07_column_collapse", f"WITH {B.TREES}, {CROWNS} SELECT j, i, round(sum(density), 6) AS load, count(*) AS layers, CAST(max(k) + 1 AS DOUBLE) AS canopy_height FROM merged GROUP BY j, i")
 def _(spark, d):
-    return rounded(voxels.collapse(voxels.merged(stamped(spark, d)), 1.0), "load", n=6)
+    return rounded(voxels.collapse_stamps(stamped(spark, d), 1.0), "load", n=6)
 
 
 @query("vox01_stem_cells", B.trees(f"SELECT {PKEY}, CAST(floor((x - 500000) / 2) AS INT) AS i, CAST(floor((5201000 - y) / 2) AS INT) AS j FROM trees"))
