@@ -83,6 +83,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -99,5 +105,22 @@ EXACT_DEDUP = """WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_re
  SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(k) AS text_sha256 FROM g"""
 
 
+#: Every pair of sources over every kept term, one by one.
+DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+ t AS MATERIALIZED (SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+ vocabulary AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+ counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM t JOIN vocabulary USING (lang, term) GROUP BY ALL),
+ langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM vocabulary GROUP BY ALL),
+ sources AS (SELECT DISTINCT lang, source FROM d),
+ sizes AS (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL),
+ p AS MATERIALIZED (SELECT s.lang, s.source, w.term, coalesce(c.n, 0) AS n, CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 2) // (coalesce(z.total, 0) + 2 * l.v) AS BIGINT) AS p, CAST(1 + 1000000000::HUGEINT * (w.n + 2) // (l.total + 2 * l.v) AS BIGINT) AS q
+  FROM sources s JOIN langs l USING (lang) JOIN vocabulary w USING (lang) LEFT JOIN sizes z ON z.lang = s.lang AND z.source = s.source LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = w.term),
+ summed AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+ pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN summed s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+ parts AS (SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q),
+ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts)
+ SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP}
+    return {"op6_exact_dedup": EXACT_DEDUP, "op11_source_divergence": DIVERGENCE}
