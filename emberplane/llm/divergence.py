@@ -3,7 +3,7 @@
 Terms are counted per (lang, source) in each task before anything is shuffled; a language keeps the terms of
 at least `least_docs` of its documents. Each kept term has a sparse vector of its counts by source. The
 vocabulary of a language is numbered in the order of these vectors, so that equal counts of a source lie
-together, and cut into blocks of BLOCK terms. In a block each source is one column of runs of equal counts
+together, and cut into blocks of `block` terms. In a block each source is one column of runs of equal counts
 (absent terms are runs of 0). A pair of sources intersects its run boundaries, and each segment gives f times
 its length; the sums over blocks are the pair's divergence.
 
@@ -54,7 +54,7 @@ def _count(batches):
         for (lang, source), (n, docs) in held.items():
             terms = list(n)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(terms)), pa.array([source] * len(terms)), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
+                [pa.array([lang] * len(terms), pa.string()), pa.array([source] * len(terms), pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n.values(), pa.int64()), pa.array([docs[t] for t in terms], pa.int64())],
                 ["lang", "source", "term", "n", "docs"],
             )
 
@@ -103,7 +103,7 @@ def apart(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], si
     return int(((p - q) ** 2 // (p + q) * np.diff(cuts, append=size)).sum())
 
 
-def _pairs(key, cells: pa.Table, groups: pa.Table) -> pa.Table:
+def block_pairs(key, cells: pa.Table, groups: pa.Table, width: int) -> pa.Table:
     """Partial sums of all pairs of a language's sources over one block of its vocabulary."""
     lang, block = (k.as_py() for k in key)
     at, source, n = (cells.column(c).to_numpy() for c in ("place", "source_id", "n"))
@@ -112,18 +112,18 @@ def _pairs(key, cells: pa.Table, groups: pa.Table) -> pa.Table:
     ends = np.searchsorted(source[own], ids, "left"), np.searchsorted(source[own], ids, "right")
     total = dict(zip(*(groups.column(c).to_pylist() for c in ("source_id", "total")), strict=True))
     terms = groups.column("terms")[0].as_py() if len(ids) else 0
-    size = min(BLOCK, terms - block * BLOCK)
+    size = min(width, terms - block * width)
     columns = []
     for k, lo, hi in zip(ids.tolist(), *ends, strict=True):
         counts = np.zeros(max(size, 1), np.int64)
-        counts[at[own[lo:hi]] - block * BLOCK] = n[own[lo:hi]]
+        counts[at[own[lo:hi]] - block * width] = n[own[lo:hi]]
         columns.append(encoded(counts, total[k], terms) if size > 0 else None)
     a, b = np.triu_indices(len(ids), 1)
     values = [apart(columns[x], columns[y], size) if size > 0 else 0 for x, y in zip(a.tolist(), b.tolist(), strict=True)]
     return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "a": pa.array(ids[a], pa.int32()), "b": pa.array(ids[b], pa.int32()), "value": pa.array(values, pa.int64())})
 
 
-def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFrame:
+def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, block: int = BLOCK) -> DataFrame:
     """(lang, source, part, item, value, rank) of docs(text, lang, source): pairs of sources, and each source's most over-used terms."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]
     kept = term_counts(docs).groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("all"), F.array_sort(F.collect_list(F.struct("source", "n"))).alias("cells"))  # a cell per source of the language
@@ -139,9 +139,9 @@ def divergence(docs: DataFrame, least_docs: int = 10, top: int = 10) -> DataFram
     found = found.withColumns({"p": probability(F.col("n"), F.col("total"), F.col("terms")), "q": probability(F.col("all"), F.col("lang_total"), F.col("terms"))}).filter("p > q")
     terms = found.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), difference(F.col("p"), F.col("q")).alias("value"))
 
-    blocks = groups.select("lang", "source_id", "total", "terms", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("terms") / BLOCK).cast("int") - 1))).alias("block"))
-    runs = cells.join(groups.select("lang", "source", "source_id"), ["lang", "source"]).select("lang", F.floor(F.col("place") / BLOCK).cast("int").alias("block"), "place", F.col("source_id").alias("source_id"), "n")
-    sums = runs.groupBy("lang", "block").cogroup(blocks.groupBy("lang", "block")).applyInArrow(_pairs, "lang string, a int, b int, value long")
+    blocks = groups.select("lang", "source_id", "total", "terms", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("terms") / block).cast("int") - 1))).alias("block"))
+    runs = cells.join(groups.select("lang", "source", "source_id"), ["lang", "source"]).select("lang", F.floor(F.col("place") / block).cast("int").alias("block"), "place", F.col("source_id").alias("source_id"), "n")
+    sums = runs.groupBy("lang", "block").cogroup(blocks.groupBy("lang", "block")).applyInArrow(lambda key, x, y: block_pairs(key, x, y, block), "lang string, a int, b int, value long")
     sums = sums.groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     both = sums.unionByName(sums.select("lang", F.col("b").alias("a"), F.col("a").alias("b"), "value"))
     name = lambda key, to: groups.select("lang", F.col("source_id").alias(key), F.col("source").alias(to))

@@ -89,6 +89,24 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from . import common, warc
+
+    path = f"{common.shared_dir(spark)}/emberplane-{uuid.uuid4().hex}/archives"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    history = warc.capture_history(warc.read_archives(spark, path))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "place")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import conversations
+
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damaged(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -121,6 +139,45 @@ DIVERGENCE = """WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '')
  ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM parts)
  SELECT * FROM ranked WHERE part = 'pair' OR rank <= 10"""
 
+#: Digests and references of the pages, and their order by URL key, time and id.
+WARC = """WITH t AS (SELECT page_id, coalesce(html, '') AS payload, coalesce(nullif(url, ''), 'urn:page:' || page_id) AS url FROM pages),
+ u AS (SELECT *, sha1(payload) AS h, max(page_id) OVER (PARTITION BY payload) AS latest, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#]*)([^?#]*)([?][^#]*)?', ['host', 'path', 'query']) AS m FROM t),
+ v AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_replace(m.host, '^.*@', '')), ':(80|443)$', ''), '^www[0-9]*[.]', '') AS host FROM u),
+ w AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || coalesce(nullif(m.path, ''), '/') || CASE WHEN m.query = '' THEN '' ELSE '?' || array_to_string(list_sort(string_split(m.query[2:], '&')), '&') END AS url_key,
+  strftime(TIMESTAMP '2000-01-01' + to_seconds(page_id % 1073741824), '%Y-%m-%dT%H:%M:%SZ') AS captured,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(h, CAST(i // 4 * 5 + 1 AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)), '') AS payload_digest FROM v)
+ SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id < latest THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < latest THEN latest END AS refers_to, url_key, captured,
+ row_number() OVER (ORDER BY url_key, captured, page_id) - 1 AS place FROM w"""
+
+
+def repair_sql() -> str:
+    """The least (cost, audit, lines) of each state of a conversation, row by row from its start."""
+    put = lambda x, letter, cost, line: f"struct_pack(c := {x}.c + {cost}, a := {x}.a || '{letter}', t := list_append({x}.t, {line}))"
+    far = "struct_pack(c := 1000000000, a := '', t := CAST([] AS VARCHAR[]))"
+    gone = lambda x: f"struct_pack(c := {x}.c + 3, a := {x}.a || 'D', t := {x}.t)"
+    kept = lambda x, initial: f"CASE WHEN r.fault < 2 AND r.k = '{initial}' THEN {put(x, 'K', 'r.fault', 'r.role || chr(58) || r.text')} ELSE {far} END"
+    moved = lambda x, role: f"CASE WHEN r.fault < 2 THEN {put(x, 'R', '2 + r.fault', f"'{role}:' || r.text")} ELSE {far} END"
+    two = ", ".join([gone("d.two"), *(f(x, w) for x in ("d.zero", "d.one", "d.three") for f, w in ((kept, "u"), (moved, "user")))])
+    after_two = "least(two, " + ", ".join(put(x, "I", 2, "'user:'") for x in ("zero", "one", "three")) + ")"
+    step = f"""SELECT conv_id, i, n, rows, zero, one, two, least(three, {put("two", "I", 2, "'assistant:'")}) AS three FROM (SELECT conv_id, i, n, rows, zero, one, {after_two} AS two, three FROM
+  (SELECT d.conv_id, d.i + 1 AS i, d.n, d.rows, {gone("d.zero")} AS zero, least({gone("d.one")}, {kept("d.zero", "s")}) AS one, least({two}) AS two, least({gone("d.three")}, {kept("d.two", "a")}, {moved("d.two", "assistant")}) AS three
+  FROM (SELECT *, rows[i + 1] AS r FROM dp WHERE i < n) d))"""
+    start = "struct_pack(c := 0, a := '', t := CAST([] AS VARCHAR[]))"
+    white = "\\x20\\x09-\\x0D"
+    return f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i)) AS tab),
+ keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+ faulted AS (SELECT conv_id, turn, role, text, xor(4294967295, list_reduce(list_transform(string_split(key, ''), lambda c: CAST(ord(c) AS BIGINT)), lambda a, b: xor(a >> 8, tab[CAST(xor(a, b) & 255 AS INT) + 1]), 4294967295)) % 20 AS fault FROM keyed, crc),
+ damaged AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM faulted, range(2) copies WHERE fault <> 0 AND (copies.range = 0 OR fault = 3)),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS place FROM damaged),
+ judged AS (SELECT *, left(role, 1) AS k, CASE WHEN NOT regexp_matches(text, '[^{white}]') THEN 3 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) > 1 THEN 2 WHEN regexp_extract(text, '([^{white}])[{white}]*$', 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+  lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY place) || left(role, 1) AS pair FROM placed),
+ convs AS MATERIALIZED (SELECT conv_id, list(struct_pack(role := role, text := text, k := k, fault := fault) ORDER BY place) AS rows, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 3) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 1) AS truncated, count(*) FILTER (place > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id),
+ dp AS (SELECT conv_id, 0 AS i, n, rows, {start} AS zero, {far} AS one, {put(start, "I", 2, "'user:'")} AS two, {put(put(start, "I", 2, "'user:'"), "I", 2, "'assistant:'")} AS three FROM convs UNION ALL {step}),
+ best AS (SELECT conv_id, least(zero, three) AS b FROM dp WHERE i = n)
+ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit,
+ sha256(coalesce(array_to_string(b.t, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN convs c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON o.conv_id IS NOT DISTINCT FROM best.conv_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": EXACT_DEDUP, "op11_source_divergence": DIVERGENCE}
+    return {"op13_conversation_repair": repair_sql(), "op6_exact_dedup": EXACT_DEDUP, "op11_source_divergence": DIVERGENCE, "op12_warc": WARC}
