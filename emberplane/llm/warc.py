@@ -3,7 +3,9 @@
 Writing: of equal payloads (by SHA-256; at least `least_bytes` long) the one with the largest page_id is stored as a
 `response`, the others as `revisit` records that refer to it. A record is one row of Spark's text writer, whose line
 separator is the end of a WARC record, so archives lie wherever Spark can write. Pages are dealt by id and payload to
-archives of about `archive_bytes`, so equal payloads do not meet in one task.
+archives of about `archive_bytes`, so equal payloads do not meet in one task. Archives are compressed as a whole (Spark's
+writer makes one gzip member per file, not one per record); offsets and lengths count the plain bytes, and without
+compression they cut records out of the files.
 
 Reading: each archive is parsed by its Content-Length fields, every stored payload is measured and its digest checked
 (a difference is an error), and the archive's captures are sorted by URL key and time: one run per archive. The runs are
@@ -20,6 +22,7 @@ archive must stay under 2 GB. Other columns are ignored, whatever their names; a
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,7 +37,7 @@ from pyspark.sql.window import Window
 from .common import discard, written
 
 ARCHIVE_BYTES, RANGE = 32 << 20, 200_000
-CRLF = "\r\n"
+CRLF, GZIP = "\r\n", b"\x1f\x8b"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URL = re.compile(r"(?:[A-Za-z][A-Za-z0-9+.\-]*://)?([^/?#]*)([^?#]*)(\?[^#]*)?", re.S)
@@ -75,7 +78,7 @@ def record(captured: Column) -> Column:
     return F.transform(F.array(body), lambda b: F.concat(head, F.octet_length(b).cast("string"), F.lit(CRLF * 2), b))[0]
 
 
-def write_archives(pages: DataFrame, path: str, captured: Column | None = None, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write_archives(pages: DataFrame, path: str, captured: Column | None = None, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, compression: str = "gzip") -> None:
     """Archives of pages(page_id, url, html) under `path`. `captured` is a TIMESTAMP_NTZ in UTC of the columns of `pages`."""
     time = crawl_time(F.col("page_id").cast("long")) if captured is None else captured
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"), time.alias("captured"))
@@ -89,7 +92,7 @@ def write_archives(pages: DataFrame, path: str, captured: Column | None = None,
     total = keys.agg(F.sum("bytes")).first()[0] or 0
     n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
     dealt = held.repartition(n, "page_id", "sha").join(refers, ["page_id", "sha"], "left")
-    dealt.select(record(F.col("captured")).alias("value")).write.option("lineSep", CRLF * 2).text(path)
+    dealt.select(record(F.col("captured")).alias("value")).write.option("lineSep", CRLF * 2).option("compression", compression).text(path)
     discard(keys, best)
 
 
@@ -132,7 +135,8 @@ def _runs(batches):
     for batch in batches:
         for path, content in zip(*(batch.column(c) for c in ("path", "content")), strict=True):
             name = path.as_py().rpartition("/")[2]
-            run = sorted(captures(content.as_buffer().to_pybytes(), name), key=order)
+            raw = content.as_buffer().to_pybytes()
+            run = sorted(captures(gzip.decompress(raw) if raw[:2] == GZIP else raw, name), key=order)
             columns = [pa.array(c, pa.int64() if kind == "long" else pa.string()) for c, (_, kind) in zip(zip(*run, strict=True), schema, strict=True)] if run else []
             if run:
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(run)))], [*(f for f, _ in schema), "seq"])

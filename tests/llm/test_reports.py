@@ -1,6 +1,7 @@
 """Divergence of sources, archives with their history, and repair of conversations: against SQL, brute force and broken input."""
 
 import base64
+import gzip
 import hashlib
 import heapq
 import itertools
@@ -104,13 +105,18 @@ def test_archives(spark, pages, tmp_path):
 
 
 def test_archives_hold_the_payloads(spark, pages, tmp_path):
-    """Offsets and lengths of the history cut whole records out of the files."""
-    _, history = archived(spark, pages, tmp_path)
+    """Offsets and lengths of the history cut whole records out of the archives."""
     texts = {i: (t or "").encode() for i, _, t in PAGES}
-    for r in history.collect():
-        raw = (tmp_path / "archives" / r.archive).read_bytes()[r.offset : r.offset + r.length]
-        assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
-        assert raw[:-4].split(b"\r\n\r\n", 2)[2] == (texts[r.page_id] if r.record_type == "response" and r.page_id else texts[7] if r.page_id is None else b"")
+    for how, opened in (("none", lambda raw: raw), ("gzip", gzip.decompress)):
+        _, history = archived(spark, pages, tmp_path / how, compression=how)
+        for r in history.collect():
+            raw = opened((tmp_path / how / "archives" / r.archive).read_bytes())[r.offset : r.offset + r.length]
+            holds(raw, r, texts)
+
+
+def holds(raw, r, texts):
+    assert raw.startswith(b"WARC/1.1\r\n") and raw.endswith(b"\r\n\r\n")
+    assert raw[:-4].split(b"\r\n\r\n", 2)[2] == (texts[r.page_id] if r.record_type == "response" and r.page_id else texts[7] if r.page_id is None else b"")
 
 
 def test_small_payloads_are_never_revisits(spark, pages, tmp_path):
@@ -126,7 +132,7 @@ def test_given_times_order_the_history(spark, tmp_path):
 
 
 def test_broken_archives_are_errors(spark, pages, tmp_path):
-    warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/archives")
+    warc.write_archives(pages.coalesce(1), f"file://{tmp_path}/archives", compression="none")
     file = max((tmp_path / "archives").glob("part-*"), key=lambda f: f.stat().st_size)
     good = file.read_bytes()
     list(warc.captures(good, "a"))
