@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..sources import files
 
 DBH_BIN, HEIGHT_BIN, RATIO_BIN = 2.75, 1.0, 0.1
+#: Densities are summed as whole numbers of this part of a unit, so that sums are exact in any order.
+GRAINS = 1e9
 
 
 def class_keys() -> list[Column]:
@@ -41,7 +43,7 @@ def crown_templates(classes: DataFrame, hr: float, vr: float) -> DataFrame:
 
 
 def stamp(trees: DataFrame, templates: DataFrame, hr: float, vr: float, x0: float, y1: float, rows: int, cols: int, load: Column) -> DataFrame:
-    """(k, j, i, tree_id, height, density) of all crowns, cut at the grid's edge; a tree's load is spread evenly."""
+    """(k, j, i, tree_id, height, grains) of all crowns, cut at the grid's edge; a tree's load is spread evenly, in GRAINS a unit of density."""
     keys = ["species", "dbh_bin", "height_bin", "ratio_bin"]
     sizes = templates.groupBy(*keys).agg(F.count("*").alias("voxels_"))  # templates are read twice: pass a written table
     t = trees.select("tree_id", "height", "x", "y", load.alias("load_"), F.floor(F.col("height") * (1 - F.col("crown_ratio")) / vr).cast("int").alias("k0_"), *class_keys())
@@ -49,25 +51,30 @@ def stamp(trees: DataFrame, templates: DataFrame, hr: float, vr: float, x0: floa
     # A tree grows to all voxels of its crown: few files of trees are dealt to all tasks first.
     t = t.repartition(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree_id")
     out = t.join(sizes, keys).join(templates, keys)
-    out = out.select((F.col("k0_") + F.col("dk")).alias("k"), (F.col("j0_") + F.col("dj")).alias("j"), (F.col("i0_") + F.col("di")).alias("i"), "tree_id", "height", (F.col("load_") / F.col("voxels_") / F.lit(hr * hr * vr)).alias("density"))
+    out = out.select((F.col("k0_") + F.col("dk")).alias("k"), (F.col("j0_") + F.col("dj")).alias("j"), (F.col("i0_") + F.col("di")).alias("i"), "tree_id", "height", F.rint(F.col("load_") / F.col("voxels_") / F.lit(hr * hr * vr) * F.lit(GRAINS)).cast("long").alias("grains"))
     return out.filter((F.col("j") >= 0) & (F.col("j") < rows) & (F.col("i") >= 0) & (F.col("i") < cols))
 
 
 def merged(stamps: DataFrame) -> DataFrame:
     """Overlapping crowns: densities add; the tallest tree (ties: the later id) names the voxel."""
     # Two steps of sums and maxima, which combine before the shuffle; a maximum of pairs would sort all stamps.
-    by = stamps.groupBy("k", "j", "i", "height").agg(F.sum("density").alias("density"), F.max("tree_id").alias("tree_id"))
-    return by.groupBy("k", "j", "i").agg(F.sum("density").alias("density"), F.max_by("tree_id", "height").alias("tree_id"))
+    by = stamps.groupBy("k", "j", "i", "height").agg(F.sum("grains").alias("grains"), F.max("tree_id").alias("tree_id"))
+    return by.groupBy("k", "j", "i").agg(density(F.sum("grains")), F.max_by("tree_id", "height").alias("tree_id"))
+
+
+def density(grains: Column) -> Column:
+    return (grains / F.lit(GRAINS)).alias("density")
 
 
 def collapse(voxels: DataFrame, vr: float) -> DataFrame:
-    """Per column: load (kg/m2), layers with fuel and canopy height."""
-    return voxels.groupBy("j", "i").agg((F.sum("density") * vr).alias("load"), F.count("*").alias("layers"), ((F.max("k") + 1) * vr).alias("canopy_height"))
+    """Per column of voxels(k, j, i, density): load (kg/m2), layers with fuel and canopy height."""
+    return collapse_stamps(voxels.withColumn("grains", F.rint(F.col("density") * F.lit(GRAINS)).cast("long")), vr)
 
 
 def collapse_stamps(stamps: DataFrame, vr: float) -> DataFrame:
     """collapse of merged stamps, without asking which tree names a voxel: heights and ids are never grouped."""
-    return collapse(stamps.groupBy("k", "j", "i").agg(F.sum("density").alias("density")), vr)
+    layers = stamps.groupBy("k", "j", "i").agg(F.sum("grains").alias("grains"))
+    return layers.groupBy("j", "i").agg((density(F.sum("grains")) * vr).alias("load"), F.count("*").alias("layers"), ((F.max("k") + 1) * vr).alias("canopy_height"))
 
 
 def densify(voxels: DataFrame, lattice: DataFrame, fills: dict[str, object]) -> DataFrame:

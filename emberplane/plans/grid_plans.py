@@ -352,8 +352,8 @@ CROWNS = f"""kept AS (SELECT *, l_orderkey * 10 + l_linenumber AS tree_id, floor
  layers AS (SELECT hb, rb, CAST(k.range AS INT) AS dk, r * r * (1 - (k.range + {HALF}) / nk) AS wide, CAST(ceil(r / 2) AS INT) AS nr FROM shapes, range(200) k WHERE k.range < nk),
  spots AS MATERIALIZED (SELECT hb, rb, dk, CAST(a.range - 10 AS INT) AS dj, CAST(b.range - 10 AS INT) AS di FROM layers, range(21) a, range(21) b WHERE abs(a.range - 10) <= nr AND abs(b.range - 10) <= nr AND (((a.range - 10) * (a.range - 10) + (b.range - 10) * (b.range - 10)) * 4 <= wide OR (a.range = 10 AND b.range = 10))),
  counts AS (SELECT hb, rb, count(*) AS voxels FROM spots GROUP BY ALL),
- stamps AS (SELECT CAST(floor(height * (1 - crown_ratio)) AS INT) + dk AS k, CAST(floor((5201000 - y) / 2) AS INT) + dj AS j, CAST(floor((x - 500000) / 2) AS INT) + di AS i, tree_id, height, dbh / voxels / 4 AS density FROM kept JOIN counts USING (hb, rb) JOIN spots USING (hb, rb)),
- merged AS (SELECT k, j, i, sum(density) AS density, arg_max(tree_id, (height, tree_id)) AS tree_id FROM stamps WHERE j BETWEEN 0 AND 499 AND i BETWEEN 0 AND 499 GROUP BY k, j, i)"""
+ stamps AS (SELECT CAST(floor(height * (1 - crown_ratio)) AS INT) + dk AS k, CAST(floor((5201000 - y) / 2) AS INT) + dj AS j, CAST(floor((x - 500000) / 2) AS INT) + di AS i, tree_id, height, CAST(round_even(dbh / voxels / 4 * CAST(1000000000 AS DOUBLE), 0) AS BIGINT) AS grains FROM kept JOIN counts USING (hb, rb) JOIN spots USING (hb, rb)),
+ merged AS (SELECT k, j, i, sum(grains) AS grains, sum(grains) / CAST(1000000000 AS DOUBLE) AS density, arg_max(tree_id, (height, tree_id)) AS tree_id FROM stamps WHERE j BETWEEN 0 AND 499 AND i BETWEEN 0 AND 499 GROUP BY k, j, i)"""
 
 
 @query("agg18_equivalence_classes", B.trees(f"SELECT *, dense_rank() OVER (ORDER BY species NULLS FIRST, dbh_bin, height_bin, ratio_bin) AS class FROM (SELECT fia_species_code AS species, CAST(floor(dbh / CAST(2.75 AS DOUBLE)) AS INT) AS dbh_bin, CAST(floor(height) AS INT) AS height_bin, CAST(round_even(crown_ratio / CAST(0.1 AS DOUBLE), 0) AS INT) AS ratio_bin, count(*) AS members FROM trees WHERE dbh IS NOT NULL GROUP BY 1, 2, 3, 4)"))
@@ -361,9 +361,9 @@ def _(spark, d):
     return voxels.equivalence_classes(tables.trees(spark, d).filter("dbh IS NOT NULL"))
 
 
-@query("vox02_stamped_and_merged", f"WITH {B.TREES}, {CROWNS} SELECT k, j, i, round(density, 6) AS density, tree_id FROM merged")
+@query("vox02_stamped_and_merged", f"WITH {B.TREES}, {CROWNS} SELECT k, j, i, density, tree_id FROM merged")
 def _(spark, d):
-    return rounded(voxels.merged(stamped(spark, d)), "density", n=6)
+    return voxels.merged(stamped(spark, d))
 
 
 @query("vox03_crown_templates", f"WITH {B.TREES}, {CROWNS} SELECT CAST(hb AS INT) AS height_bin, rb AS ratio_bin, dk, dj, di FROM spots")
@@ -383,9 +383,9 @@ def _(spark, d):
     return voxels.merged(stamped(spark, d)).groupBy("tree_id").agg(F.count("*").alias("voxels"))
 
 
-@query("vox07_column_collapse", f"WITH {B.TREES}, {CROWNS} SELECT j, i, round(sum(density), 6) AS load, count(*) AS layers, CAST(max(k) + 1 AS DOUBLE) AS canopy_height FROM merged GROUP BY j, i")
+@query("vox07_column_collapse", f"WITH {B.TREES}, {CROWNS} SELECT j, i, sum(grains) / CAST(1000000000 AS DOUBLE) AS load, count(*) AS layers, CAST(max(k) + 1 AS DOUBLE) AS canopy_height FROM merged GROUP BY j, i")
 def _(spark, d):
-    return rounded(voxels.collapse_stamps(stamped(spark, d), 1.0), "load", n=6)
+    return voxels.collapse_stamps(stamped(spark, d), 1.0)
 
 
 @query("vox01_stem_cells", B.trees(f"SELECT {PKEY}, CAST(floor((x - 500000) / 2) AS INT) AS i, CAST(floor((5201000 - y) / 2) AS INT) AS j FROM trees"))
