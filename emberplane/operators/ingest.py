@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import units
+from . import spatial
 
 
 def mapped(raw: DataFrame, names: dict[str, str], kinds: dict[str, str], optional: tuple[str, ...] = ()) -> DataFrame:
@@ -75,3 +76,40 @@ def scaled_points(points: DataFrame, scale: float, unit: str, origin: tuple[floa
     step = lambda c, o: F.floor((F.col(c) - F.lit(o)) * F.lit(units.factor(unit, "m") / scale) + 0.5).cast("int")
     rest = [c for c in points.columns if c not in ("x", "y", "z")]
     return points.select(*rest, step("x", origin[0]).alias("X"), step("y", origin[1]).alias("Y"), step("z", 0.0).alias("Z"))
+
+
+def projected_points(points: DataFrame, zone: int, scale: float, unit: str) -> DataFrame:
+    """points(lon, lat in degrees, z in `unit`) with X, Y (UTM of the zone, north) and Z as integer steps of `scale` metres."""
+    x, y = spatial.utm(F.col("lon"), F.col("lat"), zone)
+    step = lambda c: F.floor(c / F.lit(scale) + 0.5).cast("int")
+    rest = [c for c in points.columns if c not in ("lon", "lat", "z")]
+    return points.select(*rest, step(x).alias("X"), step(y).alias("Y"), step(F.col("z") * F.lit(units.factor(unit, "m"))).alias("Z"))
+
+
+#: What a tree table must have; without a status all its trees are live.
+MORPHOLOGY = ("x", "y", "fia_species_code", "dbh", "height", "crown_ratio")
+
+
+class TreesNotFound(LookupError):
+    """No tree table where one was asked for."""
+
+
+class MissingMorphology(ValueError):
+    """A tree table without the columns that say what its trees are like."""
+
+
+def read_trees(spark: SparkSession, path: str, extra: tuple[str, ...] = (), live_only: bool = True) -> DataFrame:
+    """The needed and extra columns of a written tree table; others are not read, and a status of 1 is asked of the files."""
+    try:
+        trees = spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise TreesNotFound(path) from e
+    lost = [c for c in (*MORPHOLOGY, *extra) if c not in trees.columns]
+    if lost:
+        raise MissingMorphology(f"{path} lacks {lost}: impute them first")
+    if "fia_status_code" not in trees.columns:
+        return trees.select(*MORPHOLOGY, *extra).withColumn("fia_status_code", F.lit(1))
+    trees = trees.select(*MORPHOLOGY, "fia_status_code", *extra)
+    return trees.filter("fia_status_code = 1") if live_only else trees

@@ -21,10 +21,14 @@ def with_lod(points: DataFrame, order: tuple[str, ...], levels: int = LEVELS) ->
     """Level of a point from its place in its tile: place i has the least k with i divisible by 4^(levels-1-k).
     A tile is numbered over as many partitions as it lies in."""
     p = files.numbered(points, ["tile_x", "tile_y"], list(order), "i_")
+    return p.withColumn("lod", level(F.col("i_"), levels)).drop("i_")
+
+
+def level(place: Column, levels: int = LEVELS) -> Column:
     lod = F.lit(levels - 1)
     for k in range(levels - 2, -1, -1):
-        lod = F.when(F.col("i_") % (4 ** (levels - 1 - k)) == 0, F.lit(k)).otherwise(lod)
-    return p.withColumn("lod", lod.cast("int")).drop("i_")
+        lod = F.when(place % (4 ** (levels - 1 - k)) == 0, F.lit(k)).otherwise(lod)
+    return lod.cast("int")
 
 
 def read_points(points: DataFrame, box: tuple[float, float, float, float], tile: float, classes=None, max_lod: int | None = None, exact: bool = False, scale: float = SCALE) -> DataFrame:
@@ -38,20 +42,78 @@ def read_points(points: DataFrame, box: tuple[float, float, float, float], tile:
     return out.filter(F.col("x_m").between(box[0], box[2]) & F.col("y_m").between(box[1], box[3])) if exact else out
 
 
-def write_points(points: DataFrame, path: str) -> None:
+def write_points(points: DataFrame, path: str, mode: str = "error") -> None:
     """One folder per tile and level, whose rows lie in grid order. Rows are dealt by ranges of tile, level and
     place, so that a large tile is written by several tasks. A read by read_points opens the folders of its
     tiles and levels only."""
     near = F.shiftright(F.col("X"), ORDER_BITS), F.shiftright(F.col("Y"), ORDER_BITS)
     n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = ["tile_x", "tile_y", "lod", *near]
-    points.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.partitionBy("tile_x", "tile_y", "lod").parquet(path)
+    points.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode(mode).partitionBy("tile_x", "tile_y", "lod").parquet(path)
+
+
+#: Folders of a cloud that takes uploads.
+PARTITIONS = ["upload", "tile_x", "tile_y", "lod"]
+
+
+class BrokenCloud(ValueError):
+    """A stored cloud that its manifest or the format does not allow."""
+
+
+def append_upload(points: DataFrame, root: str, upload: int, order: tuple[str, ...]) -> None:
+    """Add tiled points to the cloud under `root` as its upload number `upload` (0, 1, ...), then write its manifest.
+
+    A tile's numbering runs on from the points that earlier uploads have stored in it, so levels are those of
+    one write of all uploads in their order. The counts come from footers. An upload replaces what an earlier try
+    of the same number has left; one before a later upload is an error, as it would shift that one's levels."""
+    spark = points.sparkSession
+    tiles = ["tile_x", "tile_y"]
+    if upload:
+        counts = files.footer_counts(spark, f"{root}/points", PARTITIONS)
+        if not counts.filter(F.col("upload") > upload).isEmpty():
+            raise ValueError(f"upload {upload} has successors")
+        stored = counts.filter(F.col("upload") < upload).groupBy(*tiles).agg(F.sum("n").alias("stored_"))
+    else:
+        stored = spark.createDataFrame([], "tile_x int, tile_y int, stored_ long")
+    placed = files.numbered(points, tiles, list(order), "i_").join(stored, tiles, "left")
+    placed = placed.withColumn("lod", level(F.col("i_") + F.coalesce("stored_", F.lit(0)))).drop("i_", "stored_")
+    write_points(placed, f"{root}/points/upload={upload}", "overwrite")
+    write_manifest(spark, root)
+
+
+def write_manifest(spark, root: str) -> None:
+    """What the cloud holds: tiles and points, written last, so that a reader can tell a whole cloud."""
+    counts = files.footer_counts(spark, f"{root}/points", PARTITIONS).groupBy("tile_x", "tile_y").agg(F.sum("n").alias("n"))
+    counts.agg(F.count("*").alias("tiles"), F.coalesce(F.sum("n"), F.lit(0)).alias("points")).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest")
+
+
+def checked_catalogue(spark, root: str, levels: int = LEVELS) -> DataFrame:
+    """tile_catalogue of a stored cloud from its footers. No manifest, other totals than it declares, or a level outside the
+    format are errors."""
+    try:
+        declared = spark.read.parquet(f"{root}/manifest").first()
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        raise BrokenCloud(f"{root} has no manifest") from e
+    counts = files.footer_counts(spark, f"{root}/points", PARTITIONS).groupBy("tile_x", "tile_y", "lod").agg(F.sum("n").alias("n"))
+    odd = counts.filter(~F.col("lod").between(0, levels - 1)).select("lod").first()
+    if odd:
+        raise BrokenCloud(f"level {odd.lod} is outside of the format")
+    seen = counts.agg(F.count_distinct("tile_x", "tile_y").alias("tiles"), F.coalesce(F.sum("n"), F.lit(0)).alias("points")).first()
+    for what in ("tiles", "points"):
+        if seen[what] != declared[what]:
+            raise BrokenCloud(f"the files have {seen[what]} {what}, the manifest declares {declared[what]}")
+    return cumulated(counts)
 
 
 def tile_catalogue(points: DataFrame) -> DataFrame:
     """Points per tile and level, and cumulated over levels."""
-    n = points.groupBy("tile_x", "tile_y", "lod").agg(F.count("*").alias("n"))
-    return n.withColumn("upto", F.sum("n").over(Window.partitionBy("tile_x", "tile_y").orderBy("lod")))
+    return cumulated(points.groupBy("tile_x", "tile_y", "lod").agg(F.count("*").alias("n")))
+
+
+def cumulated(counts: DataFrame) -> DataFrame:
+    return counts.withColumn("upto", F.sum("n").over(Window.partitionBy("tile_x", "tile_y").orderBy("lod")))
 
 
 def height_above(points: DataFrame, z: Column, ground: Column, low: float = -0.5, high: float = 100.0) -> DataFrame:

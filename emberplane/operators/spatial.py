@@ -274,21 +274,21 @@ def from_mercator(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / WGS84_A), F.degrees(2 * F.atan(F.exp(y / WGS84_A)) - math.pi / 2)
 
 
-def greedy_choice(covered: DataFrame, density: DataFrame, enough: float = 1e-4) -> DataFrame:
+def greedy_choice(covered: DataFrame, density: DataFrame, enough: float = 1e-4, total: int | None = None) -> DataFrame:
     """covered(cell, name), density(name, density) to (name, density, n): the names chosen one by one by their
-    gain n in cells (ties: denser, then the lesser name) until less than a share `enough` is left or gained.
+    gain n in cells (ties: denser, then the greater name) until less than a share `enough` of `total` (by default, all covered cells) is left or gained.
 
     A round takes all names that rank before every name with which they share a cell that is left. Gains
     only fall, and those of the names taken can't before their turn, so the choice is that of one name at
     a time; its order is by n, density and name. The driver sees a count a round."""
     cut = lambda df: files.written(df, "cover")
-    total = covered.select("cell").distinct().count()
+    total = covered.select("cell").distinct().count() if total is None else total
     left, out = cut(covered.select("cell", "name").distinct().join(density.select("name", "density"), "name")), None
-    rank = F.struct(-F.col("n"), F.col("density").isNull(), -F.col("density"), F.col("name"))
+    rank = F.struct("n", "density", "name")
     while True:
         gain = left.groupBy("name").agg(F.count("*").alias("n")).filter(F.col("n") >= max(1, enough * total))
         ranked = left.join(gain, "name")
-        ahead = ranked.groupBy("cell").agg(F.min(rank).alias("ahead"))
+        ahead = ranked.groupBy("cell").agg(F.max(rank).alias("ahead"))
         beaten = F.col("ahead.name") != F.col("name")
         won = cut(ranked.join(ahead, "cell").groupBy("name", "density", "n").agg(F.max(beaten).alias("beaten")).filter("NOT beaten").select("name", "density", "n"))
         out = won if out is None else out.unionByName(won)
@@ -299,7 +299,7 @@ def greedy_choice(covered: DataFrame, density: DataFrame, enough: float = 1e-4)
 
 def greedy_cover(covered: DataFrame, density: DataFrame, enough: float = 1e-4) -> list[str]:
     """The names of greedy_choice in their order."""
-    return [r["name"] for r in greedy_choice(covered, density, enough).orderBy(F.desc("n"), F.desc("density"), "name").collect()]
+    return [r["name"] for r in greedy_choice(covered, density, enough).orderBy(F.desc("n"), F.desc("density"), F.desc("name")).collect()]
 
 
 def _tiles(boxes: DataFrame, step: float) -> DataFrame:

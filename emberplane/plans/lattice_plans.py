@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import units
-from ..operators import generation, grids, lattices, pointcloud, spatial, voxels
+from ..operators import coverage, generation, grids, lattices, pointcloud, spatial, voxels
 from ..registry import query
 from ..sources import files, tables
 from . import base_sql as B
@@ -228,7 +228,7 @@ COVER = f"""WITH RECURSIVE {BOXES}, named AS (SELECT 's' || id AS name, CAST(den
  least_gain AS (SELECT greatest(1, 0.0001 * count(DISTINCT cell)) AS least FROM held),
  turn AS (SELECT -1 AS place, CAST([] AS BIGINT[]) AS taken, '' AS name, CAST(0 AS DOUBLE) AS density
   UNION ALL SELECT place + 1, list_concat(taken, gained), name, density FROM (SELECT t.place, t.taken, h.name, h.density, list(h.cell) AS gained FROM turn t, held h, least_gain
-   WHERE NOT list_contains(t.taken, h.cell) GROUP BY t.place, t.taken, h.name, h.density, least HAVING count(*) >= least) QUALIFY row_number() OVER (ORDER BY len(gained) DESC, density DESC, name) = 1)
+   WHERE NOT list_contains(t.taken, h.cell) GROUP BY t.place, t.taken, h.name, h.density, least HAVING count(*) >= least) QUALIFY row_number() OVER (ORDER BY len(gained) DESC, density DESC, name DESC) = 1)
  SELECT name, CAST(place AS BIGINT) AS place, density FROM turn WHERE place >= 0"""
 
 
@@ -237,8 +237,7 @@ def _(spark, d):
     b = boxes(spark, d).withColumn("name", F.concat(F.lit("s"), F.col("id")))
     covered = lattices.boxes_on_cells(b, 20.0).select((F.col("row") * 1000 + F.col("col")).alias("cell"), "name")
     chosen = spatial.greedy_choice(covered, b.select("name", "density"))
-    ranked = chosen.select("name", "density", (-F.col("n")).alias("less"), (-F.col("density")).alias("thin"))
-    return files.numbered(ranked, [], ["less", "thin", "name"], "place").select("name", "place", "density")
+    return coverage.in_order(chosen).select("name", "place", "density")
 
 
 def plots(spark, d):

@@ -15,6 +15,12 @@ def weekly(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", week.alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("week"), "n")
 
 
+def weekly_by(events: DataFrame, owner: str, kind: str) -> DataFrame:
+    """events(ts, owner, kind) to (owner, kind, week, used): what each owner has dispatched of each kind in each ISO week."""
+    week = F.window(F.col("ts").cast("timestamp"), "7 days", startTime="4 days")
+    return events.groupBy(F.col(owner).alias("owner"), F.col(kind).alias("kind"), week.alias("w")).agg(F.count("*").alias("used")).select("owner", "kind", F.col("w.start").alias("week"), "used")
+
+
 def current(events: DataFrame) -> DataFrame:
     """The last event type of each user (ties of time: the later id)."""
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("event_type"))
@@ -80,3 +86,43 @@ def complete_up_to(arrived: DataFrame, last: DataFrame) -> DataFrame:
     run = arrived.filter("idx >= 0").distinct().withColumn("k_", order).filter("idx = k_").groupBy("tile").agg((F.max("idx") + 1).alias("next"))
     out = last.join(run, "tile", "left").withColumn("next", F.coalesce("next", F.lit(0).cast("long")))
     return out.select("tile", "next", (F.col("next") > F.col("last_idx")).alias("final"))
+
+
+def prefixes(stream: DataFrame) -> DataFrame:
+    """stream(cloud, idx) to (cloud, since, upto): how far each cloud is complete, whenever that grows. Indices below `upto`
+    have all arrived, in whatever order and however often, with points or without.
+
+    A cloud's state is its prefix and the runs of indices that have arrived beyond the first gap; its arrivals come
+    in Arrow batches, never all at once."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    def fold(key, batches, state):
+        import numpy as np
+        import pandas as pd
+
+        since, starts, ends = state.get if state.exists else (0, [], [])
+        upto, starts, ends = since, np.array(starts, np.int64), np.array(ends, np.int64)
+        for b in batches:
+            new = np.unique(b["idx"].dropna().to_numpy(np.int64))
+            new = new[new >= upto]
+            breaks = np.flatnonzero(np.diff(new) > 1)
+            lows, highs = new[np.append(0, breaks + 1)[: len(new)]], new[np.append(breaks, len(new) - 1)[: len(new)]] + 1
+            starts, ends = np.append(starts, lows), np.append(ends, highs)
+            order = np.argsort(starts, kind="stable")
+            starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(order) else ends
+            first = np.append(True, starts[1:] > ends[:-1])[: len(starts)]  # runs that touch become one
+            starts, ends = starts[first], ends[np.append(np.flatnonzero(first)[1:] - 1, len(ends) - 1)[: int(first.sum())]]
+            if len(starts) and starts[0] <= upto:
+                upto, starts, ends = max(upto, int(ends[0])), starts[1:], ends[1:]
+        state.update((upto, starts.tolist(), ends.tolist()))
+        if upto > since:
+            yield pd.DataFrame({"cloud": [key[0]], "since": [since], "upto": [upto]})
+
+    return stream.groupBy("cloud").applyInPandasWithState(fold, "cloud long, since long, upto long", "upto long, starts array<long>, ends array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def finished_tiles(stream: DataFrame, schedule: DataFrame) -> DataFrame:
+    """stream(cloud, idx) and schedule(cloud, tile, last) to (cloud, tile), once for each tile, as soon as all of its cloud's
+    indices up to the tile's last one have arrived."""
+    grown = prefixes(stream).withColumn("last", F.explode(F.sequence("since", F.col("upto") - 1)))
+    return grown.join(schedule.select("cloud", "tile", F.col("last").cast("long").alias("last")), ["cloud", "last"]).select("cloud", "tile")

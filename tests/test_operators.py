@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberplane.functions import codes, units
-from emberplane.operators import catalogue, generation, grids, ingest, lattices, pointcloud, rules, spatial, stand, voxels
+from emberplane.operators import catalogue, compose, coverage, generation, grids, ingest, lattices, layers, pointcloud, polygons, reprojection, rules, spatial, stand, voxels
 from emberplane.operators.rules import Action, Condition, Rule
 from emberplane.sources import files
 from emberplane.streaming import dispatches
@@ -90,7 +90,7 @@ def test_greedy_cover_runs_to_the_end(spark):
     density = {n: float(rng.randint(1, 3)) for n in own}
     left, want = dict(own), []
     while any(left.values()):
-        best = min(left, key=lambda n: (-len(left[n]), -density[n], n))
+        best = max(left, key=lambda n: (len(left[n]), density[n], n))
         want.append(best)
         left = {n: c - own[best] for n, c in left.items()}
     cells = spark.createDataFrame([(c, n) for n, cs in own.items() for c in cs], "cell int, name string")
@@ -326,3 +326,325 @@ def test_region_areas(spark):
     assert round(edge.area_ha, 6) == 1 - 0.1521
     with pytest.raises(ValueError):
         lattices.region_areas(b, [("near", [])], 1.0)
+
+
+def box_cells(boxes, side=10, step=10.0):
+    """Cells of a square region whose centres lie in boxes(name -> x0, y0, x1, y1)."""
+    mid = lambda k: (k + 0.5) * step
+    return [(r * 1000 + c, n) for n, (x0, y0, x1, y1) in boxes.items() for r in range(side) for c in range(side) if x0 <= mid(c) <= x1 and y0 <= mid(r) <= y1]
+
+
+def chosen_datasets(spark, boxes, density, pins=None, side=10, **kw):
+    held = spark.createDataFrame(box_cells(boxes, side) + [(999_999, n) for n in boxes], "cell long, name string")
+    region = spark.createDataFrame([(r * 1000 + c,) for r in range(side) for c in range(side)], "cell long")
+    names = spark.createDataFrame(list(density.items()), "name string, density double")
+    return [(r.name, r.cells, r.expected_points) for r in coverage.select_datasets(region, held, names, 100.0, pins, **kw).orderBy("place").collect()]
+
+
+def test_one_nearly_complete_dataset_is_enough(spark):
+    halves = {"west": (0, 0, 50, 100), "east": (50, 0, 100, 100)}
+    whole = {"all": (0, 0, 100, 99), "most": (0, 0, 100, 85)}
+    density = {"west": 9.0, "east": 9.0, "all": 1.0, "most": 20.0}
+    assert chosen_datasets(spark, halves | whole, density) == [("all", 100, 10000)]
+    # Of several complete ones the densest, then the greater name; 90 of 100 cells are too few.
+    assert [n for n, *_ in chosen_datasets(spark, {"a": (0, 0, 100, 100), "c": (0, 0, 100, 100), "b": (0, 0, 100, 100), "most": (0, 0, 100, 90)}, {"a": 2.0, "b": 2.0, "c": 1.0, "most": 9.0})] == ["b"]
+
+
+def test_greedy_by_what_is_added(spark):
+    boxes = {"big": (0, 0, 70, 100), "second": (0, 0, 64, 100), "filler": (60, 0, 100, 100)}
+    assert chosen_datasets(spark, boxes, {"big": 1.0, "second": 5.0, "filler": 2.0}) == [("big", 70, 7000), ("filler", 30, 6000)]
+    assert chosen_datasets(spark, {}, {"x": 1.0}) == []
+
+
+def test_pins_keep_their_order(spark):
+    boxes = {"dense": (0, 0, 70, 100), "thin": (30, 0, 100, 100), "last": (0, 0, 100, 100), "far": (900, 900, 950, 950)}
+    density = {"dense": 9.0, "thin": 1.0, "last": 1.0, "far": 1.0, "nowhere": 1.0}
+    assert chosen_datasets(spark, boxes, density, ["thin", "dense"]) == [("thin", 70, 7000), ("dense", 30, 27000)]
+    assert chosen_datasets(spark, boxes, density, ["thin", "dense", "last"]) == [("thin", 70, 7000), ("dense", 30, 27000)]  # nothing is left for the last
+    # A pin that adds too little is left out, and its cells stay for those after it.
+    assert chosen_datasets(spark, boxes | {"sliver": (0, 0, 10, 20)}, density | {"sliver": 1.0}, ["thin", "sliver", "dense"], enough=0.05) == [("thin", 70, 7000), ("dense", 30, 27000)]
+    with pytest.raises(coverage.UnknownDataset, match="other"):
+        chosen_datasets(spark, boxes, density, ["thin", "other"])
+    for name in ("far", "nowhere"):
+        with pytest.raises(coverage.OutsideRegion, match=name):
+            chosen_datasets(spark, boxes, density, ["thin", name])
+
+
+def cloud_points(spark, rows):
+    return pointcloud.tiled(spark.createDataFrame(rows, "id int, X int, Y int, Z int"), 10.0)
+
+
+def test_appended_uploads_are_levelled_as_one(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(k, rng.randrange(-1500, 1500), rng.randrange(0, 1200), k) for k in range(400)]
+    root, once = f"file://{tmp_path}/cloud", f"file://{tmp_path}/once"
+    for k, (a, b) in enumerate(((0, 150), (150, 151), (151, 400))):
+        pointcloud.append_upload(cloud_points(spark, rows[a:b]), root, k, ("id",))
+    pointcloud.append_upload(cloud_points(spark, rows), once, 0, ("id",))
+    read = lambda p: {r.id: (r.tile_x, r.tile_y, r.lod) for r in spark.read.parquet(f"{p}/points").collect()}
+    assert read(root) == read(once) and len(read(root)) == 400
+    per_tile = {}
+    for k, (x, y, lod) in sorted(read(root).items()):
+        i = per_tile[x, y] = per_tile.get((x, y), -1) + 1
+        assert lod == min((j for j in range(5) if i % 4 ** (5 - j) == 0), default=5)
+    # The last upload can be run again, one before it can't.
+    pointcloud.append_upload(cloud_points(spark, rows[151:400]), root, 2, ("id",))
+    assert read(root) == read(once)
+    with pytest.raises(ValueError, match="successors"):
+        pointcloud.append_upload(cloud_points(spark, rows[150:151]), root, 1, ("id",))
+
+
+def test_catalogue_against_manifest(spark, tmp_path):
+    root = f"file://{tmp_path}/cloud"
+    pointcloud.append_upload(cloud_points(spark, [(k, k * 37 % 3000, k * 11 % 900, 0) for k in range(90)]), root, 0, ("id",))
+    got = pointcloud.checked_catalogue(spark, root)
+    assert got.agg(F.sum("n")).first()[0] == 90 and got.groupBy("tile_x", "tile_y").agg(F.max("upto").alias("m")).agg(F.sum("m")).first()[0] == 90
+    with files.footer_statistics(spark):
+        plan = spark.read.parquet(f"{root}/points").groupBy(*pointcloud.PARTITIONS).agg(F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [COUNT(*)]" in plan
+    spark.createDataFrame([(3, 91)], "tiles long, points long").write.mode("overwrite").parquet(f"{root}/manifest")
+    with pytest.raises(pointcloud.BrokenCloud, match="the files have"):
+        pointcloud.checked_catalogue(spark, root)
+    cloud_points(spark, [(1, 1, 1, 1)]).withColumn("lod", F.lit(6)).write.mode("append").partitionBy("tile_x", "tile_y", "lod").parquet(f"{root}/points/upload=0")
+    with pytest.raises(pointcloud.BrokenCloud, match="level 6"):
+        pointcloud.checked_catalogue(spark, root)
+    pointcloud.write_points(pointcloud.with_lod(cloud_points(spark, [(1, 1, 1, 1)]), ("id",)), f"file://{tmp_path}/bare/points")
+    with pytest.raises(pointcloud.BrokenCloud, match="no manifest"):
+        pointcloud.checked_catalogue(spark, f"file://{tmp_path}/bare")
+
+
+def test_count_of_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/rows"
+    assert files.count_rows(spark, path) is None
+    spark.range(1234).write.parquet(path)
+    assert files.count_rows(spark, path) == 1234
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+
+
+def test_finished_tiles(spark, tmp_path):
+    """Arrivals out of order, twice, without points and over a restart; tiles come once, when nothing before their last is missing."""
+    rng = random.Random(3)
+    arrivals = [(c, i, None if i % 5 == 0 else 10) for c in range(4) for i in range(60) if (c, i) not in ((1, 30), (2, 0))]
+    rng.shuffle(arrivals)
+    arrivals += arrivals[:40]
+    schedule = spark.createDataFrame([(c, t, rng.randrange(60)) for c in range(5) for t in range(20)], "cloud long, tile long, last int")
+    cut = [arrivals[k::6] for k in range(6)]
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema("cloud long, idx long, points int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = []
+    for some in (cut[:3], cut[3:]):  # the second query goes on from the checkpoint of the first
+        for part in some:
+            spark.createDataFrame(part, "cloud long, idx long, points int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = dispatches.finished_tiles(source, schedule).writeStream.foreachBatch(lambda df, n: out.extend(tuple(r) for r in df.collect()))
+        run.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    upto = {0: 60, 1: 30, 2: 0, 3: 60}
+    want = sorted((r.cloud, r.tile) for r in schedule.collect() if r.last < upto.get(r.cloud, 0))
+    assert sorted(out) == want and len(want) > 30
+
+
+def rings_of(spark, rings):
+    rows = [(i, [(float(x), float(y)) for x, y in r]) for i, own in rings.items() for r in own]
+    return spark.createDataFrame(rows, "id int, ring array<struct<x: double, y: double>>")
+
+
+def shoelace(ring):
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1], strict=True))) / 2
+
+
+def test_exact_areas(spark):
+    """Hand-made polygons, far from the origin: a hole, a bay, several conditions that cross, on strips of several heights."""
+    ox, oy = 500_000.0, 5_200_000.0
+    move = lambda ring: [(x + ox, y + oy) for x, y in ring]
+    square, bay = [(0, 0), (100, 0), (100, 100), (0, 100)], [(0, 0), (100, 0), (50, 40), (100, 100), (0, 100)]
+    domains = {1: [move(square)], 2: [move(square), move([(20, 20), (20, 60), (60, 60)])], 3: [move(bay)], 4: [move([(300, 300), (310, 300), (305, 309)])], 5: [move([(0, 0), (50, 0)])]}
+    edges = polygons.edges_of_rings(rings_of(spark, domains))
+    area = lambda conditions, strip: {r.id: r.area_ha * 1e4 for r in polygons.exact_areas(edges, conditions, strip).collect()}
+    half, slanted = move([(-10, -10), (200, -10), (200, 200)]), move([(-50, 30), (150, 70), (150, 500), (-50, 500)])
+    for strip in (7.0, 33.3, 1000.0):
+        assert area([], strip) == pytest.approx({1: 10_000, 2: 10_000 - 800, 3: 7_500, 4: 45, 5: 0}, abs=1e-6)
+        # Below the diagonal half of the square; the hole lies above it but for its edge on it.
+        below = {1: 5_000, 2: 5_000, 3: 4_500 / 2, 4: 0, 5: 0}
+        got = area([("within", [half])], strip)
+        assert got == pytest.approx(got | {1: below[1], 2: below[2], 5: 0}, abs=1e-6)
+        # Below the line from (0, 40) to (100, 60) lies half of the square.
+        out = area([("outside", [slanted])], strip)
+        assert out[1] == pytest.approx(5_000, abs=1e-6)
+        # A triangle of the diagonal and that line: they meet at x = y = 50.
+        both = area([("intersects", [half]), ("outside", [slanted])], strip)
+        assert both[1] == pytest.approx(100 * 40 + 100 * 20 / 2 - shoelace([(0, 0), (0, 40), (50, 50)]), abs=1e-6)
+    assert [r.too_large for r in polygons.exact_areas(edges, [], 50.0, 0.8).orderBy("id").collect()] == [True, True, False, False, False]
+    with pytest.raises(ValueError, match="touches"):
+        polygons.exact_areas(edges, [("touches", [half])], 50.0)
+
+
+def test_areas_against_convex_clipping(spark):
+    rng = random.Random(12)
+    tri = lambda: [(rng.uniform(0, 50), rng.uniform(0, 50)) for _ in range(3)]
+
+    def clip(ring, by):
+        if sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(by, by[1:] + by[:1], strict=True)) < 0:
+            by = by[::-1]
+        for a, b in zip(by, by[1:] + by[:1], strict=True):
+            side = lambda p, a=a, b=b: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+            out = []
+            for p, q in zip(ring, ring[1:] + ring[:1], strict=True):
+                if (side(p) >= 0) != (side(q) >= 0):
+                    t = side(p) / (side(p) - side(q))
+                    out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+                if side(q) >= 0:
+                    out.append(q)
+            ring = out
+            if not ring:
+                return ring
+        return ring
+
+    for _ in range(3):
+        rings, by = {k: [tri()] for k in range(12)}, tri()
+        edges = polygons.edges_of_rings(rings_of(spark, rings))
+        within = {r.id: r.area_ha * 1e4 for r in polygons.exact_areas(edges, [("within", [by])], 11.0).collect()}
+        without = {r.id: r.area_ha * 1e4 for r in polygons.exact_areas(edges, [("outside", [by])], 11.0).collect()}
+        for k, (ring,) in rings.items():
+            common = shoelace(clip(ring, by)) if clip(ring, by) else 0.0
+            assert within[k] == pytest.approx(common, abs=1e-6) and without[k] == pytest.approx(shoelace(ring) - common, abs=1e-6)
+
+
+def test_clipped_rings(spark):
+    rings = {1: [[(-5, 5), (5, -5), (15, 5), (5, 15)]], 2: [[(2, 2), (4, 2), (3, 5)]], 3: [[(20, 20), (30, 20), (30, 30)]], 4: [[(-10, -10), (40, -10), (40, 40), (-10, 40)]], 5: [[(1, 1), (20, 1), (20, 3), (5, 5), (20, 7), (20, 9), (1, 9)]]}
+    out = polygons.clip_rings(rings_of(spark, rings), (0.0, 0.0, 10.0, 10.0))
+    got = {r.id: shoelace([(p.x, p.y) for p in r.ring]) for r in out.collect()}
+    bay = 5 * (17 / 3 - 13 / 3) / 2  # of the fifth, between (10, 13/3), (5, 5) and (10, 17/3)
+    assert got == pytest.approx({1: 100.0, 2: 3.0, 4: 100.0, 5: 9 * 8 - bay}, abs=1e-9)
+    assert all(0 <= p.x <= 10 and 0 <= p.y <= 10 for r in out.collect() for p in r.ring)
+
+
+def test_filled_cells(spark):
+    """Scanlines against a test of each centre: random polygons with many corners, a hole, and bands of layers."""
+    rng = random.Random(6)
+    rings = {}
+    for k in range(8):
+        turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(9))
+        rings[k] = [[(50 + rng.uniform(15, 45) * math.cos(t), 50 + rng.uniform(15, 45) * math.sin(t)) for t in turns]]
+    rings[0].append([(47.0, 46.0), (55.0, 47.0), (50.0, 55.0)])
+    edges = polygons.edges_of_rings(rings_of(spark, rings))
+    got = {(r.id, r.row, r.col) for r in polygons.filled_cells(edges, 3.0).collect()}
+
+    def holds(rings, x, y):
+        hits = 0
+        for ring in rings:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+                hits += min(y1, y2) <= y < max(y1, y2) and x < x1 + (y - y1) * (x2 - x1) / (y2 - y1)
+        return hits % 2 == 1
+
+    assert got == {(k, r, c) for k, own in rings.items() for r in range(40) for c in range(40) if holds(own, c * 3 + 1.5, r * 3 + 1.5)}
+    layers = spark.createDataFrame([(k, "ab"[k % 2], float(k), 50.0, k + 1.0, 100.0, 7.0, 18000.0) for k in range(8)], "id int, fuel_type string, fuel_loading double, percent_cover double, fuel_height double, live_fuel_moisture double, dead_fuel_moisture double, heat_of_combustion double")
+    top = polygons.layer_bands(layers, edges, 3.0, "max").filter("row = 16 AND col = 12 AND fuel_type = 'b'").first()
+    over = [k for k in range(1, 8, 2) if (k, 16, 12) in got]
+    assert top.loading == max(over) / 2 and top.height == max(over) + 1 and top.heat_of_combustion == 18000
+    with pytest.raises(ValueError, match="median"):
+        polygons.layer_bands(layers, edges, 3.0, "median")
+
+
+def test_layers_by_index(spark, tmp_path):
+    rows = [(k, k % 7, float(k), float(k), k + 0.5, k + 0.5, f"n{k}") for k in range(70)] + [(3, 6, 3.0, 3.0, 3.5, 3.5, "again")]
+    table = spark.createDataFrame(rows, "fid int, area int, minx double, miny double, maxx double, maxy double, name string")
+    root = f"file://{tmp_path}"
+    layers.write_layers(table.filter("area <> 5"), root, "road")  # an area of the index without a layer
+    index = spark.createDataFrame([(a, float(a), float(a), a + 20.0, a + 20.0) for a in range(7)], "area int, minx double, miny double, maxx double, maxy double")
+    found = layers.read_layers(spark, root, "road", index, (2.0, 2.0, 5.2, 5.2), "fid", "area")
+    assert sorted((r.fid, r.area, r.name) for r in found.collect()) == [(2, 2, "n2"), (3, 3, "n3"), (4, 4, "n4")]
+    far = layers.read_layers(spark, root, "road", index, (0.0, 0.0, 0.9, 0.9), "fid", "area")
+    assert "dynamicpruning" in far._jdf.queryExecution().executedPlan().toString() and far.count() == 1
+    assert layers.read_layers(spark, root, "water", index, (0.0, 0.0, 9.0, 9.0), "fid", "area").count() == 0
+    with pytest.raises(ValueError, match="rail"):
+        layers.read_layers(spark, root, "rail", index, (0.0, 0.0, 9.0, 9.0), "fid", "area")
+    # A broken layer is an error where it is met, and not opened where it is not.
+    for f in (tmp_path / "road" / "area=0").glob("part-*"):
+        f.write_bytes(b"no parquet")
+    for f in (tmp_path / "road" / "area=0").glob(".part-*"):
+        f.unlink()
+    assert layers.read_layers(spark, root, "road", index, (25.0, 25.0, 26.0, 26.0), "fid", "area", table.schema).count() == 0
+    with pytest.raises(Exception, match="area=0"):
+        layers.read_layers(spark, root, "road", index, (0.0, 0.0, 0.9, 0.9), "fid", "area", table.schema).collect()
+
+
+def test_checked_quadratic(spark):
+    rng = random.Random(2)
+    rows = [(k, t, -13_024_400 + t * 50_000 + rng.uniform(0, w), 5_942_000 + rng.uniform(0, w)) for t, w in ((0, 500.0), (1, 3_000.0), (2, 400_000.0), (3, 0.0)) for k in range(50)]
+    points = spark.createDataFrame(rows, "k int, t int, x double, y double")
+    exact = lambda x, y: spatial.utm(*spatial.from_mercator(x, y), 11)
+    out = reprojection.reprojected(points, F.col("t"), exact)
+    ex, ey = exact(F.col("x"), F.col("y"))
+    got = out.groupBy("t").agg(F.bool_and("approximated").alias("a"), F.bool_or("approximated").alias("b"), F.max(F.hypot(F.col("px") - ex, F.col("py") - ey)).alias("miss")).collect()
+    assert {r.t: (r.a, r.b) for r in got} == {0: (True, True), 1: (True, True), 2: (False, False), 3: (False, False)}
+    assert all(r.miss <= 1e-4 for r in got) and max(r.miss for r in got if r.t < 2) > 0
+
+
+def test_composed_grids(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (1, 1, 2.0)], "row int, col int, v double")
+    base = grids.Lattice(0.0, 100.0, 10.0, 10, 10)
+    good = compose.Grid(cells, base, "EPSG:1")
+    near = compose.Grid(cells.filter("row = 1"), grids.Lattice(5e-10, 100.0, 10.0, 10, 10), "EPSG:1")
+    assert sorted(tuple(r) for r in compose.aligned({"a": good, "b": near}).collect()) == [(0, 0, 1.0, None), (1, 1, 2.0, 2.0)]
+    for bad, why in ((compose.Grid(cells, base, "EPSG:2"), "another reference"), (compose.Grid(cells, base, None), "no reference"), (compose.Grid(cells, grids.Lattice(0.0, 100.0, 10.0, 10, 9), "EPSG:1"), "shape"),
+                     (compose.Grid(cells, grids.Lattice(1e-8, 100.0, 10.0, 10, 10), "EPSG:1"), "place"), (compose.Grid(cells.drop("v"), base, "EPSG:1"), "no bands"), (compose.Grid(cells.withColumn("k", F.lit(1)), base, "EPSG:1"), "two dimensions")):
+        with pytest.raises(compose.Misaligned, match=why):
+            compose.aligned({"a": good, "b": bad})
+    assert [tuple(r) for r in compose.cropped(good, grids.Lattice(10.0, 90.0, 10.0, 2, 2)).collect()] == [(0, 0, 2.0)]
+    for target, why in ((grids.Lattice(-10.0, 100.0, 10.0, 2, 2), "covered"), (grids.Lattice(90.0, 100.0, 10.0, 2, 2), "covered"), (grids.Lattice(5.0, 100.0, 10.0, 2, 2), "whole cells"), (grids.Lattice(0.0, 100.0, 5.0, 2, 2), "cells of")):
+        with pytest.raises(compose.Misaligned, match=why):
+            compose.cropped(good, target)
+    with pytest.raises(ValueError, match=r"no band 'w': there are \['v'\]"):
+        compose.chosen_bands(cells, ["w"])
+
+
+def test_fire_stack(spark):
+    canopy = spark.createDataFrame([(0, 0, 0, 0.2, 100.0, 1000.0), (1, 0, 0, 0.4, 90.0, 0.0), (0, 0, 1, 0.0, 80.0, None)], "k int, j int, i int, density double, moisture double, savr double")
+    surface = spark.createDataFrame([(0, 0, 0.6, 0.3, 10.0, 2000.0), (0, 2, 0.0, 0.1, float("nan"), 5.0)], "j int, i int, load double, depth double, moisture double, savr double")
+    rows = {how: {(r.k, r.i): (r.rho, r.moisture, r.depth, r["size"]) for r in compose.fire_stack(canopy, surface, 1.0, how).collect()} for how in ("max", "mean")}
+    assert rows["max"][0, 0] == pytest.approx((0.8, 1.0, 0.3, 2 / 1750)) and rows["mean"][0, 0] == pytest.approx((0.8, 0.325, 0.3, 2 / 1750))
+    assert rows["max"][1, 0] == (0.4, 0.9, 0.0, 0.0) and rows["max"][0, 1] == (0.0, 0.8, 0.0, 0.0) and rows["mean"][0, 1] == (0.0, 0.0, 0.0, 0.0) and rows["max"][0, 2] == (0.0, 0.0, 0.1, 0.0)
+    assert "size" not in compose.fire_stack(canopy.drop("savr"), surface, 1.0).columns
+    with pytest.raises(ValueError, match="sum"):
+        compose.fire_stack(canopy, surface, 1.0, "sum")
+
+
+def test_uploaded_lattices(spark):
+    square = spark.createDataFrame([(x + 5.0, y + 5.0, 1, 2) for x in (0, 10, 40) for y in (0, 10, 20)], "x double, y double, a int, b int")
+    box = (20.0, 20.0, 90.0, 90.0)
+    assert compose.upload_lattice(square, ["p", "q"], "E:1", "E:1", box) == grids.Lattice(0.0, 30.0, 10.0, 3, 5)
+    for table, names, crs, to, why in ((square, ["p"], "E:1", "E:1", "2 bands for 1"), (square, ["p", "q"], "E:2", "E:1", "the upload is in"), (square.withColumn("y", F.col("y") * 2), ["p", "q"], "E:1", "E:1", "not square"), (square.filter("x = 5"), ["p", "q"], "E:1", "E:1", "not square"), (square.withColumn("x", F.col("x") + 500), ["p", "q"], "E:1", "E:1", "meet")):
+        with pytest.raises(ValueError, match=why):
+            compose.upload_lattice(table, names, crs, to, box)
+
+
+def test_tree_tables(spark, tmp_path):
+    full = spark.createDataFrame([(1.0, 2.0, 122, 3.0, 4.0, 0.5, s, 9) for s in (1, 2, None)], "x double, y double, fia_species_code int, dbh double, height double, crown_ratio double, fia_status_code int, extra int")
+    for name, table in (("full", full), ("bare", full.drop("fia_status_code")), ("poor", full.drop("dbh", "crown_ratio"))):
+        table.write.parquet(f"{tmp_path}/{name}")
+    live = ingest.read_trees(spark, f"{tmp_path}/full", ("extra",))
+    assert live.count() == 1 and "EqualTo(fia_status_code,1)" in live._jdf.queryExecution().executedPlan().toString() and ingest.read_trees(spark, f"{tmp_path}/full", live_only=False).count() == 3
+    assert [r.fia_status_code for r in ingest.read_trees(spark, f"{tmp_path}/bare").collect()] == [1, 1, 1]
+    with pytest.raises(ingest.MissingMorphology, match="dbh.*crown_ratio"):
+        ingest.read_trees(spark, f"{tmp_path}/poor")
+    with pytest.raises(ingest.TreesNotFound):
+        ingest.read_trees(spark, f"{tmp_path}/none")
+
+
+def test_quotas_by_kind_and_week(spark):
+    use = spark.createDataFrame([(1, "p", "g", 5, 2, 10), (2, "p", "g", 5, 1, 10), (3, "p", "g", 4, 1, 99), (4, "p", "g", 4, 1, 10), (5, "p", "x", 9, 9, 9), (6, "p", "g", 1, 0, 0)], "owner int, tier string, kind string, n int, active int, bytes long")
+    limits = spark.createDataFrame([("p", "g", 2, 5, 99, 3)], "tier string, kind string, active_limit int, count_limit int, storage_limit int, weekly_limit int")
+    weekly = spark.createDataFrame([(4, "g", 3), (1, "g", 9), (6, "g", 2)], "owner int, kind string, used long")
+    got = {r.owner: (r.violated, r.current, r.most, r.retry) for r in catalogue.quota_verdicts(use, limits, weekly).collect()}
+    none = (None, None, None, None)
+    assert got == {1: ("active", 2, 2, True), 2: ("count", 5, 5, False), 3: ("storage", 99, 99, False), 4: ("weekly", 3, 3, False), 5: none, 6: none}
+
+
+def test_stale_tests_and_reports(spark):
+    day = lambda n: datetime.datetime(2020, 1, 10) - datetime.timedelta(days=n)
+    rows = spark.createDataFrame([("test-a", None, day(3), 1), ("b", "test-o", day(3), 2), ("static-test-c", "test-o", day(9), 4), ("test-d", "o", day(1), 8), ("test-e", "o", None, 16), ("f", "o", day(9), 32), ("g", None, day(9), None)], "id string, owner string, modified_on timestamp, size_bytes long")
+    stale = catalogue.stale_tests(rows, F.lit("2020-01-10 00:00:00").cast("timestamp"))
+    assert sorted(r.id for r in stale.collect()) == ["b", "test-a"]
+    report = catalogue.reconciliation(rows, {"orphan": rows.filter("id IN ('b', 'g')"), "test": stale, "blob": rows.limit(0)}, {"orphan": False})
+    assert sorted(tuple(r) for r in report.collect()) == [("blob", True, 0, 0, 0, 0), ("orphan", False, 2, 2, 2, 2), ("test", True, 1, 0, 1, 0)]
+    page = catalogue.counted_page(catalogue.listing(rows, {"owner": "o"}), "size_bytes", 0, 2)
+    assert [(r.id, r.total) for r in page.orderBy(F.desc("size_bytes")).collect()] == [("f", 3), ("test-e", 3)]
