@@ -10,7 +10,8 @@ lengths are powers of two. So no sequence needs padding.
 
 A null text is empty and still has its end id. Rows that share an id are packed each for itself.
 Sequence ids are unique (task number and counter) and, for the same input files and read
-settings, the same on every run. An empty table gives an empty result.
+settings, the same on every run. A very long text takes memory in proportion in one task. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -74,11 +75,11 @@ def pack_block(lengths: np.ndarray, capacity: int) -> tuple[list[tuple[int, int,
     return out, used + len(caps)
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = 1024, ranks: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int = 1024) -> DataFrame:
     """One row per piece of docs(doc_id, text): where in its document and in which sequence it lies."""
 
     def run(batches):
-        coder, base = encoder(tokenizer, kind, ranks), TaskContext.get().partitionId() << 32
+        coder, base = encoder(tokenizer, kind), TaskContext.get().partitionId() << 32
         end = np.array([end_id], "<u4").tobytes()
         ids, held, total, sequence = [], [], 0, 0
 

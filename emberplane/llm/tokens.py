@@ -2,59 +2,37 @@
 
 from __future__ import annotations
 
-import base64
 import os
 import re
-from pathlib import Path
 
 import numpy as np
 
-CACHE, CHECKED = 300_000, 997
-#: A piece of each class that the tokenizer's pattern knows, and mixtures.
-PROBES = ["word", " word", "Words", "naïve", "étreèon", "Straße", "日本語", "дом", "🙂🙂", "don't", "I'll", "'s", "123", " 4567", "a1b2", "...", " --", "x_y", "(a)", "\t\ttab", "\n\n", " \n x", "a\u00a0b", "e\u0301", "\ud7ff", "http://a.b/c?d=1"]
-#: A space that neither begins a run of white space nor stands right before a word.
-INNER = re.compile(r"\s (?!\S)")
+CACHE = 1_000_000
+#: A space of a white run, or before one, or at the end: one that does not stand alone between two words.
+RUN = re.compile(r"\s (?!\S)| \Z")
+#: A space right before what is no white space: the tokenizer of kind "spaced" always cuts there.
+BEFORE = re.compile(r" (?=\S)")
 _open: dict[tuple, Encoder] = {}
 
 
 class Encoder:
     """Ids as little-endian uint32 bytes.
 
-    kind "spaced": the tokenizer splits before a single space, so a text may be encoded piece by
-    piece, each piece but the first with its space; texts with an inner space of a white run go
-    through the library whole. kind "words": white space only separates. kind "whole": no pieces.
-    ranks: a file of the same vocabulary as byte ranks; tiktoken then encodes the pieces, with the
-    same ids in a fifth of the time; PROBES and one in CHECKED new pieces are also encoded by the
-    library, and a difference ends tiktoken's use. The cache keeps the first CACHE different pieces.
+    kind "spaced": the tokenizer cuts before a space that a word follows, so a text may be encoded piece by
+    piece, each piece but the first with its space, and white runs stay whole. kind "words": white space only
+    separates. kind "whole": no pieces. Texts with the string of an added token go through the library whole.
+    The cache keeps the first CACHE different pieces; all ids come from the library.
     """
 
-    def __init__(self, path: str, kind: str, ranks: str | None = None):
+    def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        #: Texts with the string of an added token go through the library whole.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind, self.first, self.rest, self.fast = kind, {}, {}, None
-        if ranks:
-            import public_tokenizers
-            import tiktoken
-
-            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(ranks).read_bytes().splitlines())}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-            self._check(PROBES)
-
-    def _check(self, texts: list[str]) -> None:
-        """The rank file must give the library's ids; where it does not, the library alone is used."""
-        if self.fast and self._ids(texts) != self._library(texts):
-            self.fast = None
+        self.kind, self.first, self.rest = kind, {}, {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        if self.fast:
-            return [np.array(self.fast.encode_ordinary(t), "<u4").tobytes() for t in texts]
-        return self._library(texts)
-
-    def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _known(self, cache: dict, words: set[str], lead: str) -> dict:
@@ -63,26 +41,28 @@ class Encoder:
         made = {}
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self._check([lead + w for w in part[::CHECKED]])
             made.update(zip(part, self._ids([lead + w for w in part]), strict=True))
         if len(cache) + len(made) <= CACHE:
             cache.update(made)
             return cache
         return {w: made[w] if w in made else cache[w] for w in words}
 
+    def _pieces(self, text: str) -> list[str] | None:
+        if any(x in text for x in self.added):
+            return None
+        return BEFORE.split(text) if self.kind == "spaced" and RUN.search(text) else text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.kind == "whole":
-            return self._library(texts)
-        spaced = self.kind == "spaced"
-        added = [any(x in t for x in self.added) for t in texts]
-        pieces = [None if a or spaced and (t[-1:].isspace() or INNER.search(t)) else t.split(" ") for t, a in zip(texts, added, strict=True)]
+            return self._ids(texts)
+        pieces = [self._pieces(t) for t in texts]
         first = self._known(self.first, {p[0] for p in pieces if p}, "")
-        rest = self._known(self.rest, set().union(*(p[1:] for p in pieces if p)), " " if spaced else "").__getitem__
-        return [(self._library if a else self._ids)([t])[0] if p is None else first[p[0]] + b"".join(map(rest, p[1:])) for t, p, a in zip(texts, pieces, added, strict=True)]
+        rest = self._known(self.rest, set().union(*(p[1:] for p in pieces if p)), " " if self.kind == "spaced" else "").__getitem__
+        return [self._ids([t])[0] if p is None else first[p[0]] + b"".join(map(rest, p[1:])) for t, p in zip(texts, pieces, strict=True)]
 
 
-def encoder(path: str, kind: str, ranks: str | None = None) -> Encoder:
+def encoder(path: str, kind: str) -> Encoder:
     """One encoder per Python worker and tokenizer file."""
-    if (path, kind, ranks) not in _open:
-        _open[path, kind, ranks] = Encoder(path, kind, ranks)
-    return _open[path, kind, ranks]
+    if (path, kind) not in _open:
+        _open[path, kind] = Encoder(path, kind)
+    return _open[path, kind]
