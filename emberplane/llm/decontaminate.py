@@ -12,8 +12,11 @@ the limit.
 
 The items travel as a broadcast index, in blocks of at most `block_bytes` of item text each (the
 size is summed first); documents are read once per block and nothing is shuffled.
-Null or blank items match nothing; items under 14 bytes must occur unchanged. Null texts hold
-nothing. Rows that share an id are each searched; extra columns are ignored.
+Null or blank items match nothing; an item so short that its share of edits is none must occur
+unchanged. Items of few bytes with an edit have pieces of a few bytes, which occur often, so each
+costs more than a long one. Null texts hold nothing. Rows that share an id are each searched, and
+repeated rows give repeated results; extra columns are ignored; an empty table on either side gives
+an empty result. A very long text takes memory in proportion in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, slices
 
-SEED, SHIFT, LONGEST, GRAMS = 14, 16, 8, (4, 5)
+SHIFT, LONGEST, GRAMS = 16, 8, (4, 5)
 TABLE_BITS, HITS, ROWS = 22, 1 << 20, 2048
 SCHEMA = "doc_id long, item_id long, edit_distance int, item_bytes int, start int"
 FOLD = bytes(LOWER)
@@ -127,8 +130,10 @@ class Index:
     """A block of items: their pieces, runs of four bytes, and verification masks."""
 
     def __init__(self, items: list[tuple[int, bytes]], max_rate: float):
-        self.short = [(i, t) for i, t in items if 0 < len(t) < SEED]
-        items = sorted(((i, t) for i, t in items if len(t) >= SEED), key=lambda x: (len(x[1]), x[0]))
+        # Without an edit an item of less than LONGEST bytes is one short piece: it is looked for as it is.
+        whole = lambda t: len(t) < LONGEST and int(max_rate * len(t)) == 0
+        self.short = [(i, t) for i, t in items if t and whole(t)]
+        items = sorted(((i, t) for i, t in items if t and not whole(t)), key=lambda x: (len(x[1]), x[0]))
         self.ids, self.texts = [i for i, _ in items], [t for _, t in items]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         # An item that may be edited throughout needs no piece; one byte less keeps a piece of one byte.
