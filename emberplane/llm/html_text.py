@@ -41,6 +41,8 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template iframe svg textarea select button".split())
+#: Of these, those that hold code, and those of which one does not lie in another.
+CODE, SINGLE = frozenset("script style".split()), frozenset("button select textarea iframe".split())
 # Tags and class words of what is not the article.
 BOILERPLATE = frozenset(
     "nav aside footer header form head title menu dialog ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment "
@@ -61,6 +63,39 @@ WORDS = re.compile(r"[a-z]+")
 ROW = ["name", "n0", "n1"]
 
 
+def raw_end(source: str, at: int, name: str) -> int:
+    """Where an element whose content is no text ends, from the end of its start tag on.
+
+    Scripts and styles end at their end tag or with the page. Others, too, if it comes before the end of the block
+    that they lie in and before another start tag of their kind; else they were not closed, and end at the next block."""
+    if name in CODE:
+        stop = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
+        return stop.end() if stop else len(source)
+    inner: list[str] = []
+    block, here = None, at
+    while here < len(source):
+        m = TOKEN.match(source, here)
+        tag = (m[2] or "").lower()
+        if tag == name:
+            if m[1]:
+                return m.end()
+            if name in SINGLE:
+                break
+        elif tag in CODE and not m[1]:
+            here = raw_end(source, m.end(), tag)
+            continue
+        elif tag in BLOCKS:
+            block = here if block is None else block
+            if not m[1]:
+                inner += [tag] * (tag not in VOID)
+            elif tag in inner:
+                del inner[len(inner) - 1 - inner[::-1].index(tag) :]
+            else:
+                break
+        here = m.end()
+    return block if block is not None else here if here < len(source) else len(source)
+
+
 class Page:
     """Block nodes (parent, tag, names in class, id and role) and text blocks (node, text, characters in links)."""
 
@@ -99,8 +134,7 @@ class Page:
             name = name.lower()
             if name in RAW:
                 if not m[1] and not m[3].endswith("/"):
-                    stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(source, at)
-                    at = stop.end() if stop else end
+                    at = raw_end(source, at, name)
                     text.append(" ")
                 continue
             if name == "xmp" and not m[1]:
