@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,6 +61,24 @@ def discard(*tables: DataFrame | None) -> None:
             place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
 
 
+def spare_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs don't have."""
+    return name + "_" * (1 + max(map(len, docs.columns)))
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column (and its name) that tells all rows apart and ascends with doc_id, nulls last.
+
+    Where ids are there and differ, they are the key themselves; else a copy is written that is numbered by id and a
+    hash of the text, so that rows that share an id, or have none, are documents of their own."""
+    name = spare_name(docs, "row")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 OR doc_id IS NULL").isEmpty():
+        return docs.withColumn(name, F.col("doc_id").cast("long")), name
+    hashed = spare_name(docs, "hash")
+    order = [F.col("doc_id").asc_nulls_last(), hashed]
+    return files.numbered(docs.withColumn(hashed, F.xxhash64(F.col("text").cast("string"))), [], order, name).drop(hashed), name
+
+
 def slices(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
     """Cut a batch into row ranges of about `limit` bytes of text (one row at least)."""
     text = batch.column(column)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, text_buffer
+from .common import LOWER, slices, spare_name, text_buffer
 
 BITS = 15
 ORDERS = (1, 2, 3)
@@ -182,5 +182,5 @@ def keep_identified(docs: DataFrame, train: Column, weight_rows: int = 4000, sha
                 unsure = decode(part.column(place), part.column(part.num_columns - 1).to_numpy(zero_copy_only=False))[2]
                 yield pa.RecordBatch.from_arrays(part.columns[:-1], part.schema.names[:-1]).filter(pa.array(~unsure))
 
-    spare = "letter" + "_" * (1 + max(map(len, docs.columns)))
+    spare = spare_name(docs, "letter")
     return docs.select("*", letter.alias(spare)).mapInArrow(keep, docs.schema)

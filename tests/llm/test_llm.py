@@ -17,7 +17,7 @@ import corpus_pipeline
 from emberplane.llm import common, decontaminate, exact_dedup, html_text, idcoder, jaccard, language, packing, repeats, sharding, token_files, tokens, toxicity
 
 SF = "/root/testdata/sf0.001"
-BYTE, RANKS, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
+BYTE, WORD = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
 rng = random.Random(5)
 
 
@@ -213,11 +213,11 @@ def test_coder_round_trip(size):
 
 
 def test_pieces_give_the_library_ids(real):
-    texts = [t or "" for _, t in AWKWARD] + [r.text for r in real.collect()] + ["a  b", "a   b ", " \n x", "\n ", "don't  'll", "x 　 y", "see <|endoftext|> here", "<|startoftext|>x <|ENDOFTEXT|>"]
-    for path, kind, ranks in ((BYTE, "spaced", RANKS), (BYTE, "spaced", None), (WORD, "words", None)):
+    texts = [t or "" for _, t in AWKWARD] + [r.text for r in real.collect()] + ["a  b", "a   b ", " \n x", "\n ", "don't  'll", "x 　 y", "a\x1c b \x1c c", " \x85 b", "a \u2003 b", "x ", "  ", " \t b", "a \u00a0b", "see <|endoftext|> here", "<|startoftext|>x <|ENDOFTEXT|>"]
+    for path, kind in ((BYTE, "spaced"), (WORD, "words")):
         plain = Tokenizer.from_file(path)
         want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        assert tokens.encoder(path, kind, ranks).encode(texts) == want
+        assert tokens.encoder(path, kind).encode(texts) == want
 
 
 def test_token_files(spark, docs, tmp_path):
@@ -235,7 +235,7 @@ def test_packing(docs, real):
     """Every id of every document in exactly one piece, pieces side by side in their sequences, CRCs of the library's ids."""
     plain = Tokenizer.from_file(BYTE)
     for table in (docs.filter("doc_id <> 6"), real):
-        got = packing.pack(table, BYTE, "spaced", 0, 64, RANKS).toPandas()
+        got = packing.pack(table, BYTE, "spaced", 0, 64).toPandas()
         ids = {r.doc_id: np.array([*plain.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in table.collect()}
         assert set(got.doc_id) == set(ids)
         for doc, g in got.groupby("doc_id"):
@@ -365,3 +365,130 @@ def test_jaccard_large_group(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.ngram_jaccard_join(table, 3, 90, 100).collect()}
     assert got == brute_components(rows, 3, 90, 100)
+
+
+def test_pipeline_rows_of_one_id(spark, real, tmp_path):
+    """Copies and unlike texts that share an id, rows without one, clashing columns, and an empty table."""
+    real.write.parquet(f"{tmp_path}/sf/documents.parquet")
+    spark.createDataFrame([(1, words(60))], "item_id long, text string").write.parquet(f"{tmp_path}/sf/benchmark.parquet")
+    some = [r.text for r in real.filter("lang = 'en' AND n_chars > 800").orderBy("doc_id").limit(3).collect()]
+    rows = [(1, some[0]), (1, some[0] + " "), (1, some[1]), (None, some[0]), (None, some[2]), (7, some[2].replace(" ", "  ")), (8, some[2] + " one more"), (9, None), (9, " 12 ")]
+    table = spark.createDataFrame([(i, t, "en", "s", 1, "k", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row string, component_id int")
+    kept = corpus_pipeline.dedup(spark, table, f"{tmp_path}/sf")
+    assert kept.columns == table.columns
+    # Of some[0] the longest stays, of some[2] the one with wider gaps, both as rows of their own.
+    assert sorted(r.component_id for r in kept.collect()) == [1, 2, 5, 6, 7, 8]
+    near = corpus_pipeline.near_dedup(spark, kept, f"{tmp_path}/sf")
+    assert sorted(r.component_id for r in near.collect()) == [1, 2, 5, 7, 8]
+    assert sorted(r.component_id for r in corpus_pipeline.clean(spark, near, f"{tmp_path}/sf").collect()) == [1, 2, 5, 7, 8]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table.limit(0), f"{tmp_path}/sf").count() == 0
+
+
+def apart(pattern, text):
+    """Least edits between a pattern and any part of a text, by the plain recurrence."""
+    row = list(range(len(pattern) + 1))
+    best = row[-1]
+    for c in text:
+        new = [0]
+        for k, p in enumerate(pattern, 1):
+            new.append(min(row[k - 1] + (p != c), row[k] + 1, new[k - 1] + 1))
+        row, best = new, min(best, new[-1])
+    return best
+
+
+def test_decontamination_against_plain_distances(spark):
+    """Items of all lengths, also of few bytes, in three blocks, with random edits, against the recurrence."""
+    own = random.Random(21)
+    letters = lambda n: "".join(own.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)).strip() or "x"
+    items = {k: letters(n) for k, n in enumerate([*range(1, 40), 50, 60, 70, 80])}
+    items[100] = "quick brownfx"
+
+    def edited(t, k):
+        t = list(t)
+        for _ in range(k):
+            at, how = own.randrange(len(t) + 1), own.randrange(3)
+            t[at : at + (how > 0)] = own.choice("qxz") if how < 2 else ""
+        return "".join(t)
+
+    rows = [(0, "the quick brownfox jumps"), (1, None), (2, "")]
+    rows += [(10 + j, f"{letters(own.randint(0, 60))} {edited(t, own.randint(0, int(0.2 * len(t)) + 1))} {letters(own.randint(0, 60))}") for j, t in enumerate(list(items.values()) * 3)]
+    size = sum(len(t.encode()) for t in items.values())
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    found = decontaminate.find_items(table, spark.createDataFrame(list(items.items()), "item_id long, text string"), block_bytes=-(-size // 3))
+    got = {(r.doc_id, r.item_id): r.edit_distance for r in found.collect()}
+    want = {}
+    for i, t in rows:
+        for k, item in items.items():
+            a, b = decontaminate.plain(item), decontaminate.plain(t)
+            d = apart(a, b)
+            if d <= int(0.15 * len(a)) and b:
+                want[i, k] = d
+    assert got == want and got[0, 100] == 1 and sum(d > 0 for d in want.values()) > 40
+
+
+def test_unclosed_elements_end_at_the_next_block():
+    for source, blocks in (
+        ("<article><p>a</p><button>x<p>b</p></article>", ["a", "b"]), ("<p>a</p><select><option>1<p>b</p>", ["a", "b"]), ("<p>a<svg><g>t</g></svg>b</p>", ["ab"]), ("<p>a</p><svg><g>t<p>b</p>", ["a", "b"]),
+        ("<p>a</p><textarea>t<p>b</p>", ["a", "b"]), ("<p>q <button>u<button>x</button>z</p><p>w</p>", ["q z", "w"]), ("<div><button><div>x</div></button>y</div>", ["y"]), ("<p>x <button>y", ["x"]), ("<form><button>s<script>'</button>'</script>t</button>u</form>", ["u"]),
+    ):
+        assert [b.replace("a b", "ab") for _, b, _ in html_text.Page(source).blocks] == blocks
+
+
+def brute_leaves(rows, leaves, upto):
+    """rows(weight, dims, tie): widest dimension, keys in order, the cut nearest to the share, side by side."""
+    out = {}
+
+    def split(own, first, n):
+        if n == 1 or not own:
+            out.update({k: first for k in own})
+            return
+        spans = [max(rows[k][1][d] for k in own) - min(rows[k][1][d] for k in own) for d in range(4)]
+        dim = spans.index(max(spans))
+        key = lambda k: (rows[k][1][dim], rows[k][2] & 0xFFFFFFFF)
+        left = n // 2
+        width = upto[first + n] - upto[first]
+        aim = sum(rows[k][0] for k in own) * ((upto[first + left] - upto[first]) / width if width else left / n)
+        low, at, done = [], 0, 0
+        for k in sorted(own, key=key):
+            if at >= aim:
+                break
+            done, at = at, at + rows[k][0]
+            low.append(k)
+        if low and aim - done < at - aim:
+            low.pop()
+        split(low, first, left)
+        split([k for k in own if k not in low], first + left, n - left)
+
+    split(list(rows), 0, leaves)
+    return out
+
+
+def test_kd_cuts_against_sorting(spark):
+    own = random.Random(17)
+    rows = {k: (own.choice((1, 1, 2, 50, 900)), (own.randrange(1 << 31), own.choice((0, 5, 9)), own.randrange(100), 0), own.getrandbits(63)) for k in range(400)}
+    table = spark.createDataFrame([(k, w, *d, t) for k, (w, d, t) in rows.items()], "k int, weight long, d0 long, d1 long, d2 long, d3 long, tie long")
+    total = sum(w for w, _, _ in rows.values())
+    even = [total * k / 7 for k in range(8)]
+    uneven = [0.0, 0.0, total * 0.5, total * 0.5, total * 0.7, total * 0.8, total * 0.9, float(total)]
+    assert {r.k: r.leaf for r in sharding.kd_leaves(table, 7).collect()} == brute_leaves(rows, 7, even)
+    aims = spark.createDataFrame(list(enumerate(uneven)), "leaf int, upto double")
+    assert {r.k: r.leaf for r in sharding.kd_leaves(table, 7, aims).collect()} == brute_leaves(rows, 7, uneven)
+
+
+def test_equal_texts_share_a_shard(spark):
+    """Groups of copies up to a whole shard stay together and shards are even; only larger ones are dealt."""
+    own = random.Random(4)
+    text = lambda n: "".join(own.choice("abcdefgh ") for _ in range(n))
+    texts = [text(300) for _ in range(900)] + [t for t, n in ((text(300), 150), (text(200), 120), (text(400), 60), (text(150), 300)) for _ in range(n)]
+    table = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = sharding.kd_shards(table, shards=8).toPandas()
+    sizes = got.groupby("shard")["size"].sum()
+    assert len(sizes) == 8 and sizes.max() / sizes.min() < 1.05
+    by = collections.defaultdict(set)
+    for r in got.itertuples():
+        by[texts[r.doc_id]].add(r.shard)
+    assert all(len(s) == 1 for s in by.values())
+    one = sharding.kd_shards(spark.createDataFrame([(k, "same text " * 9, "s") for k in range(800)], "doc_id long, text string, source string"), shards=4).toPandas()
+    sizes = one.groupby("shard")["size"].sum()
+    assert len(sizes) == 4 and sizes.max() / sizes.min() < 1.5 and one.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
