@@ -3,6 +3,11 @@
 Every stage is one operator of emberplane.llm with its effect on the documents: language ID drops
 those it can't identify, exact dedup keeps one of each group of equal texts, the n-gram join one of
 each group of near copies, decontamination drops holders of benchmark items; packing returns pieces.
+
+Rows that share an id, or have none, are documents of their own: each stage decides on rows, not ids, and of equal
+ones the row with the smallest id stays (nulls last). Null, empty and blank texts have no letter and go in the first
+stage. Ties, very long texts and the model's limits are those of each operator. All columns of documents are passed
+on, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,30 +24,37 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return language.keep_identified(docs, train)
 
 
-def drop(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal but for white space: the longest, then the smallest id."""
-    return drop(docs, exact_dedup.exact_dedup(docs).filter("NOT kept"))
+    rows, key = common.keyed(docs)
+    gone = exact_dedup.exact_dedup(rows.select(F.col(key).alias("doc_id"), "text")).filter("NOT kept")
+    return without(docs, rows, key, gone)
+
+
+def without(docs: DataFrame, rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """The documents whose key is not among the doc_id of `gone`."""
+    return rows.join(gone.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest id of each group of near copies (five-word shingles, similarity 0.8)."""
-    return drop(docs, jaccard.ngram_jaccard_join(docs, n=5, num=80, den=100).filter("doc_id <> component_id"))
+    rows, key = common.keyed(docs)
+    gone = jaccard.ngram_jaccard_join(rows.select(F.col(key).alias("doc_id"), "text"), n=5, num=80, den=100).filter("doc_id <> component_id")
+    return without(docs, rows, key, gone)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return drop(docs, decontaminate.find_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    rows, key = common.keyed(docs)
+    gone = decontaminate.find_items(rows.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, rows, key, gone)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaced", end_id=0, capacity=1024, ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), "spaced", end_id=0, capacity=1024)
 
 
 STAGES = [("language_id", identify), ("exact_dedup", dedup), ("ngram_jaccard_join", near_dedup), ("decontamination", clean), ("packing", packed)]
