@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 BLOCK = 256
 
 
@@ -105,12 +107,13 @@ def majority(a: np.ndarray, there: np.ndarray, listed: np.ndarray) -> np.ndarray
 def refill_majority(cells: DataFrame, code: str, replace: list[int], written: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Listed codes by the majority of 5x5 windows. Each round filters the whole working grid; rounds end when
     no listed code is left or none could be replaced; only cells that were listed at first take the result.
-    written: makes a copy of a round that outlives its tasks (a written table)."""
+    written: makes a copy of a round that outlives its tasks (a written table); copies of earlier rounds are removed."""
     size, listed = bounds(cells), np.array(replace, float)
     work = lambda a, there: {"code_": majority(a, there, listed)}
     now, left = cells.select("row", "col", F.col(code).alias("code_")), cells.filter(F.col(code).isin(replace)).count()
     while left:
-        now = written(focal(now, "code_", 2, work, "code_ int", size))
+        old, now = now, written(focal(now, "code_", 2, work, "code_ int", size))
+        files.discard(old)
         was, left = left, now.filter(F.col("code_").isin(replace)).count()
         if left == was:
             break

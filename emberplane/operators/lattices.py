@@ -139,15 +139,18 @@ def chunk_sparse(cells: DataFrame, value: str, chunk: int, rows: int, cols: int,
 
 
 def chunk_dense(cells: DataFrame, value: str, chunk: int, rows: int, cols: int, fill: float, order: str = "C") -> DataFrame:
-    """(chunk_row, chunk_col, data): all values of each chunk of the lattice in C or F order, missing ones as the fill."""
-    known = cells.filter(F.col(value).isNotNull()).select(F.floor(F.col("row") / chunk).cast("int").alias("chunk_row"), F.floor(F.col("col") / chunk).cast("int").alias("chunk_col"), (F.col("row") % chunk).alias("r_"), (F.col("col") % chunk).alias("c_"), F.col(value).alias("v_"))
-    across, down = -(-cols // chunk), -(-rows // chunk)
-    every = cells.sparkSession.range(across * down).select(F.expr(f"CAST(id DIV {across} AS INT)").alias("chunk_row"), F.expr(f"CAST(id % {across} AS INT)").alias("chunk_col"))
-    high, wide = F.least(F.lit(chunk), rows - F.col("chunk_row") * chunk), F.least(F.lit(chunk), cols - F.col("chunk_col") * chunk)
-    flat = F.col("r_") * F.least(F.lit(chunk), cols - F.col("chunk_col") * chunk) + F.col("c_") if order == "C" else F.col("c_") * F.least(F.lit(chunk), rows - F.col("chunk_row") * chunk) + F.col("r_")
-    held = known.groupBy("chunk_row", "chunk_col").agg(F.map_from_entries(F.collect_list(F.struct(flat.cast("int").alias("k"), F.col("v_").alias("v")))).alias("held_"))  # a chunk's cells at most
-    got = lambda k: F.coalesce(F.element_at("held_", k), F.lit(fill))
-    return every.join(held, ["chunk_row", "chunk_col"], "left").select("chunk_row", "chunk_col", F.transform(F.sequence(F.lit(0), (high * wide - 1).cast("int")), got).alias("data"))
+    """(chunk_row, chunk_col, data): all values of each chunk of the lattice in C or F order, missing ones as the fill.
+
+    The places of a chunk and its values are sorted once; nothing is looked up per cell."""
+    known = cells.filter(F.col(value).isNotNull()).select(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).alias("v_"), F.lit(0).alias("none_"))
+    across = F.lit(cols)
+    every = cells.sparkSession.range(rows * cols).select(F.call_function("div", F.col("id"), across).cast("int").alias("row"), (F.col("id") % cols).cast("int").alias("col"), F.lit(fill).cast(cells.schema[value].dataType).alias("v_"), F.lit(1).alias("none_"))
+    place = F.struct(F.col("row"), F.col("col")) if order == "C" else F.struct(F.col("col"), F.col("row"))
+    both = known.unionByName(every).select(F.floor(F.col("row") / chunk).cast("int").alias("chunk_row"), F.floor(F.col("col") / chunk).cast("int").alias("chunk_col"), place.alias("at_"), "none_", "v_")
+    # A known value comes right before the fill of its place.
+    one = both.groupBy("chunk_row", "chunk_col", "at_").agg(F.min(F.struct("none_", "v_")).alias("f"))
+    data = F.transform(F.array_sort(F.collect_list(F.struct("at_", F.col("f.v_").alias("v")))), lambda e: e["v"])  # a chunk's cells
+    return one.groupBy("chunk_row", "chunk_col").agg(data.alias("data"))
 
 
 def stacked(bands: DataFrame, roles: dict[str, float], offset: tuple[int, int], rows: int, cols: int) -> DataFrame:

@@ -294,7 +294,8 @@ def greedy_choice(covered: DataFrame, density: DataFrame, enough: float = 1e-4,
         out = won if out is None else out.unionByName(won)
         if won.isEmpty():
             return out
-        left = cut(left.join(left.join(won.select("name"), "name", "left_semi").select("cell").distinct(), "cell", "left_anti"))
+        old, left = left, cut(left.join(left.join(won.select("name"), "name", "left_semi").select("cell").distinct(), "cell", "left_anti"))
+        files.discard(old)
 
 
 def greedy_cover(covered: DataFrame, density: DataFrame, enough: float = 1e-4) -> list[str]:

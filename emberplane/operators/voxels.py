@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import files
+from .generation import uniform
 
 DBH_BIN, HEIGHT_BIN, RATIO_BIN = 2.75, 1.0, 0.1
 #: Densities are summed as whole numbers of this part of a unit, so that sums are exact in any order.
@@ -42,11 +43,33 @@ def crown_templates(classes: DataFrame, hr: float, vr: float) -> DataFrame:
     return c.filter((far <= wide) | ((F.col("dj") == 0) & (F.col("di") == 0))).select(*classes.columns, "dk", "dj", "di", "nk_")
 
 
+CLASS = ["species", "dbh_bin", "height_bin", "ratio_bin"]
+
+
+def occupancy(hr: float) -> Column:
+    """How likely a voxel of a template has fuel: 1 at the stem, half of that at the crown's edge in its layer."""
+    radius = 0.5 + F.col("height_bin") * 0.08
+    wide = radius * radius * (1 - (F.col("dk") + 0.5) / F.col("nk_"))
+    far = (F.col("dj") * F.col("dj") + F.col("di") * F.col("di")) * F.lit(hr * hr)
+    return 1 - 0.5 * F.least(F.lit(1.0), far / wide)
+
+
+def realized_templates(templates: DataFrame, classes: DataFrame, seed: int, keep: Column, draw=uniform) -> DataFrame:
+    """templates with a row per realization and voxel that it has: classes(the keys, realizations) says how many there are of each
+    class. A voxel stays where its own draw, by seed, class, realization and place, is below `keep`; the stem's voxels always do.
+    So realizations differ, and none depends on which task makes it."""
+    t = templates.join(classes.select(*CLASS, "realizations"), CLASS).withColumn("realization", F.explode(F.sequence(F.lit(0), F.col("realizations") - 1)))
+    u = draw(seed, *(F.col(c) for c in (*CLASS, "realization", "dk", "dj", "di")))
+    stem = (F.col("dj") == 0) & (F.col("di") == 0)
+    return t.filter(stem | (u < keep)).select(*CLASS, "realization", "dk", "dj", "di", "nk_")
+
+
 def stamp(trees: DataFrame, templates: DataFrame, hr: float, vr: float, x0: float, y1: float, rows: int, cols: int, load: Column) -> DataFrame:
-    """(k, j, i, tree_id, height, grains) of all crowns, cut at the grid's edge; a tree's load is spread evenly, in GRAINS a unit of density."""
-    keys = ["species", "dbh_bin", "height_bin", "ratio_bin"]
+    """(k, j, i, tree_id, height, grains) of all crowns, cut at the grid's edge; a tree's load is spread evenly, in GRAINS a unit of density.
+    Templates with realizations need trees with the realization that each takes."""
+    keys = CLASS + ["realization"] * ("realization" in templates.columns)
     sizes = templates.groupBy(*keys).agg(F.count("*").alias("voxels_"))  # templates are read twice: pass a written table
-    t = trees.select("tree_id", "height", "x", "y", load.alias("load_"), F.floor(F.col("height") * (1 - F.col("crown_ratio")) / vr).cast("int").alias("k0_"), *class_keys())
+    t = trees.select("tree_id", "height", "x", "y", *keys[len(CLASS) :], load.alias("load_"), F.floor(F.col("height") * (1 - F.col("crown_ratio")) / vr).cast("int").alias("k0_"), *class_keys())
     t = t.withColumns({"i0_": F.floor((F.col("x") - x0) / hr).cast("int"), "j0_": F.floor((y1 - F.col("y")) / hr).cast("int")})
     # A tree grows to all voxels of its crown: few files of trees are dealt to all tasks first.
     t = t.repartition(int(trees.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tree_id")

@@ -8,6 +8,8 @@ TREES = """trees AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
  CASE WHEN l_partkey % 29 = 0 THEN NULL ELSE CAST(1 AS DOUBLE) + l_quantity*CAST(1.7 AS DOUBLE) END AS dbh,
  CAST(1.5 AS DOUBLE) + CAST((l_orderkey*3 + l_partkey*7) % 4000 AS DOUBLE)/CAST(100 AS DOUBLE) AS height,
  CAST(0.2 AS DOUBLE) + l_discount*CAST(5 AS DOUBLE) AS crown_ratio FROM lineitem)"""
+#: The stems of a region of several squares, under the name of those of one.
+REGION = f"""{TREES.replace("trees AS", "square AS", 1)}, trees AS (SELECT * REPLACE (x + 1000 * (l_orderkey // 3000 % 8) AS x, y - 1000 * (l_orderkey // 24000) AS y) FROM square)"""
 LOCATED = "located AS (SELECT *, CAST(floor((5201000 - y)/10) AS INT) AS row, CAST(floor((x - 500000)/10) AS INT) AS col FROM trees)"
 CELLS = "cells AS (SELECT row, col, count(*) AS n, avg(height) AS mean_height, max(height) AS max_height FROM located GROUP BY row, col)"
 SURFACE = "surface AS (SELECT CAST(floor((5201000 - y)/5) AS INT) AS row, CAST(floor((x - 500000)/5) AS INT) AS col, count(*) AS n, max(height) AS z, min(height) AS low FROM trees GROUP BY 1, 2)"
@@ -49,6 +51,11 @@ def codes(sql: str) -> str:
     return f"WITH {TREES}, {SURFACE}, {CODES} {sql}"
 
 
+def region(sql: str) -> str:
+    """A query of the one square on the stems of the region."""
+    return sql.replace(TREES, REGION)
+
+
 def window(reach: int) -> str:
     """off(dr, dc): the offsets of a square window."""
     return f"off AS (SELECT CAST(a.range - {reach} AS INT) AS dr, CAST(b.range - {reach} AS INT) AS dc FROM range({2 * reach + 1}) a, range({2 * reach + 1}) b)"

@@ -125,6 +125,13 @@ def _(spark, d):
     return dispatches.current(tables.table(spark, d, "events"))
 
 
+@query("st05_current_status_stream", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def _(spark, d):
+    """The status log as a stream: one row of state per user, in whatever order its events come."""
+    source = spark.readStream.schema(tables.table(spark, d, "events").schema).option("maxFilesPerTrigger", 1).parquet(f"{d}/events.parquet*")
+    return dispatches.drained(dispatches.current(source), "complete")
+
+
 @query("st06_incremental_summary_stream", "SELECT event_type, count(*) AS n, min(value) AS low, max(value) AS high FROM events GROUP BY event_type")
 def _(spark, d):
     source = spark.readStream.schema(tables.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")

@@ -185,10 +185,11 @@ def _(spark, d):
     return catalogue.first_reason(r.select("id", F.explode(reasons).alias("reason")), ["failed", "orphan", "large"])
 
 
+#: Second deliveries come within 60 days; a path is forgotten after that.
 @query("st01_uploads_stream", "SELECT user_id AS path, CASE WHEN user_id % 3 > 0 AND user_id % 3 <= 1 THEN 'completed' ELSE 'failed' END AS status FROM (SELECT DISTINCT user_id FROM events)")
 def _(spark, d):
-    source = spark.readStream.schema(tables.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").alias("path"), (F.col("user_id") % 3).alias("size"))
-    return dispatches.appended(dispatches.uploads(source, "path", "size", 1))
+    source = spark.readStream.schema(tables.table(spark, d, "events").schema).parquet(f"{d}/events.parquet*").select(F.col("user_id").alias("path"), (F.col("user_id") % 3).alias("size"), F.col("ts").cast("timestamp").alias("ts"))
+    return dispatches.appended(dispatches.uploads(source, "path", "size", 1, "ts", "60 days"))
 
 
 @query("st03_tile_offsets_stream", "SELECT user_id % 40 AS tile, count(*) AS n, count(*) - 1 AS last, count(*) AS places FROM events GROUP BY 1")

@@ -210,9 +210,9 @@ def refill_sql() -> str:
     return B.codes(f"SELECT c.row, c.col, CASE WHEN c.code IN {LISTED} THEN g.code ELSE c.code END AS code FROM codes c JOIN ({every}) g USING (row, col) WHERE g.k = (SELECT k FROM last)").replace(B.CODES + " ", B.CODES + f", {B.window(2)}, {', '.join(parts)} ")
 
 
-@query("foc01_majority_refill", refill_sql())
+@query("foc01_majority_refill", B.region(refill_sql()))
 def _(spark, d):
-    codes = tables.fuel_codes(spark, d).select("row", "col", "code")
+    codes = tables.fuel_codes(spark, d, tables.region_trees(spark, d)).select("row", "col", "code")
     return grids.refill_majority(codes, "code", [91, 98, 32767], lambda df: files.written(df, "refill"))
 
 
@@ -220,37 +220,42 @@ def gradient_sql(c: str, after: str, before: str) -> str:
     return f"CASE WHEN c.{c} = (SELECT min({c}) FROM surface) THEN ({after}.z - c.z) / 5 WHEN c.{c} = (SELECT max({c}) FROM surface) THEN (c.z - {before}.z) / 5 ELSE ({after}.z - {before}.z) / 10 END"
 
 
-@query("foc02_slope_aspect", B.surface(f"""SELECT row, col, round(degrees(atan(sqrt(dx*dx + dy*dy))), 7) AS slope, CAST(0 AS DOUBLE) + round(CASE WHEN degrees(atan2(-dx, dy)) < 0 THEN degrees(atan2(-dx, dy)) + 360 ELSE degrees(atan2(-dx, dy)) END, 7) AS aspect
- FROM (SELECT c.row, c.col, {gradient_sql('col', 'e', 'w')} AS dx, {gradient_sql('row', 's', 'n')} AS dy FROM surface c LEFT JOIN surface e ON e.row = c.row AND e.col = c.col + 1 LEFT JOIN surface w ON w.row = c.row AND w.col = c.col - 1 LEFT JOIN surface s ON s.row = c.row + 1 AND s.col = c.col LEFT JOIN surface n ON n.row = c.row - 1 AND n.col = c.col)"""))
+@query("foc02_slope_aspect", B.region(B.surface(f"""SELECT row, col, round(degrees(atan(sqrt(dx*dx + dy*dy))), 7) AS slope, CAST(0 AS DOUBLE) + round(CASE WHEN degrees(atan2(-dx, dy)) < 0 THEN degrees(atan2(-dx, dy)) + 360 ELSE degrees(atan2(-dx, dy)) END, 7) AS aspect
+ FROM (SELECT c.row, c.col, {gradient_sql('col', 'e', 'w')} AS dx, {gradient_sql('row', 's', 'n')} AS dy FROM surface c LEFT JOIN surface e ON e.row = c.row AND e.col = c.col + 1 LEFT JOIN surface w ON w.row = c.row AND w.col = c.col - 1 LEFT JOIN surface s ON s.row = c.row + 1 AND s.col = c.col LEFT JOIN surface n ON n.row = c.row - 1 AND n.col = c.col)""")))
 def _(spark, d):
-    return rounded(grids.slope_aspect(tables.surface(spark, d), "z", 5.0), "slope", "aspect").withColumn("aspect", F.lit(0.0) + F.col("aspect"))
+    return rounded(grids.slope_aspect(tables.surface(spark, d, tables.region_trees(spark, d)), "z", 5.0), "slope", "aspect").withColumn("aspect", F.lit(0.0) + F.col("aspect"))
 
 
 NEAR = "off AS (SELECT a.range - {k} AS dr, b.range - {k} AS dc FROM range({w}) a, range({w}) b), near AS (SELECT c.row - dr AS row, c.col - dc AS col, dr, dc, c.{v} AS near FROM cells c, off)"
 
 
+#: Means of hundredths by 8, 64, ... neighbours lie on ties of the sixth decimal, where the order of a sum decides; this puts them beside.
+ASIDE = 3.14e-8
+
+
 def fill_sql(rings: int) -> str:
-    parts = ["ext AS (SELECT 0 AS r0, 199 AS r1, 0 AS c0, 199 AS c1)", "every AS (SELECT CAST(a.range AS INT) AS row, CAST(b.range AS INT) AS col FROM range(200) a, range(200) b)", "f0 AS (SELECT row, col, z FROM surface WHERE n % 4 <> 1)"]
+    parts = ["f0 AS (SELECT row, col, z FROM surface WHERE n % 4 <> 1)", "ext AS (SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM f0)", "every AS (SELECT CAST(r AS INT) AS row, CAST(c AS INT) AS col FROM (SELECT unnest(range(r0, r1 + 1)) AS r FROM ext), (SELECT unnest(range(c0, c1 + 1)) AS c FROM ext))"]
     for k in range(1, rings + 1):
         gaps = f"(SELECT * FROM every ANTI JOIN f{k - 1} USING (row, col))"
         parts.append(f"f{k} AS MATERIALIZED (SELECT * FROM f{k - 1} UNION ALL SELECT row, col, avg(z) FROM {seen_sql(gaps, f'f{k - 1}', 'ext', '')} GROUP BY row, col)")
-    return f"WITH {B.TREES}, {B.SURFACE}, {B.window(1)}, {', '.join(parts)} SELECT row, col, round(z, 6) AS z FROM every LEFT JOIN f{rings} USING (row, col)"
+    return f"WITH {B.TREES}, {B.SURFACE}, {B.window(1)}, {', '.join(parts)} SELECT row, col, round(z + {ASIDE!r}::DOUBLE, 6) AS z FROM every LEFT JOIN f{rings} USING (row, col)"
 
 
-@query("foc04_fill_gaps", fill_sql(6))
+@query("foc04_fill_gaps", B.region(fill_sql(6)))
 def _(spark, d):
     """Gaps of up to 30 m."""
-    return rounded(grids.fill_gaps(tables.surface(spark, d).filter("n % 4 <> 1"), "z", 6, (0, 199, 0, 199)), "z", n=6)
+    out = grids.fill_gaps(tables.surface(spark, d, tables.region_trees(spark, d)).filter("n % 4 <> 1"), "z", 6)
+    return rounded(out.withColumn("z", F.col("z") + ASIDE), "z", n=6)
 
 
-@query("foc06_drop_spikes", f"WITH {B.TREES}, {B.LOCATED}, {B.CELLS}, {NEAR.format(k=1, w=3, v='max_height')}, top AS (SELECT row, col, max(near) AS t FROM near WHERE dr <> 0 OR dc <> 0 GROUP BY row, col) SELECT c.row, c.col, CASE WHEN coalesce(max_height - t > 0.2, false) THEN NULL ELSE max_height END AS max_height FROM cells c LEFT JOIN top USING (row, col)")
+@query("foc06_drop_spikes", B.region(f"WITH {B.TREES}, {B.LOCATED}, {B.CELLS}, {NEAR.format(k=1, w=3, v='max_height')}, top AS (SELECT row, col, max(near) AS t FROM near WHERE dr <> 0 OR dc <> 0 GROUP BY row, col) SELECT c.row, c.col, CASE WHEN coalesce(max_height - t > 0.2, false) THEN NULL ELSE max_height END AS max_height FROM cells c LEFT JOIN top USING (row, col)"))
 def _(spark, d):
-    return grids.drop_spikes(tables.cells(spark, d).select("row", "col", "max_height"), "max_height", 1, 0.2)
+    return grids.drop_spikes(tables.cells(spark, d, tables.region_trees(spark, d)).select("row", "col", "max_height"), "max_height", 1, 0.2)
 
 
-@query("foc08_local_maxima", f"WITH {B.TREES}, {B.LOCATED}, {B.CELLS}, {NEAR.format(k=2, w=5, v='max_height')}, top AS (SELECT row, col, max(CASE WHEN near <= 41 THEN near ELSE 0 END) AS t FROM near WHERE dr*dr + dc*dc <= 4 GROUP BY row, col) SELECT c.row, c.col, max_height FROM cells c JOIN top USING (row, col) WHERE max_height <= 41 AND max_height = t AND max_height >= 2")
+@query("foc08_local_maxima", B.region(f"WITH {B.TREES}, {B.LOCATED}, {B.CELLS}, {NEAR.format(k=2, w=5, v='max_height')}, top AS (SELECT row, col, max(CASE WHEN near <= 41 THEN near ELSE 0 END) AS t FROM near WHERE dr*dr + dc*dc <= 4 GROUP BY row, col) SELECT c.row, c.col, max_height FROM cells c JOIN top USING (row, col) WHERE max_height <= 41 AND max_height = t AND max_height >= 2"))
 def _(spark, d):
-    return grids.local_maxima(tables.cells(spark, d), "max_height", 2, 2.0, 41.0)
+    return grids.local_maxima(tables.cells(spark, d, tables.region_trees(spark, d)), "max_height", 2, 2.0, 41.0)
 
 
 @query("foc10_bilinear", f"""WITH {B.TREES}, {B.LOCATED}, {B.CELLS}, p AS (SELECT *, greatest(0, least(99, (x - 500000)/10 - {HALF})) AS fx, greatest(0, least(99, (5201000 - y)/10 - {HALF})) AS fy FROM trees),

@@ -69,9 +69,9 @@ def ground_sql(windows: tuple[int, ...], cell: float) -> str:
     return f"WITH {B.TREES}, {B.SURFACE}, {', '.join(parts)} SELECT row, col, z AS ground FROM o{len(windows)}"
 
 
-@query("foc05_bare_ground", ground_sql((3, 5, 9), 5.0))
+@query("foc05_bare_ground", B.region(ground_sql((3, 5, 9), 5.0)))
 def _(spark, d):
-    return grids.bare_ground(tables.surface(spark, d), "z", 5.0, windows=(3, 5, 9))
+    return grids.bare_ground(tables.surface(spark, d, tables.region_trees(spark, d)), "z", 5.0, windows=(3, 5, 9))
 
 
 KNOWN = "known AS (SELECT row, col FROM cells WHERE (row * 7 + col * 13) % 29 = 0)"
@@ -79,23 +79,23 @@ NEAR = f"{CELLS}, {KNOWN}, dist AS (SELECT c.row, c.col, coalesce(min(sqrt(CAST(
 
 
 def distances(spark, d):
-    c = tables.cells(spark, d)
+    c = tables.cells(spark, d, tables.region_trees(spark, d))
     return grids.distance_to_known(c, c.filter("(row * 7 + col * 13) % 29 = 0").select("row", "col"), 4)
 
 
-@query("foc07_distance_to_known", f"{NEAR} SELECT row, col, round(distance, 7) AS distance FROM dist")
+@query("foc07_distance_to_known", B.region(f"{NEAR} SELECT row, col, round(distance, 7) AS distance FROM dist"))
 def _(spark, d):
     return distances(spark, d).select("row", "col", F.round("distance", 7).alias("distance"))
 
 
-@query("agg12_ground_provenance", f"{NEAR} SELECT round(avg(CASE WHEN distance = 0 THEN 1 ELSE 0 END), 7) AS coverage, round(max(distance) * 10, 4) AS furthest FROM dist")
+@query("agg12_ground_provenance", B.region(f"{NEAR} SELECT round(avg(CASE WHEN distance = 0 THEN 1 ELSE 0 END), 7) AS coverage, round(max(distance) * 10, 4) AS furthest FROM dist"))
 def _(spark, d):
     return distances(spark, d).agg(F.round(F.avg((F.col("distance") == 0).cast("int")), 7).alias("coverage"), F.round(F.max("distance") * 10, 4).alias("furthest"))
 
 
-@query("foc09_variable_maxima", f"{CELLS} SELECT a.row, a.col FROM cells a WHERE a.max_height >= 5 AND NOT EXISTS (SELECT 1 FROM cells b WHERE abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND b.max_height > a.max_height AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= pow((a.max_height + 3) / 20, 2))")
+@query("foc09_variable_maxima", B.region(f"{CELLS} SELECT a.row, a.col FROM cells a WHERE a.max_height >= 5 AND NOT EXISTS (SELECT 1 FROM cells b WHERE abs(a.row - b.row) <= 3 AND abs(a.col - b.col) <= 3 AND b.max_height > a.max_height AND (a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col) <= pow((a.max_height + 3) / 20, 2))"))
 def _(spark, d):
-    return grids.variable_maxima(tables.cells(spark, d), "max_height", 3, 1.0, 3.0, 10.0, 5.0).select("row", "col")
+    return grids.variable_maxima(tables.cells(spark, d, tables.region_trees(spark, d)), "max_height", 3, 1.0, 3.0, 10.0, 5.0).select("row", "col")
 
 
 GROUND = "ground AS (SELECT CAST(floor((1000 - Y * CAST(0.01 AS DOUBLE)) / 10) AS INT) AS row, CAST(floor(X * CAST(0.01 AS DOUBLE) / 10) AS INT) AS col, avg(Z * CAST(0.01 AS DOUBLE)) AS g FROM points WHERE classification = 2 GROUP BY 1, 2)"
@@ -353,6 +353,45 @@ def _(spark, d):
     return chosen.join(templates.select(*keys, "realization", "voxels"), [*keys, "realization"]).select(*K, "voxels", "realization")
 
 
+COUNTED = "greatest(1, least(CAST(floor(pow(CAST(c.voxels AS DOUBLE), 0.8)) AS INT), greatest(1, m.members), 100))"
+REALIZED = f"""WITH {B.TREES}, {CROWNS}, classed AS (SELECT *, CAST(floor(dbh / CAST(2.75 AS DOUBLE)) AS INT) AS db FROM kept),
+ members AS (SELECT fia_species_code AS sp, db, hb, rb, count(*) AS members FROM classed GROUP BY ALL),
+ classes AS (SELECT m.*, {COUNTED} AS realizations FROM members m JOIN counts c USING (hb, rb)),
+ drawn AS (SELECT k.sp, k.db, k.hb, k.rb, r.range AS realization, s.dk, s.dj, s.di, {digest_sql(13, "k.sp", "k.db", "CAST(k.hb AS INT)", "k.rb", "r.range", "s.dk", "s.dj", "s.di")} AS u,
+  1 - CAST(0.5 AS DOUBLE) * least(1, (s.dj * s.dj + s.di * s.di) * 4 / (h.r * h.r * (1 - (s.dk + CAST(0.5 AS DOUBLE)) / h.nk))) AS keep FROM classes k JOIN range(100) r ON r.range < k.realizations JOIN spots s USING (hb, rb) JOIN shapes h USING (hb, rb)),
+ realized AS MATERIALIZED (SELECT sp, db, hb, rb, realization, dk, dj, di FROM drawn WHERE u < keep OR (dj = 0 AND di = 0)),
+ sizes AS (SELECT sp, db, hb, rb, realization, count(*) AS voxels FROM realized GROUP BY ALL),
+ chosen AS (SELECT t.*, {choice_sql(3, "k.realizations")} AS realization FROM classed t JOIN classes k ON k.sp = t.fia_species_code AND k.db = t.db AND k.hb = t.hb AND k.rb = t.rb)"""
+
+
+def realized(spark, d):
+    """Stems with the realization that each takes, and the templates of all realizations."""
+    t = tables.trees(spark, d).filter("dbh IS NOT NULL AND fia_species_code IS NOT NULL")
+    t = t.select("*", *voxels.class_keys()).withColumn("tree_id", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    shapes = files.written(voxels.crown_templates(t.select(*voxels.CLASS).distinct(), 2.0, 1.0), "templates")
+    sizes = shapes.groupBy(*voxels.CLASS).agg(F.count("*").alias("voxels"))
+    classes = t.groupBy(*voxels.CLASS).agg(F.count("*").alias("members")).join(sizes, voxels.CLASS)
+    classes = files.written(classes.select(*voxels.CLASS, voxels.realizations(F.col("voxels").cast("double"), F.col("members")).alias("realizations")), "classes")
+    made = files.written(voxels.realized_templates(shapes, classes, 13, voxels.occupancy(2.0), generation.digest_uniform), "realized")
+    return t.join(classes, voxels.CLASS).withColumn("realization", voxels.realization_of(3, F.concat_ws("/", *K), F.col("realizations"))), made
+
+
+@query("join12_realized_crowns", f"{REALIZED} SELECT {PKEY}, c.realization, voxels FROM chosen c JOIN sizes s ON s.sp = c.fia_species_code AND s.db = c.db AND s.hb = c.hb AND s.rb = c.rb AND s.realization = c.realization")
+def _(spark, d):
+    """Each stem with its realization of its class's template, and how many voxels that one has."""
+    t, made = realized(spark, d)
+    keys = [*voxels.CLASS, "realization"]
+    return t.select(*K, *keys).join(made.groupBy(*keys).agg(F.count("*").alias("voxels")), keys).select(*K, "realization", "voxels")
+
+
+@query("join12_realized_layers", f"{REALIZED} SELECT k, count(*) AS stamps, CAST(sum(grains) AS BIGINT) AS grains FROM (SELECT CAST(floor(height * (1 - crown_ratio)) AS INT) + dk AS k, CAST(round_even(dbh / voxels / 4 * CAST(1000000000 AS DOUBLE), 0) AS BIGINT) AS grains, CAST(floor((5201000 - y) / 2) AS INT) + dj AS j, CAST(floor((x - 500000) / 2) AS INT) + di AS i FROM chosen c JOIN sizes s ON s.sp = c.fia_species_code AND s.db = c.db AND s.hb = c.hb AND s.rb = c.rb AND s.realization = c.realization JOIN realized v ON v.sp = s.sp AND v.db = s.db AND v.hb = s.hb AND v.rb = s.rb AND v.realization = s.realization) WHERE j BETWEEN 0 AND 499 AND i BETWEEN 0 AND 499 GROUP BY k")
+def _(spark, d):
+    """Stamped realizations by layer."""
+    t, made = realized(spark, d)
+    out = voxels.stamp(t, made, 2.0, 1.0, 500000.0, 5201000.0, 500, 500, F.col("dbh"))
+    return out.groupBy("k").agg(F.count("*").alias("stamps"), F.sum("grains").alias("grains"))
+
+
 @query("set06_trees_by_chunk", B.trees(f"SELECT {PKEY}, cy * 8 + cx AS chunk, row_number() OVER (PARTITION BY cy, cx ORDER BY height, {PKEY}) AS place FROM (SELECT *, CAST(floor((5201000 - y) / 128) AS INT) AS cy, CAST(floor((x - 500000) / 128) AS INT) AS cx FROM trees)"))
 def _(spark, d):
     t = tables.trees(spark, d).withColumn("chunk", F.floor((F.lit(5201000.0) - F.col("y")) / 128).cast("int") * 8 + F.floor((F.col("x") - 500000) / 128).cast("int"))

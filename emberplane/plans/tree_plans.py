@@ -201,10 +201,11 @@ def _(spark, d):
 
 @query("join09_polygon_join_by_strips", B.trees(f"SELECT l_orderkey * 100000 + l_partkey AS id, count(*) AS n FROM trees WHERE {parity_sql()} GROUP BY 1"))
 def _(spark, d):
-    t = tables.trees(spark, d).select((F.col("l_orderkey") * 100000 + F.col("l_partkey")).alias("tree"), "x", "y", F.struct(*KEY, "x", "y").alias("id"))
+    t = files.numbered(tables.trees(spark, d).select(*KEY, "x", "y"), [], KEY, "id")  # one long is the key of all further joins
     edges = spark.createDataFrame([(1, *e) for ring in LAKE for e in spatial.edges_of(ring)], "feature_id int, x1 double, y1 double, x2 double, y2 double")
-    found = spatial.polygon_join(t.dropDuplicates(["id"]), edges, 50.0)
-    return found.join(t.select("id", "tree"), "id").groupBy(F.col("tree").alias("id")).agg(F.count("*").alias("n"))
+    found = spatial.polygon_join(t.select("id", "x", "y"), edges, 50.0)
+    tree = F.col("l_orderkey") * 100000 + F.col("l_partkey")
+    return found.join(t.select("id", tree.alias("tree")), "id").groupBy(F.col("tree").alias("id")).agg(F.count("*").alias("n"))
 
 
 @query("agg03_column_summary", B.trees("SELECT 'dbh' AS \"column\", count(dbh) AS n, count(*) - count(dbh) AS null_count, round(min(dbh), 4) AS min, round(max(dbh), 4) AS max, round(avg(dbh), 4) AS mean, round(stddev_samp(dbh), 4) AS std FROM trees UNION ALL SELECT 'height', count(height), count(*) - count(height), round(min(height), 4), round(max(height), 4), round(avg(height), 4), round(stddev_samp(height), 4) FROM trees"))

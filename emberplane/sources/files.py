@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -23,11 +24,33 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{base.rstrip('/')}/emberplane-{uuid.uuid4().hex}/{tag}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def written(df: DataFrame, tag: str = "table") -> DataFrame:
-    """A written copy in the shared folder: it cuts the lineage and outlives any executor."""
-    path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """A written copy in the shared folder: it cuts the lineage and outlives any executor. Shuffle files of the finished
+    write are released at once."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, tag)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    back = spark.read.schema(df.schema).parquet(path)
+    _made[back] = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove the files of tables that `written` made and that nothing reads any more."""
+    for df in tables:
+        path = _made.pop(df, None) if df is not None else None
+        if path:
+            jvm, session = df.sparkSession._jvm, df.sparkSession._jsparkSession
+            place = jvm.org.apache.hadoop.fs.Path(path).getParent()
+            place.getFileSystem(session.sessionState().newHadoopConf()).delete(place, True)
 
 
 def numbered(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:

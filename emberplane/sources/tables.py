@@ -36,20 +36,26 @@ def lattice(spark: SparkSession, rows: int, cols: int) -> DataFrame:
     return spark.range(rows * cols).select(F.expr(f"CAST(id DIV {cols} AS INT)").alias("row"), F.expr(f"CAST(id % {cols} AS INT)").alias("col"))
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def region_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stems on as many squares of 1 km, eight side by side, as 3,000 orders each need: a region that grows with the table."""
+    east, south = F.expr("l_orderkey DIV 3000 % 8"), F.expr("l_orderkey DIV 24000")
+    return trees(spark, sf_dir).withColumns({"x": F.col("x") + 1000 * east, "y": F.col("y") - 1000 * south})
+
+
+def cells(spark: SparkSession, sf_dir: str, stems: DataFrame | None = None) -> DataFrame:
     """Occupied 10 m cells with stem count, mean and highest height."""
-    return located(trees(spark, sf_dir)).groupBy("row", "col").agg(F.count("*").alias("n"), F.avg("height").alias("mean_height"), F.max("height").alias("max_height"))
+    return located(trees(spark, sf_dir) if stems is None else stems).groupBy("row", "col").agg(F.count("*").alias("n"), F.avg("height").alias("mean_height"), F.max("height").alias("max_height"))
 
 
-def surface(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Occupied 5 m cells (200 x 200) with stem count n, highest z and lowest low."""
-    return located(trees(spark, sf_dir), 5).groupBy("row", "col").agg(F.count("*").alias("n"), F.max("height").alias("z"), F.min("height").alias("low"))
+def surface(spark: SparkSession, sf_dir: str, stems: DataFrame | None = None) -> DataFrame:
+    """Occupied 5 m cells (200 x 200 of a square of 1 km) with stem count n, highest z and lowest low."""
+    return located(trees(spark, sf_dir) if stems is None else stems, 5).groupBy("row", "col").agg(F.count("*").alias("n"), F.max("height").alias("z"), F.min("height").alias("low"))
 
 
-def fuel_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fuel_codes(spark: SparkSession, sf_dir: str, stems: DataFrame | None = None) -> DataFrame:
     """Fuel codes 91 to 135 of the occupied 5 m cells, in patches, 32767 where missing."""
     code = "CASE WHEN n % 7 = 3 THEN 32767 ELSE CAST(91 + (row DIV 8 * 7 + col DIV 8 * 13 + n % 3) % 45 AS INT) END"
-    return surface(spark, sf_dir).withColumn("code", F.expr(code))
+    return surface(spark, sf_dir, stems).withColumn("code", F.expr(code))
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from emberplane.functions import codes, units
 from emberplane.operators import catalogue, compose, coverage, generation, grids, ingest, lattices, layers, pointcloud, polygons, reprojection, rules, spatial, stand, voxels
 from emberplane.operators.rules import Action, Condition, Rule
-from emberplane.sources import files
+from emberplane.sources import files, tables
 from emberplane.streaming import dispatches
 
 TREES = "tree_id int, x double, y double, dbh double, height double, crown_ratio double, fia_species_code int"
@@ -123,7 +123,8 @@ def test_levels_and_files(spark, tmp_path):
 
 
 def test_tallest_tree_names_the_voxel(spark):
-    s = spark.createDataFrame([(0, 0, 0, 1, 5.0, 0.5), (0, 0, 0, 2, 9.0, 0.25), (1, 0, 0, 1, 5.0, 0.5)], "k int, j int, i int, tree_id int, height double, density double")
+    half = 500_000_000  # grains, 10^9 a unit of density
+    s = spark.createDataFrame([(0, 0, 0, 1, 5.0, half), (0, 0, 0, 2, 9.0, half // 2), (1, 0, 0, 1, 5.0, half)], "k int, j int, i int, tree_id int, height double, grains long")
     assert sorted(tuple(r) for r in voxels.merged(s).collect()) == [(0, 0, 0, 0.75, 2), (1, 0, 0, 0.5, 1)]
 
 
@@ -648,3 +649,54 @@ def test_stale_tests_and_reports(spark):
     assert sorted(tuple(r) for r in report.collect()) == [("blob", True, 0, 0, 0, 0), ("orphan", False, 2, 2, 2, 2), ("test", True, 1, 0, 1, 0)]
     page = catalogue.counted_page(catalogue.listing(rows, {"owner": "o"}), "size_bytes", 0, 2)
     assert [(r.id, r.total) for r in page.orderBy(F.desc("size_bytes")).collect()] == [("f", 3), ("test-e", 3)]
+
+
+def test_densities_add_up_alike_in_any_order(spark):
+    rng = random.Random(1)
+    rows = [(0, 0, 0, k, float(k % 7), rng.randrange(10**9)) for k in range(4000)]
+    sums = set()
+    for parts in (1, 3, 17):
+        rng.shuffle(rows)
+        s = spark.createDataFrame(rows, "k int, j int, i int, tree_id int, height double, grains long").repartition(parts)
+        sums |= {voxels.merged(s).first().density, voxels.collapse_stamps(s, 1.0).first().load}
+    assert sums == {sum(r[5] for r in rows) / 1e9}
+
+
+def test_realizations_of_a_class_differ(spark):
+    """Each realization keeps the stem and its own draw of the other voxels, alike however the tables are dealt."""
+    classes = spark.createDataFrame([(122, 3, 30, 5, 6), (202, 3, 30, 5, 1)], "species int, dbh_bin int, height_bin int, ratio_bin int, realizations int")
+    shapes = voxels.crown_templates(classes.drop("realizations"), 1.0, 1.0)
+    read = lambda df: {tuple(r)[:-1] for r in df.collect()}
+    made = voxels.realized_templates(shapes, classes, 5, voxels.occupancy(1.0))
+    own = {}
+    for s, *_, n, k, j, i in read(made):
+        own.setdefault((s, n), set()).add((k, j, i))
+    whole = {(r.dk, r.dj, r.di) for r in shapes.filter("species = 122").collect()}
+    assert set(own) == {(122, n) for n in range(6)} | {(202, 0)} and len(set(map(frozenset, own.values()))) == 7
+    for v in own.values():
+        assert v < whole and {x for x in whole if x[1:] == (0, 0)} <= v and 0.6 < len(v) / len(whole) < 0.9
+    assert read(made) == read(voxels.realized_templates(shapes.repartition(7), classes, 5, voxels.occupancy(1.0)))
+    assert read(made) != read(voxels.realized_templates(shapes, classes, 6, voxels.occupancy(1.0)))
+    trees = spark.createDataFrame([(1, 20.0, 5.0, 5.0, 9.0, 0.5, 122, 2)], "tree_id int, height double, x double, y double, dbh double, crown_ratio double, fia_species_code int, realization int")
+    one = trees.withColumns({"dbh": F.lit(9.0), "height": F.lit(30.2), "fia_species_code": F.lit(122)})
+    stamps = voxels.stamp(one, made, 1.0, 1.0, 0.0, 10.0, 10, 10, F.lit(7.0))
+    assert stamps.count() == len({x for x in own[122, 2] if abs(x[1]) <= 4 and abs(x[2]) <= 4} | {x for x in own[122, 2] if 0 <= 5 + x[1] < 10 and 0 <= 5 + x[2] < 10})
+
+
+@pytest.mark.parametrize("order", ["C", "F"])
+def test_dense_chunks(spark, order):
+    rng = random.Random(3)
+    known = {(rng.randrange(11), rng.randrange(7)): rng.random() for _ in range(40)}
+    cells = spark.createDataFrame([(r, c, v) for (r, c), v in known.items()] + [(0, 6, None)], "row int, col int, v double")
+    full = np.full((11, 7), -1.0)
+    for (r, c), v in known.items():
+        full[r, c] = v
+    got = {(x.chunk_row, x.chunk_col): x.data for x in lattices.chunk_dense(cells.filter("NOT (row = 0 AND col = 6 AND v IS NULL)"), "v", 4, 11, 7, -1.0, order).collect()}
+    assert got == {(a, b): full[a * 4 : a * 4 + 4, b * 4 : b * 4 + 4].ravel(order).tolist() for a in range(3) for b in range(2)}
+
+
+def test_the_region_of_the_focal_queries_has_many_blocks(spark):
+    for made in (tables.cells, tables.surface):
+        d = "/root/testdata/sf0.1"
+        low, high, west, east = grids.bounds(made(spark, d, tables.region_trees(spark, d)))
+        assert (high // grids.BLOCK - low // grids.BLOCK + 1) * (east // grids.BLOCK - west // grids.BLOCK + 1) >= 9
