@@ -1,20 +1,20 @@
 """Token ids as compressed binary blocks: an adaptive context-mixing range coder.
 
 An id is coded as up to four decisions. Was it the id that last followed the two ids before it
-(order 2)? Else, the one that last followed the id before it (order 1)? Else its high and its low
-byte, by adaptive order-0 frequencies. The probability of the first two decisions is mixed from
-adaptive counters chosen by the order-2 entry's confidence, the order-1 entry's confidence and
-agreement, and no context, each weighted by how well it has predicted so far. All arithmetic is on
-integers, so any machine decodes what another wrote.
+(order 2)? Else, the one that last followed the id before it (order 1)? Else its high byte by
+adaptive order-0 frequencies, and its low byte by those of that high byte. The probability of the
+first two decisions is mixed from adaptive counters chosen by the order-2 entry's confidence, the
+order-1 entry's confidence and agreement, and no context, each weighted by how well it has
+predicted so far. All arithmetic is on integers, so any machine decodes what another wrote.
 
 Blocks of BLOCK ids are coded independently, each from a fresh model and with its own CRC-32; the
 blocks of a segment are coded side by side, a NumPy lane each. A segment holds whole documents:
 
-    magic "EMB1" | u32 documents | u32 blocks | u64 ids
-    i64 document ids | u64 lengths | u32 block sizes in bytes | u32 block CRC-32s | blocks
+    magic "EMB2" | u32 documents | u32 blocks | u64 ids | u32 large ids
+    i64 document ids | u64 lengths | u32 block sizes in bytes | u32 block CRC-32s | u32 large ids | blocks
 
-Numbers are little-endian; a block's CRC-32 is that of its ids as little-endian u32. Ids are
-below 65,536.
+Numbers are little-endian; a block's CRC-32 is that of its ids as little-endian u32. Ids from LARGE
+on are coded as LARGE and kept as they are beside the blocks, so all ids of 32 bits have a code.
 """
 
 from __future__ import annotations
@@ -24,45 +24,52 @@ import zlib
 
 import numpy as np
 
-BLOCK, SLOTS = 2048, 1024
-MAGIC = b"EMB1"
+BLOCK, SLOTS = 16_384, 8192
+MAGIC, LARGE = b"EMB2", 0xFFFF
 TOTAL_BITS = 15
 TOTAL = 1 << TOTAL_BITS
 TOP, BOTTOM, FULL = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
-NONE = 0xFFFF
-REBUILDS = frozenset([16, 48, 96, 192, 384, 768, 1152, 1536])
+NONE = LARGE
+#: Every so many ids, frequencies that have grown by an eighth are brought up to date.
+PACE = 32
+GAIN = 48
 U16, U32B = np.uint64(16), np.uint64(TOTAL_BITS)
 
 
 class Bytes:
-    """Adaptive frequencies of one byte per lane, brought up to date now and then."""
+    """Adaptive frequencies of one byte in several contexts per lane, brought up to date now and then where they have grown."""
 
-    def __init__(self, lanes: int):
-        self.counts = np.ones((lanes, 256), np.int32)
-        self.base = np.arange(lanes) * 256
-        self.rebuild()
-
-    def rebuild(self) -> None:
-        share = self.counts * (TOTAL - 256) // self.counts.sum(1, keepdims=True) + 1
-        self.cum = np.zeros((len(share), 257), np.int32)
-        np.cumsum(share, axis=1, out=self.cum[:, 1:])
-        self.cum[:, 256] = TOTAL
+    def __init__(self, lanes: int, contexts: int = 1):
+        n = lanes * contexts
+        self.counts, self.cum, self.built = np.ones((n, 256), np.int32), np.zeros((n, 257), np.uint16), np.full(n, 256, np.int32)
+        self.total = self.built.copy()
+        self.cum[:] = np.arange(257) * (TOTAL // 256)
         self.flat = self.cum.ravel()
-        self.at = np.arange(len(share)) * 257
 
-    def span(self, lanes: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.at[lanes] + symbol
-        low = self.flat[at]
-        return low, self.flat[at + 1] - low
-
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        base, low = self.at[lanes], np.zeros(len(lanes), np.int64)
+    def rebuild(self) -> None:
+        grown = self.total - self.built
+        due = np.flatnonzero((grown > 0) & ((grown * 8 >= self.built) | (self.built == 256)))
+        for at in range(0, len(due), 4096):
+            some = due[at : at + 4096]
+            share = self.counts[some].astype(np.int64) * (TOTAL - 256) // self.total[some, None] + 1
+            self.cum[some, 1:] = np.cumsum(share, axis=1)
+            self.cum[some, 256] = TOTAL
+        self.built[due] = self.total[due]
+
+    def span(self, tables: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = tables * 257 + symbol
+        low = self.flat[at].astype(np.int64)
+        return low, self.flat[at + 1].astype(np.int64) - low
+
+    def find(self, tables: np.ndarray, value: np.ndarray) -> np.ndarray:
+        base, low = tables * 257, np.zeros(len(tables), np.int64)
         for step in (128, 64, 32, 16, 8, 4, 2, 1):
             low += step * (self.flat[base + low + step] <= value)
         return low
 
-    def seen(self, lanes: np.ndarray, symbol: np.ndarray) -> None:
-        self.counts.ravel()[self.base[lanes] + symbol] += 24
+    def seen(self, tables: np.ndarray, symbol: np.ndarray) -> None:
+        self.counts.ravel()[tables * 256 + symbol] += GAIN
+        self.total[tables] += GAIN
 
 
 class Lanes:
@@ -143,21 +150,21 @@ def _run(lanes_n: int, steps: int, ids: np.ndarray | None, data: np.ndarray | No
     """Code ids (lanes, steps), or decode data into ids; the model moves alike in both."""
     coder, every = Lanes(lanes_n, data), np.arange(lanes_n)
     reading = data is not None
-    out = np.zeros((lanes_n, steps), np.int64) if reading else None
+    out = np.zeros((lanes_n, steps), np.int32) if reading else None
     guess = [np.full(lanes_n * SLOTS, NONE, np.uint16) for _ in range(2)]
     sure = [np.zeros(lanes_n * SLOTS, np.int8) for _ in range(2)]
     first, second = Mixer(lanes_n, (8, 16, 1)), Mixer(lanes_n, (8, 1))
-    high, low = Bytes(lanes_n), Bytes(lanes_n)
+    high, low = Bytes(lanes_n), Bytes(lanes_n, 256)
     row = every * SLOTS
     one = two = np.zeros(lanes_n, np.int64)
     for t in range(steps):
-        if t in REBUILDS:
+        if t % PACE == 0:
             high.rebuild()
             low.rebuild()
         at2, at1 = row + ((two * 40503 + one * 30011 >> 5) & (SLOTS - 1)), row + ((one * 40503 >> 4) & (SLOTS - 1))
         g2, g1 = guess[0][at2].astype(np.int64), guess[1][at1].astype(np.int64)
         s2, s1 = sure[0][at2].astype(np.int64), sure[1][at1].astype(np.int64)
-        now = ids[:, t] if not reading else np.zeros(lanes_n, np.int64)
+        now = ids[:, t].astype(np.int64) if not reading else np.zeros(lanes_n, np.int64)
         left = every
         # order 2
         some = np.flatnonzero(g2 != NONE)
@@ -182,14 +189,13 @@ def _run(lanes_n: int, steps: int, ids: np.ndarray | None, data: np.ndarray | No
         # order 0
         left = np.flatnonzero(~done)
         if len(left):
-            parts = []
+            tables, value = left, 0
             for table, shift in ((high, 8), (low, 0)):
-                symbol = table.find(left, coder.share(left)) if reading else (now[left] >> shift) & 255
-                coder.step(left, *table.span(left, symbol))
-                table.seen(left, symbol)
-                parts.append(symbol)
-            if reading:
-                now[left] = (parts[0] << 8) | parts[1]
+                symbol = table.find(tables, coder.share(left)) if reading else (now[left] >> shift) & 255
+                coder.step(left, *table.span(tables, symbol))
+                table.seen(tables, symbol)
+                tables, value = left * 256 + symbol, value << 8 | symbol
+            now[left] = value
         for k, (at, g, s) in enumerate(((at2, g2, s2), (at1, g1, s1))):
             good = g == now
             sure[k][at] = np.where(good, np.minimum(s + 1, 7), s >> 1)
@@ -202,37 +208,38 @@ def _run(lanes_n: int, steps: int, ids: np.ndarray | None, data: np.ndarray | No
 
 def encode_segment(docs: list[int], ids: list[bytes]) -> bytes:
     """A segment of whole documents; ids as little-endian uint32 bytes."""
-    whole = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-    if len(whole) and whole.max() > 0xFFFE:
-        raise ValueError("ids of 65,535 and above can't be coded")
+    whole = np.frombuffer(b"".join(ids), "<u4")
     n = -(-len(whole) // BLOCK)
-    rows = np.zeros((n, BLOCK), np.int64)
-    rows.ravel()[: len(whole)] = whole
+    rows = np.zeros((n, BLOCK), np.int32)
+    rows.ravel()[: len(whole)] = np.minimum(whole, LARGE)
+    large = whole[whole >= LARGE]
     blocks = _run(n, min(BLOCK, len(whole)), rows, None) if n else []
-    crcs = [zlib.crc32(whole[k * BLOCK : (k + 1) * BLOCK].astype("<u4").tobytes()) for k in range(n)]
-    head = MAGIC + struct.pack("<IIQ", len(docs), n, len(whole))
-    return b"".join([head, np.array(docs, "<i8").tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), np.array([len(b) for b in blocks], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(), *blocks])
+    crcs = [zlib.crc32(whole[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(n)]
+    head = MAGIC + struct.pack("<IIQI", len(docs), n, len(whole), len(large))
+    return b"".join([head, np.array(docs, "<i8").tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), np.array([len(b) for b in blocks], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(), large.tobytes(), *blocks])
 
 
 def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document ids, lengths, and all ids as uint32; raises ValueError where a checksum fails."""
     if data[:4] != MAGIC:
         raise ValueError("not a segment")
-    n_docs, n, total = struct.unpack("<IIQ", data[4:20])
-    at, parts = 20, []
-    for kind, size, count in (("<i8", 8, n_docs), ("<u8", 8, n_docs), ("<u4", 4, n), ("<u4", 4, n)):
+    n_docs, n, total, n_large = struct.unpack("<IIQI", data[4:24])
+    at, parts = 24, []
+    for kind, size, count in (("<i8", 8, n_docs), ("<u8", 8, n_docs), ("<u4", 4, n), ("<u4", 4, n), ("<u4", 4, n_large)):
         parts.append(np.frombuffer(data, kind, count, at))
         at += size * count
-    docs, lengths, sizes, crcs = parts
+    docs, lengths, sizes, crcs, large = parts
     if not n:
         return docs, lengths, np.zeros(0, "<u4")
     rows = np.zeros((n, int(sizes.max()) // 2), np.uint16)
     for k, size in enumerate(sizes.tolist()):
         rows[k, : size // 2] = np.frombuffer(data, "<u2", size // 2, at)
         at += size
-    ids = _run(n, min(BLOCK, total), None, rows)
-    flat = ids.ravel()[:total] if n > 1 or total >= BLOCK else ids[0, :total]
-    flat = flat.astype("<u4")
+    flat = _run(n, min(BLOCK, total), None, rows).ravel()[:total].astype("<u4")
+    places = np.flatnonzero(flat == LARGE)
+    if len(places) != len(large):
+        raise ValueError("the large ids are damaged")
+    flat[places] = large
     for k, crc in enumerate(crcs.tolist()):
         if zlib.crc32(flat[k * BLOCK : (k + 1) * BLOCK].tobytes()) != crc:
             raise ValueError(f"block {k} is damaged")

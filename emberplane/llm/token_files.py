@@ -6,6 +6,7 @@ so that they can lie in any store that Spark writes; parts and segments ascend w
 
 A null text is empty and has its end id only. Rows that share an id each have their own entry, in
 any order among them; null ids come first and are stored as -2^63. Extra columns are ignored.
+A very long text takes memory in proportion in one task. An empty table makes no segment.
 """
 
 from __future__ import annotations
