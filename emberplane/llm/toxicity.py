@@ -10,13 +10,17 @@ it backs off to continuation counts (in how many different longer contexts the b
 the last two), and these to counts that both models share, of all documents. A rare
 expression, whose counts the discounts use up, gets the shared probability from both models.
 
-Bounds of the fit: `per_class` training rows of each class at most (in expectation; chosen by a
-hash of the id) and 2^18 hashed cells of shared counts. Every run of bytes of these rows keeps its
+Bounds of the fit: `per_class` training rows and `class_bytes` bytes of text of each class at most (in
+expectation; chosen by a hash of the id; a row of over a sixteenth of that is not learned from) and
+2^18 hashed cells of shared counts. Every run of bytes of these rows keeps its
 own counts, single ones too, and the discounts alone decide what backs off; the table that is
 broadcast thus grows with the text of the training rows, by 24 to 48 bytes per distinct run (40 to
 80 while the discount is chosen). One fifth of the training rows is kept out of the counts; it chooses the
 discount and the length of the runs, by the least loss, and fits the logistic function.
 
+All texts are scored whole, whatever their length; a very long one takes memory in proportion in
+one task. An empty table gives an empty result.
+
 Null texts and those under six bytes have differences of zero. Without rows of both classes
 every score is 0. Rows that share an id are scored each for itself; a document with several
 labels is trained on each. Extra columns are ignored.
@@ -260,7 +264,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
     return w, float(np.logaddexp(0, np.where(y > 0, -margin, margin)).mean())
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 10_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = 10_000, class_bytes: int = 64 << 20) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, score. labels(doc_id, toxic) of rows where `train` holds are learned from."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(train & F.col("toxic").isin(0, 1))
@@ -271,6 +275,13 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, train: Column, per_class:
     known = known.filter(pick < F.when(F.col("toxic") == 1, int(1_000_000 * share[1])).otherwise(int(1_000_000 * share[0])))
     # Two times `per_class` ids at most, whatever the size of the tables: the texts stay where they are.
     rows = written(docs.join(F.broadcast(known), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(5))), "labelled")
+    # Long rows are thinned once more, so that what is counted, pulled and broadcast is bounded by bytes, too.
+    rows = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= class_bytes // 16)
+    for c, size in rows.groupBy("toxic").agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).collect():
+        if size > class_bytes:
+            share[c] *= class_bytes / size
+            again = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < int(1_000_000 * class_bytes / size)
+            rows = rows.filter((F.col("toxic") != c) | again)
     models = fit(docs, rows.filter("fold > 0"))
     if models is None:
         return docs.select("doc_id", F.lit(0.0).alias("score"))
