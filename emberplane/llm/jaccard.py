@@ -244,3 +244,75 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, num: int = 80, den: int = 10
     discard(made, *grown)
     own = own.join(about, "sha")  # both sides dealt anew, so that the copies of one text can be split
     return own.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "rep", "doc_id").alias("component_id"))
+
+
+MEET = 1024
+
+
+def candidates(known: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): all pairs of classes known(id, n, toks, poss) that share a prefix shingle within the bounds, each once.
+
+    A shingle's members are dealt to blocks of about MEET; every two blocks of a shingle meet in a key of their own, so
+    that a frequent shingle is many small joins and no hot one."""
+    posting = known.select("id", "n", F.explode(F.arrays_zip("toks", "poss")).alias("p")).select("id", "n", F.col("p.toks").alias("tok"), F.col("p.poss").alias("pos"))
+    sizes = posting.groupBy("tok").agg(F.count("*").alias("k")).filter("k > 1").select("tok", F.ceil(F.col("k") / MEET).cast("int").alias("blocks"))
+    own = posting.join(sizes, "tok").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
+    left = dealt.filter("own = x").select("tok", "x", "y", *(F.col(c).alias(f"l_{c}") for c in ("id", "n", "pos")))
+    both = left.join(dealt.filter("own = y"), ["tok", "x", "y"]).filter(((F.col("x") < F.col("y")) | (F.col("l_id") < F.col("id"))) & may_link(num, den))
+    return both.select(F.least("l_id", "id").alias("a"), F.greatest("l_id", "id").alias("b")).distinct()
+
+
+def ngram_jaccard_pairs(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs) of docs(doc_id, text): each row's doc_id, n_shingles and class_id (least id with an equal set), and every pair
+    (a, b) of class ids whose sets reach the similarity, with `shared`, how many shingles they have in common, n_a and n_b.
+
+    As ngram_jaccard_join, but all pairs of different sets are tested, also within a component; copies are not paired with
+    each other, as their class says it. Rows that share an id but not the text, and null ids, are members of their text's class."""
+    members = written(ngram_classes(docs, n), "members")
+    least = members.filter("doc_id = class_id").dropDuplicates(["class_id"]).select(F.col("class_id").alias("doc_id"), "text")
+    slices = written(sliced(least.withColumn("sha", F.sha2("text", 256))), "slices")
+    codes = written(rarity(slices, n), "rarity")
+    known = written(prefixes(slices, codes, n, num, den).filter("k1 IS NOT NULL").select("id", "n", "toks", "poss", "shingles"), "classes")
+    discard(slices, codes)
+
+    def test(batches):
+        for batch in batches:
+            rows = []
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "sa", "sb")), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                if similar(x, y, num, den):
+                    rows.append((a.as_py(), b.as_py(), len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            names = ["a", "b", "shared", "n_a", "n_b"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 5, names)
+
+    pairs = written(candidates(known, num, den), "pairs")
+    side = {x: known.select(F.col("id").alias(x), F.col("shingles").alias(f"s{x}")) for x in "ab"}
+    found = written(pairs.join(side["a"], "a").join(side["b"], "b").select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long, shared long, n_a long, n_b long"), "links")
+    discard(known, pairs)
+    return members.drop("text"), found
+
+
+def ngram_classes(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, text, n_shingles, class_id): rows with equal non-empty sets have one class, the least of their ids; others their own id."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+    def digest(batches):
+        for batch in batches:
+            sets = shingle_sets(batch.column(1), n)
+            keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], ["doc_id", "text", "n_shingles", "set_key"])
+
+    made = written(docs.mapInArrow(digest, "doc_id long, text string, n_shingles long, set_key binary"), "sets")
+    least = written(made.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("class_id")), "least")
+    return made.join(least, "set_key", "left").select("doc_id", "text", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def link_counts(members: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(doc_id, n_links): with how many other rows each row of `members` is linked, the copies of its class included."""
+    sizes = members.filter("n_shingles > 0").groupBy("class_id").agg(F.count("*").alias("size"))
+    ends = pairs.select(F.col("a").alias("class_id"), F.col("b").alias("to")).unionByName(pairs.select(F.col("b").alias("class_id"), F.col("a").alias("to")))
+    reach = ends.join(sizes.withColumnsRenamed({"class_id": "to"}), "to").groupBy("class_id").agg(F.sum("size").alias("others"))
+    total = sizes.join(reach, "class_id", "left").select("class_id", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    linked_rows = members.filter("n_shingles > 0").join(total, "class_id").select("doc_id", "n_links")
+    return linked_rows.unionByName(members.filter("n_shingles = 0").select("doc_id", F.lit(0).cast("long").alias("n_links")))

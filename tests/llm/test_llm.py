@@ -200,7 +200,7 @@ def test_exact_dedup(docs, real):
         assert got == want
 
 
-@pytest.mark.parametrize("size", [0, 1, 5, 2047, 2048, 2049, 9000])
+@pytest.mark.parametrize("size", [0, 1, 5, 2049, idcoder.BLOCK, idcoder.BLOCK + 1])
 def test_coder_round_trip(size):
     ids = np.minimum(np.random.default_rng(size).zipf(1.3, size), 49000).astype("<u4")
     coded = idcoder.encode_segment([7, 8], [ids[: size // 3].tobytes(), ids[size // 3 :].tobytes()])
@@ -208,7 +208,7 @@ def test_coder_round_trip(size):
     assert docs.tolist() == [7, 8] and lengths.sum() == size and (back == ids).all()
     if size > 5:
         with pytest.raises((ValueError, IndexError)):
-            at = 20 + 16 * 2 + 8 * -(-size // idcoder.BLOCK)  # the first coded byte
+            at = 24 + 16 * 2 + 8 * -(-size // idcoder.BLOCK)  # the first coded byte
             idcoder.decode_segment(coded[:at] + bytes([coded[at] ^ 255]) + coded[at + 1 :])
 
 
@@ -492,3 +492,52 @@ def test_equal_texts_share_a_shard(spark):
     one = sharding.kd_shards(spark.createDataFrame([(k, "same text " * 9, "s") for k in range(800)], "doc_id long, text string, source string"), shards=4).toPandas()
     sizes = one.groupby("shard")["size"].sum()
     assert len(sizes) == 4 and sizes.max() / sizes.min() < 1.5 and one.groupby("shard").slot.apply(lambda s: sorted(s) == list(range(len(s)))).all()
+
+
+def test_coder_takes_all_ids_and_less_room_than_zlib(real):
+    ids = np.array([0, 65_534, 65_535, 65_536, (1 << 32) - 1, 5, 65_535, 7] * 50, "<u4")
+    assert (idcoder.decode_segment(idcoder.encode_segment([1], [ids.tobytes()]))[2] == ids).all()
+    plain = Tokenizer.from_file(WORD)
+    text = np.array([i for r in real.collect() for i in plain.encode(r.text or "", add_special_tokens=False).ids], "<u4")[: 2 * idcoder.BLOCK]
+    coded = len(idcoder.encode_segment([1], [text.tobytes()]))
+    assert coded < sum(len(zlib.compress(text[k : k + idcoder.BLOCK].tobytes(), 9)) for k in range(0, len(text), idcoder.BLOCK))
+
+
+@pytest.mark.parametrize("meet", [3, 1024])
+def test_jaccard_pairs_and_links(spark, real, monkeypatch, meet):
+    """All links between different sets, also within a component and in blocks of a frequent shingle, against brute force."""
+    monkeypatch.setattr(jaccard, "MEET", meet)
+    own = random.Random(8)
+    base = words(300).split()
+    rows = [(r.doc_id, r.text) for r in real.limit(60).collect()] + [(5000, None), (5001, "")]
+    for k in range(70):
+        t = list(base)
+        for j in own.sample(range(300), own.choice((0, 0, 1, 2, 4, 9))):
+            t[j] = "x" * own.randint(2, 9)
+        rows.append((6000 - k, " ".join(t)))
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[i] = frozenset(tuple(w[k : k + 3]) for k in range(len(w) - 2)) if len(w) >= 3 else frozenset([tuple(w)] if w else [])
+    reps = {s: min(i for i in sets if sets[i] == s) for s in sets.values() if s}
+    want = {}
+    for a, x in sorted((i, s) for s, i in reps.items()):
+        for b, y in ((i, s) for s, i in reps.items()):
+            if a < b and 100 * len(x & y) >= 90 * len(x | y):
+                want[a, b] = (len(x & y), len(x), len(y))
+    members, pairs = jaccard.ngram_jaccard_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, 100)
+    assert {(r.a, r.b): (r.shared, r.n_a, r.n_b) for r in pairs.collect()} == want and len(want) > 100
+    assert {r.doc_id: (r.n_shingles, r.class_id) for r in members.collect()} == {i: (len(s), reps.get(s, i)) for i, s in sets.items()}
+    counts = {r.doc_id: r.n_links for r in jaccard.link_counts(members, pairs).collect()}
+    assert counts == {i: sum(j != i and bool(s) and 100 * len(s & t) >= 90 * len(s | t) for j, t in sets.items()) for i, s in sets.items()}
+
+
+def test_toxicity_bounds_the_text_that_it_learns_from(spark):
+    """A few rows of much text: fewer rows are counted, and the others are scored as before."""
+    own = random.Random(5)
+    text = lambda n: "".join(own.choice("abcdefghijklmnop ") for _ in range(n))
+    rows = [(k, text(400) + (" qzxvq wjzkq" if k % 2 else ""), k % 2) for k in range(400)] + [(900, text(60_000), 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, table.select("doc_id", "toxic"), F.col("doc_id") % 5 != 0, class_bytes=40_000).collect()}
+    held = [k for k in range(400) if k % 5 == 0]
+    assert len(got) == len(rows) and min(got[k] for k in held if k % 2) > max(got[k] for k in held if k % 2 == 0)
