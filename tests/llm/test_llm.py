@@ -541,3 +541,43 @@ def test_toxicity_bounds_the_text_that_it_learns_from(spark):
     got = {r.doc_id: r.score for r in toxicity.score_toxicity(table, table.select("doc_id", "toxic"), F.col("doc_id") % 5 != 0, class_bytes=40_000).collect()}
     held = [k for k in range(400) if k % 5 == 0]
     assert len(got) == len(rows) and min(got[k] for k in held if k % 2) > max(got[k] for k in held if k % 2 == 0)
+
+
+def test_language_decoding_by_hand(spark):
+    """Counts, log odds, trusts of the bits and loss-weighted decoding, worked out n-gram by n-gram."""
+    own = random.Random(31)
+    letters = {"aa": "abcdeé ", "bb": "abcdxyz ", "cc": "aexyzüß "}
+    rows = [(k, "".join(own.choice(letters[x]) for _ in range(own.randint(1, 60))), x) for k, x in enumerate(sorted(letters) * 40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify_language(table, F.lit(True), weight_rows=10**6).collect()}
+
+    def grams(text):
+        raw = text.encode().lower()
+        for n in (1, 2, 3):
+            for k in range(len(raw) - n + 1):
+                yield ((int.from_bytes(raw[k : k + n], "big") * 2654435761 + n * 40503) % 2**32 * 2246822519) % 2**32 >> 17
+
+    langs, cells = sorted(letters), 1 << 15
+    counts = {x: collections.Counter(g for _, t, y in rows if y == x for g in grams(t)) for x in langs}
+    share = {x: {g: (counts[x][g] + 0.5) / (sum(counts[x].values()) + 0.5 * cells) for g in set().union(*counts.values())} for x in langs}
+    words = list(zip(*[(1, *c) for c in ((1, -1), (-1, 1), (-1, -1))], strict=True))  # all splits of three languages
+
+    def odds(text, bit):
+        mean = lambda sign, g: np.mean([share[x][g] for x, w in zip(langs, words, strict=True) if w[bit] == sign])
+        return np.mean([np.log(mean(1, g)) - np.log(mean(-1, g)) for g in grams(text)])
+
+    margin = {i: [odds(t, b) for b in range(3)] for i, t, _ in rows}
+    trust = []
+    for b in range(3):
+        wrong = sum(margin[i][b] * words[langs.index(x)][b] <= 0 for i, _, x in rows)
+        error = (wrong + 0.5) / (len(rows) + 1)
+        trust.append(max(0.05, 0.5 * np.log((1 - error) / error)))
+    for i, t, _ in rows:
+        loss = [sum(w / sum(trust) * np.log1p(np.exp(-12 * m * s)) for w, m, s in zip(trust, margin[i], word, strict=True)) for word in words]
+        p = np.exp(-3 * (np.array(loss) - min(loss)))
+        p /= p.sum()
+        if not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            assert got[i].score == pytest.approx(p.max(), abs=1e-4)
+            assert got[i].lang_pred == langs[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4
