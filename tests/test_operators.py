@@ -651,6 +651,21 @@ def test_stale_tests_and_reports(spark):
     assert [(r.id, r.total) for r in page.orderBy(F.desc("size_bytes")).collect()] == [("f", 3), ("test-e", 3)]
 
 
+def test_tiled_stamps_merge_as_plain_ones_and_are_never_shuffled(spark):
+    rng = random.Random(4)
+    rows = [(k, rng.choice([9.0, 9.2, 30.5, 41.3]), rng.uniform(-6, 140), rng.uniform(-6, 140), 0.6, 10.0 + k % 40, 122) for k in range(1500)]  # crowns over edges of tiles and of the grid
+    t = spark.createDataFrame(rows, "tree_id long, height double, x double, y double, crown_ratio double, dbh double, fia_species_code int")
+    shapes = voxels.files.written(voxels.crown_templates(t.select(*voxels.class_keys()[2:]).distinct(), 1.0, 1.0))
+    plain, tiled = (voxels.stamp(t, shapes, 1.0, 1.0, 0.0, 130.0, 130, 130, F.col("dbh"), tiled=k) for k in (False, True))
+    read = lambda df: sorted(tuple(r) for r in df.collect())
+    assert read(tiled.select(plain.columns)) == read(plain)
+    for f in (voxels.merged, lambda s: voxels.collapse_stamps(s, 1.0)):
+        assert read(f(tiled)) == read(f(plain))
+        plan = f(tiled)._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("REPARTITION_BY_NUM")]
+        assert above.count("HashAggregate(keys=[tile") >= 2 and above.count("Exchange hashpartitioning") == 1  # that of the trees
+
+
 def test_densities_add_up_alike_in_any_order(spark):
     rng = random.Random(1)
     rows = [(0, 0, 0, k, float(k % 7), rng.randrange(10**9)) for k in range(4000)]
