@@ -181,8 +181,10 @@ def capsules(lines: DataFrame, widths: dict[str, float], kind: str = "class") ->
 
 def within_capsules(points: DataFrame, shapes: DataFrame, cell: float, keys: list[str]) -> DataFrame:
     """points(x, y, keys) within any segment's radius. Shapes are dealt to the grid cells of their bounds, points
-    to their own, so that only those of one cell meet."""
+    to their own, so that only those of one cell meet, and a point is kept at the first that is near. Of shapes on
+    one segment the widest stands for all."""
     k = F.lit(float(cell))
+    shapes = shapes.groupBy("x1", "y1", "x2", "y2").agg(F.max("half").alias("half"))
     span = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - F.col("half")) / k), F.floor((F.greatest(a, b) + F.col("half")) / k)))
     s = shapes.select("x1", "y1", "x2", "y2", "half").withColumn("gx_", span("x1", "x2")).withColumn("gy_", span("y1", "y2"))
     p = points.withColumns({"gx_": F.floor(F.col("x") / k), "gy_": F.floor(F.col("y") / k)})
@@ -190,8 +192,18 @@ def within_capsules(points: DataFrame, shapes: DataFrame, cell: float, keys: lis
     t = F.coalesce(F.try_divide((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy, dx * dx + dy * dy), F.lit(0.0))
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
     ex, ey = F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy
-    near = p.join(s, ["gx_", "gy_"]).filter(ex * ex + ey * ey <= F.col("half") * F.col("half")).select(*keys).distinct()
-    return points.join(near, keys, "left_semi")
+    met = (p["gx_"] == s["gx_"]) & (p["gy_"] == s["gy_"]) & (ex * ex + ey * ey <= F.col("half") * F.col("half"))
+    return p.join(s, met, "left_semi").select(*points.columns)
+
+
+def in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """points(x, y, ...) with each of boxes(minx, miny, maxx, maxy, ...) that they lie in, its boundary included. Boxes are dealt
+    to the grid cells that they cover, points to their own. Boxes that count once should be given once."""
+    k = F.lit(float(cell))
+    span = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / k), F.floor(F.col(b) / k)))
+    b = boxes.withColumn("gx_", span("minx", "maxx")).withColumn("gy_", span("miny", "maxy"))
+    p = points.withColumns({"gx_": F.floor(F.col("x") / k), "gy_": F.floor(F.col("y") / k)})
+    return p.join(b, ["gx_", "gy_"]).filter(F.col("x").between(F.col("minx"), F.col("maxx")) & F.col("y").between(F.col("miny"), F.col("maxy"))).drop("gx_", "gy_")
 
 
 def overlaps(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:

@@ -186,12 +186,10 @@ def _(spark, d):
 @query("geo13_contribution", B.trees(f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, min(id) AS first_id FROM trees t JOIN (WITH {BOXES} SELECT * FROM boxes) b ON t.x - 500000 BETWEEN minx AND maxx AND t.y - 5200000 BETWEEN miny AND maxy GROUP BY ALL"))
 def _(spark, d):
     k = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    cell = lambda v: F.floor(v / F.lit(50.0))
-    b = boxes(spark, d).withColumn("gx", F.explode(F.sequence(cell(F.col("minx")), cell(F.col("maxx"))))).withColumn("gy", F.explode(F.sequence(cell(F.col("miny")), cell(F.col("maxy")))))
-    t = tables.trees(spark, d).withColumns({"px": F.col("x") - 500000, "py": F.col("y") - 5200000})
-    t = t.withColumns({"gx": cell(F.col("px")), "gy": cell(F.col("py"))})
-    hit = t.join(b, ["gx", "gy"]).filter(F.col("px").between(F.col("minx"), F.col("maxx")) & F.col("py").between(F.col("miny"), F.col("maxy")))
-    return hit.groupBy(*k).agg(F.min("id").alias("first_id"))
+    # Of boxes with the same bounds only the first can be chosen.
+    first = boxes(spark, d).groupBy("minx", "miny", "maxx", "maxy").agg(F.min("id").alias("id"))
+    t = tables.trees(spark, d).select(*k, (F.col("x") - 500000).alias("x"), (F.col("y") - 5200000).alias("y"))
+    return spatial.in_boxes(t, first, 50.0).groupBy(*k).agg(F.min("id").alias("first_id"))
 
 
 PRODUCTS = "products AS (SELECT s_nationkey AS product, s_suppkey AS part, CAST((s_suppkey * 53) % 800 AS DOUBLE) AS px0, CAST((s_suppkey * 53) % 800 + 120 AS DOUBLE) AS px1, CAST((s_suppkey * 29) % 800 AS DOUBLE) AS py0, CAST((s_suppkey * 29) % 800 + 120 AS DOUBLE) AS py1 FROM supplier)"

@@ -251,6 +251,33 @@ def test_numbering_over_partitions(spark):
     assert ids.schema["tree_id"].dataType.simpleString() == "int" and [r.tree_id for r in ids.orderBy("v").collect()] == list(range(300))
 
 
+def test_equal_shapes_meet_points_once(spark, tmp_path, monkeypatch):
+    """Suppliers that repeat the same boxes and lines: points are joined with one of each."""
+    from emberplane import registry
+
+    seen, plain = [], spatial.in_boxes
+    monkeypatch.setattr(spatial, "in_boxes", lambda p, b, cell: seen.append(b.count()) or plain(p, b, cell))
+    rng = random.Random(9)
+    trees = [(k, 1, rng.randrange(900), rng.randrange(900), "R", 3.0, 0.05) for k in range(600)]
+    spark.createDataFrame(trees, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    results = {}
+    for times in (1, 4):
+        d = tmp_path / str(times)
+        d.mkdir()
+        (d / "lineitem.parquet").symlink_to(tmp_path / "lineitem.parquet")
+        spark.range(900 * times).selectExpr("id AS s_suppkey", "id % 25 AS s_nationkey", "0.5D AS s_acctbal").write.parquet(str(d / "supplier.parquet"))
+        for name in ("geo08_union_of_parts", "geo13_contribution"):
+            rows = sorted(tuple(r) for r in registry.queries()[name](spark, str(d)).collect())
+            assert rows and results.setdefault(name, rows) == rows
+    assert seen == [900] * 4
+    lines = spark.createDataFrame([(0.0, 0.0, 30.0, 0.0, 2.0), (0.0, 0.0, 30.0, 0.0, 5.0)] * 50, "x1 double, y1 double, x2 double, y2 double, half double")
+    points = spark.createDataFrame([(1, 3.0, 4.0), (2, 3.0, 6.0), (3, 29.0, 1.0)], "id int, x double, y double")
+    near = spatial.within_capsules(points, lines, 50.0, ["id"])
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r.id for r in near.collect()) == [1, 3]
+    assert plan.count("Join ") == 1 and "Join LeftSemi" in plan and "max(half" in plan
+
+
 def test_polygon_join_meets_only_near_edges(spark):
     own = random.Random(8)
     rings = {k: [(100 + 90 * math.cos(t + k) * own.uniform(0.3, 1), 100 + 90 * math.sin(t + k) * own.uniform(0.3, 1)) for t in (0, 0.7, 1.4, 2.6, 3.3, 4.5, 5.4)] for k in range(4)}
