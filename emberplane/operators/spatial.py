@@ -23,15 +23,21 @@ def edges_of(ring: list[tuple[float, float]]) -> list[tuple[float, float, float,
     return [(*a, *b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True) if a != b]
 
 
-def inside(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
-    """Whether a point is strictly within a polygon (holes are rings too); parity of crossings to the east."""
+def crossed(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Whether an odd number of edges (holes are rings too) cross the line from a point to the east. Half-open: of polygons
+    that share an edge exactly one has a point on it."""
     hits = F.lit(0)
     for ring in rings:
         for x1, y1, x2, y2 in edges_of(ring):
             if y1 != y2:
                 at = F.lit(x1) + (y - F.lit(y1)) * F.lit((x2 - x1) / (y2 - y1))
                 hits = hits + F.when(((y >= min(y1, y2)) & (y < max(y1, y2))) & (x < at), 1).otherwise(0)
-    return (hits % 2 == 1) & ~on_boundary(x, y, rings)
+    return hits % 2 == 1
+
+
+def inside(x: Column, y: Column, rings: list[list[tuple[float, float]]]) -> Column:
+    """Whether a point is strictly within a polygon."""
+    return crossed(x, y, rings) & ~on_boundary(x, y, rings)
 
 
 def on_boundary(x: Column, y: Column, rings) -> Column:
