@@ -742,3 +742,40 @@ def test_the_region_of_the_focal_queries_has_many_blocks(spark):
         d = "/root/testdata/sf0.1"
         low, high, west, east = grids.bounds(made(spark, d, tables.region_trees(spark, d)))
         assert (high // grids.BLOCK - low // grids.BLOCK + 1) * (east // grids.BLOCK - west // grids.BLOCK + 1) >= 9
+
+
+def test_blocks_far_from_any_cell_are_filled_with_null(spark, monkeypatch):
+    monkeypatch.setattr(grids, "BLOCK", 7)
+    cells = spark.createDataFrame([(-9, 3, 1.0), (30, 44, 2.0)], "row int, col int, z double")
+    out = grids.fill_gaps(cells, "z", 1)
+    assert out.count() == out.select("row", "col").distinct().count() == 40 * 42
+    assert out.filter("z IS NOT NULL").count() == 8
+    assert grids.fill_gaps(cells.limit(0), "z", 1).count() == 0
+
+
+def stems_on_edges(spark, path, rows):
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double"
+    spark.createDataFrame([(*r, "R", 3.0, 0.05) for r in rows], schema).write.parquet(f"{path}/lineitem.parquet")
+    return str(path)
+
+
+def test_stems_on_the_southern_edge_are_resampled_and_have_a_plot(spark, tmp_path):
+    from emberplane import registry
+
+    d = stems_on_edges(spark, tmp_path, [(0, 1, 0, 0), (1, 1, 0, 0)])  # y is 5,200,000 and 13 cm more
+    for how in ("average", "max", "median", "min", "mode", "q1", "q3", "rms", "sum"):
+        assert [r.row for r in registry.queries()[f"foc12_resample_{how}"](spark, d).orderBy("row").collect()] == [24, 25]
+    near = registry.queries()["join10_nearest_plot"](spark, d).orderBy("l_orderkey").collect()
+    assert [r.distance for r in near] == [round(math.hypot(2.29, 5.0), 4), round(math.hypot(1.48, 4.87), 4)]
+
+
+def test_points_on_an_edge_lie_in_one_of_two_polygons(spark, tmp_path):
+    from emberplane import registry
+
+    rings = [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)], [(4.0, 0.0), (8.0, 0.0), (8.0, 4.0), (4.0, 4.0)]]
+    p = spark.createDataFrame([(4.0, 1.0), (4.0, 0.0), (1.0, 0.0), (6.0, 0.0)], "x double, y double")
+    for r in p.select(*(spatial.crossed(F.col("x"), F.col("y"), [ring]).alias(n) for n, ring in zip("ab", rings, strict=True))).collect():
+        assert r.a != r.b
+    d = stems_on_edges(spark, tmp_path, [(323826, 1, 50301, 2283)])  # on the boundary of the lake
+    assert registry.queries()["join09_trees_in_polygon"](spark, d).count() == 1
+    assert registry.queries()["join09_trees_outside_polygon"](spark, d).count() == 0
