@@ -111,5 +111,6 @@ def _(spark, d):
     tile = F.when(even, F.floor((F.col("x") + 13024400) / 100)).otherwise(-1).cast("int")
     out = reprojection.reprojected(t, tile, exact)
     px, py = exact(F.col("x"), F.col("y"))
-    miss = F.sqrt((F.col("px") - px) * (F.col("px") - px) + (F.col("py") - py) * (F.col("py") - py))
+    out = out.withColumns({"dx": F.col("px") - px, "dy": F.col("py") - py})  # as columns, so that the map is computed once
+    miss = F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))
     return out.groupBy("tile").agg(F.count("*").alias("n"), F.bool_and(miss <= 1e-4).alias("within"), F.bool_and("approximated").alias("approximated"))

@@ -779,3 +779,17 @@ def test_points_on_an_edge_lie_in_one_of_two_polygons(spark, tmp_path):
     d = stems_on_edges(spark, tmp_path, [(323826, 1, 50301, 2283)])  # on the boundary of the lake
     assert registry.queries()["join09_trees_in_polygon"](spark, d).count() == 1
     assert registry.queries()["join09_trees_outside_polygon"](spark, d).count() == 0
+
+
+def test_exact_map_is_in_no_branch(spark):
+    """Within a condition's branches Spark computes the parts that both coordinates share again and again."""
+    p = spark.createDataFrame([(0.0, 0.0), (40.0, 7.0), (1e6, 3.0), (1e6 + 5, None)], "x double, y double")
+    tile = F.when(F.col("x") < 100, 0).otherwise(1)
+    out = reprojection.reprojected(p, tile, lambda x, y: (F.sinh(x / 1e4) + y, F.sinh(x / 1e4) - y), 1e-4)
+    plan = out._jdf.queryExecution()
+    top = [line for line in plan.optimizedPlan().toString().split("\n") if "SINH" in line]
+    assert top and not any("ELSE" in line and "SINH" in line[line.index("ELSE") :] and " AS px" in line for line in top)
+    assert "BroadcastHashJoin" in plan.executedPlan().toString()
+    got = {r.x: (r.px, r.approximated) for r in out.collect()}
+    assert got[40.0][0] == pytest.approx(math.sinh(40 / 1e4) + 7, abs=1e-4) and got[40.0][1]
+    assert got[1e6][0] == pytest.approx(math.sinh(100.0) + 3) and not got[1e6][1] and got[1e6 + 5][0] is None
