@@ -78,6 +78,8 @@ def select_datasets(region: DataFrame, held: DataFrame, catalogue: DataFrame, ce
     """(name, place, cells, share, density, expected_points) of the datasets chosen for region(cell): with pins those,
     in their order, else by coverage. Nothing covers the region: no rows."""
     total = region.count()
+    if pins:  # no other name is asked for below
+        held = held.filter(F.col("name").isin(pins))
     own = files.written(held.select("cell", "name").distinct().join(region.select("cell").distinct(), "cell", "left_semi"), "held")
     names = catalogue.select("name", F.col("density").cast("double").alias("density"))
     chosen = pinned(own, names, pins, total, enough) if pins else automatic(own, names, total, complete, enough)
