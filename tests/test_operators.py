@@ -793,3 +793,29 @@ def test_exact_map_is_in_no_branch(spark):
     got = {r.x: (r.px, r.approximated) for r in out.collect()}
     assert got[40.0][0] == pytest.approx(math.sinh(40 / 1e4) + 7, abs=1e-4) and got[40.0][1]
     assert got[1e6][0] == pytest.approx(math.sinh(100.0) + 3) and not got[1e6][1] and got[1e6 + 5][0] is None
+
+
+def test_pins_read_only_their_own_cells(spark, monkeypatch):
+    kept, plain = [], files.written
+    monkeypatch.setattr(coverage.files, "written", lambda df, tag="table": kept.append((tag, df.count())) or plain(df, tag))
+    region = spark.range(10).withColumnRenamed("id", "cell")
+    held = spark.range(500).selectExpr("id % 10 AS cell", "concat('s', id % 50) AS name")
+    names = held.select("name").distinct().withColumn("density", F.lit(1.0))
+    chosen = coverage.select_datasets(region, held, names, 1.0, pins=["s3", "s1"], enough=0.01)
+    assert [(r.name, r.cells) for r in chosen.orderBy("place").collect()] == [("s3", 1), ("s1", 1)]
+    assert ("held", 2) in kept
+
+
+def test_majority_of_windows_by_hand(spark):
+    rng, listed = np.random.default_rng(3), np.array([98.0, 32767.0])
+    a = rng.choice([91.0, 92.0, 98.0, 32767.0, np.nan], (9, 11))
+    there = ~np.isnan(a)
+    got = grids.majority(a, there, listed)
+    for r in range(9):
+        for c in range(11):
+            seen = [a[min(max(r + i, 0), 8), min(max(c + j, 0), 10)] for i in range(-2, 3) for j in range(-2, 3)]
+            seen = [v for v in seen if not np.isnan(v)]
+            free, most = [v for v in seen if v not in listed], max(map(seen.count, seen))
+            own = there[r, c] and a[r, c] not in listed and seen.count(a[r, c]) == most
+            want = a[r, c] if own or not free else max(free, key=lambda v: (seen.count(v), v))
+            assert got[r, c] == want or (np.isnan(got[r, c]) and np.isnan(want))
