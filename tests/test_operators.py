@@ -769,6 +769,21 @@ def test_stems_on_the_southern_edge_are_resampled_and_have_a_plot(spark, tmp_pat
     assert [r.distance for r in near] == [round(math.hypot(2.29, 5.0), 4), round(math.hypot(1.48, 4.87), 4)]
 
 
+@pytest.mark.parametrize("how", ["max"])
+def test_resampled_stems_on_the_southern_edge_equal_the_sql(spark, tmp_path, how):
+    import duckdb
+
+    from emberplane import registry
+
+    # y is 5,200,000, 5,200,000.13, 5,200,037.83 and 5,200,999.96.
+    d = stems_on_edges(spark, tmp_path, [(0, 1, 0, 0), (1, 1, 0, 0), (291, 1, 0, 0), (7692, 1, 0, 0)])
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{d}/lineitem.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()[f"foc12_resample_{how}"]).fetchall()
+    assert sorted(map(tuple, registry.queries()[f"foc12_resample_{how}"](spark, d).collect())) == sorted(want)
+    assert max(want)[0] == 25
+
+
 def test_points_on_an_edge_lie_in_one_of_two_polygons(spark, tmp_path):
     from emberplane import registry
 
