@@ -769,7 +769,7 @@ def test_stems_on_the_southern_edge_are_resampled_and_have_a_plot(spark, tmp_pat
     assert [r.distance for r in near] == [round(math.hypot(2.29, 5.0), 4), round(math.hypot(1.48, 4.87), 4)]
 
 
-@pytest.mark.parametrize("how", ["max", "median", "min", "mode", "q1", "q3"])
+@pytest.mark.parametrize("how", ["max", "median", "min", "mode", "q1", "q3", "rms"])
 def test_resampled_stems_on_the_southern_edge_equal_the_sql(spark, tmp_path, how):
     import duckdb
 
