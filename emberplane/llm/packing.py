@@ -80,24 +80,26 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int
 
     def run(batches):
         coder, base = encoder(tokenizer, kind), TaskContext.get().partitionId() << 32
-        end = np.array([end_id], "<u4").tobytes()
-        ids, held, total, sequence = [], [], 0, 0
+        ids, held, ends, total, sequence = [], [], [], 0, 0
 
         def block():
             nonlocal sequence
-            lengths = np.array([len(x) // 4 for x in held], np.int64)
+            lengths, tokens = np.concatenate(ends), memoryview(np.concatenate(held)).cast("B")
+            first = (np.cumsum(lengths) - lengths).tolist()
             pieces, n = pack_block(lengths, capacity)
-            rows = [(ids[d], at, k, zlib.crc32(held[d][4 * at : 4 * (at + k)]), int(lengths[d]), base + sequence + s, off) for d, at, k, s, off in pieces]
+            rows = [(ids[d], at, k, zlib.crc32(tokens[4 * (first[d] + at) : 4 * (first[d] + at + k)]), int(lengths[d]), base + sequence + s, off) for d, at, k, s, off in pieces]
             sequence += n
-            ids.clear()
-            held.clear()
+            for x in (ids, held, ends):
+                x.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
 
         for batch in batches:
-            for part in slices(batch, 1):
-                held += [x + end for x in coder.encode([t or "" for t in part.column(1).to_pylist()])]
+            for part in slices(batch, 1, 4 << 20):
+                own, at = coder.encode_array(part.column(1))
+                held.append(np.insert(own, at[1:], end_id).astype("<u4"))
+                ends.append(np.diff(at) + 1)
                 ids += part.column(0).to_pylist()
-                total += sum(map(len, held[-part.num_rows :])) // 4
+                total += len(held[-1])
                 if total >= BLOCK_IDS:
                     yield block()
                     total = 0

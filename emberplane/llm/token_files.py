@@ -41,7 +41,7 @@ def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFram
         for batch in batches:
             for part in slices(batch, 1):
                 new = part.column(0).to_pylist()
-                for doc, own in zip(new, coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc, own in zip(new, coder.encode(part.column(1)), strict=True):
                     ids.append(LOWEST if doc is None else doc)
                     held.append(own + end)
                     size += len(own) // 4 + 1

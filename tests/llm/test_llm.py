@@ -581,3 +581,22 @@ def test_language_decoding_by_hand(spark):
         else:
             assert got[i].score == pytest.approx(p.max(), abs=1e-4)
             assert got[i].lang_pred == langs[int(p.argmax())] or np.sort(p)[-1] - np.sort(p)[-2] < 1e-4
+
+
+def test_different_pieces_are_encoded_once(monkeypatch):
+    coder, plain, given = tokens.Encoder(BYTE, "spaced"), Tokenizer.from_file(BYTE), []
+    monkeypatch.setattr(coder, "_ids", lambda texts, f=coder._ids: given.extend(texts) or f(texts))
+    texts = ["une forêt", "One word, one word.\nOne word!! été. One\n\nword  (one) don't.", None, " ", "", "a ", "\nword\n", "word\u00a0.\n x", "×, ÷."] * 2
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder.encode(texts) == want and coder.encode(texts) == want
+    assert len(given) == len(set(given)) and not {" word,", " word."} & set(given)
+    given.clear()
+    assert coder.encode(["One word; one word,"]) == [np.array(plain.encode("One word; one word,", add_special_tokens=False).ids, "<u4").tobytes()]
+    assert given == [";"]
+
+
+def test_an_added_token_across_two_texts():
+    for path, kind in ((BYTE, "spaced"), (WORD, "words"), (BYTE, "whole")):
+        plain = Tokenizer.from_file(path)
+        texts = ["a <|endof", "text|> b", "c <|endoftext|> d", "", "e"]
+        assert tokens.Encoder(path, kind).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
