@@ -30,6 +30,8 @@ from .common import LOWER, slices
 
 SHIFT, LONGEST, GRAMS = 16, 8, (4, 5)
 TABLE_BITS, HITS, ROWS = 22, 1 << 20, 2048
+#: Bytes of verification masks at a time.
+MASKS = 16 << 20
 SCHEMA = "doc_id long, item_id long, edit_distance int, item_bytes int, start int"
 FOLD = bytes(LOWER)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -150,14 +152,70 @@ class Index:
         self.masks: dict[int, dict[int, int]] = {}
 
     def alike(self, gram: np.ndarray, n: int, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Whether some part of lo..hi of an item's size and edits has enough of its runs of n bytes."""
+        """Whether some part of lo..hi of an item's size and edits has enough of its runs of n bytes.
+
+        gram goes on for the longest lo..hi past its end."""
         m, k = self.sizes[item], self.limits[item]
-        at = lo[:, None] + np.arange(int((hi - lo).max(initial=0)))
-        here = self.held[n][(gram[np.minimum(at, len(gram) - 1)] + self.shift[item][:, None]) >> self.down] & (at < hi[:, None])
-        total = np.zeros((len(item), at.shape[1] + 1), np.int32)
-        np.cumsum(here, axis=1, out=total[:, 1:])
-        ends = np.minimum(np.arange(at.shape[1] + 1) + (m + k - n + 1)[:, None], at.shape[1])
-        return (np.take_along_axis(total, ends, 1) - total).max(1) >= m - n + 1 - n * k
+        width = int((hi - lo).max(initial=0))
+        here = np.lib.stride_tricks.sliding_window_view(gram, width)[lo]
+        here += self.shift[item][:, None]
+        here >>= self.down
+        here = self.held[n][here] & (np.arange(width) < (hi - lo)[:, None])
+        least = m - n + 1 - n * k
+        good = np.count_nonzero(here, axis=1) >= least
+        some = np.flatnonzero(good)
+        total = np.zeros((len(some), width + 1), np.int32)
+        np.cumsum(here[some], axis=1, out=total[:, 1:])
+        ends = np.minimum(np.arange(width + 1) + (m + k - n + 1)[some, None], width)
+        good[some] = (np.take_along_axis(total, ends, 1) - total).max(1) >= least[some]
+        return good
+
+    def distances(self, item: np.ndarray, texts: list[bytes]) -> list[int]:
+        """`distance` of each item to its text, side by side; patterns end at the highest bit of their last word."""
+        found, at = [], 0
+        while at < len(texts):
+            words = -(-int(self.sizes[item[at]]) // 64)
+            to = min(len(texts), at + max(1, MASKS // (2048 * words)))
+            # Items are in order of their size; a wide one later in the batch would widen all.
+            words = -(-int(self.sizes[item[at:to]].max()) // 64)
+            found += self._distances(item[at:to], texts[at:to], words)
+            at = to
+        return found
+
+    def _distances(self, item: np.ndarray, texts: list[bytes], words: int) -> list[int]:
+        own, which = np.unique(item, return_inverse=True)
+        masks = np.zeros((words, len(own) * 256), np.uint64)
+        for k, i in enumerate(own.tolist()):
+            m = int(self.sizes[i])
+            bit = np.arange(64 * words - m, 64 * words)
+            np.add.at(masks, (bit >> 6, k * 256 + np.frombuffer(self.texts[i], np.uint8).astype(np.int64)), np.uint64(1) << (bit & 63).astype(np.uint64))
+        score = self.sizes[item]
+        free = 64 * words - score - 64 * np.arange(words)[:, None]  # unused bits of each word
+        full = np.where(free >= 64, np.uint64(0), ~np.uint64(0) << np.clip(free, 0, 63).astype(np.uint64))
+        width = max(map(len, texts))
+        column = np.frombuffer(b"".join(t.ljust(width, END) for t in texts), np.uint8).reshape(len(texts), width).T + (which * 256)[None]
+        up, down, best, one, top = full.copy(), np.zeros_like(full), score.copy(), np.uint64(1), np.uint64(63)
+        for c in column:
+            eq = masks[:, c]
+            v, own = eq | down, eq & up
+            h = own + up
+            carry = h < own
+            for w in range(1, words):
+                h[w] += carry[w - 1]
+                carry[w] |= carry[w - 1] & (h[w] == 0)
+            h ^= up
+            h |= eq
+            ph, mh = (down | ~(h | up)) & full, up & h
+            score = score + (ph[-1] >> top).astype(np.int64) - (mh[-1] >> top).astype(np.int64)
+            np.minimum(best, score, out=best)
+            high = ph >> top, mh >> top
+            ph <<= one
+            mh <<= one
+            ph[1:] |= high[0][:-1]
+            mh[1:] |= high[1][:-1]
+            up = (mh | ~(v | ph)) & full
+            down = ph & v
+        return best.tolist()
 
     def mask(self, i: int) -> dict[int, int]:
         if i not in self.masks:
@@ -178,7 +236,8 @@ class Index:
             return
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
         word = words(np.frombuffer(END.join([*texts, END * 8]), np.uint8))
-        gram = {n: grams(word, n) for n in GRAMS}
+        room = np.zeros(int((self.sizes + 2 * self.limits).max()) + SHIFT, np.uint32)
+        gram = {n: np.concatenate([grams(word, n), room]) for n in GRAMS}
         # One candidate per item and line of SHIFT starts; a start may lie before the text.
         back = int((self.sizes + self.limits).max()) // SHIFT + 1
         lines = int(begin[-1]) // SHIFT + 2 * back + 2
@@ -188,17 +247,20 @@ class Index:
         best: dict[tuple[int, int], tuple[int, int]] = {}
         m, k = self.sizes[item], self.limits[item]
         lo, hi = np.maximum(start - k, 0), np.minimum(start + SHIFT + m + k, begin[-1])
+        jobs, parts = [], []
         for part in range(0, len(key), ROWS):
             left = np.arange(part, min(part + ROWS, len(key)))
             for n in GRAMS:
                 left = left[self.alike(gram[n], n, item[left], lo[left], hi[left])]
             for j in left.tolist():
-                i, limit = int(item[j]), int(k[j])
                 # A line may hold starts in two texts or more.
                 for d in range(int(np.searchsorted(begin, lo[j], "right")) - 1, min(int(np.searchsorted(begin, hi[j], "left")), len(texts))):
-                    found = distance(self.mask(i), int(m[j]), texts[d][max(0, int(lo[j] - begin[d])) : max(0, int(hi[j] - begin[d]))], limit)
-                    if found <= limit and found < best.get((d, i), (int(m[j]),))[0]:
-                        best[d, i] = found, max(0, int(start[j] - begin[d]))
+                    jobs.append((j, d))
+                    parts.append(texts[d][max(0, int(lo[j] - begin[d])) : max(0, int(hi[j] - begin[d]))])
+        for (j, d), found in zip(jobs, self.distances(item[[j for j, _ in jobs]], parts), strict=True):
+            i = int(item[j])
+            if found <= k[j] and found < best.get((d, i), (int(m[j]),))[0]:
+                best[d, i] = found, max(0, int(start[j] - begin[d]))
         for (d, i), (found, s) in best.items():
             yield d, self.ids[i], found, len(self.texts[i]), s
 

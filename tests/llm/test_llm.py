@@ -600,3 +600,20 @@ def test_an_added_token_across_two_texts():
         plain = Tokenizer.from_file(path)
         texts = ["a <|endof", "text|> b", "c <|endoftext|> d", "", "e"]
         assert tokens.Encoder(path, kind).encode(texts) == [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+@pytest.mark.parametrize("room", [1 << 14, 16 << 20])
+def test_distances_side_by_side(monkeypatch, room):
+    monkeypatch.setattr(decontaminate, "MASKS", room)
+    rng = random.Random(5)
+    draw = lambda letters, n: bytes(rng.choice(letters) for _ in range(n))
+    index = decontaminate.Index([(i, draw(b"abcde ", m)) for i, m in enumerate((8, 20, 63, 64, 65, 127, 128, 129, 300, 700))], 0.15)
+    items, texts = [], []
+    for i in sorted(rng.randrange(10) for _ in range(300)):
+        text = bytearray(index.texts[i])
+        for _ in range(rng.randrange(12)):
+            at = rng.randrange(len(text) + 1)
+            text[at : at + rng.randrange(2)] = draw(b"abq", rng.randrange(2))
+        items.append(i)
+        texts.append((draw(b"abcde", rng.randrange(20)) + bytes(text) + draw(b"abcde", rng.randrange(20)))[: rng.choice((2000, 2000, 30, 0))])
+    assert index.distances(np.array(items), texts) == [decontaminate.distance(index.mask(i), len(index.texts[i]), t, 0) for i, t in zip(items, texts, strict=True)]
