@@ -25,6 +25,8 @@ from .common import LOWER, slices, spare_name, text_buffer
 
 BITS = 15
 ORDERS = (1, 2, 3)
+#: Bytes of text at a time: each takes about 60 bytes of memory.
+SLICE = 1 << 18
 
 
 def codewords(k: int) -> np.ndarray:
@@ -54,7 +56,7 @@ def train_counts(rows: DataFrame) -> tuple[list[str], np.ndarray]:
     def count(batches):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 langs = part.column(0).to_pylist()
                 raw, ends = text_buffer(part.column(1))
                 for code, s, e in buckets(raw, ends):
@@ -87,12 +89,18 @@ def bit_weights(counts: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 def margins(text: pa.Array, weights: np.ndarray) -> np.ndarray:
     """Mean log odds of each text's n-grams, per bit."""
+    parts = [_margins(part.column(0), weights) for part in slices(pa.record_batch([text], ["text"]), 0, SLICE)]
+    return np.concatenate([np.zeros((0, weights.shape[1])), *parts])
+
+
+def _margins(text: pa.Array, weights: np.ndarray) -> np.ndarray:
     raw, ends = text_buffer(text)
     total, n = np.zeros((len(ends) - 1, weights.shape[1])), np.zeros(len(ends) - 1)
     for code, s, e in buckets(raw, ends):
         some = np.flatnonzero(e > s)
         edges = np.stack([s[some], e[some]], 1).ravel()
-        picked = np.concatenate([weights[code], np.zeros((1, weights.shape[1]), np.float32)])
+        picked = np.zeros((len(code) + 1, weights.shape[1]), np.float32)
+        np.take(weights, code, axis=0, out=picked[:-1], mode="clip")
         if len(some):
             total[some] += np.add.reduceat(picked, edges, axis=0)[::2]
             n[some] += (e - s)[some]
