@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from .common import LOWER, slices
 
 SHIFT, LONGEST, GRAMS = 16, 8, (4, 5)
-TABLE_BITS, HITS, ROWS = 22, 1 << 20, 2048
+TABLE_BITS, HITS, ROWS = 22, 1 << 18, 2048
 #: Bytes of verification masks at a time.
-MASKS = 16 << 20
+MASKS = 4 << 20
 SCHEMA = "doc_id long, item_id long, edit_distance int, item_bytes int, start int"
 FOLD = bytes(LOWER)
 ODD = np.uint64(0x9E3779B97F4A7C15)
