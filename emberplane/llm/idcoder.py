@@ -51,8 +51,9 @@ class Bytes:
         due = np.flatnonzero((grown > 0) & ((grown * 8 >= self.built) | (self.built == 256)))
         for at in range(0, len(due), 4096):
             some = due[at : at + 4096]
-            share = self.counts[some].astype(np.int64) * (TOTAL - 256) // self.total[some, None] + 1
-            self.cum[some, 1:] = np.cumsum(share, axis=1)
+            # Products are below 2^53 and quotients far from the next whole number, so the whole part is exact.
+            share = (self.counts[some] * float(TOTAL - 256) / self.total[some, None]).astype(np.uint16) + np.uint16(1)
+            self.cum[some, 1:] = np.cumsum(share, axis=1, dtype=np.uint16)
             self.cum[some, 256] = TOTAL
         self.built[due] = self.total[due]
 
@@ -135,7 +136,7 @@ class Mixer:
         weight = [(4160 - e[lanes]) for e in self.error]
         weight = [w * w >> 8 for w in weight]
         total = sum(w * p for w, p in zip(weight, self.own, strict=True)) // sum(weight)
-        return np.clip(total, 8, 4088)
+        return np.minimum(np.maximum(total, 8), 4088)
 
     def learn(self, lanes: np.ndarray, hit: np.ndarray) -> None:
         aim = hit * 4095

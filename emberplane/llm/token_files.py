@@ -1,7 +1,7 @@
 """Token-id files: whole texts encoded, coded in segments of `idcoder`, written and read through Spark.
 
 Documents are range-partitioned and sorted by id; each partition's ids are coded in segments of about
-four million ids (whole documents). The files are Parquet tables of (part, segment, n_ids, payload),
+eight million ids (whole documents). The files are Parquet tables of (part, segment, n_ids, payload),
 so that they can lie in any store that Spark writes; parts and segments ascend with the ids.
 
 A null text is empty and has its end id only. Rows that share an id each have their own entry, in
@@ -23,7 +23,7 @@ from .common import slices
 from .idcoder import decode_segment, encode_segment
 from .tokens import encoder
 
-SEGMENT_IDS = 1 << 22
+SEGMENT_IDS = 1 << 23
 LOWEST = -(1 << 63)
 
 

@@ -631,3 +631,17 @@ def test_distances_side_by_side(monkeypatch, room):
         items.append(i)
         texts.append((draw(b"abcde", rng.randrange(20)) + bytes(text) + draw(b"abcde", rng.randrange(20)))[: rng.choice((2000, 2000, 30, 0))])
     assert index.distances(np.array(items), texts) == [decontaminate.distance(index.mask(i), len(index.texts[i]), t, 0) for i, t in zip(items, texts, strict=True)]
+
+
+def test_shares_of_frequencies_are_whole_number_arithmetic():
+    model, rng = idcoder.Bytes(3, 2), np.random.default_rng(4)
+    for _ in range(400):
+        tables = np.unique(rng.integers(0, 6, 4))
+        model.seen(tables, rng.zipf(1.5, len(tables)) % 256)
+    model.counts[5] = rng.integers(1, 3000, 256)
+    model.counts[5, 7] = 48 * idcoder.BLOCK
+    model.total[:] = model.counts.sum(1)
+    model.rebuild()
+    for own, total, cum in zip(model.counts.tolist(), model.total.tolist(), model.cum.tolist(), strict=True):
+        want = np.cumsum([0] + [x * (idcoder.TOTAL - 256) // total + 1 for x in own]).tolist()
+        assert cum == [*want[:256], idcoder.TOTAL]
