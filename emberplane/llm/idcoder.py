@@ -1,20 +1,22 @@
-"""Token ids as compressed binary blocks: an adaptive context-mixing range coder.
+"""Token ids as compressed binary segments: an adaptive context-mixing coder of range ANS.
 
-An id is coded as up to four decisions. Was it the id that last followed the two ids before it
-(order 2)? Else, the one that last followed the id before it (order 1)? Else its high byte by
-adaptive order-0 frequencies, and its low byte by those of that high byte. The probability of the
-first two decisions is mixed from adaptive counters chosen by the order-2 entry's confidence, the
-order-1 entry's confidence and agreement, and no context, each weighted by how well it has
-predicted so far. All arithmetic is on integers, so any machine decodes what another wrote.
+An id is coded by up to three decisions. Was it the id that last followed the two ids before it
+(order 2)? Else, the one that last followed the id before it (order 1)? Else which of the ids that
+were missed before (order 0); one that is new there has its high byte coded by adaptive order-0
+frequencies, and its low byte by those of that high byte. The probability of the first two decisions
+is mixed from adaptive counters chosen by the order-2 entry's confidence, by the order-1 entry's
+confidence and agreement, and by all of these, each weighted by how well it has predicted so far.
+All arithmetic is exact, so any machine decodes what another wrote.
 
-Blocks of BLOCK ids are coded independently, each from a fresh model and with its own CRC-32; the
-blocks of a segment are coded side by side, a NumPy lane each. A segment holds whole documents:
+The ids of a segment are cut in lanes of some STEPS ids, a NumPy lane each, which go side by side and
+share one model: it is brought up to date after every round of up to ROUND ids of each lane. So a
+segment is decoded as a whole; each BLOCK ids have their own CRC-32. It holds whole documents:
 
-    magic "EMB2" | u32 documents | u32 blocks | u64 ids | u32 large ids
-    i64 document ids | u64 lengths | u32 block sizes in bytes | u32 block CRC-32s | u32 large ids | blocks
+    magic "EMB3" | u32 documents | u32 blocks | u64 ids | u32 large ids
+    i64 document ids | u64 lengths | u32 block CRC-32s | u32 large ids | u64 lanes' states | u32 words
 
 Numbers are little-endian; a block's CRC-32 is that of its ids as little-endian u32. Ids from LARGE
-on are coded as LARGE and kept as they are beside the blocks, so all ids of 32 bits have a code.
+on are coded as LARGE and kept as they are beside the lanes, so all ids of 32 bits have a code.
 """
 
 from __future__ import annotations
@@ -24,16 +26,18 @@ import zlib
 
 import numpy as np
 
-BLOCK, SLOTS = 16_384, 8192
-MAGIC, LARGE = b"EMB2", 0xFFFF
-TOTAL_BITS = 15
-TOTAL = 1 << TOTAL_BITS
-TOP, BOTTOM, FULL = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64((1 << 48) - 1)
+BLOCK, LANES, STEPS, ROUND = 16_384, 4096, 2048, 8
+MAGIC, LARGE = b"EMB3", 0xFFFF
+TOTAL_BITS, HASH_BITS, MIX_BITS, SLOT_BITS = 15, 18, 12, 18
+TOTAL, MIX, SLOTS = 1 << TOTAL_BITS, 1 << MIX_BITS, 1 << SLOT_BITS
+BITS, LEAST = MIX_BITS + SLOT_BITS, 1 << 31
 NONE = LARGE
-#: Every so many ids, frequencies that have grown by an eighth are brought up to date.
-PACE = 32
+NEW = 1 << 16
 GAIN = 48
-U16, U32B = np.uint64(16), np.uint64(TOTAL_BITS)
+CONTEXTS = 128
+#: An entry is its id times 8 and a confidence; this is added after a miss (of confidences 2 to 7) or a hit, else it is replaced.
+MOVE = np.array([0, 0, -1, -2, -2, -3, -3, -4, 0, 1, 1, 1, 1, 1, 1, 0], np.int32)
+KEPT = np.arange(16) > 1
 
 
 class Bytes:
@@ -63,161 +67,234 @@ class Bytes:
         return low, self.flat[at + 1].astype(np.int64) - low
 
     def find(self, tables: np.ndarray, value: np.ndarray) -> np.ndarray:
-        base, low = tables * 257, np.zeros(len(tables), np.int64)
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            low += step * (self.flat[base + low + step] <= value)
-        return low
+        return (self.cum[tables, 1:256] <= value[:, None]).sum(axis=1)
 
     def seen(self, tables: np.ndarray, symbol: np.ndarray) -> None:
-        self.counts.ravel()[tables * 256 + symbol] += GAIN
-        self.total[tables] += GAIN
-
-
-class Lanes:
-    """The range coder's state per lane: carry-less, 48 bits, 16 bits out or in at a time."""
-
-    def __init__(self, n: int, data: np.ndarray | None = None):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, FULL)
-        self.data, self.at, self.reading = data, np.zeros(n, np.int64), data is not None
-        if self.reading:
-            self.code = np.zeros(n, np.uint64)
-            for _ in range(3):
-                self.code = (self.code << U16) | self.data[np.arange(n), self.at].astype(np.uint64)
-                self.at += 1
-        else:
-            self.data = np.zeros((n, 64), np.uint16)
-
-    def share(self, lanes: np.ndarray) -> np.ndarray:
-        """Where in 0..TOTAL the code of these lanes lies."""
-        unit = self.range[lanes] >> U32B
-        return np.minimum((self.code[lanes] - self.low[lanes]) // unit, np.uint64(TOTAL - 1)).astype(np.int64)
-
-    def step(self, lanes: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        unit = self.range[lanes] >> U32B
-        low, width = self.low[lanes] + unit * start.astype(np.uint64), unit * size.astype(np.uint64)
-        self.low[lanes], self.range[lanes] = low, width
-        due = ((low ^ (low + width)) < TOP) | (width < TOP)
-        while due.any():
-            lanes, low, width = lanes[due], low[due], width[due]
-            cut = (low ^ (low + width)) >= TOP
-            width = np.where(cut, TOP - (low & BOTTOM), width)
-            if self.reading:
-                self.code[lanes] = ((self.code[lanes] << U16) & FULL) | self.data[lanes, np.minimum(self.at[lanes], self.data.shape[1] - 1)].astype(np.uint64)
-            else:
-                if self.at.max() + 4 >= self.data.shape[1]:
-                    self.data = np.concatenate([self.data, np.zeros_like(self.data)], 1)
-                self.data[lanes, self.at[lanes]] = (low >> np.uint64(32)).astype(np.uint16)
-            self.at[lanes] += 1
-            low, width = (low << U16) & FULL, width << U16
-            self.low[lanes], self.range[lanes] = low, width
-            due = ((low ^ (low + width)) < TOP) | (width < TOP)
-
-    def finish(self) -> list[bytes]:
-        lanes = np.arange(len(self.low))
-        for k in (32, 16, 0):
-            if self.at.max() + 4 >= self.data.shape[1]:
-                self.data = np.concatenate([self.data, np.zeros_like(self.data)], 1)
-            self.data[lanes, self.at] = ((self.low >> np.uint64(k)) & np.uint64(0xFFFF)).astype(np.uint16)
-            self.at += 1
-        return [self.data[k, :n].astype("<u2").tobytes() for k, n in enumerate(self.at.tolist())]
+        np.add.at(self.counts.ravel(), tables * 256 + symbol, GAIN)
+        np.add.at(self.total, tables, GAIN)
 
 
 class Mixer:
-    """Probability of a hit (of 4096) from adaptive counters, one per input and lane, by context."""
-
-    def __init__(self, lanes: int, sizes: tuple[int, ...]):
-        self.p = [np.full(lanes * s, 1024, np.int32) for s in sizes]
-        self.base = [np.arange(lanes) * s for s in sizes]
-        self.error = [np.full(lanes, 2048, np.int32) for _ in sizes]
-
-    def predict(self, lanes: np.ndarray, contexts) -> np.ndarray:
-        self.at = [b[lanes] + c for b, c in zip(self.base, contexts, strict=True)]
-        self.own = [p[a] for p, a in zip(self.p, self.at, strict=True)]
-        weight = [(4160 - e[lanes]) for e in self.error]
-        weight = [w * w >> 8 for w in weight]
-        total = sum(w * p for w, p in zip(weight, self.own, strict=True)) // sum(weight)
-        return np.minimum(np.maximum(total, 8), 4088)
-
-    def learn(self, lanes: np.ndarray, hit: np.ndarray) -> None:
-        aim = hit * 4095
-        for p, at, own, error in zip(self.p, self.at, self.own, self.error, strict=True):
-            miss = aim - own
-            p[at] = own + (miss >> 4)
-            e = error[lanes]
-            error[lanes] = e + ((np.abs(miss) - e) >> 5)
-
-
-def _run(lanes_n: int, steps: int, ids: np.ndarray | None, data: np.ndarray | None):
-    """Code ids (lanes, steps), or decode data into ids; the model moves alike in both."""
-    coder, every = Lanes(lanes_n, data), np.arange(lanes_n)
-    reading = data is not None
-    out = np.zeros((lanes_n, steps), np.int32) if reading else None
-    guess = [np.full(lanes_n * SLOTS, NONE, np.uint16) for _ in range(2)]
-    sure = [np.zeros(lanes_n * SLOTS, np.int8) for _ in range(2)]
-    first, second = Mixer(lanes_n, (8, 16, 1)), Mixer(lanes_n, (8, 1))
-    high, low = Bytes(lanes_n), Bytes(lanes_n, 256)
-    row = every * SLOTS
-    one = two = np.zeros(lanes_n, np.int64)
-    for t in range(steps):
-        if t % PACE == 0:
-            high.rebuild()
-            low.rebuild()
-        at2, at1 = row + ((two * 40503 + one * 30011 >> 5) & (SLOTS - 1)), row + ((one * 40503 >> 4) & (SLOTS - 1))
-        g2, g1 = guess[0][at2].astype(np.int64), guess[1][at1].astype(np.int64)
-        s2, s1 = sure[0][at2].astype(np.int64), sure[1][at1].astype(np.int64)
-        now = ids[:, t].astype(np.int64) if not reading else np.zeros(lanes_n, np.int64)
-        left = every
-        # order 2
-        some = np.flatnonzero(g2 != NONE)
-        hit2 = np.zeros(lanes_n, bool)
-        if len(some):
-            size = first.predict(some, (s2[some], s1[some] + 8 * (g1[some] == g2[some]), 0)) << 3
-            hit = coder.share(some) < size if reading else now[some] == g2[some]
-            coder.step(some, np.where(hit, 0, size), np.where(hit, size, TOTAL - size))
-            first.learn(some, hit)
-            hit2[some] = hit
-            now[some[hit]] = g2[some[hit]]
-        # order 1
-        some = np.flatnonzero(~hit2 & (g1 != NONE) & (g1 != g2))
-        done = hit2.copy()
-        if len(some):
-            size = second.predict(some, (s1[some], 0)) << 3
-            hit = coder.share(some) < size if reading else now[some] == g1[some]
-            coder.step(some, np.where(hit, 0, size), np.where(hit, size, TOTAL - size))
-            second.learn(some, hit)
-            done[some] = hit
-            now[some[hit]] = g1[some[hit]]
-        # order 0
-        left = np.flatnonzero(~done)
-        if len(left):
-            tables, value = left, 0
-            for table, shift in ((high, 8), (low, 0)):
-                symbol = table.find(tables, coder.share(left)) if reading else (now[left] >> shift) & 255
-                coder.step(left, *table.span(tables, symbol))
-                table.seen(tables, symbol)
-                tables, value = left * 256 + symbol, value << 8 | symbol
-            now[left] = value
-        for k, (at, g, s) in enumerate(((at2, g2, s2), (at1, g1, s1))):
-            good = g == now
-            sure[k][at] = np.where(good, np.minimum(s + 1, 7), s >> 1)
-            guess[k][at] = np.where(good | (s > 1), g, now)
-        if reading:
-            out[:, t] = now
-        two, one = one, now
-    return out if reading else coder.finish()
+    """Probability of a hit (of MIX) in each context, from counters of several groupings of the contexts."""
+
+    def __init__(self, *groups: np.ndarray):
+        self.groups, self.error = groups, [MIX // 2] * len(groups)
+        self.hits, self.all = np.zeros((2, CONTEXTS), np.int64)
+        self.own = [np.full(CONTEXTS, MIX // 4) for _ in groups]
+
+    def learn(self, hits: np.ndarray, tries: np.ndarray) -> None:
+        n = int(tries.sum())
+        if not n:
+            return
+        for k, p in enumerate(self.own):
+            self.error[k] += (int((hits * (MIX - p) + (tries - hits) * p).sum()) // n - self.error[k]) >> 3
+        self.hits += hits
+        self.all += tries
+        old = self.all > 1 << 18
+        self.hits[old] >>= 1
+        self.all[old] >>= 1
+        # Sums of whole numbers below 2^53 are exact.
+        sums = [(np.bincount(g, self.hits).astype(np.int64), np.bincount(g, self.all).astype(np.int64)) for g in self.groups]
+        self.own = [((h * MIX + MIX // 4) // (t + 1))[g] for g, (h, t) in zip(self.groups, sums, strict=True)]
+
+    def predict(self) -> np.ndarray:
+        weight = [(MIX + 64 - e) ** 2 >> 8 for e in self.error]
+        return sum(w * p for w, p in zip(weight, self.own, strict=True)) // sum(weight)
+
+
+class Model:
+    """What all lanes of a segment have learnt so far."""
+
+    def __init__(self):
+        self.two, self.one = np.full(1 << HASH_BITS, NONE << 3, np.int32), np.full(1 << 16, NONE << 3, np.int32)
+        every = np.arange(CONTEXTS)
+        self.first, self.second = Mixer(every >> 4, every & 15, every), Mixer(every >> 1 & 7, every)
+        self.counts, self.missed, self.total, self.built = np.zeros(1 << 16, np.int64), [], 0, 0
+        self.high, self.low = Bytes(1), Bytes(1, 256)
+        self._mix()
+        self._share()
+
+    def _mix(self) -> None:
+        """Per context, the ends of the shares of order 2 and of order 1 (which has none if both agree)."""
+        self.a = np.clip(self.first.predict(), 4, MIX - 12)
+        self.b = self.a + np.clip((MIX - self.a) * self.second.predict() >> MIX_BITS, 1, MIX - 8 - self.a)
+        self.b[1::2] = self.a[1::2]
+        self.low2, self.low1, self.width = self.a << SLOT_BITS, self.b << SLOT_BITS, MIX - self.b
+        self.part = 1 / self.width
+
+    def _share(self) -> None:
+        """Deal the slots of order 0 to the ids missed so far, and what is left to NEW."""
+        seen, self.built = np.flatnonzero(self.counts), self.total
+        self.size = np.zeros(NEW + 1, np.int64)
+        if len(seen):
+            room = SLOTS - len(seen) - max(16, min(SLOTS // 4, SLOTS * len(seen) // (2 * self.total)))
+            self.size[seen] = self.counts[seen] * room // self.total + 1
+        self.size[NEW] = SLOTS - self.size.sum()
+        self.start, ids = np.cumsum(self.size) - self.size, np.append(seen, NEW)
+        self.slot = np.repeat(ids.astype(np.int32), self.size[ids])
+
+    def look(self, two: np.ndarray, one: np.ndarray):
+        """Places and entries of order 2, entries of order 1, and contexts."""
+        at = (two * 0x9E3779B1 + one * 0x85EBCA6B >> 12) & ((1 << HASH_BITS) - 1)
+        e2, e1 = self.two.take(at), self.one.take(one)
+        return at, e2, e1, (e2 & 7) << 4 | (e1 & 7) << 1 | ((e1 ^ e2) < 8)
+
+    def spans(self, context: np.ndarray, hit2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and sizes of hits of order 2 or else 1."""
+        a = self.low2[context]
+        return np.where(hit2, 0, a), np.where(hit2, a, self.low1[context] - a)
+
+    def learn(self, at, e2, one, e1, context, now, hit2, hit1) -> None:
+        missed = now[~(hit2 | hit1)]
+        none, only1, *both = np.bincount(context << 2 | hit2 << 1 | hit1, minlength=4 * CONTEXTS).reshape(CONTEXTS, 4).T
+        self.first.learn(sum(both), none + only1 + sum(both))
+        none[1::2] = only1[1::2] = 0
+        self.second.learn(only1, none + only1)
+        self._mix()
+        # Where an entry meets several ids in one round, the last one counts.
+        instead = (now << 3 | 1).astype(np.int32)
+        for table, place, entry, hit in ((self.two, at, e2, hit2), (self.one, one, e1, hit1)):
+            case = entry & 7 | hit.astype(np.int32) << 3
+            table[place] = np.where(KEPT.take(case), entry + MOVE.take(case), instead)
+        self.missed.append(missed)
+        self.total += len(missed)
+        if self.total > self.built and (self.total - self.built) * 8 >= self.built:
+            np.add.at(self.counts, np.concatenate(self.missed), 1)
+            self.missed = []
+            self._share()
+        self.high.rebuild()
+        self.low.rebuild()
+
+
+def _rounds(steps: int):
+    t = 0
+    while t < steps:
+        to = min(steps, t + min(ROUND, max(1, t // 16)))
+        yield t, to
+        t = to
+
+
+def _lanes(n: int) -> tuple[int, int]:
+    lanes = max(1, min(LANES, n // STEPS))
+    return lanes, -(-n // lanes)
+
+
+def _put(x: np.ndarray, start: np.ndarray, size: np.ndarray, bits: int, out: list) -> np.ndarray:
+    full = np.flatnonzero(x >= size << (63 - bits))
+    over = x[full]
+    out.append(over.astype(np.uint32))
+    x[full] = over >> 32
+    q = x // size
+    return (q << bits) + (x - q * size) + start
+
+
+def _encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """States of the lanes and words. What lanes code is settled forward, and coded backward."""
+    lanes, steps = _lanes(len(ids))
+    model, all_ids = Model(), np.zeros((steps + 2, lanes), np.int32)
+    padded = np.zeros(lanes * steps, np.int32)
+    padded[: len(ids)] = ids
+    all_ids[2:] = padded.reshape(lanes, steps).T
+    starts, sizes = np.empty((2, steps, lanes), np.uint32)
+    extra = {}
+    for t, to in _rounds(steps):
+        two, one, now = (all_ids[t + k : to + k].ravel().astype(np.int64) for k in range(3))
+        at, e2, e1, context = model.look(two, one)
+        hit2, hit1 = e2 >> 3 == now, e1 >> 3 == now
+        own, hit = model.size.take(now), hit2 | hit1
+        new = np.flatnonzero((own == 0) & ~hit)
+        first = model.start.take(now)
+        own[new], first[new] = model.size[NEW], model.start[NEW]
+        width = model.width.take(context)
+        start, size = model.low1.take(context) + first * width, own * width
+        hit = np.flatnonzero(hit)
+        start[hit], size[hit] = model.spans(context[hit], hit2[hit])
+        if len(new):
+            high, low = now[new] >> 8, now[new] & 255
+            spans = [*model.high.span(high * 0, high), *model.low.span(high, low)]
+            step, lane = np.divmod(new, lanes)
+            for k in np.unique(step).tolist():
+                here = step == k
+                extra[t + k] = (lane[here], *(s[here] for s in spans))
+            model.high.seen(high * 0, high)
+            model.low.seen(high, low)
+        starts[t:to], sizes[t:to] = start.reshape(-1, lanes), size.reshape(-1, lanes)
+        model.learn(at, e2, one, e1, context, now, hit2, hit1)
+    x, out = np.full(lanes, LEAST, np.int64), []
+    for t in range(steps - 1, -1, -1):
+        if t in extra:
+            lane, start1, size1, start2, size2 = extra[t]
+            x[lane] = _put(_put(x[lane], start2, size2, TOTAL_BITS, out), start1, size1, TOTAL_BITS, out)
+        x = _put(x, starts[t], sizes[t].astype(np.int64), BITS, out)
+    return x, np.concatenate(out[::-1])
+
+
+class _Words:
+    def __init__(self, words: np.ndarray):
+        self.words, self.at = words, 0
+
+    def fill(self, x: np.ndarray) -> np.ndarray:
+        low = np.flatnonzero(x < LEAST)
+        x[low] = x[low] << 32 | self.words[self.at : self.at + len(low)]
+        self.at += len(low)
+        return x
+
+
+def _byte(model: Bytes, tables: np.ndarray, x: np.ndarray, words: _Words) -> tuple[np.ndarray, np.ndarray]:
+    value = x & (TOTAL - 1)
+    symbol = model.find(tables, value)
+    start, size = model.span(tables, symbol)
+    return symbol, words.fill(size * (x >> TOTAL_BITS) + value - start)
+
+
+def _decode(n: int, x: np.ndarray, words: np.ndarray) -> np.ndarray:
+    lanes, steps = _lanes(n)
+    model, source, all_ids = Model(), _Words(words), np.zeros((steps + 2, lanes), np.int64)
+    for t, to in _rounds(steps):
+        seen, fresh = [], []
+        for k in range(t, to):
+            at, e2, e1, context = model.look(all_ids[k], all_ids[k + 1])
+            value, width = x & ((1 << BITS) - 1), model.width.take(context)
+            rest = value - model.low1.take(context)
+            # Whole parts are exact: with the half, quotients are 2^-13 from the next whole number at least. Hits have a slot, too, for now.
+            now = model.slot.take(((np.maximum(rest, 0) + 0.5) * model.part.take(context)).astype(np.int64))
+            below, size = model.start.take(now) * width, model.size.take(now) * width
+            over = rest - below
+            hit = np.flatnonzero(rest < 0)
+            of, got = context[hit], value[hit]
+            hit2 = got < model.low2[of]
+            start, size[hit] = model.spans(of, hit2)
+            over[hit], now[hit] = got - start, np.where(hit2, e2[hit], e1[hit]) >> 3
+            x = source.fill(size * (x >> BITS) + over)
+            new = np.flatnonzero(now == NEW)
+            all_ids[k + 2] = now
+            if len(new):
+                high, left = _byte(model.high, new * 0, x[new], source)
+                low, x[new] = _byte(model.low, high, left, source)
+                all_ids[k + 2, new] = high << 8 | low
+                fresh.append(all_ids[k + 2, new])
+            seen.append((at, e2, e1, context))
+        at, e2, e1, context = map(np.concatenate, zip(*seen, strict=True))
+        one, now = all_ids[t + 1 : to + 1].ravel(), all_ids[t + 2 : to + 2].ravel()
+        for ids in fresh:
+            model.high.seen(ids * 0, ids >> 8)
+            model.low.seen(ids >> 8, ids & 255)
+        model.learn(at, e2, one, e1, context, now, e2 >> 3 == now, e1 >> 3 == now)
+    if source.at != len(words) or (x != LEAST).any():
+        raise ValueError("the lanes do not end where they should")
+    return all_ids[2:].T.ravel()[:n]
 
 
 def encode_segment(docs: list[int], ids: list[bytes]) -> bytes:
     """A segment of whole documents; ids as little-endian uint32 bytes."""
     whole = np.frombuffer(b"".join(ids), "<u4")
     n = -(-len(whole) // BLOCK)
-    rows = np.zeros((n, BLOCK), np.int32)
-    rows.ravel()[: len(whole)] = np.minimum(whole, LARGE)
     large = whole[whole >= LARGE]
-    blocks = _run(n, min(BLOCK, len(whole)), rows, None) if n else []
+    states, words = _encode(np.minimum(whole, LARGE).astype(np.int32)) if n else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
     crcs = [zlib.crc32(whole[k * BLOCK : (k + 1) * BLOCK].tobytes()) for k in range(n)]
     head = MAGIC + struct.pack("<IIQI", len(docs), n, len(whole), len(large))
-    return b"".join([head, np.array(docs, "<i8").tobytes(), np.array([len(x) // 4 for x in ids], "<u8").tobytes(), np.array([len(b) for b in blocks], "<u4").tobytes(), np.array(crcs, "<u4").tobytes(), large.tobytes(), *blocks])
+    parts = [(docs, "<i8"), ([len(x) // 4 for x in ids], "<u8"), (crcs, "<u4"), (large, "<u4"), (states, "<u8"), (words, "<u4")]
+    return b"".join([head, *(np.asarray(x, kind).tobytes() for x, kind in parts)])
 
 
 def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,17 +303,13 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         raise ValueError("not a segment")
     n_docs, n, total, n_large = struct.unpack("<IIQI", data[4:24])
     at, parts = 24, []
-    for kind, size, count in (("<i8", 8, n_docs), ("<u8", 8, n_docs), ("<u4", 4, n), ("<u4", 4, n), ("<u4", 4, n_large)):
+    for kind, size, count in (("<i8", 8, n_docs), ("<u8", 8, n_docs), ("<u4", 4, n), ("<u4", 4, n_large), ("<u8", 8, _lanes(total)[0] if n else 0)):
         parts.append(np.frombuffer(data, kind, count, at))
         at += size * count
-    docs, lengths, sizes, crcs, large = parts
+    docs, lengths, crcs, large, states = parts
     if not n:
         return docs, lengths, np.zeros(0, "<u4")
-    rows = np.zeros((n, int(sizes.max()) // 2), np.uint16)
-    for k, size in enumerate(sizes.tolist()):
-        rows[k, : size // 2] = np.frombuffer(data, "<u2", size // 2, at)
-        at += size
-    flat = _run(n, min(BLOCK, total), None, rows).ravel()[:total].astype("<u4")
+    flat = _decode(total, states.astype(np.int64), np.frombuffer(data, "<u4", offset=at)).astype("<u4")
     places = np.flatnonzero(flat == LARGE)
     if len(places) != len(large):
         raise ValueError("the large ids are damaged")

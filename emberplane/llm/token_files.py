@@ -24,6 +24,8 @@ from .idcoder import decode_segment, encode_segment
 from .tokens import encoder
 
 SEGMENT_IDS = 1 << 23
+#: Bytes of text whose different pieces are encoded at once.
+SLICE = 8 << 20
 LOWEST = -(1 << 63)
 
 
@@ -39,7 +41,7 @@ def encoded(docs: DataFrame, tokenizer: str, kind: str, end_id: int) -> DataFram
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((part_id, pa.int64()), (segment, pa.int64()), (size, pa.int64()), (encode_segment(ids, held), pa.binary()))], ["part", "segment", "n_ids", "payload"])
 
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 new = part.column(0).to_pylist()
                 for doc, own in zip(new, coder.encode(part.column(1)), strict=True):
                     ids.append(LOWEST if doc is None else doc)

@@ -7,11 +7,14 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import text_buffer
 
-CACHE = 600_000
+CACHE = 1 << 20
 BATCH = 20_000
+#: A piece that kind "words" takes as one word, whose last id, and no other, ends a word.
+WORD, END, LINE = "^ ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$", "</w>", 1000
 
 
 def _table(found: bytes | range | list[int]) -> np.ndarray:
@@ -52,13 +55,19 @@ def cuts(raw: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def gathered(flat: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """flat[first : first + n] of each row, one after the other."""
+    ends = np.cumsum(n)
+    return flat[np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
 class Encoder:
     """Ids of texts. The texts of an array are cut where the tokenizer always cuts, and each different piece is
     encoded once.
 
     kind "spaced": the tokenizer cuts before a space that a word follows. kind "words": white space only separates.
     kind "whole": no pieces. Texts with the string of an added token go through the library whole. The cache keeps
-    the first CACHE different pieces; all ids come from the library.
+    the first different pieces, up to CACHE; all ids come from the library.
     """
 
     def __init__(self, path: str, kind: str):
@@ -67,7 +76,12 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind, self.cache = kind, {}
+        self.kind, self.ends = kind, None
+        if kind == "words":
+            vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[k for word, k in vocab.items() if word.endswith(END)]] = True
+        self.cache, self.flat, self.size = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         out = []
@@ -75,15 +89,46 @@ class Encoder:
             out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + BATCH], add_special_tokens=False)]
         return out
 
-    def _known(self, pieces: list[str]) -> list[bytes]:
-        found = list(map(self.cache.get, pieces))
-        new = [k for k, x in enumerate(found) if x is None]
-        made = self._ids([pieces[k] for k in new])
-        for k, x in zip(new, made, strict=True):
-            found[k] = x
-        room = max(0, CACHE - len(self.cache))
-        self.cache.update((pieces[k], x) for k, x in zip(new[:room], made, strict=False))
-        return found
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = self._ids(pieces)
+        return np.frombuffer(b"".join(made), np.uint32), np.fromiter(map(len, made), np.int64, len(made)) // 4
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and their number in each. Words go through the library by lines, as a line costs half."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+        for line, made in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            own = np.array(made.ids, np.uint32)
+            size = np.diff(np.flatnonzero(self.ends[own]), prepend=-1)
+            if len(size) != len(line) or size.sum() != len(own):
+                own, size = self._each(line)
+            ids.append(own)
+            sizes.append(size)
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _new(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        if self.ends is None:
+            return self._each(pieces.to_pylist())
+        plain = pc.match_substring_regex(pieces, WORD)
+        word = plain.to_numpy(zero_copy_only=False)
+        ids, size = zip(self._words(pc.utf8_ltrim(pieces.filter(plain), " ").to_pylist()), self._each(pieces.filter(pc.invert(plain)).to_pylist()), strict=True)
+        n, first = np.zeros((2, len(pieces)), np.int64)
+        for k, which in enumerate((word, ~word)):
+            n[which], first[which] = size[k], np.cumsum(size[k]) - size[k] + k * len(ids[0])
+        return gathered(np.concatenate(ids), first, n), n
+
+    def _known(self, pieces: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and where those of each piece begin there, and their number."""
+        at = pc.index_in(pieces, value_set=self.cache)
+        missing = at.is_null()
+        new, to = pieces.filter(missing), at.fill_null(0).to_numpy().astype(np.int64)
+        ids, n = self._new(new)
+        to[missing.to_numpy(zero_copy_only=False)] = len(self.size) + np.arange(len(new))
+        flat, size = np.concatenate([self.flat, ids]), np.concatenate([self.size, n])
+        first = np.cumsum(size) - size
+        if len(new) and len(size) <= CACHE:
+            self.cache, self.flat, self.size = pa.concat_arrays([self.cache, new]), flat, size
+        return flat, first[to], size[to]
 
     def encode_array(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (nulls are empty), and the n + 1 offsets of each text's ids."""
@@ -98,13 +143,11 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)
         at = cuts(raw, ends)
         pieces = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))).dictionary_encode()
-        known = self._known(pieces.dictionary.to_pylist())
-        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
-        flat, first, which = np.frombuffer(b"".join(known), np.uint32), np.cumsum(size) - size, pieces.indices.to_numpy()
+        flat, first, size = self._known(pieces.dictionary)
+        which = pieces.indices.to_numpy()
         n = size[which]
         to = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        ids = flat[np.repeat(first[which] - to[:-1], n) + np.arange(to[-1])]
-        return ids, to[np.searchsorted(at, ends)]
+        return gathered(flat, first[which], n), to[np.searchsorted(at, ends)]
 
     def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Those with the string of an added token whole, the others by pieces."""

@@ -505,6 +505,30 @@ def test_coder_takes_all_ids_and_less_room_than_zlib(real):
     assert coded < sum(len(zlib.compress(text[k : k + idcoder.BLOCK].tobytes(), 9)) for k in range(0, len(text), idcoder.BLOCK))
 
 
+def test_blocks_of_a_segment_learn_from_each_other():
+    rng = np.random.default_rng(11)
+    phrases = rng.integers(0, 3000, (400, 40))
+    ids = phrases[rng.integers(0, 400, 16 * idcoder.BLOCK // 40 + 1)].ravel()[: 16 * idcoder.BLOCK].astype("<u4")
+    coded = idcoder.encode_segment([1], [ids.tobytes()])
+    assert (idcoder.decode_segment(coded)[2] == ids).all()
+    assert len(coded) < 8 * len(idcoder.encode_segment([1], [ids[: idcoder.BLOCK].tobytes()]))
+
+
+@pytest.mark.parametrize("lanes", [1, 3, 50])
+def test_coder_round_trip_of_many_lanes_and_new_ids(monkeypatch, lanes):
+    monkeypatch.setattr(idcoder, "LANES", lanes)
+    monkeypatch.setattr(idcoder, "STEPS", 100)
+    rng = np.random.default_rng(lanes)
+    ids = np.concatenate([rng.integers(0, 1 << 16, 4001), np.repeat(rng.integers(0, 1 << 32, 40), 50), np.minimum(rng.zipf(1.2, 5000), 70_000)]).astype("<u4")
+    coded = idcoder.encode_segment([3], [ids.tobytes()])
+    assert (idcoder.decode_segment(coded)[2] == ids).all()
+    for at in (24 + 16, len(coded) // 2, len(coded) - 1):
+        with pytest.raises((ValueError, IndexError)):
+            idcoder.decode_segment(coded[:at] + bytes([coded[at] ^ 64]) + coded[at + 1 :])
+    with pytest.raises((ValueError, IndexError)):
+        idcoder.decode_segment(coded[:-4])
+
+
 @pytest.mark.parametrize("meet", [3, 1024])
 def test_jaccard_pairs_and_links(spark, real, monkeypatch, meet):
     """All links between different sets, also within a component and in blocks of a frequent shingle, against brute force."""
@@ -609,6 +633,22 @@ def test_different_pieces_are_encoded_once(monkeypatch):
     assert given == [";"]
 
 
+def test_words_are_encoded_by_lines(real, monkeypatch):
+    monkeypatch.setattr(tokens, "LINE", 7)
+    coder, plain = tokens.Encoder(WORD, "words"), Tokenizer.from_file(WORD)
+    texts = [r.text for r in real.limit(40).collect()] + ["It's one word's, ÀÉ Straße ßÿ ı İx ſ K\u0331 e\u0301t\u00e9 a</w> </w> 3rd x\u00b5 \u4e2d\u6587 word", "Bonjour", " z\u0300 y"]
+    given = []
+    monkeypatch.setattr(coder, "_ids", lambda texts, f=coder._ids: given.extend(texts) or f(texts))
+    want = [np.array(plain.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert coder.encode(texts) == want
+    assert given and not {" word", " one", "Bonjour"} & set(given)
+    monkeypatch.setattr(tokens, "CACHE", 0)
+    assert tokens.Encoder(WORD, "words").encode(texts) == want
+    other = tokens.Encoder(WORD, "words")
+    other.ends[:] = False  # lines that can't be told apart go word by word
+    assert other.encode(texts) == want
+
+
 def test_an_added_token_across_two_texts():
     for path, kind in ((BYTE, "spaced"), (WORD, "words"), (BYTE, "whole")):
         plain = Tokenizer.from_file(path)
