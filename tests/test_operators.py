@@ -737,6 +737,26 @@ def test_dense_chunks(spark, order):
     assert got == {(a, b): full[a * 4 : a * 4 + 4, b * 4 : b * 4 + 4].ravel(order).tolist() for a in range(3) for b in range(2)}
 
 
+def dense_chunks_equal_the_sql(spark, path, name):
+    import duckdb
+
+    from emberplane import registry
+
+    d = stems_on_edges(spark, path, [(0, 1, 0, 0), (1, 1, 0, 0), (7692, 1, 0, 0)])  # the first lies on the southern edge, in row 100
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{d}/lineitem.parquet/*.parquet'")
+    got = {tuple(r) for r in registry.queries()[name](spark, d).collect()}
+    want = set(con.execute(f"select chunk_row, chunk_col, data from ({registry.oracle_sql()[name]})").fetchall())
+    assert got == want and len(got) == 16
+    cells = spark.createDataFrame([(r, c, 1.0) for r, c in ((-1, 0), (0, -1), (3, 0), (0, 2), (2, 1))], "row int, col int, v double")
+    rest = lattices.chunk_dense(cells, "v", 2, 3, 2, 0.0, name[-1].upper()).collect()
+    assert {(r.chunk_row, r.chunk_col): r.data for r in rest} == {(0, 0): [0.0] * 4, (1, 0): [0.0, 1.0]}
+
+
+def test_dense_chunks_in_c_order_leave_out_the_southern_edge(spark, tmp_path):
+    dense_chunks_equal_the_sql(spark, tmp_path, "src25_chunk_dense_c")
+
+
 def test_the_region_of_the_focal_queries_has_many_blocks(spark):
     for made in (tables.cells, tables.surface):
         d = "/root/testdata/sf0.1"
