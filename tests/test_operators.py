@@ -757,6 +757,10 @@ def test_dense_chunks_in_c_order_leave_out_the_southern_edge(spark, tmp_path):
     dense_chunks_equal_the_sql(spark, tmp_path, "src25_chunk_dense_c")
 
 
+def test_dense_chunks_in_f_order_leave_out_the_southern_edge(spark, tmp_path):
+    dense_chunks_equal_the_sql(spark, tmp_path, "src25_chunk_dense_f")
+
+
 def test_the_region_of_the_focal_queries_has_many_blocks(spark):
     for made in (tables.cells, tables.surface):
         d = "/root/testdata/sf0.1"
