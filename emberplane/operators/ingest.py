@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,12 +81,34 @@ def scaled_points(points: DataFrame, scale: float, unit: str, origin: tuple[floa
     return points.select(*rest, step("x", origin[0]).alias("X"), step("y", origin[1]).alias("Y"), step("z", 0.0).alias("Z"))
 
 
+def _settled(zone: int, scale: float):
+    """The steps (X, Y) of the few places that are given, by the C library's functions; null where those have no value."""
+
+    def steps(lon: pd.Series, lat: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"X": None, "Y": None}, index=lon.index, dtype="object")
+        for k in lon.index[lon.notna()]:
+            try:
+                out.loc[k] = [math.floor(v / scale + 0.5) for v in spatial.utm(lon[k], lat[k], zone, m=math)]
+            except (ValueError, OverflowError):  # a pole
+                pass
+        return out.astype("Int32")
+
+    return F.pandas_udf(steps, "struct<X:int,Y:int>")
+
+
 def projected_points(points: DataFrame, zone: int, scale: float, unit: str) -> DataFrame:
-    """points(lon, lat in degrees, z in `unit`) with X, Y (UTM of the zone, north) and Z as integer steps of `scale` metres."""
-    x, y = spatial.utm(F.col("lon"), F.col("lat"), zone)
-    step = lambda c: F.floor(c / F.lit(scale) + 0.5).cast("int")
+    """points(lon, lat in degrees, z in `unit`) with X, Y (UTM of the zone, north) and Z as integer steps of `scale` metres.
+
+    A place within a micrometre of the border of two steps is settled by the C library's sines, as other engines do:
+    there the last bit of a number decides."""
     rest = [c for c in points.columns if c not in ("lon", "lat", "z")]
-    return points.select(*rest, step(x).alias("X"), step(y).alias("Y"), step(F.col("z") * F.lit(units.factor(unit, "m"))).alias("Z"))
+    x, y = (c / F.lit(scale) + 0.5 for c in spatial.utm(F.col("lon"), F.col("lat"), zone))
+    near = lambda c: F.abs(F.col(c) - F.rint(c)) < 1e-6 / scale
+    p = points.withColumns({"x_": x, "y_": y})
+    border = lambda c: F.when(near("x_") | near("y_"), F.col(c))
+    p = p.withColumn("settled_", _settled(zone, scale)(border("lon"), border("lat")))
+    step = lambda k: F.coalesce(f"settled_.{k}", F.floor(f"{k.lower()}_").cast("int")).alias(k)
+    return p.select(*rest, step("X"), step("Y"), F.floor(F.col("z") * F.lit(units.factor(unit, "m")) / F.lit(scale) + 0.5).cast("int").alias("Z"))
 
 
 #: What a tree table must have; without a status all its trees are live.

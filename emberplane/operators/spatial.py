@@ -251,22 +251,23 @@ _RADIUS = WGS84_A / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
 _S = 2 * math.sqrt(_N) / (1 + _N)
 
 
-def _wave(xi: Column, eta: Column, terms: list[float], sign: int) -> tuple[Column, Column]:
+def _wave(xi: Column, eta: Column, terms: list[float], sign: int, m=F) -> tuple[Column, Column]:
     """xi and eta moved by Krueger's series."""
     x, y = eta, xi
     for k, c in enumerate(terms, 1):
-        x = x + F.lit(sign * c) * F.cos(2 * k * xi) * F.sinh(2 * k * eta)
-        y = y + F.lit(sign * c) * F.sin(2 * k * xi) * F.cosh(2 * k * eta)
+        x = x + sign * c * m.cos(2 * k * xi) * m.sinh(2 * k * eta)
+        y = y + sign * c * m.sin(2 * k * xi) * m.cosh(2 * k * eta)
     return x, y
 
 
-def utm(lon: Column, lat: Column, zone: int, terms: int = 4) -> tuple[Column, Column]:
-    """WGS84 longitude and latitude to UTM easting and northing (north), by Krueger's series."""
+def utm(lon: Column, lat: Column, zone: int, terms: int = 4, m=F) -> tuple[Column, Column]:
+    """WGS84 longitude and latitude to UTM easting and northing (north), by Krueger's series. With `m` the module math
+    of numbers, by the C library's functions, whose last bits differ from Java's."""
     n = _N
     alpha = [n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280][:terms]
-    phi, lam = F.radians(lat), F.radians(lon - (6 * zone - 183))
-    t = F.sinh(F.atanh(F.sin(phi)) - F.lit(_S) * F.atanh(F.lit(_S) * F.sin(phi)))
-    x, y = _wave(F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t)), alpha, 1)
+    phi, lam = m.radians(lat), m.radians(lon - (6 * zone - 183))
+    t = m.sinh(m.atanh(m.sin(phi)) - _S * m.atanh(_S * m.sin(phi)))
+    x, y = _wave(m.atan2(t, m.cos(lam)), m.atanh(m.sin(lam) / m.sqrt(1 + t * t)), alpha, 1, m)
     return 500000 + UTM_SCALE * _RADIUS * x, UTM_SCALE * _RADIUS * y
 
 

@@ -761,6 +761,27 @@ def test_dense_chunks_in_f_order_leave_out_the_southern_edge(spark, tmp_path):
     dense_chunks_equal_the_sql(spark, tmp_path, "src25_chunk_dense_f")
 
 
+def test_uploads_on_the_border_of_two_steps_equal_the_sql(spark, tmp_path):
+    import duckdb
+
+    from emberplane import registry
+
+    # Places, in cm of the square, whose northing is a whole number of half steps but for its last bit, which Java and C
+    # give differently.
+    places = [(20079, 1914), (68627, 86829), (71563, 6677), (30574, 63017), (17623, 73085), (18171, 67807), (30227, 23529), (55497, 80017), (45477, 85954), (34995, 11043)]
+    orders = [x * pow(7919, -1, 100_000) % 100_000 for x, _ in places]
+    d = stems_on_edges(spark, tmp_path, [(o, 0, 0, (y - 13 * o) * pow(17, -1, 100_000) % 100_000) for o, (_, y) in zip(orders, places, strict=True)])
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{d}/lineitem.parquet/*.parquet'")
+    got = registry.queries()["src16_appended_uploads"](spark, d)
+    want = con.execute(f"select {', '.join(got.columns)} from ({registry.oracle_sql()['src16_appended_uploads']})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 10
+    # Nulls stay, and the pole, where C has no hyperbolic arc, keeps the column's value.
+    odd = spark.createDataFrame([(0, None, 47.0, 1.0), (1, -117.0, None, 1.0), (2, -117.0, 90.0, None)], "id int, lon double, lat double, z double")
+    pole = math.floor(spatial.UTM_SCALE * spatial._RADIUS * math.pi / 2 / 0.01 + 0.5)
+    assert [tuple(r) for r in ingest.projected_points(odd, 11, 0.01, "m").orderBy("id").collect()] == [(0, None, None, 100), (1, None, None, 100), (2, 50_000_000, pole, None)]
+
+
 def test_the_region_of_the_focal_queries_has_many_blocks(spark):
     for made in (tables.cells, tables.surface):
         d = "/root/testdata/sf0.1"
