@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions import draws
 from ..sources import files
 
 
@@ -33,48 +37,105 @@ def poisson_steps(mean: Column, most: int = 150) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(most)), start, step, lambda a: a["out"])
 
 
-def poisson(steps: Column, parts: Column, u: Callable[[Column], Column]) -> Column:
-    """The sum of `parts` Poisson numbers, the j-th by the inverse distribution function (poisson_steps) at u(j)."""
-    drawn = F.transform(F.sequence(F.lit(1), parts), lambda j: F.least(u(j), F.lit(1 - 1e-13)))
-    return F.aggregate(F.transform(drawn, lambda v: F.size(F.filter(steps, lambda c: c <= v))), F.lit(0), lambda n, k: n + k)
-
-
 def _beside(table: DataFrame, most: int) -> DataFrame:
     """A written table to join a longer one with: broadcast if it has `most` rows or fewer, else hashed in shuffled
     parts. Left to itself, Spark sizes rows that an explode makes by the rows before it, and may broadcast those."""
     return F.broadcast(table) if table.count() <= most else table.hint("shuffle_hash")
 
 
-def expand_plots(cells: DataFrame, plots: DataFrame, cell: float, seed: int, draw: Callable[..., Column] = uniform) -> DataFrame:
+#: Trees of a plot that a task holds, and stems that it makes at a time.
+TREES, STEMS = 1 << 23, 1 << 17
+#: The draws of columns, as a task makes them for arrays.
+DRAWS = {uniform: draws.hashes, digest_uniform: draws.digests}
+
+
+def _grown(draw: Callable[..., np.ndarray], seed: int, cell: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of trees (key_, tree, tpa), then those of the cells (key_, cell_) that draw from them, to stems."""
+
+    def stems(c: dict, kinds: pa.StructType, trees: pa.Array, upto: np.ndarray) -> Iterator[pa.RecordBatch]:
+        parts = draw([seed], c["row"], c["col"], np.arange(1, c["parts_"] + 1))[0]
+        n = int(np.searchsorted(np.array(c["steps_"]), np.minimum(parts, 1 - 1e-13), "right").sum())
+        for first in range(1, n + 1, STEMS):
+            k = np.arange(first, min(first + STEMS, n + 1))
+            numbers = draw([seed + 1, seed + 2, seed + 3], c["row"], c["col"], k)
+            at = numbers[0] * c["total_"]
+            order = np.argsort(at)  # neighbours look at the same trees
+            order = order[slice(*np.searchsorted(at[order], (c["begin_"], c["end_"])))]
+            same = lambda name: pa.repeat(pa.scalar(c[name], kinds.field(name).type), len(order))  # noqa: B023, E731
+            place = lambda name, u: pa.array((c[name] + u[order]) * cell)  # noqa: B023, E731
+            tree = trees.take(pa.array(np.searchsorted(upto, at[order], "right")))
+            yield pa.record_batch([same("row"), same("col"), pa.array(k[order].astype(np.int32)), same("plot"), tree, place("col", numbers[1]), place("row", numbers[2])], ["row", "col", "stem", "plot", "tree", "x", "y"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, trees, tpas, upto, made, n = None, [], [], None, [], 0
+        for batch in batches:
+            keys, is_cell = batch.column("key_").to_numpy(), batch.column("cell_").is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(is_cell.astype(np.int8)) != 0)) + 1
+            for a, z in zip([0, *cuts], [*cuts, len(keys)], strict=True) if len(keys) else ():
+                if keys[a] != key:
+                    key, trees, tpas, upto = keys[a], [], [], None
+                if not is_cell[a]:
+                    trees.append(batch.column("tree").slice(a, z - a))
+                    tpas.append(batch.column("tpa").slice(a, z - a).fill_null(0.0).to_numpy())
+                    continue
+                for c in batch.column("cell_").slice(a, z - a).to_pylist():
+                    if upto is None:  # a tree begins where the one before it ends, to the bit
+                        held = pa.concat_arrays(trees)
+                        upto = np.minimum(np.cumsum(np.concatenate([[c["begin_"]], *tpas]))[1:], c["end_"])
+                        upto[-1], trees, tpas = c["end_"], [], []
+                    for some in stems(c, batch.schema.field("cell_").type, held, upto):
+                        made.append(some)
+                        n += some.num_rows
+                        if n >= STEMS:
+                            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+                            made, n = [], 0
+        if made:
+            yield from pa.Table.from_batches(made).combine_chunks().to_batches()
+
+    return run
+
+
+def expand_plots(cells: DataFrame, plots: DataFrame, cell: float, seed: int, draw: Callable = uniform) -> DataFrame:
     """cells(row, col, plot) and plots(plot, tree, tpa: stems per hectare) to stems(row, col, stem, plot, tree, x, y).
 
     Stems of a cell are Poisson with the plot's stems per hectare times its area (a mean above 30 is drawn in
     equal parts, whose distribution is made once a plot); each draws a tree of the plot in proportion to tpa and
-    a place in the cell. Cells without a plot stay empty. Small cells grow to many stems, so they are dealt to
-    all tasks first, in a number that the adaptive plan leaves as it is. Stem and tree meet
-    on the plot and a band of the summed tpa as wide as the plot's mean: a plot of n trees has 2 n bands at most.
-    draw(seed, *keys) gives the uniform numbers.
-    """
-    order = Window.partitionBy("plot").orderBy("tree")
+    a place in the cell. Cells without a plot stay empty.
+
+    Stems are far more than trees and cells, so they are never shuffled: a task gets a plot's trees and some of its
+    cells, and grows these. Few plots are sent to several tasks each, with other cells. Of a plot of more than TREES
+    trees a task gets a part, draws all stems of its cells and keeps those of its own trees.
+    draw gives the uniform numbers: one of DRAWS, or a function as theirs, draw(seeds, row, col, ascending numbers)."""
+    spark = cells.sparkSession
     total = plots.groupBy("plot").agg(F.sum("tpa").alias("total_"), F.count("*").alias("trees_"))
     mean = F.col("total_") * F.lit(cell * cell / 10_000)
     sized = total.withColumn("parts_", F.greatest(F.lit(1), F.ceil(mean / F.lit(30.0)).cast("int"))).withColumn("steps_", poisson_steps(mean / F.col("parts_")))
-    band = lambda c: F.floor(F.col(c) / F.col("total_") * F.col("trees_"))
-    drawn = plots.withColumn("hi_", F.sum("tpa").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    # A tree begins where the one before it ends, to the bit, and the last ends with the plot.
-    drawn = drawn.withColumn("lo_", F.coalesce(F.lag("hi_").over(order), F.lit(0.0))).withColumn("last_", F.lead("tree").over(order).isNull())
-    sized = files.written(sized, "plots")
-    drawn = drawn.join(sized.select(*total.columns), "plot").withColumn("hi_", F.when(F.col("last_"), F.lit(float("inf"))).otherwise(F.col("hi_")))
-    ends = F.when(F.col("last_"), F.greatest(band("lo_"), F.col("trees_"))).otherwise(band("hi_"))
-    drawn = drawn.withColumn("band_", F.explode(F.sequence(band("lo_"), ends))).select("plot", "band_", "tree", "lo_", "hi_")
-    dealt = cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("row", "col"))  # unlike any shuffle before it
-    stems = dealt.join(_beside(sized, 10_000), "plot").withColumn("n_", poisson(F.col("steps_"), F.col("parts_"), lambda j: draw(seed, F.col("row"), F.col("col"), j)))
-    # 0 to n less the 0: the number is named once, so that it is also drawn once.
-    stems = stems.select(*cells.columns, "total_", "trees_", F.explode(F.array_remove(F.sequence(F.lit(0), F.col("n_")), 0)).alias("stem"))
-    key = [F.col("row"), F.col("col"), F.col("stem")]
-    stems = stems.withColumn("at_", draw(seed + 1, *key) * F.col("total_")).withColumn("band_", band("at_"))
-    picked = stems.join(_beside(files.written(drawn, "bands"), 500_000), ["plot", "band_"]).filter((F.col("at_") >= F.col("lo_")) & (F.col("at_") < F.col("hi_")))
-    return picked.select("row", "col", "stem", "plot", "tree", ((F.col("col") + draw(seed + 2, *key)) * cell).alias("x"), ((F.col("row") + draw(seed + 3, *key)) * cell).alias("y"))
+    sized = files.written(sized.filter(F.col("plot").isNotNull() & F.col("total_").isNotNull()), "plots")
+    most = sized.agg(F.coalesce(F.max("trees_"), F.lit(1)).alias("trees"), F.greatest(F.count("*"), F.lit(1)).alias("plots")).first()
+    shares = -(-most.trees // TREES)
+    slices = -(-2 * spark.sparkContext.defaultParallelism // (most.plots * shares))
+    tasks = min(most.plots * shares * slices, max(1000, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    place = _beside(files.written(files.numbered(sized.select("plot"), [], ["plot"], "place_"), "places"), 10_000)
+    key = lambda slice_: ((F.col("place_") * shares + F.col("share_")) * slices + slice_).alias("key_")
+    if shares > 1:
+        dealt = files.numbered(plots, ["plot"], ["tree"], "i_").withColumn("share_", F.floor(F.col("i_") / TREES))
+        order = Window.partitionBy("plot").orderBy("share_")  # a row per share
+        upto = F.sum("sum_").over(order.rowsBetween(Window.unboundedPreceding, 0))
+        ends = dealt.groupBy("plot", "share_").agg(F.sum(F.coalesce("tpa", F.lit(0.0))).alias("sum_")).withColumn("upto_", upto)
+        last = F.lead("share_").over(order).isNull()
+        ends = ends.select("plot", "share_", F.coalesce(F.lag("upto_").over(order), F.lit(0.0)).alias("begin_"), F.when(last, F.lit(float("inf"))).otherwise(F.col("upto_")).alias("end_"))
+        ends = cells.join(_beside(files.written(ends, "shares"), 10_000), "plot")
+    else:
+        dealt = plots.withColumn("share_", F.lit(0))
+        ends = cells.withColumns({"share_": F.lit(0), "begin_": F.lit(0.0), "end_": F.lit(float("inf"))})
+    trees = dealt.join(place, "plot").withColumn("slice_", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    trees = trees.select(key(F.col("slice_")), F.lit(None).cast("boolean").alias("is_cell_"), "tree", "tpa")
+    sown = ends.join(_beside(sized, 10_000), "plot").join(place, "plot")
+    sown = sown.select(key(F.pmod(F.xxhash64("row", "col"), F.lit(slices))), F.lit(True).alias("is_cell_"), F.struct("row", "col", "plot", "total_", "parts_", "steps_", "begin_", "end_").alias("cell_"))
+    both = trees.unionByName(sown, allowMissingColumns=True).repartitionById(tasks, F.pmod("key_", F.lit(tasks)).cast("int"))
+    both = both.sortWithinPartitions("key_", "is_cell_", "tree").select("key_", "tree", F.col("tpa").cast("double").alias("tpa"), "cell_")
+    kinds = {**{c: cells.schema[c].dataType for c in ("row", "col")}, "stem": T.IntegerType(), "plot": cells.schema["plot"].dataType, "tree": plots.schema["tree"].dataType, "x": T.DoubleType(), "y": T.DoubleType()}
+    return both.mapInArrow(_grown(DRAWS.get(draw, draw), seed, cell), T.StructType([T.StructField(c, k) for c, k in kinds.items()]))
 
 
 def impute(trees: DataFrame, predictions: DataFrame, keys: list[str], columns: dict[str, tuple[str, float]]) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberplane.functions import codes, units
+from emberplane.functions import codes, draws, units
 from emberplane.operators import catalogue, compose, coverage, generation, grids, ingest, lattices, layers, pointcloud, polygons, reprojection, rules, spatial, stand, voxels
 from emberplane.operators.rules import Action, Condition, Rule
 from emberplane.sources import files, tables
@@ -324,6 +324,46 @@ def test_stems_drawn_by_either_uniform(spark):
         assert stems.filter("x < 100 OR x >= 200 OR y < row * 100 OR y >= row * 100 + 100").isEmpty()
 
 
+def test_draws_of_arrays_are_those_of_columns(spark):
+    k = spark.range(1, 21_001).select(F.col("id").cast("int").alias("k"))
+    for row, col in ((5, -12), (-(2**31), 2**31 - 1)):
+        for draw in (generation.uniform, generation.digest_uniform):
+            keys = [F.lit(row), F.lit(col), F.col("k")]
+            want = [(r.a, r.b) for r in k.select("k", draw(9, *keys).alias("a"), draw(10, *keys).alias("b")).orderBy("k").collect()]
+            for first, end in ((0, 21_000), (0, 7), (95, 1005), (20_999, 21_000)):
+                got = generation.DRAWS[draw]([9, 10], row, col, np.arange(first + 1, end + 1))
+                assert got.T.tolist() == [list(w) for w in want[first:end]]
+    long = draws.digests([10**40], 5, 6, np.array([1, 20]))  # more than a block of 64 bytes
+    assert long.shape == (1, 2) and 0 <= long.min() < long.max() < 1
+
+
+def test_stems_are_grown_where_their_trees_are(spark, monkeypatch):
+    cells = spark.range(40).selectExpr("CAST(id AS INT) AS row", "CAST(id % 3 AS INT) AS col", "id % 3 AS plot")
+    rng = random.Random(5)
+    rows = [(p, f"t{k:02d}", rng.choice([0.0, 1.0, 7.5, None])) for p in (0, 1, 7) for k in range(p + 30)]
+    plots = spark.createDataFrame([*rows, (None, "t00", 1.0)], "plot long, tree string, tpa double")
+    whole = generation.expand_plots(cells, plots, 100.0, seed=3)
+    # Stems come out of the tasks that hold the trees, no shuffle or join follows.
+    assert "MapInArrow" in whole._jdf.queryExecution().optimizedPlan().toString().split("\n")[0]
+    stems = sorted(map(tuple, whole.collect()))
+    weights = {(p, t): w or 0.0 for p, t, w in rows}
+    assert {s[3] for s in stems} == {0, 1} and all(weights[s[3], s[4]] > 0 for s in stems)
+    digests = {"row": "int", "col": "int", "stem": "int", "plot": "bigint", "tree": "string", "x": "double", "y": "double"}
+    assert dict(whole.dtypes) == digests
+    # The same by columns, tree by tree, in the order of trees.
+    total, upto = {}, {}
+    for p, t, w in rows:
+        upto[p, t] = total[p] = total.get(p, 0.0) + (w or 0.0)
+    keys = [F.col("row"), F.col("col"), F.col("stem")]
+    for r in whole.select("plot", "tree", "x", "y", "row", "col", generation.uniform(4, *keys).alias("at"), generation.uniform(5, *keys).alias("u"), generation.uniform(6, *keys).alias("v")).collect():
+        assert upto[r.plot, r.tree] - weights[r.plot, r.tree] <= r.at * total[r.plot] < upto[r.plot, r.tree]
+        assert (r.x, r.y) == ((r.col + r.u) * 100.0, (r.row + r.v) * 100.0)
+    # Plots of more trees than a task holds, and stems in many batches.
+    monkeypatch.setattr(generation, "TREES", 7)
+    monkeypatch.setattr(generation, "STEMS", 5)
+    assert sorted(map(tuple, generation.expand_plots(cells, plots, 100.0, seed=3).collect())) == stems
+
+
 def test_domains_within_a_notched_boundary(spark):
     notch = [[(0.0, 0.0), (100.0, 0.0), (100.0, 100.0), (50.0, 20.0), (0.0, 100.0)]]
     rings = {
